@@ -29,6 +29,8 @@ from footfall.llm.common import small_batches, stored
 from footfall.llm.components import connected_components
 
 SEGMENT_BITS = 32
+#: Shared variants are sent to all tasks up to this many (8 MB), beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 _CHUNK = 1 << 18  # hashes whose bits are counted at once
 
 
@@ -97,7 +99,10 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     )
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
     paired = shared.where("n = 2").where(near).select("a", "b")
-    crowded = indexed.join(shared.where("n > 2").select("variant"), "variant", "left_semi").select("fp").distinct()
+    hot = shared.where("n > 2").select("variant")
+    if hot.count() <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
+    crowded = indexed.join(hot, "variant", "left_semi").select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long") for b in range(64)))
     around = (
         crowded.select("fp", F.explode(flips).alias("flip"))
