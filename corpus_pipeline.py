@@ -27,7 +27,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose score reaches one half. The classifier is fitted to labelled rows of `documents`."""
     weights = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality.score(docs, weights).where(quality.good(F.col("quality_score"))).drop("quality_score")
+    scored = quality.score(docs.select(F.struct("*").alias("doc"), "text"), weights)
+    return scored.where(quality.good(F.col("quality_score"))).select("doc.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +40,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = simhash.near_duplicates(docs)
     # a row stays if its id is its group's; ids are compared with nulls equal
     first = found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    kept = docs.join(first, docs["doc_id"].cast("long").eqNullSafe(first["doc_id"]), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("doc"))
+    kept = rows.join(first, rows["id"].eqNullSafe(first["doc_id"]), "left_semi")
+    order = Window.partitionBy("id").orderBy(F.xxhash64("doc.text"), "doc.text")
+    return kept.withColumn("n", F.row_number().over(order)).where("n = 1").select("doc.*")
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -177,7 +177,8 @@ def _predict(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             share = mixtures(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), model, len(rows))
             has = np.logical_or.reduce([f[2] for f in found])
             sure = has & (share.sum(axis=1) > 0)
-            top[rows[sure]], score[rows[sure]] = share[sure].argmax(axis=1), share[sure].max(axis=1)
+            if sure.any():
+                top[rows[sure]], score[rows[sure]] = share[sure].argmax(axis=1), share[sure].max(axis=1)
         yield pa.RecordBatch.from_arrays(
             [pa.array(names[top].tolist(), pa.string()), pa.array(np.clip(score, 0, 1)), *batch.columns[1:]],
             names=["lang_pred", "score", *batch.schema.names[1:]],

@@ -53,6 +53,9 @@ CONTEXT = {
     "secret": "password|passwd|pwd|token|secret|key",
     "contact": "phone|tel|call|mobile|fax|mail|contact",
 }
+#: How often each labeler, where it votes, is right at first, and at least: a failed format check decides.
+RELIABILITY = (0.999, 0.6, 0.7, 0.7)
+LEAST_RELIABLE = (0.999, 0.5, 0.5, 0.5)
 #: Words that speak against every kind.
 AGAINST = "version|release|isbn|issn|order|invoice|serial|section|chapter|page|doi"
 # End of fixed values.
@@ -193,16 +196,16 @@ def _posterior(prior: float, rates: list[dict[tuple[bool, int], float]], vote: t
 
 
 def fit(counts: list[tuple[str, tuple[int, ...], int]], rounds: int = 30, steps: int = 400) -> SpanModel:
-    """The model from (kind, votes, count). Labelers are presumed better than chance at the start."""
+    """The model from (kind, votes, count). Labelers start out as reliable as RELIABILITY says."""
     prior, rates, soft = {}, {}, []
     for kind in KINDS:
         own = [(v, n) for k, v, n in counts if k == kind]
         p = 0.5
-        r = [{(y, v): (0.6 if (v == 1) == y and v else 0.2 if v else 0.5) for y in (True, False) for v in (-1, 0, 1)} for _ in range(4)]
+        r = [{(y, v): (a if (v == 1) == y else 1 - a) / 2 if v else 0.5 for y in (True, False) for v in (-1, 0, 1)} for a in RELIABILITY]
         for _ in range(rounds if own else 0):
             post = [(v, n, _posterior(p, r, v)) for v, n in own]
             total = sum(n for _, n, _ in post)
-            p = min(0.99, max(0.01, (sum(n * q for _, n, q in post) + 1) / (total + 2)))
+            p = min(0.9, max(0.01, (sum(n * q for _, n, q in post) + 1) / (total + 2)))
             for i in range(4):
                 for y in (True, False):
                     mass = {v: 2.0 if v == (1 if y else -1) else 1.0 for v in (-1, 0, 1)}
@@ -210,6 +213,10 @@ def fit(counts: list[tuple[str, tuple[int, ...], int]], rounds: int = 30, steps:
                         mass[v[i]] += n * (q if y else 1 - q)
                     for v in mass:
                         r[i][y, v] = mass[v] / sum(mass.values())
+                    right, wrong = (y, 1 if y else -1), (y, -1 if y else 1)
+                    voted = r[i][right] + r[i][wrong]
+                    r[i][right] = max(r[i][right], LEAST_RELIABLE[i] * voted)
+                    r[i][wrong] = voted - r[i][right]
         prior[kind], rates[kind] = p, r
         soft += [(kind, v, n, _posterior(p, r, v)) for v, n in own]
     weights: dict[tuple, float] = {}
@@ -280,8 +287,7 @@ def redact(docs: DataFrame) -> DataFrame:
     Texts without spans pass untouched; the others are rebuilt from what stands between their spans, of which
     those that overlap count as one.
     """
-    columns = docs.columns
-    kept = stored(docs.select("*", F.monotonically_increasing_id().alias("_row")), "kept")
+    kept = stored(docs.select(F.struct("*").alias("doc"), "text", F.monotonically_increasing_id().alias("_row")), "kept")
     numbered, spans = find_spans(kept.select(F.col("_row").alias("doc_id"), "text"))
     by_row = spans.join(numbered, "row").select(F.col("doc_id").alias("_row"), "kind", "start", "end")
     w = Window.partitionBy("_row").orderBy("start", F.col("end").desc(), "kind")
@@ -301,7 +307,7 @@ def redact(docs: DataFrame) -> DataFrame:
         ),
         F.substring(text, F.col("stop").cast("int") + 1, F.length(text)),
     )
-    out = kept.join(marks, "_row", "left").withColumn("text", F.when(F.col("marks").isNull(), text).otherwise(rebuilt))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("marks").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    whole = F.col("marks").isNull()
+    out = kept.join(marks, "_row", "left").withColumn("new", F.when(whole, text).otherwise(rebuilt))
+    changed = {"text": F.col("new"), "n_chars": F.when(whole, F.col("doc.n_chars") if "n_chars" in docs.columns else None).otherwise(F.length("new"))}
+    return out.select(*(changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(f"doc.`{c}`") for c in docs.columns))
