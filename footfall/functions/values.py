@@ -37,7 +37,8 @@ def target(x: Column) -> Column:
 
 
 def dwell(x: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(MAX_DWELL_MS), F.floor(x.try_cast("double")).cast("long"))), F.lit(0)).cast("long")
+    ms = F.floor(x.try_cast("double")).cast("long")
+    return F.when(ms.isNull() | (ms < 0), 0).when(ms > MAX_DWELL_MS, MAX_DWELL_MS).otherwise(ms).cast("long")
 
 
 def scroll_bucket(x: Column) -> Column:

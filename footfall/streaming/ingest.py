@@ -58,39 +58,41 @@ _STATE = "started double, seen double, pageviews long, entry string, last string
 
 
 def session_stream(hits: DataFrame, window: int, lateness: str = "10 minutes") -> DataFrame:
-    """Sessions as they close: `window` seconds of event time without a hit of theirs."""
+    """Sessions as they close: `window` seconds of event time without a hit of theirs.
+
+    Hits may come out of order by `lateness`; a run that ends before a later one of its key has begun closes at once.
+    """
     own = hits.where("kind <> 'crawler'").withWatermark("ts", lateness)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else None
-        closed = []
-
-        def close() -> None:
-            if held and held[2] > 0:
-                closed.append((key[0], key[1], held[5], pd.Timestamp(held[0], unit="s"), pd.Timestamp(held[1], unit="s"), held[2], held[3], held[4]))
-
+        # a run: started, seen, pageviews, entry, last, visitor
+        runs = [list(state.get)] if state.exists else []
         if state.hasTimedOut:
-            close()
-            state.remove()
+            closed, held = runs, None
         else:
             rows = pd.concat(list(batches)).sort_values(["ts", "path"], kind="stable")
             for ts, path, visitor, kind, counted in zip(rows["ts"], rows["path"], rows["visitor_hash"], rows["kind"], rows["count_view"], strict=True):
-                at, view = ts.timestamp(), int(kind == "view" and bool(counted))
-                if held and at - held[1] >= window:
-                    close()
-                    held = None
-                if held is None:
-                    if view:
-                        held = [at, at, 1, path, path, visitor]
-                    continue
-                held = [min(held[0], at), max(held[1], at), held[2] + view, path if at < held[0] else held[3], path if at >= held[1] else held[4], held[5]]
-            if held is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update(tuple(held))
-                state.setTimeoutTimestamp(max(int((held[1] + window) * 1000), state.getCurrentWatermarkMs() + 1))
+                at = ts.timestamp()
+                runs.append([at, at, int(kind == "view" and bool(counted)), path, path, visitor])
+            joined: list[list] = []
+            for run in sorted(runs, key=lambda r: r[0]):
+                if joined and run[0] - joined[-1][1] < window:
+                    before = joined[-1]
+                    last = run[4] if run[1] >= before[1] else before[4]
+                    if before[2] == 0:  # nothing before the first counted view belongs to a session
+                        joined[-1] = run
+                    else:
+                        joined[-1] = [before[0], max(before[1], run[1]), before[2] + run[2], before[3], last, before[5]]
+                else:
+                    joined.append(run)
+            *closed, held = joined
+        if held is None:
+            state.remove()
+        else:
+            state.update(tuple(held))
+            state.setTimeoutTimestamp(max(int((held[1] + window) * 1000), state.getCurrentWatermarkMs() + 1))
         columns = [c.split()[0] for c in SESSION.split(", ")]
-        yield pd.DataFrame(closed, columns=columns)
+        stamp = lambda s: pd.Timestamp(s, unit="s")
+        yield pd.DataFrame([(*key, r[5], stamp(r[0]), stamp(r[1]), r[2], r[3], r[4]) for r in closed if r[2] > 0], columns=columns)
 
     return own.groupBy("site_id", "session_key").applyInPandasWithState(step, SESSION, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

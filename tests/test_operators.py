@@ -1,0 +1,243 @@
+"""Sessions, goals, funnels, caps, the store and streaming on hand-written hits."""
+
+import datetime as dt
+import json
+
+import pytest
+from hypothesis import given, settings as hyp, strategies as st
+from pyspark.sql import functions as F
+
+from footfall.operators import governance, rollups, sessions, store, uniques
+from footfall.operators.goals import Definitions, Funnel, Goal, reached_step
+from footfall.operators.rollups import Cube
+from footfall.plans import export, viz
+from footfall.schema import HIT
+from footfall.settings import Settings
+from footfall.sources import hits as wire
+from footfall.sources import imports, requests
+from footfall.streaming import ingest
+
+START = dt.datetime(2026, 7, 16, 10)
+V = "0123456789abcdef"
+
+
+def hit(seq, seconds=0, path="/", visitor=V, **more):
+    row = dict(
+        seq=seq, site_id=1, path=path, visitor_hash=visitor, session_key=visitor * 2, ts=START + dt.timedelta(seconds=seconds), element_id=None, referrer="", user_agent="",
+        accept_language="", dwell_ms=0, count_view=True, visitor_id=None, user_id=None, campaign=None, country_code="", region="", kind="view", event_name=None,
+        event_value=None, target=None, scroll_bucket=None, segments={}, search_term=None, crawler=None,
+    )
+    return row | more
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([tuple(r.values()) for r in rows], HIT)
+
+
+def test_gap_of_the_window_starts_a_session(spark):
+    rows = sessions.sessions(frame(spark, [hit(1, 0, "/a"), hit(2, 1799, "/b"), hit(3, 1799 + 1800, "/c")]), 1800).orderBy("session_no").collect()
+    assert [(r["entry_path"], r["last_path"], r["pageviews"], r["is_bounce"], r["duration_ms"]) for r in rows] == [("/a", "/b", 2, False, 1_799_000), ("/c", "/c", 1, True, 0)]
+
+
+def test_what_is_no_session(spark):
+    rows = [hit(1, 0, kind="event", event_name="x"), hit(2, 5, kind="crawler", visitor="f" * 16), hit(3, 9000, "/x", count_view=False)]
+    assert sessions.sessions(frame(spark, rows), 1800).count() == 0
+
+
+def test_leading_events_are_trimmed_and_first_values_win(spark):
+    c = lambda s: (s, "", "", "", "")
+    rows = [
+        hit(1, 0, kind="event", event_name="x"), hit(2, 10, "/in", campaign=c("a"), segments={"plan": "free"}), hit(3, 20, "/mid", campaign=c("b"), segments={"plan": "pro", "role": "x"}),
+        hit(4, 30, "/out", campaign=c("a"), scroll_bucket=75, country_code="DE", region="BE"),
+    ]
+    s = sessions.sessions(frame(spark, rows), 1800).first()
+    assert (s["entry_path"], s["pageviews"], s["max_scroll"], s["country_code"]) == ("/in", 3, 75, "DE")
+    assert [x["s"] for x in s["campaigns"]] == ["a", "b"] and s["segments"] == {"plan": "free", "role": "x"}
+
+
+@pytest.mark.parametrize(("goals", "reached"), [([], 0), (["a"], 1), (["a", "b"], 2), (["a", "b", "c"], 3), (["c", "a", "b"], 2), (["a", "c"], 1), (["a", "x", "b", "y", "c"], 3), (["b"], 0)])
+def test_funnel_walk(spark, goals, reached):
+    row = spark.createDataFrame([(goals, [])], "goals array<string>, conversions array<string>")
+    assert row.select(reached_step(("a", "b", "c"), dict.fromkeys("abc", "url")).alias("n")).first()["n"] == reached
+
+
+def test_funnel_gates(spark):
+    row = spark.createDataFrame([(["a", "b"], ["long"]), (["a", "b"], [])], "goals array<string>, conversions array<string>")
+    got = row.select(reached_step(("a", "long", "b"), {"a": "url", "long": "duration", "b": "url"}).alias("n")).collect()
+    assert [r["n"] for r in got] == [3, 1]
+    assert row.select(reached_step(("a", "gone", "b"), {"a": "url", "b": "url"}).alias("n")).first()["n"] == 1
+
+
+def test_goals_of_a_session(spark):
+    d = Definitions((Goal("view", "url", "/p/*"), Goal("buy", "event", "buy"), Goal("el", "element", "7"), Goal("stay", "duration", "60"), Goal("deep", "scroll", "50"), Goal("off", "url", "*", enabled=False), Goal("other", "url", "*", site_id=2)))
+    rows = [hit(1, 0, "/x", element_id=7), hit(2, 50, "/p/1?a=1"), hit(3, 61, "/p/2", kind="event", event_name="buy", scroll_bucket=50)]
+    s = sessions.sessions(frame(spark, rows), 1800, d.goal_table(spark)).first()
+    assert s["goals"] == ["el", "view", "buy"] and s["conversions"] == ["view", "buy", "el", "stay", "deep"]
+
+
+def test_definitions():
+    d = Definitions((Goal("a", "url", "/"), Goal("b", "url", "/b"), Goal("c", "url", "/c")), (Funnel("f", ("a", "b", "c")),))
+    d.delete_goal("b")
+    assert d.funnels["f"].steps == ("a", "c")
+    d.delete_goal("c")
+    assert not d.funnels
+    for bad in (lambda: Funnel("f", ("a",)), lambda: Funnel("f", ("a", "a")), lambda: Goal("x", "scroll", "30"), lambda: Goal("x", "nope", "1"), lambda: d.save_funnel(Funnel("g", ("a", "zz")))):
+        with pytest.raises(ValueError):
+            bad()
+
+
+@pytest.mark.parametrize("model", ["first-click", "last-click", "linear"])
+def test_weights_add_up(spark, model):
+    rows = spark.range(3).select(F.sum(rollups.attribution_weight(F.col("id"), F.lit(3), model)).alias("w"))
+    assert float(rows.first()["w"]) == pytest.approx(1, abs=2e-4)
+
+
+def test_first_values_are_admitted(spark):
+    rows = spark.createDataFrame([(1, dt.date(2026, 7, 16), f"/p{i}", i) for i in (5, 3, 1, 2, 4, 1)], "site_id int, date date, value string, seq long")
+    allowed = rollups.admitted(rows, 2)
+    assert {r["value"] for r in allowed.collect()} == {"/p1", "/p2"}
+    later = rollups.admitted(rows.where("seq > 3"), 3, allowed)
+    assert {r["value"] for r in later.collect()} == {"/p1", "/p2", "/p4"}
+    out = rollups.capped(rows.withColumnRenamed("value", "path"), "path", allowed)
+    assert out.where("path = '__other__'").count() == 3
+
+
+@hyp(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 20_000), st.booleans()), min_size=1, max_size=12), st.integers(0, 12))
+def test_batches_do_not_matter(spark, rows, cut):
+    all_hits = [hit(i, s, f"/{p}", count_view=c, dwell_ms=p) for i, (p, s, c) in enumerate(rows)]
+    fold = lambda part: ingest.hit_cube(frame(spark, part), Settings(enable_pro=False))
+    whole = fold(all_hits)
+    parts = [p for p in (all_hits[:cut], all_hits[cut:]) if p]
+    merged = fold(parts[0]) if len(parts) == 1 else fold(parts[0]).merged(fold(parts[1]))
+    key = lambda d: sorted(map(str, d.select("date", "hour", "path", "views", "dwell_ms").collect()))
+    assert key(merged["pages"]) == key(whole["pages"])
+
+
+def _pages(spark, *rows):
+    text = "site_id int, date date, hour int, path string, views long, dwell_ms long, entrances long, exits long, bounces long, element_id int"
+    return Cube({"pages": spark.createDataFrame([(1, d, h, p, v, 0, 0, 0, 0, e) for d, h, p, v, e in rows], text)})
+
+
+def test_store_replays_and_compacts(spark, tmp_path):
+    s, old, new = store.Store(spark, str(tmp_path / "store")), dt.date(2026, 7, 1), dt.date(2026, 7, 15)
+    first = _pages(spark, (old, 9, "/a", 4, None), (old, 10, "/a", 5, 7), (new, 9, "/a", 1, None))
+    for _ in range(2):  # a replay
+        s.write_delta(0, first)
+    s.write_delta(1, _pages(spark, (old, 10, "/a", 1, None)))
+    views = lambda: {(r["date"], r["hour"]): (r["views"], r["element_id"]) for r in s.table("pages").collect()}
+    assert views() == {(old, 9): (4, None), (old, 10): (6, 7), (new, 9): (1, None)}
+    for _ in range(2):
+        s.compact(dt.date(2026, 7, 16), Settings())
+        assert views() == {(old, -1): (10, 7), (new, 9): (1, None)}
+    s.write_delta(1, _pages(spark, (old, 10, "/a", 1, None)))  # folded already
+    s.write_delta(2, _pages(spark, (old, 11, "/a", 10, None)))  # late
+    assert views()[old, 11] == (10, None)
+    s.compact(dt.date(2026, 7, 16), Settings())
+    s.tidy()
+    assert views() == {(old, -1): (20, 7), (new, 9): (1, None)}
+    s.retain(dt.date(2026, 8, 10), Settings(retention_months=1))
+    assert set(views()) == {(new, 9)}
+
+
+def test_hit_codec(spark, tmp_path):
+    rows = frame(spark, [hit(1, dwell_ms=5, segments={"a": "b"}), hit(2, kind="event", event_name="e", event_value=None, count_view=False)])
+    wire.write(rows, str(tmp_path / "spool"))
+    with open(tmp_path / "spool" / "bad.txt", "w") as f:
+        f.write('not json\n\n{"si":0,"v":"' + V + '"}\n{"si":1,"v":"bad"}\n{"si":1,"v":"' + V + '","ts":1,"d":99999999,"sb":33}\n')
+    got = wire.read(spark, str(tmp_path / "spool"))
+    assert got.where("malformed").count() == 3
+    good = {r["kind"] + str(r["dwell_ms"]): r for r in wire.usable(got).collect()}
+    assert set(good) == {"view5", "event0", "view3600000"} and good["view5"]["segments"] == {"a": "b"} and not good["event0"]["count_view"]
+    assert json.loads(wire.encode(rows).where("value like '%\"d\"%'").first()["value"])["d"] == 5
+
+
+def test_streams(spark, tmp_path):
+    spool, root = str(tmp_path / "in"), str(tmp_path / "store")
+    wire.write(frame(spark, [hit(i, i * 60, f"/{i % 2}") for i in range(6)]), spool)
+    for _ in range(2):  # the second run finds nothing new
+        ingest.roll_up(spark, spool, root, str(tmp_path / "check"), Settings()).awaitTermination()
+        assert store.Store(spark, root).table("pages").agg(F.sum("views")).first()[0] == 6
+    wire.write(frame(spark, [hit(9, 90_000, "/late", visitor="f" * 16)]), spool)
+    ingest.roll_up(spark, spool, root, str(tmp_path / "check"), Settings()).awaitTermination()
+    assert store.Store(spark, root).table("pages").agg(F.sum("views")).first()[0] == 7
+
+
+def test_session_stream(spark, tmp_path):
+    spool = str(tmp_path / "in")
+    wire.write(frame(spark, [hit(1, 0, "/a"), hit(2, 60, "/b"), hit(3, 4000, "/c")]).coalesce(1), spool)
+    wire.write(frame(spark, [hit(4, 90_000, "/z", visitor="f" * 16)]).coalesce(1), spool)
+    stream = ingest.session_stream(ingest.hit_stream(spark, spool, 1), 1800)
+    query = stream.writeStream.format("memory").queryName("closed").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {(r["entry_path"], r["last_path"], r["pageviews"]) for r in spark.sql("select * from closed").collect()}
+    assert ("/a", "/b", 2) in got
+
+
+def test_sketches(spark):
+    rows = spark.range(8000).select((F.col("id") % 2).cast("int").alias("day"), F.substring(F.sha2(F.floor(F.col("id") / 2).cast("string"), 256), 1, 16).alias("v"))
+    one = uniques.united(uniques.sketch(rows, ["day"], "v"), []).first()["uniques"]
+    assert abs(one - 4000) < 3 * uniques.error_bound(12) * 4000
+    assert uniques.exact(rows, [], "v").first()["uniques"] == 4000
+    assert uniques.sketch(rows.withColumn("v", F.lit("bad")), ["day"], "v").count() == 0
+
+
+def test_consent_and_erasure(spark):
+    log = spark.createDataFrame([(1, 1, "a", "granted", "x", START), (2, 1, "a", "denied", "x", START), (3, 1, "b", "granted", "x", START)], "id long, site_id int, visitor_id string, state string, method string, recorded_at timestamp")
+    rows = frame(spark, [hit(1, 0, visitor_id="a"), hit(2, 1, visitor_id="b"), hit(3, 2, visitor_id="b"), hit(4, 3)])
+    j = governance.journeys(rows, log)
+    assert {(r["visitor_id"], r["sequence"]) for r in j.collect()} == {("b", 1), ("b", 2)}
+    more = governance.journeys(frame(spark, [hit(9, 50, visitor_id="b")]), log, j)
+    assert [r["sequence"] for r in more.collect()] == [3]
+    assert governance.erased(j, spark.createDataFrame([("b",)], "visitor_id string")).count() == 0
+    cookies = spark.createDataFrame([(True, False, "x", None), (True, True, "x", None), (True, False, None, "YES"), (True, False, None, "no"), (True, False, None, None), (False, False, "x", None)], "a boolean, g boolean, o string, m string")
+    assert [r[0] for r in cookies.select(governance.consent_state(*(F.col(c) for c in "agom"))).collect()] == ["granted", "denied", "granted", "denied", "unknown", "denied"]
+
+
+def test_requests(spark):
+    text = "method string, status int, content_type string, path string, section_id int, headers map<string,string>"
+    base = ("GET", 200, "text/html; charset=utf-8", "/a", 1, {})
+    rows = [base, ("POST", *base[1:]), ("GET", 404, *base[2:]), (*base[:3], "/_dynamic_include_1", 1, {}), (*base[:3], "/admin/x", 1, {}), (*base[:4], 9, {})]
+    rows += [(*base[:5], h) for h in ({"sec-gpc": "1"}, {"purpose": "prefetch"}, {"sec-fetch-dest": "empty"}, {"sec-fetch-dest": "document"})]
+    kept = requests.trackable(spark.createDataFrame(rows, text), Settings(exclude_paths=("/admin/*",), exclude_sections=(9,)))
+    assert kept.count() == 2
+
+
+def test_nonces_count_once(spark):
+    text = "seq int, nonce string, visitor_hash string, ts timestamp, count_view boolean"
+    beacons = spark.createDataFrame([(1, "n", V, START, True), (2, "n", V, START, True), (3, "m", V, START, True), (4, None, V, START, True)], text)
+    served = spark.createDataFrame([("m", V, START - dt.timedelta(seconds=60))], "nonce string, visitor_hash string, ts timestamp")
+    got = {r["seq"]: r["count_view"] for r in requests.count_once(beacons, served, 1800).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: True}
+
+
+def test_geo_ranges(spark):
+    nets = spark.createDataFrame([(16_777_216, 16_777_471, "AU", "QLD", None), (16_777_472, 50_331_647, "", "", "CN")], "first long, last long, country string, region string, registered string")
+    hits = spark.createDataFrame([(1, "1.0.0.5"), (2, "1.0.1.0"), (3, "9.9.9.9"), (4, "bad")], "seq int, address string")
+    got = {r["seq"]: (r["country_code"], r["region"]) for r in requests.locate(hits, nets).collect()}
+    assert got == {1: ("AU", "QLD"), 2: ("CN", ""), 3: ("", ""), 4: ("", "")}
+
+
+def test_imports(spark):
+    body = {"dimensionHeaders": [{"name": "date"}, {"name": "pagePath"}], "metricHeaders": [{"name": "screenPageViews"}, {"name": "userEngagementDuration"}, {"name": "activeUsers"}],
+            "rows": [{"dimensionValues": [{"value": "20260701"}, {"value": "x"}], "metricValues": [{"value": "3"}, {"value": "1.5"}, {"value": "2"}]}, {"dimensionValues": [{"value": "bad"}, {"value": "/"}], "metricValues": []}]}
+    rows = imports.normalize(spark.createDataFrame([(json.dumps(body),)], "value string"))
+    pages = imports.dataset(rows, "pages")
+    r = pages.first()
+    assert (r["path"], r["views"], r["dwell_ms"], r["hour"]) == ("/x", 3, 1500, -1) and imports.seeded_visitors(pages).count() == 2
+    assert [imports.dataset(rows, d).count() for d in ("campaigns", "geo", "events")] == [0, 0, 0]
+    assert imports.datasets(pro=False) == ("pages", "totals", "sources", "devices")
+
+
+def test_export(spark):
+    rows = spark.createDataFrame([("=SUM(A1)", -5, 1.239), (" @x", 1, 2.0), ("fine", 0, 0.0)], "a string, n int, x double")
+    assert [tuple(r) for r in export.for_csv(rows).collect()] == [("'=SUM(A1)", -5, 1.24), ("' @x", 1, 2.0), ("fine", 0, 0.0)]
+    assert json.loads(export.envelope(rows, 1, "a", "b").first()["value"])["rows"][2]["a"] == "fine"
+
+
+def test_heatmap_and_sparkline(spark):
+    rows = spark.createDataFrame([(dt.date(2026, 7, 13), 9, 36), (dt.date(2026, 7, 14), 9, 1), (dt.date(2026, 7, 14), -1, 99)], "date date, hour int, views long")
+    got = {(r["row"], r["hour"]): r["bucket"] for r in viz.heatmap(rows).collect()}
+    assert len(got) == 168 and got[0, 9] == 6 and got[1, 9] == 1 and sum(got.values()) == 7
+    line = spark.createDataFrame([(dt.date(2026, 7, 1), 0), (dt.date(2026, 7, 2), 10)], "date date, value long")
+    assert viz.sparkline(line).first()["points"] == "0.0,24.0 100.0,0.0"
