@@ -6,18 +6,18 @@ One more component brings all vectors to the same norm, so the largest inner pro
 triangle inequality holds. A page is opened only while its lower bound may still beat the k-th best; entries whose
 stored parent distance already rules them out are skipped without computing anything.
 
-Bounds are floating-point with a slack, scores are exact integers; entries that tie with the k-th best are opened.
+The queries of a block go down the tree side by side: each opens the page of its own least bound next, and those
+that open the same page share one matrix product. Bounds are floating-point with a slack, scores are exact integers;
+entries that tie with the k-th best are opened.
 """
 
 from __future__ import annotations
 
-import heapq
-import math
 from dataclasses import dataclass
 
 import numpy as np
 
-from footfall.llm.vectors import Search, best_of
+from footfall.llm.vectors import Search
 
 SLACK = 1e-6
 LEAF = 128
@@ -26,12 +26,12 @@ FANOUT = 12
 
 @dataclass
 class Page:
-    """rows: of a leaf's entries, or of the inner entries' routing vectors."""
+    """rows: a leaf's entries, or the routing vectors of an inner page's entries, which are the pages `below`."""
 
     rows: np.ndarray
     parent_distance: np.ndarray
     radius: np.ndarray | None = None
-    below: list[Page] | None = None
+    below: np.ndarray | None = None
 
 
 class MTree:
@@ -44,77 +44,89 @@ class MTree:
         self.norm = float(norms.max())
         self.space = np.column_stack([plain, np.sqrt(np.maximum(self.norm - norms, 0))])
         self._random = np.random.default_rng(seed)
+        self.pages: list[Page] = []
         self.root = self._built(np.arange(len(vectors)), 0)
-        self.root_row = 0
 
     def _distance(self, rows: np.ndarray, to: int) -> np.ndarray:
         return np.sqrt(((self.space[rows] - self.space[to]) ** 2).sum(axis=1))
 
-    def _built(self, rows: np.ndarray, parent: int) -> Page:
+    def _built(self, rows: np.ndarray, parent: int) -> int:
+        """Number of the page over these rows, whose routing vector is `parent`."""
         if len(rows) <= LEAF:
-            return Page(rows, self._distance(rows, parent))
+            self.pages.append(Page(rows, self._distance(rows, parent)))
+            return len(self.pages) - 1
         routes = self._random.choice(rows, FANOUT, replace=False)
         gaps = np.stack([self._distance(rows, r) for r in routes])
         nearest = gaps.argmin(axis=0)
         if np.bincount(nearest, minlength=FANOUT).max() > 0.9 * len(rows):
             nearest = np.arange(len(rows)) % FANOUT  # many equal vectors: deal them out
-        kept, radius, below = [], [], []
-        for i, r in enumerate(routes):
-            own = nearest == i
-            if own.any():
-                kept.append(r)
-                radius.append(gaps[i, own].max())
-                below.append(self._built(rows[own], int(r)))
-        kept = np.array(kept)
-        return Page(kept, self._distance(kept, parent), np.array(radius), below)
-
-    def search(self, query: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and exact scores of the k best, the row with id `own` left out."""
-        q = query.astype(float)
-        size = float(q @ q) + self.norm
-        slack = SLACK * (1 + math.sqrt(size))
-
-        def away(rows: np.ndarray) -> np.ndarray:
-            return np.sqrt(np.maximum(size - 2 * (self.space[rows, :-1] @ q), 0))
-
-        exact = q if self.vectors.dtype != object else np.array([int(c) for c in query], object)
-        found = np.zeros(0, np.int64)
-        scores = np.zeros(0, self.vectors.dtype)
-        limit, number = math.inf, 0
-        heap: list[tuple[float, int, float, Page]] = [(0.0, 0, float(away(np.array([self.root_row]))[0]), self.root)]
-        while heap:
-            bound, _, distance, page = heapq.heappop(heap)
-            if bound > limit + slack:
-                break
-            reach = np.abs(distance - page.parent_distance)
-            if page.below is None:
-                rows = page.rows[(reach <= limit + slack)]
-                rows = rows[ids[rows] != own]
-                if len(rows):
-                    found, scores = np.append(found, rows), np.append(scores, self.vectors[rows] @ exact)
-                    if len(found) >= k:
-                        best = best_of(ids[found], scores, k)
-                        found, scores = found[best], scores[best]
-                        limit = math.sqrt(max(size - 2 * float(scores[-1]), 0))
-                continue
-            open_ = np.flatnonzero(reach - page.radius <= limit + slack)
-            if len(open_):
-                gaps = away(page.rows[open_])
-                least = np.maximum(gaps - page.radius[open_], bound)
-                for i in np.flatnonzero(least <= limit + slack):
-                    number += 1
-                    heapq.heappush(heap, (float(least[i]), number, float(gaps[i]), page.below[open_[i]]))
-        best = best_of(ids[found], scores, k)
-        return found[best], scores[best]
+        used = [i for i in range(FANOUT) if (nearest == i).any()]
+        below = [self._built(rows[nearest == i], int(routes[i])) for i in used]
+        kept = routes[used]
+        self.pages.append(Page(kept, self._distance(kept, parent), np.array([gaps[i, nearest == i].max() for i in used]), np.array(below)))
+        return len(self.pages) - 1
+
+    def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query positions, row positions and exact scores of each query's k best; rows with the id in `own` left out."""
+        n = len(queries)
+        q = queries.astype(float)
+        exact = q if self.vectors.dtype != object else np.array([[int(c) for c in x] for x in queries], object)
+        size = (q**2).sum(axis=1) + self.norm
+        slack = SLACK * (1 + np.sqrt(size))
+
+        def away(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            return np.sqrt(np.maximum(size[at, None] - 2 * (q[at] @ self.space[rows, :-1].T), 0))
+
+        bound = np.full((n, len(self.pages)), np.inf)
+        distance = np.zeros((n, len(self.pages)))
+        bound[:, self.root], distance[:, self.root] = 0, away(np.arange(n), np.array([0]))[:, 0]
+        limit = np.full(n, np.inf)
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.vectors.dtype)]  # query, row, score
+        least = np.full(n, -np.inf)
+        active = np.arange(n)
+        while len(active):
+            page = bound[active].argmin(axis=1)
+            nearest = bound[active, page]
+            go = (nearest < np.inf) & (nearest <= limit[active] + slack[active])
+            active, page = active[go], page[go]
+            order = np.argsort(page, kind="stable")
+            fresh = [best]
+            for group in np.split(order, np.flatnonzero(np.diff(page[order])) + 1) if len(order) else ():
+                at, number = active[group], int(page[group[0]])
+                own_page = self.pages[number]
+                reach = np.abs(distance[at, number][:, None] - own_page.parent_distance)
+                edge = (limit[at] + slack[at])[:, None]
+                if own_page.below is None:
+                    wanted = reach <= edge
+                    rows = own_page.rows[wanted.any(axis=0)]
+                    scores = exact[at] @ self.vectors[rows].T
+                    hit, col = np.nonzero(wanted[:, wanted.any(axis=0)] & (scores >= least[at][:, None]) & (ids[rows] != own[at][:, None]))
+                    fresh.append([at[hit], rows[col], scores[hit, col]])
+                else:
+                    open_ = reach - own_page.radius <= edge
+                    gaps = away(at, own_page.rows)
+                    low = np.maximum(gaps - own_page.radius, bound[at, number][:, None])
+                    bound[at[:, None], own_page.below] = np.where(open_, low, np.inf)
+                    distance[at[:, None], own_page.below] = gaps
+                bound[at, number] = np.inf
+            if len(fresh) > 1:
+                who, row, score = (np.concatenate(x) for x in zip(*fresh, strict=True))
+                order = np.lexsort((ids[row], -score, who))
+                who, row, score = who[order], row[order], score[order]
+                starts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, np.int64)
+                rank = np.arange(len(who)) - np.repeat(starts, np.diff(np.r_[starts, len(who)]))
+                kept = rank < k
+                best = [who[kept], row[kept], score[kept]]
+                last = np.flatnonzero(rank == k - 1)
+                least[who[last]] = score[last].astype(float)
+                limit[who[last]] = np.sqrt(np.maximum(size[who[last]] - 2 * score[last].astype(float), 0))
+        return best[0], best[1], best[2]
 
 
 def searcher(k: int, scale: float = 64.0) -> Search:
     """Components are scaled and rounded down to whole numbers first."""
 
     def search(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        tree = MTree(np.floor(vectors * scale))
-        found = [tree.search(x, ids, own, k) for own, x in zip(q_ids, np.floor(queries * scale), strict=True)]
-        at = np.repeat(np.arange(len(found)), [len(r) for r, _ in found])
-        return at, np.concatenate([r for r, _ in found]), np.concatenate([s for _, s in found])
+        return MTree(np.floor(vectors * scale)).search(np.floor(queries * scale), q_ids, ids, k)
 
     return search

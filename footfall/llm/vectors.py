@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.llm.common import stored
+from footfall.llm.common import shuffle_width, stored
 
 #: queries (ids, vectors), rows (ids, vectors) -> query positions, row positions, scores
 Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -33,7 +33,7 @@ def clean(vectors: DataFrame) -> DataFrame:
 
 
 def top_k(
-    rows: DataFrame, is_query: Column, search: Search, k: int, score_type: str, shard_rows: int = 8192, block_rows: int = 8192
+    rows: DataFrame, is_query: Column, search: Search, k: int, score_type: str, shard_rows: int = 4096, block_rows: int = 8192
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all rows but its own for each query, ties to smaller ids.
 
@@ -42,10 +42,10 @@ def top_k(
     kept = stored(rows.select("vec_id", "vector", F.size("vector").alias("dim"), is_query.alias("is_query")), "vectors")
     n, asked = kept.agg(F.count(F.lit(1)), F.count(F.when(F.col("is_query"), 1))).first()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // block_rows))
-    index = kept.select("dim", "vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard")).withColumn(
+    index = kept.select("dim", "vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
-    queries = kept.where("is_query").select("dim", "vec_id", "vector", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).alias("block"))
+    queries = kept.where("is_query").select("dim", "vec_id", "vector", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
     queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     number = np.int64 if score_type == "long" else np.float64
 
@@ -58,6 +58,8 @@ def top_k(
         return pd.DataFrame({"query_id": q_ids[q], "vec_id": ids[r], "score": score.astype(number)})
 
     keys = ("dim", "shard", "block")
+    width = shuffle_width(rows.sparkSession)  # a given number, as few bytes here mean much work
+    queries, index = queries.repartition(width, *keys), index.repartition(width, *keys)
     found = queries.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(run, f"query_id long, vec_id long, score {score_type}")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
