@@ -44,3 +44,19 @@ def test_entry(spark):
 
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_composites(spark):
+    from footfall.plans import composites
+    from footfall.sources import adapter
+
+    tables = ("pages", "page_visitors", "sessions", "sources", "devices", "events", "outbound", "page_sources", "goals")
+    r = analytics._reports(spark, DATA, *tables)
+    parts = {
+        "dashboard": composites.dashboard(r), "page": composites.page_detail(r, "/p/12"), "mail": composites.mailed(r, analytics.DEFS), "api": composites.api(r),
+        "exports": composites.exports(r, analytics.DEFS, adapter.entries(spark, DATA)), "overview": composites.overview(r),
+    }
+    assert set(parts["exports"]) == {"pages", "sources", "trend", "devices", "content", "goals"}
+    for rows in parts["overview"].values():
+        assert rows.count() == 1
+    assert {r["group"] for r in parts["exports"]["devices"].collect()} == {"browser", "os", "device_type"}
