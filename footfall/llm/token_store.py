@@ -18,6 +18,7 @@ import functools
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -79,8 +80,9 @@ def encode_ids(ids: np.ndarray, percentile: float = 0.9) -> bytes:
     low = grid.min(axis=1)
     delta = grid - low[:, None]
     rank = min(BLOCK - 1, int(percentile * BLOCK))
-    width = _bit_length(np.partition(delta, rank, axis=1)[:, rank])
-    rows, cols = np.nonzero(delta.astype(np.uint64) >> width.astype(np.uint64)[:, None])
+    small = delta.astype(np.uint16) if delta.max() < 1 << 16 else delta
+    width = _bit_length(np.sort(small, axis=1)[:, rank])
+    rows, cols = np.nonzero(delta > ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None])
     exceptions = np.bincount(rows, minlength=blocks)
     sizes = _HEAD + 16 * width + _EXCEPTION * exceptions
     starts = np.zeros(blocks + 1, np.int64)
@@ -152,29 +154,34 @@ class PieceEncoder:
 
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
         self._tokenizer.encode_special_tokens = True
-        self._known: dict[str, bytes] = {}
+        self._known: dict[str, bytes] = {}  # by what follows a space
         self._parts: dict[str, bytes] = {}
         self._most = most
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         parts = {p: self._PARTS.findall(p) if self._PLAIN.fullmatch(p) else [p] for p in pieces}
-        new = list(set().union(*parts.values()) - self._parts.keys())
+        new = list(set().union(*parts.values()).difference(self._parts))
         for part, got in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self._parts[part] = np.array(got.ids, "<u4").tobytes()
-        for piece, own in parts.items():
-            self._known[piece] = b"".join(map(self._parts.__getitem__, own))
+            self._parts[part] = array("I", got.ids).tobytes()
+        get = self._parts.__getitem__
+        return {p: get(own[0]) if len(own) == 1 else b"".join(map(get, own)) for p, own in parts.items()}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = []
-        for t in texts:
-            head, *rest = self._CUT.split(t)
-            cut.append(([head] if head else []) + [" " + x for x in rest])
-        for held in (self._known, self._parts):
-            if len(held) > self._most:
+        for held, most in ((self._known, self._most), (self._parts, 2 * self._most)):
+            if len(held) > most:
                 held.clear()
-        if new := set().union(*cut) - self._known.keys():
-            self._learn(new)
-        return [b"".join(map(self._known.__getitem__, pieces)) for pieces in cut]
+        cut = [self._CUT.split(t) for t in texts]
+        heads = {own[0] for own in cut if own[0]}
+        new = set().union(*cut).difference(self._known)
+        learned = self._learn(heads | {" " + x for x in new})
+        for x in new:
+            self._known[x] = learned[" " + x]
+        get, out = self._known.__getitem__, []
+        for own in cut:
+            ids = list(map(get, own))
+            ids[0] = learned[own[0]] if own[0] else b""
+            out.append(b"".join(ids))
+        return out
 
 
 @functools.lru_cache(maxsize=2)
