@@ -20,6 +20,10 @@ import numpy as np
 from footfall.llm.vectors import Search, best_of
 
 
+#: Bound on what single precision changes in a product, relative to the vectors' squared norms.
+ROUNDING = 1e-5
+
+
 def _tail(m: int, p: float, least: int) -> float:
     """P(at least `least` of m), each with probability p."""
     if p >= 1:
@@ -44,17 +48,27 @@ def inner_products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 class CollisionIndex:
-    def __init__(self, vectors: np.ndarray, projections: int = 96, threshold: int = 56, recall: float = 0.97, widen: float = 1.3, seed: int = 5):
-        self.vectors, self.widen, self.threshold = vectors, widen, threshold
+    def __init__(self, vectors: np.ndarray, projections: int = 24, threshold: int = 14, recall: float = 0.85, widen: float = 1.25, start: float = 0.5, seed: int = 5):
+        self.vectors, self.widen, self.threshold, self.start = vectors, widen, threshold, start
         norms = (vectors**2).sum(axis=1)
         self.norm = float(norms.max())
+        self.rough = (vectors / math.sqrt(max(self.norm, 1e-300))).astype(np.float32)
         lines = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, projections))
         self.lines = lines[:-1]
         values = vectors @ self.lines + np.sqrt(np.maximum(self.norm - norms, 0))[:, None] * lines[-1]
         self.order = np.argsort(values.T, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(values.T, self.order.astype(np.int64), axis=1)
+        # lines far enough apart that one sorted array holds them all; windows end within a line's own stretch
+        self.span = float(np.abs(self.sorted).max()) * 4 + 1
+        self.offsets = np.arange(projections) * self.span * 4
+        self.firsts = np.arange(projections) * len(vectors)
+        self.keys = (self.sorted + self.offsets[:, None]).ravel()
         self.reach = half_width(projections, threshold, recall)
 
+    def _placed(self, at: np.ndarray) -> np.ndarray:
+        """Of each line, how many values are below `at`: one search in the lines laid end to end."""
+        return np.searchsorted(self.keys, np.clip(at, -self.span, self.span) + self.offsets) - self.firsts
+
     def search(self, query: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and products of the k best found, the row with id `own` left out."""
         n, m = len(ids), len(self.sorted)
@@ -62,29 +76,32 @@ class CollisionIndex:
         counts = np.zeros(n, np.int32)
         done = ids == own
         rows, scores = np.zeros(0, np.int64), np.zeros(0)
-        low = high = np.array([np.searchsorted(self.sorted[j], at[j]) for j in range(m)])
+        length = math.sqrt(float(query @ query))
+        unit, rough = length * math.sqrt(self.norm), (query / max(length, 1e-300)).astype(np.float32)
+        low = high = self._placed(at)
         size = float(query @ query) + self.norm
-        width = self.reach * math.sqrt(max(size, 1e-300)) / 4
+        width = self.reach * math.sqrt(max(size, 1e-300)) * self.start
         while True:
-            left = [int(np.searchsorted(self.sorted[j], at[j] - width, "left")) for j in range(m)]
-            right = [int(np.searchsorted(self.sorted[j], at[j] + width, "right")) for j in range(m)]
-            new = [self.order[j, a:b] for j in range(m) for a, b in ((left[j], low[j]), (high[j], right[j])) if a < b]
-            low, high = np.minimum(left, low), np.maximum(right, high)
+            left, right = np.minimum(self._placed(at - width), low), np.maximum(self._placed(at + width), high)
+            edges = zip(range(m), left.tolist(), low.tolist(), high.tolist(), right.tolist(), strict=True)
+            new = [self.order[j, a:b] for j, l, x, y, r in edges for a, b in ((l, x), (y, r)) if a < b]
+            low, high = left, right
             if new:
                 counts += np.bincount(np.concatenate(new), minlength=n).astype(np.int32)
             fresh = np.flatnonzero((counts >= self.threshold) & ~done)
             if len(fresh):
                 done[fresh] = True
                 rows = np.append(rows, fresh)
-                scores = np.append(scores, inner_products(self.vectors[fresh], query))
-                if len(rows) > k:
-                    best = best_of(ids[rows], scores, k)
-                    rows, scores = rows[best], scores[best]
+                scores = np.append(scores, (self.rough.take(fresh, axis=0) @ rough).astype(float) * unit)
+                if len(rows) > k:  # what may be among the k best once products are exact
+                    near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - ROUNDING * size
+                    rows, scores = rows[near], scores[near]
             if done.all() or (low == 0).all() and (high == n).all():
                 break
-            if len(rows) >= k and width >= self.reach * math.sqrt(max(size - 2 * scores.min(), 0)):
+            if len(rows) >= k and width >= self.reach * math.sqrt(max(size - 2 * np.partition(scores, len(scores) - k)[len(scores) - k], 0)):
                 break
             width *= self.widen
+        scores = inner_products(self.vectors[rows], query)
         best = best_of(ids[rows], scores, k)
         return rows[best], scores[best]
 

@@ -38,7 +38,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors.clean(table(spark, sf_dir, "embeddings")).where(F.exists("vector", lambda c: c != 0))
-    return vectors.top_k(rows, F.col("vec_id") % 20 == 0, qalsh.searcher(20), 20, "double")
+    return vectors.top_k(rows, F.col("vec_id") % 20 == 0, qalsh.searcher(20), 20, "double", shard_rows=8192)
 
 
 def op5_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
