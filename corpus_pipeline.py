@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from footfall.llm import mixing, pii, quality, sentencepiece, simhash
@@ -31,6 +31,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(quality.good(F.col("quality_score"))).select("doc.*")
 
 
+def _key(name: str) -> Column:
+    """An id as text; a null id is the empty text."""
+    return F.coalesce(F.col(name).cast("long").cast("string"), F.lit(""))
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked fingerprints: the smallest id, of rows that share it the first by text.
 
@@ -38,12 +43,12 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     only rows that share that id are then ordered.
     """
     found = simhash.near_duplicates(docs)
-    # a row stays if its id is its group's; ids are compared with nulls equal
-    first = found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("doc"))
-    kept = rows.join(first, rows["id"].eqNullSafe(first["doc_id"]), "left_semi")
-    order = Window.partitionBy("id").orderBy(F.xxhash64("doc.text"), "doc.text")
-    return kept.withColumn("n", F.row_number().over(order)).where("n = 1").select("doc.*")
+    first = found.groupBy("component_id").agg(F.min("doc_id").alias("id")).select(_key("id").alias("key")).distinct()
+    # join and window share one key, so texts are dealt out once
+    rows = docs.select(_key("doc_id").alias("key"), F.struct("*").alias("doc"))
+    order = Window.partitionBy("key").orderBy(F.xxhash64("doc.text"), "doc.text")
+    kept = rows.join(first, "key", "left_semi").withColumn("n", F.row_number().over(order))
+    return kept.where("n = 1").select("doc.*")
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

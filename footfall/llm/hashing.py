@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that products keep every bit of what they hash
@@ -22,6 +24,18 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
 SPACE, KIND = _classes()
 
 
+def runs(texts: list[str | None], most: int = 1 << 20) -> Iterator[slice]:
+    """Slices of about `most` characters, so that memory follows neither the number nor the sizes of texts in a batch."""
+    begun, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held >= most:
+            yield slice(begun, i + 1)
+            begun, held = i + 1, 0
+    if begun < len(texts):
+        yield slice(begun, len(texts))
+
+
 def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """Spread 64-bit values so that their high bits depend on all of them."""
     with np.errstate(over="ignore"):

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.common import small_batches
-from footfall.llm.hashing import mixed, words_and_shapes
+from footfall.llm.hashing import mixed, runs, words_and_shapes
 
 BITS = 18
 BIAS = 1 << BITS
@@ -73,14 +73,16 @@ class Learner:
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
-        owner, number, value = features(texts)
-        order = np.argsort(owner, kind="stable")
-        cuts = np.searchsorted(owner[order], np.arange(len(texts) + 1))
         at, values = [], []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            own, inverse = np.unique(number[order[a:b]], return_inverse=True)
-            at.append(np.append(own, BIAS).astype("<i4").tobytes())
-            values.append(np.append(np.bincount(inverse, value[order[a:b]], len(own)), 1.0).astype("<f4").tobytes())
+        for run in runs(texts):
+            own = texts[run]
+            owner, number, value = features(own)
+            order = np.argsort(owner, kind="stable")
+            cuts = np.searchsorted(owner[order], np.arange(len(own) + 1))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                found, inverse = np.unique(number[order[a:b]], return_inverse=True)
+                at.append(np.append(found, BIAS).astype("<i4").tobytes())
+                values.append(np.append(np.bincount(inverse, value[order[a:b]], len(found)), 1.0).astype("<f4").tobytes())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(at, pa.binary()), pa.array(values, pa.binary()), *batch.columns[2:]],
             names=["doc_id", "at", "value", "label", "learner"],
@@ -147,7 +149,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         own = texts.tolist()
-        parts = [score_texts(own[i : i + 200], shared.value) for i in range(0, len(own), 200)]
+        parts = [score_texts(own[run], shared.value) for run in runs(own)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.select("*", scored(F.col("text")).alias("quality_score"))
