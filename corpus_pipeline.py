@@ -1,7 +1,8 @@
 """From raw documents to token ids: five stages, each over everything the one before kept.
 
 1. quality: score every text with the hashed word n-gram classifier and drop what it rejects.
-2. near_duplicates: link SimHash fingerprints; of each group the document with the smallest id stays.
+2. near_duplicates: link texts whose five-word shingles have a Jaccard similarity of 0.8 or more; of each group the
+   document with the smallest id stays.
 3. personal_data: replace personal data by its kind in brackets.
 4. source_mix: what the mix over the sources takes of each document, up to twice.
 5. pieces: SentencePiece ids of every text.
@@ -17,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from footfall.llm import mixing, pii, quality, sentencepiece, simhash
+from footfall.llm import mixing, near, pii, quality, sentencepiece
 from footfall.llm.common import stored, table
 from footfall.llm.queries import tokenizer_file
 
@@ -37,13 +38,13 @@ def _key(name: str) -> Column:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of linked fingerprints: the smallest id, of rows that share it the first by text.
+    """One row of each group of near copies: the smallest id, of rows that share it the first by text.
 
     Groups are reduced to their smallest id before they meet the rows, so that no large group is ever in one place;
     only rows that share that id are then ordered.
     """
-    found = simhash.near_duplicates(docs)
-    first = found.groupBy("component_id").agg(F.min("doc_id").alias("id")).select(_key("id").alias("key")).distinct()
+    found = near.near_copies(near.numbered(docs))
+    first = found.groupBy("root").agg(F.min("doc_id").alias("id")).select(_key("id").alias("key")).distinct()
     # join and window share one key, so texts are dealt out once
     rows = docs.select(_key("doc_id").alias("key"), F.struct("*").alias("doc"))
     order = Window.partitionBy("key").orderBy(F.xxhash64("doc.text"), "doc.text")
