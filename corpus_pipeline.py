@@ -2,7 +2,7 @@
 
 1. quality: score every text with the hashed word n-gram classifier and drop what it rejects.
 2. near_duplicates: link texts whose five-word shingles have a Jaccard similarity of 0.8 or more; of each group the
-   document with the smallest id stays.
+   row with the smallest id stays.
 3. personal_data: replace personal data by its kind in brackets.
 4. source_mix: what the mix over the sources takes of each document, up to twice.
 5. pieces: SentencePiece ids of every text.
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.llm import mixing, near, pii, quality, sentencepiece
@@ -32,24 +32,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(quality.good(F.col("quality_score"))).select("doc.*")
 
 
-def _key(name: str) -> Column:
-    """An id as text; a null id is the empty text."""
-    return F.coalesce(F.col(name).cast("long").cast("string"), F.lit(""))
-
-
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: the smallest id, of rows that share it the first by text.
+    """One row of each group of near copies: the smallest id, then the first by text; a null id is the greatest.
 
-    Groups are reduced to their smallest id before they meet the rows, so that no large group is ever in one place;
-    only rows that share that id are then ordered.
+    Rows go by their number, so neither a null id nor one that rows share makes them one. Groups are reduced to their
+    best row before anything is joined, so that no large group is ever in one place.
     """
-    found = near.near_copies(near.numbered(docs))
-    first = found.groupBy("root").agg(F.min("doc_id").alias("id")).select(_key("id").alias("key")).distinct()
-    # join and window share one key, so texts are dealt out once
-    rows = docs.select(_key("doc_id").alias("key"), F.struct("*").alias("doc"))
-    order = Window.partitionBy("key").orderBy(F.xxhash64("doc.text"), "doc.text")
-    kept = rows.join(first, "key", "left_semi").withColumn("n", F.row_number().over(order))
-    return kept.where("n = 1").select("doc.*")
+    rows = near.numbered(docs)
+    found = stored(near.near_copies(rows), "near")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "row")
+    kept = found.groupBy("root").agg(F.min(order).alias("best")).select("best.row")
+    gone = stored(found.select("row").join(kept, "row", "left_anti"), "gone")
+    return rows.join(near.few(gone), "row", "left_anti").select("doc.*")
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

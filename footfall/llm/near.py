@@ -79,13 +79,13 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         digests, keys = [], [np.zeros(0, np.uint64)]
-        for text in batch.column(2):
+        for text in batch.column(3):
             own = shingle_set(text.as_py(), words)
             digests.append(blake2b(own.tobytes(), digest_size=16).digest())
             keys.append(band_keys(own))
         ends = pa.array(np.arange(len(digests) + 1, dtype=np.int32) * BANDS)
         bands = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), bands], names=["row", "doc_id", "digest", "bands"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(digests, pa.binary()), bands], names=["row", "doc_id", "mark", "digest", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -149,10 +149,14 @@ def _roots(members: DataFrame, sets: DataFrame, most: int) -> DataFrame:
 
 
 def near_copies(rows: DataFrame, words: int = WORDS, most: int | None = None) -> DataFrame:
-    """(row, doc_id, root) of numbered rows; near copies share their root, the smallest row of their component."""
+    """(row, doc_id, mark, root) of numbered rows.
+
+    Near copies share their root, the smallest row of their component; mark is a hash of the text.
+    """
     small_batches(rows.sparkSession)
-    texts = rows.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").alias("text"))
-    sketches = stored(texts.mapInArrow(partial(_sketches, words=words), "row long, doc_id long, digest binary, bands array<long>"), "sketches")
+    text = F.col("doc.text")
+    texts = rows.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    sketches = stored(texts.mapInArrow(partial(_sketches, words=words), "row long, doc_id long, mark long, digest binary, bands array<long>"), "sketches")
     firsts = stored(sketches.groupBy("digest").agg(F.min("row").alias("chosen")), "firsts")
     keyed = sketches.join(firsts, sketches.row == firsts.chosen, "left_semi").select("row", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
@@ -161,4 +165,4 @@ def near_copies(rows: DataFrame, words: int = WORDS, most: int | None = None) ->
     sets = stored(texts.join(asked, "row", "left_semi").select("row", "text").mapInArrow(partial(_sets, words=words), "row long, shingles binary"), "sets")
     roots = _roots(members, sets, PAIRS_A_SET * firsts.count() if most is None else most)
     by_digest = firsts.join(roots, firsts.chosen == roots.a, "left").select("digest", F.coalesce("root", "chosen").alias("root"))
-    return sketches.select("row", "doc_id", "digest").join(by_digest, "digest").select("row", "doc_id", "root")
+    return sketches.drop("bands").join(by_digest, "digest").select("row", "doc_id", "mark", "root")

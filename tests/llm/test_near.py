@@ -63,6 +63,16 @@ def test_stage_drops_copies_of_08(spark, texts):
     assert kept == set(_components(texts))
 
 
+def test_stage_keeps_a_row_of_each_text(spark, texts):
+    """Null and shared ids: each group of near copies keeps one row, whatever the ids of its rows."""
+    alone = [texts[i] for i in (0, 6, 12, 18, 24)]
+    rows = [(None, t, "s") for t in alone[:3]] + [(7, t, "s") for t in alone[3:]] + [(None, alone[0], "t"), (None, alone[4], "t"), (9, alone[3], "t"), (7, alone[3], "u")]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = corpus_pipeline.keep_one_of_each(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r["text"], r["doc_id"]) for r in kept.collect()) == sorted([*((t, None) for t in alone[:3]), *((t, 7) for t in alone[3:])], key=lambda x: x[0])
+
+
 def test_no_rows(spark):
     docs = spark.createDataFrame([], DOCS)
     assert near.near_copies(near.numbered(docs)).count() == 0
