@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def stored(df: DataFrame, name: str, rows_per_file: int | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, rows_per_file: int | None = None, by: str | None = None) -> DataFrame:
     """Cut the lineage: write `df` as Parquet in the shared folder and read it back.
 
     The files outlive executors, so a lost executor costs a re-read and no recomputation.
@@ -37,6 +37,8 @@ def stored(df: DataFrame, name: str, rows_per_file: int | None = None) -> DataFr
     writer = df.write.mode("error")
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
+    if by:
+        writer = writer.partitionBy(by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

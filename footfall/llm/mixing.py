@@ -18,6 +18,8 @@ own; a null doc_id belongs to bucket 0; other columns are kept out; an empty tab
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,7 +110,7 @@ def _permuted(number: Column, length: Column, rounds: Column) -> Column:
     return F.aggregate(rounds, number, swap)
 
 
-def slots(targets: DataFrame, block: int = BLOCK) -> DataFrame:
+def slots(targets: DataFrame, block: int = BLOCK, shards: int = 1) -> DataFrame:
     """(src, pass, number, block, take, shard): every slot of the mix and the words it takes from its block."""
     size, words = F.col("source_size"), F.round("target").cast("long")
     full = F.floor(size / block).cast("long")
@@ -137,16 +139,17 @@ def slots(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     last = F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK) - 1
     every = dealt.select("*", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("number"))
     number = F.col("number")
-    return every.select(
+    made = every.select(
         "src", "pass", "number",
         F.when(number == F.col("full"), number).otherwise(_permuted(number, F.col("full"), F.col("rounds"))).alias("block"),
         F.least(F.lit(block).cast("long"), F.col("words") - number * block).alias("take"),
     )
+    return sharded(made, shards)
 
 
 def sharded(mix_slots: DataFrame, shards: int, seed: int = 1) -> DataFrame:
     """Slots with the output shard that each is drawn to, all shards alike likely."""
-    return mix_slots.select("*", F.pmod(F.xxhash64("src", "pass", "number", F.lit(seed)), F.lit(shards)).alias("shard"))
+    return mix_slots.withColumn("shard", F.pmod(F.xxhash64("src", "pass", "number", F.lit(seed)), F.lit(shards).cast("long")))
 
 
 def shard_counts(mix_slots: DataFrame, shards: int, seed: int = 1) -> DataFrame:
@@ -155,30 +158,36 @@ def shard_counts(mix_slots: DataFrame, shards: int, seed: int = 1) -> DataFrame:
 
 
 def pieces(rows: DataFrame, mix_slots: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(row, pass, block, first, n): the words of each row that the mix takes, first counted from 0 in its text."""
+    """(row, src, pass, number, block, first, n, shard): the words of each row that the mix takes, first counted from 0."""
     end = F.col("start") + F.col("size")
     spread = rows.where("size > 0").select(
         "row", "src", "start", end.alias("end"),
         F.explode(F.sequence(F.floor(F.col("start") / block).cast("long"), F.floor((end - 1) / block).cast("long"))).alias("block"),
     )
     # slots are made from a small table, which tells the planner nothing of their number: never broadcast them
-    met = spread.join(mix_slots.select("src", "pass", "block", "take").hint("merge"), ["src", "block"])
+    met = spread.join(mix_slots.select("src", "pass", "number", "block", "take", "shard").hint("merge"), ["src", "block"])
     low, at = F.greatest(F.col("start"), F.col("block") * block), F.col("block") * block
     high = F.least(F.col("end"), at + F.col("take"))
-    return met.where(high > low).select("row", "pass", "block", (low - F.col("start")).alias("first"), (high - low).alias("n"))
+    return met.where(high > low).select("row", "src", "pass", "number", "block", (low - F.col("start")).alias("first"), (high - low).alias("n"), "shard")
+
 
+def _prepared(rows: DataFrame, block: int, shard_words: int) -> tuple[DataFrame, DataFrame]:
+    """The targets of the sources, and the pieces of every output shard, written shard by shard.
 
-def _prepared(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    A shard has about `shard_words` words, however large the mix is.
+    """
     targets = source_targets(rows)
+    words = targets.agg(F.coalesce(F.sum(F.round("target")), F.lit(0.0))).first()[0]
     at = placed(rows, 16 + rows.count() // 20_000)
-    return targets, at, slots(targets, block)
+    recipe = pieces(at, slots(targets, block, max(1, math.ceil(words / shard_words))), block)
+    return targets, stored(recipe.repartition("shard"), "shards", by="shard")
 
 
-def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row of (doc_id, source, text)."""
     rows = numbered(docs)
-    targets, at, mix_slots = _prepared(rows, block)
-    taken = pieces(at, mix_slots, block).groupBy("row").agg(F.sum("n").alias("taken"))
+    targets, recipe = _prepared(rows, block, shard_words)
+    taken = recipe.groupBy("row").agg(F.sum("n").alias("taken"))
     return (
         rows.join(targets, "src")
         .join(taken, "row", "left")
@@ -186,23 +195,44 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def _with_uses(docs: DataFrame, block: int, shard_words: int) -> DataFrame:
+    """(doc, uses, words) of every row that the mix takes something of; a word keeps the white space after it."""
+    rows = numbered(docs, keep=True)
+    _, recipe = _prepared(rows.drop("doc"), block, shard_words)
+    uses = F.array_sort(F.collect_list(F.struct("pass", "block", "first", "n", "number", "shard")))
+    words = F.regexp_extract_all("doc.text", F.lit(WORD_PATTERN + r"[\x20\x09-\x0D]*"), F.lit(0))
+    return rows.join(recipe.groupBy("row").agg(uses.alias("uses")), "row").withColumn("words", words)
+
+
+def mixed_shards(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(source, pass, number, doc_id, first, text, shard): the words of every output shard, dealt by shard.
+
+    Each row is what one slot takes of one document, from its word `first` on.
+    """
+    every = _with_uses(docs, block, shard_words).select(F.col("doc.source").alias("source"), F.col("doc.doc_id").alias("doc_id"), "words", F.explode("uses").alias("u"))
+    text = F.array_join(F.slice("words", F.col("u.first").cast("int") + 1, F.col("u.n").cast("int")), "")
+    return every.select("source", "u.pass", "u.number", "doc_id", "u.first", text.alias("text"), "u.shard").repartition("shard")
+
+
+def write_shards(docs: DataFrame, path: str, block: int = BLOCK, shard_words: int = SHARD_WORDS) -> None:
+    """The mix as Parquet, a folder for each output shard."""
+    mixed_shards(docs, block, shard_words).write.partitionBy("shard").parquet(path)
+
+
+def mixed_documents(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The documents of the mix with the columns of `docs`: text is what the mix takes, n_chars follows it.
 
-    A pass's words keep their order and the white space after them; two passes are a line end apart. Rows of
-    which nothing is taken go.
+    A document is put together from all shards. A pass's words keep their order and the white space after them; two
+    passes are a line end apart. Rows of which nothing is taken go.
     """
-    rows = numbered(docs, keep=True)
-    _, at, mix_slots = _prepared(rows.drop("doc"), block)
-    taken = pieces(at, mix_slots, block).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pass", "block", "first", "n"))).alias("uses"))
-    words = F.regexp_extract_all("doc.text", F.lit(WORD_PATTERN + r"[\x20\x09-\x0D]*"), F.lit(0))
+    rows = _with_uses(docs, block, shard_words)
 
     def of_pass(k: int) -> Column:
         own = F.filter("uses", lambda u: u["pass"] == k)
         return F.array_join(F.flatten(F.transform(own, lambda u: F.slice(F.col("words"), u["first"].cast("int") + 1, u["n"].cast("int")))), "")
 
     parts = F.filter(F.array(*(of_pass(k) for k in range(MOST))), lambda x: x != "")
-    out = rows.join(taken, "row").withColumn("words", words).withColumn("text", F.array_join(parts, "\n"))
+    out = rows.withColumn("text", F.array_join(parts, "\n"))
     changed = {"text": F.col("text"), "n_chars": F.length("text")}
     return out.select(*(changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(f"doc.`{c}`") for c in docs.columns))
 
