@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -24,16 +24,16 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
 SPACE, KIND = _classes()
 
 
-def runs(texts: list[str | None], most: int = 1 << 20) -> Iterator[slice]:
-    """Slices of about `most` characters, so that memory follows neither the number nor the sizes of texts in a batch."""
-    begun, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
+def runs(sizes: Iterable[int], most: int = 1 << 20) -> Iterator[slice]:
+    """Slices of about `most` in all, so that memory follows neither the number nor the sizes of texts in a batch."""
+    begun, held, i = 0, 0, -1
+    for i, size in enumerate(sizes):
+        held += int(size)
         if held >= most:
             yield slice(begun, i + 1)
             begun, held = i + 1, 0
-    if begun < len(texts):
-        yield slice(begun, len(texts))
+    if begun <= i:
+        yield slice(begun, i + 1)
 
 
 def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:

@@ -74,7 +74,7 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
         at, values = [], []
-        for run in runs(texts):
+        for run in runs(len(t or "") for t in texts):
             own = texts[run]
             owner, number, value = features(own)
             order = np.argsort(owner, kind="stable")
@@ -149,7 +149,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         own = texts.tolist()
-        parts = [score_texts(own[run], shared.value) for run in runs(own)]
+        parts = [score_texts(own[run], shared.value) for run in runs(len(t or "") for t in own)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.select("*", scored(F.col("text")).alias("quality_score"))

@@ -15,24 +15,27 @@ empty table gives no segments and no rows.
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import os
-import re
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.llm.common import shuffle_width, small_batches, stored
+from footfall.llm.hashing import runs
 
 BLOCK = 128
 LANES = 4
 _ROWS = BLOCK // LANES
 _HEAD = 6  # minimum (4 bytes), width, number of exceptions
 _EXCEPTION = 5  # position, high bits (4 bytes)
+RUN_BYTES = 1 << 22  # of text that is cut at once
 
 SEGMENT_SCHEMA = (
     "part int, segment int, first long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
@@ -134,54 +137,154 @@ def decode_ids(payload: bytes, first_block: int = 0, last_block: int | None = No
     return flat[: total - first_block * BLOCK] if stop == blocks else flat
 
 
+_LETTER, _DIGIT, _MARK, _SPACE, _LINE = range(1, 6)
+
+
+def _byte_kinds() -> tuple[np.ndarray, np.ndarray]:
+    """By byte: its kind (0: none of these), and whether a space before it begins a pre-token."""
+    kind = np.zeros(256, np.uint8)
+    kind[33:127] = _MARK
+    kind[[*range(65, 91), *range(97, 123)]] = _LETTER
+    kind[48:58] = _DIGIT
+    kind[ord("'")] = 0  # contractions
+    kind[32], kind[10] = _SPACE, _LINE
+    opens = np.zeros(256, bool)
+    opens[33:127] = True
+    opens[0xC3:] = True
+    opens[[0xE1, 0xE2, 0xE3]] = False  # first bytes of white space beyond ASCII, as 0xC2 is
+    return kind, opens
+
+
+_KIND, _OPENS = _byte_kinds()
+_SOLID = (_KIND > 0) & (_KIND <= _MARK)
+_TOGETHER = 200  # pieces in one string
+
+
 class PieceEncoder:
-    """Ids of whole texts by a byte-level BPE of the `tokenizers` library, as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts by a byte-level BPE of the `tokenizers` library, a run of texts at a time.
 
-    Such a tokenizer never joins text across a space that a non-space follows: its pre-tokens may begin with
-    that space and never hold it further in. Texts are cut there, and plain pieces (letters up to U+00FF, digits,
-    ASCII punctuation but the apostrophe, single line ends) again where letters, digits and punctuation meet.
-    Each different piece is encoded once by the library. Both memories are emptied when they are full.
+    Such a tokenizer never joins text across a space that a non-space follows, so a run is cut there. A piece of
+    letters up to U+00FF, digits, ASCII punctuation but the apostrophe and single line ends is cut again where these
+    meet, which is where the pre-tokenizer cuts. Cuts are found for all bytes at once, Arrow finds the different
+    pieces, and the library encodes each of these once; the memory of them is emptied when it is full. Texts with an
+    added token in them, and all texts of a tokenizer that cuts in another way, go to the library whole.
     """
 
-    _CUT = re.compile(r" (?=\S)")
-    _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-    _MARK = r"!-&(-/:-@\[-`{-~"
-    _PLAIN = re.compile(rf" ?[{_LETTER}{_MARK}0-9]+(?:\n[{_LETTER}{_MARK}0-9]+)*")
-    _PARTS = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+| ?[{_MARK}]+|\n")
-
-    def __init__(self, tokenizer_path: str, most: int = 600_000):
+    def __init__(self, tokenizer_path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
-        self._tokenizer.encode_special_tokens = True
-        self._known: dict[str, bytes] = {}  # by what follows a space
-        self._parts: dict[str, bytes] = {}
+        state = json.loads(self._tokenizer.to_str())
+        cuts = state["pre_tokenizer"] or {}
+        self._known_cuts = state["normalizer"] is None and cuts.get("type") == "ByteLevel" and cuts.get("use_regex") and not cuts.get("add_prefix_space")
+        self._added = [x["content"] for x in state["added_tokens"]]
+        names = map(self._tokenizer.id_to_token, range(self._tokenizer.get_vocab_size()))
+        self._spelled = np.array([len(x or "") for x in names], np.int64)  # one character for each byte
         self._most = most
-
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        parts = {p: self._PARTS.findall(p) if self._PLAIN.fullmatch(p) else [p] for p in pieces}
-        new = list(set().union(*parts.values()).difference(self._parts))
-        for part, got in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self._parts[part] = array("I", got.ids).tobytes()
-        get = self._parts.__getitem__
-        return {p: get(own[0]) if len(own) == 1 else b"".join(map(get, own)) for p, own in parts.items()}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        for held, most in ((self._known, self._most), (self._parts, 2 * self._most)):
-            if len(held) > most:
-                held.clear()
-        cut = [self._CUT.split(t) for t in texts]
-        heads = {own[0] for own in cut if own[0]}
-        new = set().union(*cut).difference(self._known)
-        learned = self._learn(heads | {" " + x for x in new})
-        for x in new:
-            self._known[x] = learned[" " + x]
-        get, out = self._known.__getitem__, []
-        for own in cut:
-            ids = list(map(get, own))
-            ids[0] = learned[own[0]] if own[0] else b""
-            out.append(b"".join(ids))
-        return out
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known: dict[bytes, int] = {}
+        self._ids, self._held = np.zeros(1 << 16, np.uint32), 0
+        self._start, self._length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, pieces: list[bytes], before: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces on end and how many each has, encoded many in one string.
+
+        Each follows `before`, which the pre-tokenizer cuts off; ids spell bytes, so their lengths say where pieces end.
+        """
+        strings = [b"".join(before + p for p in pieces[i : i + _TOGETHER]).decode() for i in range(0, len(pieces), _TOGETHER)]
+        got = [x.ids for x in self._tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + len(before))
+        upto = np.r_[0, np.searchsorted(np.cumsum(self._spelled[flat]), ends, side="right")]
+        if before:
+            flat = np.delete(flat, upto[:-1])
+            upto = upto - np.arange(len(upto))
+        return flat, np.diff(upto)
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        groups: tuple[list[bytes], ...] = ([], [], [])  # after a space; after a line end; by themselves
+        for p in pieces:
+            groups[0 if p[0] == 32 and len(p) > 1 and _OPENS[p[1]] else 1 if _SOLID[p[0]] else 2].append(p)
+        for own, before in zip(groups, (b"", b"\n", None), strict=True):
+            for i in range(0, len(own), 20_000):
+                part = own[i : i + 20_000]
+                if before is None:
+                    got = self._whole([p.decode() for p in part])
+                    flat, lengths = np.concatenate(got), np.array([len(x) for x in got], np.int64)
+                else:
+                    flat, lengths = self._joined(part, before)
+                n = len(self._known)
+                while n + len(part) > len(self._start):
+                    self._start, self._length = (np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._length))
+                while self._held + len(flat) > len(self._ids):
+                    self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
+                self._length[n : n + len(part)] = lengths
+                self._start[n : n + len(part)] = self._held + np.cumsum(lengths) - lengths
+                self._ids[self._held : self._held + len(flat)] = flat
+                self._held += len(flat)
+                self._known.update(zip(part, range(n, n + len(part)), strict=True))
+
+    @staticmethod
+    def _cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where pieces begin; ends: where texts end."""
+        firsts = np.r_[0, ends[:-1]]
+        kind = _KIND[data]
+        lead = np.flatnonzero(data == 0xC3)
+        lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+        kind[lead] = kind[lead + 1] = _LETTER
+        solid = (kind > 0) & (kind <= _MARK)
+        first = np.zeros(len(data), bool)
+        first[:-1] = (data[:-1] == 32) & _OPENS[data[1:]]
+        first[ends[ends > firsts] - 1] = False
+        odd = (kind == 0) | ((kind == _SPACE) & ~first)
+        lines = np.flatnonzero(kind == _LINE)
+        inner = np.ones(len(data), bool)
+        inner[firsts[ends > firsts]] = inner[ends[ends > firsts] - 1] = False
+        lines = lines[~(inner[lines] & solid[lines - 1] & solid[np.minimum(lines + 1, len(data) - 1)])]
+        odd[lines] = True
+        first[firsts[ends > firsts]] = True
+        piece = np.cumsum(first, dtype=np.int32)
+        plain = np.ones(int(piece[-1]) + 1, bool)
+        plain[piece[odd]] = False
+        turns = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+        turns = turns[(kind[turns - 1] != _SPACE) & plain[piece[turns]]]
+        first[turns] = True
+        return np.flatnonzero(first)
+
+    def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts on end, and how many each has."""
+        texts = pc.fill_null(texts, "")
+        special = np.zeros(len(texts), bool)
+        if self._known_cuts:
+            for x in self._added:
+                special |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        if not self._known_cuts or special.any():
+            got = [self._whole([t.as_py()])[0] if s or not self._known_cuts else self(texts[i : i + 1])[0] for i, (t, s) in enumerate(zip(texts, special, strict=True))]
+            return np.concatenate([*got, np.zeros(0, np.uint32)]), np.array([len(x) for x in got], np.int64)
+        if len(self._known) > self._most:
+            self._forget()
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        ends = (offsets[1:] - offsets[0]).astype(np.int64)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        begins = self._cuts(data, ends)
+        places = np.append(begins, len(data)).astype(np.int32)
+        cut = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = cut.dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        self._learn([x for x in different if x not in self._known])
+        number = np.fromiter(map(self._known.__getitem__, different), np.int64, len(different))[coded.indices.to_numpy()]
+        lengths = self._length[number]
+        total = np.cumsum(lengths)
+        ids = self._ids[np.repeat(self._start[number] - (total - lengths), lengths) + np.arange(total[-1])]
+        upto = np.r_[0, total][np.searchsorted(begins, ends)]
+        return ids, np.diff(upto, prepend=0)
 
 
 @functools.lru_cache(maxsize=2)
@@ -196,7 +299,7 @@ def _writer(tokenizer_path: str, end_id: int, segment_ids: int, percentile: floa
         from pyspark import TaskContext
 
         part, encoder = TaskContext.get().partitionId(), _encoder(tokenizer_path)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], np.uint32)
         schema = pa.schema(
             [("part", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()),
              ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())]
@@ -204,18 +307,19 @@ def _writer(tokenizer_path: str, end_id: int, segment_ids: int, percentile: floa
         segment, first, held, ids, lengths, docs = 0, 0, 0, [], [], []
 
         def flush() -> pa.RecordBatch:
-            payload = encode_ids(np.frombuffer(b"".join(ids), "<u4"), percentile)
+            payload = encode_ids(np.concatenate(ids), percentile)
             return pa.RecordBatch.from_pylist(
                 [{"part": part, "segment": segment, "first": first, "n_ids": held, "doc_ids": docs, "lengths": lengths, "payload": payload}], schema
             )
 
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 200):
-                for doc_id, got in zip(names[i : i + 200], encoder([x or "" for x in texts[i : i + 200]]), strict=True):
-                    ids.append(got + end)
+            names, texts = batch.column(0).to_pylist(), batch.column(1)
+            for run in runs(pc.binary_length(texts).fill_null(0).to_numpy(), RUN_BYTES):
+                got, sizes = encoder(texts[run])
+                for doc_id, own in zip(names[run], np.split(got, np.cumsum(sizes)[:-1]), strict=True):
+                    ids += [own, end]
                     docs.append(doc_id)
-                    lengths.append(len(got) // 4 + 1)
+                    lengths.append(len(own) + 1)
                     held += lengths[-1]
                     if held >= segment_ids:
                         yield flush()

@@ -74,16 +74,36 @@ def test_token_files(spark, hard, empty):
 
 
 def test_pieces_give_whole_text_ids():
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     path = tokenizer_file("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     own = token_store.PieceEncoder(path, most=50)
-    texts = [" a  b\n\t c", "", "   ", "a \n b", "don't stop <|endoftext|>x", "a b　c", "x ", "é𝄞 \r\n y  ", "foo.\nBar\n\nbaz's 12.5%!!", "ét"]
+    texts = [
+        " a  b\n\t c", "", "   ", "a \n b", "don't stop <|endoftext|>x", "a  <|endoftext|> <|endof", "a\u00a0b\u3000c", "x ", "é𝄞 \r\n y  ", "foo.\nBar\n\nbaz's 12.5%!!", "ét",
+        "² ½×÷ª", " \u00a0x \u2003y", "a \u201cq\u201d z", "\n", "\nA\n", None,
+    ]
+    letters = ["a", "B", "é", "×", "1", "'", "'s", " ", "  ", "\n", "\t", ".", "\u00a0", "\u3000", "ж", "漢", "\x1c", "😀"]
+    random = np.random.default_rng(1)
+    texts += ["".join(random.choice(letters, 9)) for _ in range(500)]
     for _ in range(2):
-        for t, raw in zip(texts, own(texts), strict=True):
-            assert np.frombuffer(raw, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+        ids, sizes = own(pa.array(texts))
+        for t, got in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+            assert got.tolist() == plain.encode(t or "", add_special_tokens=False).ids
+
+
+def test_ids_of_another_tokenizer(tmp_path):
+    """Pre-tokens that are cut in another way: texts go to the library whole."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocabulary = {c: i for i, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}
+    other = Tokenizer(models.BPE(vocabulary, []))
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    other.save(str(tmp_path / "other.json"))
+    ids, sizes = token_store.PieceEncoder(str(tmp_path / "other.json"))(pa.array(["ab c", ""]))
+    assert ids.tolist() == other.encode("ab c", add_special_tokens=False).ids and sizes.tolist() == [len(ids), 0]
 
 
 # licences
