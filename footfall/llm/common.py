@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="footfall-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where that is unset, one machine may make a folder of its own; a cluster may not, as its executors would
+    each write to their own disks.
+    """
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not root:
+        if context.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="footfall-"))
+        root = context.getCheckpointDir()
+    return root.rstrip("/")
+
+
+_PLACES: dict[int, tuple[DataFrame, str]] = {}  # what `stored` wrote, until it is released
 
 
 def stored(df: DataFrame, name: str, rows_per_file: int | None = None, by: str | None = None) -> DataFrame:
@@ -40,7 +51,31 @@ def stored(df: DataFrame, name: str, rows_per_file: int | None = None, by: str |
     if by:
         writer = writer.partitionBy(by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[id(out)] = out, path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of stored frames that nothing still to be computed reads."""
+    for df in frames:
+        _, path = _PLACES.pop(id(df), (None, None))
+        if path is not None:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def only_result() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Everything stored inside goes at the end, but for the frame that the given function was called with."""
+    before, kept = set(_PLACES), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(id(df))
+        return df
+
+    yield keep
+    release(*(df for key, (df, _) in list(_PLACES.items()) if key not in before and key not in kept))
 
 
 def shuffle_width(spark: SparkSession) -> int:

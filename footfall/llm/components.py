@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import stored
+from footfall.llm.common import release, stored
 
 
 def _stars(pairs: DataFrame, large: bool) -> DataFrame:
@@ -30,12 +30,13 @@ def connected_components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round is one aggregate and one join for each star, both splittable where a node has very many
     links, and its links are written to the shared folder, so a lost executor never restarts earlier rounds.
-    Rounds grow with the logarithm of the longest chain; the loop ends when the links no longer change.
+    A round's links go once the next round's are written. Rounds grow with the logarithm of the longest chain; the loop ends when the links no longer change.
     """
     links = stored(pairs.select("a", "b").where("a <> b").distinct(), "links")
     seen = None
     for _ in range(max_rounds):
-        links = stored(_stars(_stars(links, True), False), "links")
+        before, links = links, stored(_stars(_stars(links, True), False), "links")
+        release(before)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return links.select("a", F.col("b").alias("root"))
