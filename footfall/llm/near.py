@@ -1,9 +1,11 @@
-"""Near copies by the Jaccard similarity of five-word shingles, 4/5 at least, every link verified.
+"""SimHash near-duplicates, verified: five-word shingles of Jaccard similarity 4/5 at least.
 
-Texts with one set of shingles are one text from here on. Each set has BANDS keys, each made of WIDTH min-hashes;
-sets that share a key are candidates, and the exact similarity of their shingles decides. Two sets of similarity s
-share no key with probability (1 - s^WIDTH)^BANDS: 7e-5 at 0.8, 1e-9 at 0.9. SimHash does not reach so far: at
-0.8, fingerprints of 64 bits are about ten bits apart, and segments that survive ten bits select nothing.
+Texts with one set of shingles are one text from here on. The SimHash fingerprints of the sets find the close copies:
+sets whose fingerprints are within two bits by their deletion variants (`simhash.fingerprint_links`) are compared.
+At a similarity of 0.8 fingerprints are about ten bits apart, and variants that survive ten bits select nothing, so
+what SimHash cannot reach has a second way: each set also has BANDS keys, each made of WIDTH min-hashes, and sets that
+share a key are candidates too. Two sets of similarity s share no key with probability (1 - s^WIDTH)^BANDS: 7e-5 at
+0.8, 1e-9 at 0.9. Whatever found a candidate, the exact similarity of its shingles decides.
 
 Candidates are all pairs that share a key while these are few. Where they are many, the most central member of
 each key is compared with the others and leaves; what its links have joined needs no comparison any more. This is
@@ -25,19 +27,19 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import small_batches, stored
+from footfall.llm.common import release, small_batches, stored
 from footfall.llm.components import connected_components
 from footfall.llm.hashing import mixed
-from footfall.llm.simhash import BROADCAST_ROWS, shingle_hashes
+from footfall.llm.simhash import few, fingerprint_links, majority, shingle_hashes
 
 WORDS = 5
 AT_LEAST = (4, 5)
 BANDS, WIDTH = 24, 5
 #: All pairs are compared at once when they are up to this many for each set.
 PAIRS_A_SET = 4
-_CHUNK = 1 << 12  # shingles that are min-hashed at once
-_SALTS, _ODD = np.random.default_rng(8).integers(0, 2**64, (2, BANDS * WIDTH, 1), np.uint64)
-_ODD |= np.uint64(1)
+_CHUNK = 1 << 10  # shingles that are min-hashed at once
+#: Odd factors: each brings the shingles, 32 bits of their hashes, into an order of its own.
+_FACTORS = np.random.default_rng(8).integers(0, 2**32, (BANDS * WIDTH, 1), np.uint32) | np.uint32(1)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -66,11 +68,12 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(BANDS * WIDTH, 2**64 - 1, np.uint64)
+    own = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * WIDTH, 2**32 - 1, np.uint32)
+    for i in range(0, len(own), _CHUNK):
+        np.minimum(least, (own[None, i : i + _CHUNK] * _FACTORS).min(axis=1), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(0, len(shingles), _CHUNK):
-            least = np.minimum(least, ((shingles[None, i : i + _CHUNK] ^ _SALTS) * _ODD).min(axis=1))
-        keys = np.arange(BANDS, dtype=np.uint64)
         for k in range(WIDTH):
             keys = mixed(keys + least[k::WIDTH], k + 1)
     return keys
@@ -78,14 +81,16 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        digests, keys = [], [np.zeros(0, np.uint64)]
+        digests, prints, keys = [], [], [np.zeros(0, np.uint64)]
         for text in batch.column(3):
             own = shingle_set(text.as_py(), words)
             digests.append(blake2b(own.tobytes(), digest_size=16).digest())
+            prints.append(majority(own))
             keys.append(band_keys(own))
         ends = pa.array(np.arange(len(digests) + 1, dtype=np.int32) * BANDS)
         bands = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(digests, pa.binary()), bands], names=["row", "doc_id", "mark", "digest", "bands"])
+        fp = pa.array(np.array(prints, np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(digests, pa.binary()), fp, bands], names=["row", "doc_id", "mark", "digest", "fp", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -104,24 +109,29 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def few(df: DataFrame) -> DataFrame:
-    """Sent to all tasks if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar."""
     pairs = stored(pairs.distinct(), "pairs")
     one, other = sets.toDF("a", "one"), sets.toDF("b", "other")
     met = pairs.join(one.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "one", "other")
-    return stored(met.mapInArrow(_similar, "a long, b long"), "similar")
+    out = stored(met.mapInArrow(_similar, "a long, b long"), "similar")
+    release(pairs)
+    return out
+
+
+def _close(firsts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that SimHash finds: one fingerprint, or fingerprints within two bits."""
+    by_print = firsts.groupBy("fp").agg(F.min("chosen").alias("least"))
+    same = firsts.join(by_print, "fp").where("chosen <> least").select(F.col("least").alias("a"), F.col("chosen").alias("b"))
+    links = fingerprint_links(by_print.select("fp"))
+    one, other = by_print.toDF("a", "x"), by_print.toDF("b", "y")
+    met = links.join(one, "a").join(other, "b")
+    return same.union(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
-def _roots(members: DataFrame, sets: DataFrame, most: int) -> DataFrame:
-    """(a, root) of sets that are linked to a smaller one. members: (key, row)."""
-    spark = members.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "a long, root long")
+def _roots(members: DataFrame, sets: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """(a, root) of sets that are linked to a smaller one. members: (key, row); links: what is linked already."""
+    roots = connected_components(links)
     while True:
         named = members.join(roots, members.row == roots.a, "left").select("key", "row", F.coalesce("root", "row").alias("root"))
         sizes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
@@ -156,13 +166,17 @@ def near_copies(rows: DataFrame, words: int = WORDS, most: int | None = None) ->
     small_batches(rows.sparkSession)
     text = F.col("doc.text")
     texts = rows.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    sketches = stored(texts.mapInArrow(partial(_sketches, words=words), "row long, doc_id long, mark long, digest binary, bands array<long>"), "sketches")
-    firsts = stored(sketches.groupBy("digest").agg(F.min("row").alias("chosen")), "firsts")
+    sketches = stored(texts.mapInArrow(partial(_sketches, words=words), "row long, doc_id long, mark long, digest binary, fp long, bands array<long>"), "sketches")
+    firsts = stored(sketches.groupBy("digest").agg(F.min("row").alias("chosen"), F.first("fp").alias("fp")), "firsts")
     keyed = sketches.join(firsts, sketches.row == firsts.chosen, "left_semi").select("row", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = stored(keyed.join(shared, "key", "left_semi"), "members")
-    asked = few(stored(members.select("row").distinct(), "asked"))
-    sets = stored(texts.join(asked, "row", "left_semi").select("row", "text").mapInArrow(partial(_sets, words=words), "row long, shingles binary"), "sets")
-    roots = _roots(members, sets, PAIRS_A_SET * firsts.count() if most is None else most)
+    close = stored(_close(firsts), "close")
+    asked = stored(members.select("row").union(close.select("a")).union(close.select("b")).distinct(), "asked")
+    sets = stored(texts.join(few(asked), "row", "left_semi").select("row", "text").mapInArrow(partial(_sets, words=words), "row long, shingles binary"), "sets")
+    links = _links(close, sets)
+    release(asked, close)
+    roots = stored(_roots(members, sets, links, PAIRS_A_SET * firsts.count() if most is None else most), "roots")
+    release(members, sets)
     by_digest = firsts.join(roots, firsts.chosen == roots.a, "left").select("digest", F.coalesce("root", "chosen").alias("root"))
-    return sketches.drop("bands").join(by_digest, "digest").select("row", "doc_id", "mark", "root")
+    return sketches.drop("bands", "fp").join(by_digest, "digest").select("row", "doc_id", "mark", "root")

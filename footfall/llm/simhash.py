@@ -1,14 +1,15 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-Fingerprints that differ in at most two bits agree, in one of two 32-bit segments, but for at most one bit.
-Each segment is indexed under 32 variants, one for each bit that is deleted; two segments that differ in at
-most one bit share the variant without that bit. Equality of variants finds candidates, the whole fingerprints
-verify them.
+A fingerprint is cut into two halves, and each half again into two quarters. Fingerprints that differ in at most two
+bits agree in one half but for nothing, and in a quarter of the other but for one bit at most; or in one half but for
+one bit, and in a quarter of the other but for nothing. So a fingerprint is indexed under 128 variants of 47 bits:
+each half with each quarter of the other half, of which one bit is left out, and the first half of which one bit is
+left out with each quarter of the second. Equality of variants finds candidates, the whole fingerprints verify them.
 
-A variant that three or more fingerprints share may be a hot one: all pairs within it would grow with its
-square. Its members are linked another exact way: each is indexed under itself and its 64 one-bit neighbours.
-Fingerprints share such a key exactly when they differ in at most two bits, a key has at most 65 members, and
-links from its smallest member to the others keep everything that is reachable.
+A variant of 47 bits is shared by chance by very few fingerprints even among 10**10, so what three or more share is a
+cluster of near copies. There all pairs would grow with its square; its members are indexed by themselves and their
+64 one-bit neighbours. They share such a key exactly when they differ in at most two bits, a key has at most 65
+members, and links from its smallest member to the others keep everything that is reachable.
 
 Defined results: A-Z are lower-cased, no other letter; a null text is empty; a text without words has
 fingerprint zero and links like any other; with fewer than three words the whole sequence is the only shingle;
@@ -25,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import small_batches, stored
+from footfall.llm.common import shuffle_width, small_batches, stored
 from footfall.llm.components import connected_components
 
-SEGMENT_BITS = 32
-#: Shared variants are sent to all tasks up to this many (8 MB), beyond it they are joined by a shuffle.
+HALF, QUARTER = 32, 16
+#: Small tables are sent to all tasks up to this many rows (8 MB), larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _CHUNK = 1 << 18  # hashes whose bits are counted at once
 
@@ -50,7 +51,7 @@ def shingle_hashes(text: str | None, words: int = 3, seed: int = 42) -> list[int
     return [digest(line[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
 
 
-def _majority(hashes: list[int]) -> int:
+def majority(hashes: list[int] | np.ndarray) -> int:
     """The bits that more than half of the hashes have."""
     counts = np.zeros(64, np.int64)
     h = np.array(hashes, "<u8")
@@ -63,7 +64,7 @@ def _majority(hashes: list[int]) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = np.array([_majority(shingle_hashes(x.as_py())) for x in batch.column(1)], np.uint64)
+        out = np.array([majority(shingle_hashes(x.as_py())) for x in batch.column(1)], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
 
@@ -74,35 +75,47 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _variant(fp: Column, half: Column, bit: Column) -> Column:
-    """Segment, deleted bit and the segment's other bits as one long."""
-    low = F.lit(0xFFFFFFFF).cast("long")
-    segment = F.when(half == 0, fp.bitwiseAND(low)).otherwise(F.shiftrightunsigned(fp, SEGMENT_BITS))
-    kept = segment.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit).bitwiseXOR(low))
-    return kept + (half * SEGMENT_BITS + bit).cast("long") * F.lit(1 << 33)
+def _variants(fp: Column) -> Column:
+    """All variants: kind, left-out bit, the exact bits and the bits with one left out, hashed to a long."""
+
+    def part(at: int, bits: int) -> Column:
+        return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+
+    def keys(kind: int, exact: tuple[int, int], open_: tuple[int, int]) -> Column:
+        own, other = part(*exact), part(*open_)
+        masks = F.sequence(F.lit(0), F.lit(open_[1] - 1))
+        every = (1 << open_[1]) - 1
+        return F.transform(
+            masks,
+            lambda bit: F.xxhash64(F.lit(kind), bit, own, other.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit).bitwiseXOR(F.lit(every).cast("long")))),
+        )
+
+    quarters = [(at, QUARTER) for at in range(0, 64, QUARTER)]
+    low, high = (0, HALF), (HALF, HALF)
+    pairs = [*((low, q) for q in quarters[2:]), *((high, q) for q in quarters[:2]), *((q, low) for q in quarters[2:])]
+    return F.flatten(F.array(*(keys(kind, exact, open_) for kind, (exact, open_) in enumerate(pairs))))
+
+
+def few(df: DataFrame) -> DataFrame:
+    """Sent to all tasks if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def fingerprint_links(prints: DataFrame) -> DataFrame:
     """Links (a, b) between different fingerprints that reach whatever is within two bits, step by step.
 
-    `prints` holds each fingerprint once, in column fp.
+    `prints` holds each fingerprint once, in column fp. Variants are hashed to 64 bits; what meets by chance differs
+    in more than two bits and goes like any other candidate.
     """
-    halves, bits = F.array(*(F.lit(x) for x in (0, 1))), F.sequence(F.lit(0), F.lit(SEGMENT_BITS - 1))
-    indexed = (
-        prints.select("fp", F.explode(halves).alias("half"))
-        .select("fp", "half", F.explode(bits).alias("bit"))
-        .select(_variant(F.col("fp"), F.col("half"), F.col("bit")).alias("variant"), "fp")
-    )
+    width = max(shuffle_width(prints.sparkSession), 1)
+    indexed = prints.repartition(width, "fp").select("fp", F.explode(_variants(F.col("fp"))).alias("variant"))
     shared = stored(
         indexed.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"),
         "variants",
     )
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
     paired = shared.where("n = 2").where(near).select("a", "b")
-    hot = shared.where("n > 2").select("variant")
-    if hot.count() <= BROADCAST_ROWS:
-        hot = F.broadcast(hot)
-    crowded = indexed.join(hot, "variant", "left_semi").select("fp").distinct()
+    crowded = indexed.join(few(shared.where("n > 2").select("variant")), "variant", "left_semi").select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long") for b in range(64)))
     around = (
         crowded.select("fp", F.explode(flips).alias("flip"))
