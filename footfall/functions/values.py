@@ -111,5 +111,5 @@ def segment_parts(dimension_value: Column) -> tuple[Column, Column]:
     return parts[0], F.get(parts, F.lit(1))
 
 
-def clamp_limit(limit: int) -> int:
-    return max(1, min(200, limit))
+def clamp_limit(limit: int, most: int = 200) -> int:
+    return max(1, min(most, limit))

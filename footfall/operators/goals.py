@@ -93,54 +93,37 @@ class Definitions:
         return spark.createDataFrame(rows, FUNNEL_STEP)
 
 
-def url_pattern(goals: DataFrame) -> DataFrame:
-    """Goals with `pattern`, the regular expression of a url goal's glob."""
-    to_regex = F.lit("")
-    for g in goals.where("type = 'url'").select("handle", "target").collect():
-        to_regex = F.when(F.col("handle") == g["handle"], glob(g["target"])).otherwise(to_regex)
-    return goals.withColumn("pattern", to_regex)
-
-
-def _applies(g: str = "g") -> Column:
-    return F.col(f"{g}.enabled") & (F.col(f"{g}.site_id").isNull() | (F.col(f"{g}.site_id") == F.col("h.site_id")))
-
+def live_goals(definitions: Definitions) -> list[tuple[int, str, Column]]:
+    """(number, handle, whether a hit reaches it) of the goals that single hits can reach."""
+    plain, view = F.substring_index("path", "?", 1), F.col("kind") == "view"
+    out = []
+    for i, g in enumerate(definitions.goals.values(), 1):
+        if not g.enabled or g.type not in LIVE:
+            continue
+        if g.type == "url":
+            ok = view & plain.rlike(glob(g.target))
+        elif g.type == "event":
+            ok = (F.col("kind") == "event") & F.col("event_name").eqNullSafe(g.target)
+        else:
+            ok = view & F.col("element_id").eqNullSafe(int(g.target))
+        out.append((i, g.handle, ok if g.site_id is None else ok & (F.col("site_id") == g.site_id)))
+    return out
 
-def live_matches(hits: DataFrame, goals: DataFrame) -> DataFrame:
-    """(site_id, session_key, session_no, goals): handles of live goals by the time they were first reached.
 
-    Definitions are a hand-written list, so they are broadcast and every hit meets each of them once.
-    """
-    plain = F.substring_index("h.path", "?", 1)
-    view = F.col("h.kind") == "view"
-    matches = (
-        F.when(F.col("g.type") == "url", view & F.rlike(plain, F.col("g.pattern")))
-        .when(F.col("g.type") == "event", (F.col("h.kind") == "event") & F.col("h.event_name").eqNullSafe(F.col("g.target")))
-        .when(F.col("g.type") == "element", view & F.col("h.element_id").eqNullSafe(F.col("g.target").try_cast("int")))
-        .otherwise(False)
-    )
-    live = F.broadcast(url_pattern(goals).where(F.col("type").isin(*LIVE)))
-    keys = ("site_id", "session_key", "session_no")
-    met = hits.alias("h").join(live.alias("g"), _applies() & matches)
-    first = met.groupBy(*(F.col(f"h.{k}").alias(k) for k in keys), F.col("g.handle").alias("handle"), F.col("g.id").alias("id")).agg(
-        F.min(F.struct("h.ts", "h.seq")).alias("at")
-    )
-    in_order = F.array_sort(F.collect_list(F.struct("at", "id", "handle")))
-    return first.groupBy(*keys).agg(F.transform(in_order, lambda x: x["handle"]).alias("goals"))
-
-
-def at_close(sessions: DataFrame, goals: DataFrame) -> DataFrame:
+def at_close(sessions: DataFrame, definitions: Definitions) -> DataFrame:
     """Sessions with `conversions`: live goals reached and duration and scroll goals met, in order of definition."""
-    rows = goals.where("enabled").orderBy("id").collect()
     met = []
-    for g in rows:
-        here = F.lit(True) if g["site_id"] is None else F.col("site_id") == g["site_id"]
-        if g["type"] in LIVE:
-            ok = F.array_contains("goals", g["handle"])
-        elif g["type"] == "duration":
-            ok = F.col("duration_ms") >= int(g["target"]) * 1000
+    for g in definitions.goals.values():
+        if not g.enabled:
+            continue
+        here = F.lit(True) if g.site_id is None else F.col("site_id") == g.site_id
+        if g.type in LIVE:
+            ok = F.array_contains("goals", g.handle)
+        elif g.type == "duration":
+            ok = F.col("duration_ms") >= int(g.target) * 1000
         else:
-            ok = F.col("max_scroll") >= int(g["target"])
-        met.append(F.when(here & ok, F.lit(g["handle"])))
+            ok = F.col("max_scroll") >= int(g.target)
+        met.append(F.when(here & ok, F.lit(g.handle)))
     found = F.filter(F.array(*met), lambda x: x.isNotNull()) if met else F.array().cast("array<string>")
     return sessions.withColumn("conversions", found)
 

@@ -22,6 +22,23 @@ def consent_state(available: Column, gpc: Column, own_cookie: Column, manager_co
     )
 
 
+def decisions(choices: DataFrame, objects: Column) -> DataFrame:
+    """Log rows of what visitors chose: (id, site_id, visitor_id, state, method, recorded_at).
+
+    choices: (id, site_id, visitor_id, choice, method, ts, ...) with choice grant or deny. A grant from a browser that
+    objects (`objects`) is none; a refusal always counts.
+    """
+    state = F.when(F.col("choice") == "deny", "denied").when((F.col("choice") == "grant") & ~objects, "granted")
+    return choices.select("id", "site_id", "visitor_id", state.alias("state"), "method", F.col("ts").alias("recorded_at")).where("state is not null")
+
+
+def withdrawn(journey: DataFrame, log: DataFrame) -> DataFrame:
+    """Journeys without the rows, up to their refusal, of visitors who refused: what they did after a later grant stays."""
+    refused = log.where("state = 'denied' and visitor_id is not null").groupBy("site_id", "visitor_id").agg(F.max("recorded_at").alias("_until"))
+    joined = journey.join(refused, ["site_id", "visitor_id"], "left")
+    return joined.where(F.col("_until").isNull() | (F.col("occurred_at") > F.col("_until"))).select(*journey.columns)
+
+
 def latest_consent(log: DataFrame) -> DataFrame:
     """(site_id, visitor_id, state): each visitor's last word by time, then id."""
     return log.groupBy("site_id", "visitor_id").agg(F.max_by("state", F.struct("recorded_at", "id")).alias("state"))

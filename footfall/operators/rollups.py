@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,11 +10,14 @@ from pyspark.sql import functions as F
 
 from footfall.functions import traffic, values
 from footfall.operators import sessions as ses
+from footfall.operators import uniques
 from footfall.operators.goals import Definitions, reached_step
 from footfall.schema import ROLLUPS
 from footfall.settings import Settings
 
 OTHER = "__other__"
+#: A site's own channel rules: (host fragment, channel name), after the built-in ones.
+ChannelRules = tuple[tuple[str, str], ...]
 #: Attribution credit is kept to four places.
 CREDIT = "decimal(12,4)"
 MONEY = "decimal(14,2)"
@@ -56,11 +60,16 @@ def page_visitors(hits: DataFrame, tz: str) -> DataFrame:
     return _when(hits.where("kind = 'view'"), tz).select("site_id", "date", "hour", "path", "visitor_hash").distinct()
 
 
-def page_sources(hits: DataFrame, tz: str, window: int) -> DataFrame:
+def page_sources(hits: DataFrame, tz: str, window: int, rules: ChannelRules = ()) -> DataFrame:
     """Counted views by how their session arrived."""
-    rows = _when(ses.acquisition(hits, window), tz)
+    return page_arrivals(ses.acquisition(hits, window), tz, rules)
+
+
+def page_arrivals(views: DataFrame, tz: str, rules: ChannelRules = ()) -> DataFrame:
+    """Counted views with arrived_from and by_campaign, by channel and host."""
+    rows = _when(views, tz)
     host = F.coalesce(traffic.referrer_host(F.col("arrived_from")), F.lit(""))
-    return rows.groupBy("site_id", "date", "path", traffic.channel(F.col("arrived_from"), F.col("by_campaign")).alias("channel"), host.alias("host")).agg(F.count(F.lit(1)).alias("views"))
+    return rows.groupBy("site_id", "date", "path", traffic.channel(F.col("arrived_from"), F.col("by_campaign"), rules).alias("channel"), host.alias("host")).agg(F.count(F.lit(1)).alias("views"))
 
 
 def crawlers(hits: DataFrame, tz: str) -> DataFrame:
@@ -104,9 +113,9 @@ def session_totals(closed: DataFrame, tz: str) -> DataFrame:
     )
 
 
-def sources(closed: DataFrame, tz: str) -> DataFrame:
+def sources(closed: DataFrame, tz: str, rules: ChannelRules = ()) -> DataFrame:
     host = F.coalesce(traffic.referrer_host(F.col("referrer")), F.lit(""))
-    kind = traffic.channel(F.col("referrer"), F.size("campaigns") > 0)
+    kind = traffic.channel(F.col("referrer"), F.size("campaigns") > 0, rules)
     return _started(closed, tz).groupBy("site_id", "date", "hour", kind.alias("channel"), host.alias("host")).agg(F.count(F.lit(1)).alias("sessions"), _bounces().alias("bounces"))
 
 
@@ -204,7 +213,10 @@ def capped(rows: DataFrame, column: str, allowed: DataFrame) -> DataFrame:
 
 
 def added_up(rows: DataFrame, table: str) -> DataFrame:
-    """Rows of one rollup brought together by key: sums, capped decimals, first elements, merged sketches."""
+    """Rows of one rollup brought together by key: sums, capped decimals, first elements, merged sketches.
+
+    A first element is the one of the least `_order`; without that column, rows have no order and the greatest counts.
+    """
     keys, measures = ROLLUPS[table]
     if not measures:
         return rows.select(*keys).distinct()
@@ -213,7 +225,8 @@ def added_up(rows: DataFrame, table: str) -> DataFrame:
         if way == "sum":
             aggs.append(F.sum(name).cast("long").alias(name))
         elif way == "first":
-            aggs.append(F.max(name).alias(name))
+            held = F.when(F.col(name).isNotNull(), F.struct("_order", F.negative(name).alias("last"))) if "_order" in rows.columns else None
+            aggs.append((F.max(name) if held is None else F.min_by(name, held)).alias(name))
         elif way == "sketch":
             aggs.append(F.hll_union_agg(name).alias(name))
         else:
@@ -232,26 +245,44 @@ class Cube:
         return self.tables[name]
 
     def merged(self, other: Cube) -> Cube:
-        """Both cubes added up; the order does not matter."""
-        names = dict.fromkeys([*self.tables, *other.tables])
-        return Cube({n: added_up(self.tables[n].unionByName(other.tables[n]), n) if n in self.tables and n in other.tables else self.tables.get(n, other.tables.get(n)) for n in names})
+        """Both cubes added up; only for first elements this one's come first."""
 
+        def both(n: str) -> DataFrame:
+            if n not in self.tables or n not in other.tables:
+                return self.tables.get(n, other.tables.get(n))
+            return added_up(self.tables[n].withColumn("_order", F.lit(0)).unionByName(other.tables[n].withColumn("_order", F.lit(1))), n)
 
-def fold(hits: DataFrame, closed: DataFrame, settings: Settings, definitions: Definitions | None = None) -> Cube:
-    """All rollups of `hits` and of the sessions that have closed."""
-    tz, own = settings.timezone, definitions or Definitions()
-    out = {
-        "pages": pages(hits, closed, tz), "page_visitors": page_visitors(hits, tz), "page_sources": page_sources(hits, tz, settings.session_window),
-        "sessions": session_totals(closed, tz), "sources": sources(closed, tz), "devices": devices(closed, tz), "crawlers": crawlers(hits, tz),
-    }
+        return Cube({n: both(n) for n in dict.fromkeys([*self.tables, *other.tables])})
+
+
+def page_sketches(hits: DataFrame, tz: str, precision: int) -> DataFrame:
+    """A sketch of the visitors of each page and hour; hashes that are none are left out."""
+    return uniques.sketch(_when(hits.where("kind = 'view'"), tz), ["site_id", "date", "hour", "path"], "visitor_hash", precision)
+
+
+def fold_hits(hits: DataFrame, settings: Settings) -> Cube:
+    """The rollups that need no session; visitors as a set or as sketches, as the settings say."""
+    tz, zero = settings.timezone, F.lit(0).cast("long")
+    views = page_views(hits, tz)
+    pages = views.select("site_id", "date", "hour", "path", "views", "dwell_ms", zero.alias("entrances"), zero.alias("exits"), zero.alias("bounces"), "element_id")
+    out = {"pages": pages, "crawlers": crawlers(hits, tz)}
     if settings.unique_counter == "hll":
-        rows = _when(hits.where("kind = 'view'"), tz)
-        out["page_sketches"] = rows.groupBy("site_id", "date", "hour", "path").agg(F.hll_sketch_agg("visitor_hash", settings.hll_precision).alias("sketch"))
+        out["page_sketches"] = page_sketches(hits, tz, settings.hll_precision)
+    else:
+        out["page_visitors"] = page_visitors(hits, tz)
+    if settings.enable_pro:
+        out |= {"events": events(hits, tz), "scroll": scroll(hits, tz), "search": search(hits, tz), "outbound": outbound(hits, tz)}
+    return Cube(out)
+
+
+def fold_sessions(closed: DataFrame, settings: Settings, definitions: Definitions | None = None, rules: ChannelRules = ()) -> Cube:
+    """The rollups of sessions that have closed."""
+    tz, own = settings.timezone, definitions or Definitions()
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("int")
+    edges = page_edges(closed, tz).select("site_id", "date", "hour", "path", zero.alias("views"), zero.alias("dwell_ms"), "entrances", "exits", "bounces", none.alias("element_id"))
+    out = {"pages": edges, "sessions": session_totals(closed, tz), "sources": sources(closed, tz, rules), "devices": devices(closed, tz)}
     if settings.enable_pro:
-        out |= {
-            "campaigns": campaigns(closed, tz, settings.attribution, definitions), "events": events(hits, tz), "scroll": scroll(hits, tz),
-            "search": search(hits, tz), "outbound": outbound(hits, tz), "segments": segments(closed, tz),
-        }
+        out |= {"campaigns": campaigns(closed, tz, settings.attribution, definitions), "segments": segments(closed, tz)}
         if settings.enable_geo:
             out["geo"] = geo(closed, tz)
         if own.goals:
@@ -259,3 +290,80 @@ def fold(hits: DataFrame, closed: DataFrame, settings: Settings, definitions: De
         if own.funnels:
             out["funnel_steps"] = funnel_steps(closed, tz, own)
     return Cube(out)
+
+
+def fold(hits: DataFrame, closed: DataFrame, settings: Settings, definitions: Definitions | None = None, rules: ChannelRules = ()) -> Cube:
+    """All rollups of `hits` and of the sessions that have closed."""
+    both = fold_hits(hits, settings).merged(fold_sessions(closed, settings, definitions, rules))
+    return both.merged(Cube({"page_sources": page_sources(hits, settings.timezone, settings.session_window, rules)}))
+
+
+#: By type of dimension the rollup columns that it fills and whose values a caller can make up. The first column is
+#: where a day's values are looked up.
+CAPPED: dict[str, tuple[tuple[str, str], ...]] = {
+    "path": (("pages", "path"), ("page_visitors", "path"), ("page_sketches", "path"), ("page_sources", "path"), ("events", "path"), ("scroll", "path"), ("outbound", "path")),
+    "host": (("sources", "host"), ("page_sources", "host")),
+    "segment": (("segments", "segment"),),
+    "browser": (("devices", "browser"),),
+    "os": (("devices", "os"),),
+    "campaign_source": (("campaigns", "source"),),
+    "campaign_medium": (("campaigns", "medium"),),
+    "campaign_name": (("campaigns", "campaign"),),
+    "campaign_term": (("campaigns", "term"),),
+    "campaign_content": (("campaigns", "content"),),
+    "search_term": (("search", "term"),),
+    "event_name": (("events", "event_name"),),
+    "outbound_host": (("outbound", "host"),),
+    "outbound_url": (("outbound", "target"),),
+    "crawler": (("crawlers", "crawler"),),
+}
+
+
+def _values(cube: Cube, kind: str) -> DataFrame | None:
+    """(site_id, date, value, seq) of a dimension's values in a cube, which have no order among them."""
+    out = None
+    for t, c in CAPPED[kind]:
+        if t in cube.tables:
+            own = cube[t].select("site_id", "date", F.col(c).alias("value"), F.lit(0).cast("long").alias("seq"))
+            out = own if out is None else out.union(own)
+    return out
+
+
+def _known(kind: str, table: Callable[[str], DataFrame | None]) -> DataFrame | None:
+    name, column = CAPPED[kind][0]
+    before = table(name)
+    return None if before is None else before.select("site_id", "date", F.col(column).alias("value")).where(F.col("value") != OTHER).distinct()
+
+
+def over_cap(cube: Cube, cap: int, table: Callable[[str], DataFrame | None]) -> list[str]:
+    """The dimensions of which some site and day has more than `cap` values, those known before included."""
+    every = None
+    for kind in CAPPED:
+        fresh, held = _values(cube, kind), _known(kind, table)
+        if fresh is None:
+            continue
+        both = fresh.drop("seq") if held is None else fresh.drop("seq").union(held)
+        both = both.where("coalesce(value, '') <> ''").select(F.lit(kind).alias("kind"), "site_id", "date", "value")
+        every = both if every is None else every.union(both)
+    if every is None:
+        return []
+    counts = every.distinct().groupBy("kind", "site_id", "date").agg(F.count(F.lit(1)).alias("n"))
+    return [r["kind"] for r in counts.where(F.col("n") > cap).select("kind").distinct().collect()]
+
+
+def capped_cube(cube: Cube, cap: int, table: Callable[[str], DataFrame | None], arrivals: DataFrame | None = None) -> Cube:
+    """A batch's cube with at most `cap` values of each dimension, site and day; the others become OTHER.
+
+    table: a rollup as it stood before the batch, whose values of the day stay. Within a batch, paths are admitted in
+    the order of `arrivals` (site_id, date, value, seq), other values by label, as a batch's rows have no other order.
+    """
+    over = over_cap(cube, cap, table)
+    tables, touched = dict(cube.tables), set()
+    for kind in over:
+        fresh = arrivals if kind == "path" and arrivals is not None else _values(cube, kind)
+        allowed = admitted(fresh, cap, _known(kind, table))
+        for t, c in CAPPED[kind]:
+            if t in tables:
+                tables[t] = capped(tables[t], c, allowed)
+                touched.add(t)
+    return Cube({t: added_up(rows.withColumn("_order", F.lit(0)), t) if t in touched else rows for t, rows in tables.items()})

@@ -1,116 +1,273 @@
-"""Rollups on disk: idempotent per-batch deltas over a versioned base, published by one manifest.
+"""Rollups on disk: idempotent per-batch deltas over a base that is versioned by day.
 
-`root/delta/batch=<n>/<table>` holds what one micro-batch adds; writing it again replaces the same files, so a
-replay counts once. `root/base/version=<k>/<table>` holds what compaction has folded. The manifest names the base
-in force and the batches folded into it; it is written whole under a new name, and the one with the highest number
-counts. Readers add up base and the deltas that are not folded.
+`root/delta/<table>/feed=<s>/batch=<n>` holds what one micro-batch of a source adds. A batch counts once its marker
+`root/batches/<s>/<n>` is there, which is written last: before that, a replay rewrites the same files; after it, a
+replay changes nothing. `root/base/<table>/version=<k>/site_id=/date=` holds what maintenance has folded, each day in
+the version that the manifest names for it, so folding or compacting a day rewrites that day and no other. The
+manifest with the highest number counts; it is written whole under a new name by whoever holds the maintenance lock.
+Readers take a table's deltas as one partitioned read, filtered by batch, and add them to the base.
+
+The first value of a measure that is never overwritten (a page's element) is the base's, then that of the earliest
+batch.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
+import tempfile
+import time
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.operators.rollups import Cube, added_up
 from footfall.plans.ranges import months_before
-from footfall.schema import HOURLY, ROLLUPS
+from footfall.schema import HOURLY, ROLLUPS, rollup_schema
 from footfall.settings import Settings
 
+#: A maintenance lock older than this many seconds is that of a job that died.
+LEASE = 6 * 3600
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; on one machine a folder of its own."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not root:
+        if context.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="footfall-"))
+        root = context.getCheckpointDir()
+    return root.rstrip("/")
+
+
+def by_day(rows: DataFrame) -> DataFrame:
+    """Dealt out so that a day is in few files; Spark splits large days and joins small ones."""
+    return rows.hint("rebalance", "site_id", "date")
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        self._path = hadoop.Path
-        self._fs = hadoop.Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    # files
 
     def _names(self, folder: str) -> list[str]:
         path = self._path(f"{self.root}/{folder}")
         return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
 
+    def _exists(self, name: str) -> bool:
+        return self._fs.exists(self._path(f"{self.root}/{name}"))
+
+    def _delete(self, name: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/{name}"), True)
+
+    def _write_text(self, name: str, body: dict) -> None:
+        """A small file, there whole or not at all."""
+        hidden, place = self._path(f"{self.root}/new/{uuid.uuid4().hex}"), self._path(f"{self.root}/{name}")
+        out = self._fs.create(hidden, True)
+        out.write(bytearray(json.dumps(body).encode()))
+        out.close()
+        self._fs.mkdirs(place.getParent())
+        if not self._fs.rename(hidden, place):
+            raise RuntimeError(f"{name} could not be published")
+
+    def _read_text(self, name: str) -> dict:
+        return json.loads(self.spark.read.text(f"{self.root}/{name}", wholetext=True).first()["value"])
+
+    # state
+
     def manifest(self) -> dict:
-        """Base version and folded batches: {"version": k or None, "folded": [...]}."""
+        """number; versions: by table and day the version in force; folded: by source the last batch in the base;
+        compacted: days before this one have no hours; since: the first day kept."""
         numbers = [int(n) for n in self._names("manifest") if n.isdigit()]
-        if not numbers:
-            return {"number": 0, "version": None, "folded": []}
-        # a text file of one line, written by one task
-        line = self.spark.read.text(f"{self.root}/manifest/{max(numbers)}").first()["value"]
-        return {"number": max(numbers), **json.loads(line)}
-
-    def _publish(self, version: int | None, folded: list[int]) -> None:
-        number = self.manifest()["number"] + 1
-        body = json.dumps({"version": version, "folded": sorted(folded)})
-        hidden = f"{self.root}/manifest-new/{number}"
-        self.spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(hidden)
-        self._fs.mkdirs(self._path(f"{self.root}/manifest"))
-        if not self._fs.rename(self._path(hidden), self._path(f"{self.root}/manifest/{number}")):
-            raise RuntimeError("the manifest could not be published")
-
-    def write_delta(self, batch: int, cube: Cube) -> None:
-        """What a batch adds; a batch that is folded already is left alone."""
-        if batch in self.manifest()["folded"]:
-            return
+        empty = {"number": 0, "versions": {}, "folded": {}, "compacted": "", "since": ""}
+        return empty | ({"number": max(numbers), **self._read_text(f"manifest/{max(numbers)}")} if numbers else {})
+
+    def _publish(self, state: dict) -> None:
+        number = state["number"] + 1
+        if self._exists(f"manifest/{number}"):
+            raise RuntimeError("another job has published meanwhile")
+        self._write_text(f"manifest/{number}", {k: v for k, v in state.items() if k != "number"})
+
+    @contextmanager
+    def only_one(self) -> Iterator[None]:
+        """Maintenance by one job at a time: the lock file is created or the job fails."""
+        lock = self._path(f"{self.root}/maintenance.lock")
+        if self._fs.exists(lock) and time.time() - self._fs.getFileStatus(lock).getModificationTime() / 1000 > LEASE:
+            self._fs.delete(lock, False)
+        self._fs.mkdirs(self._path(self.root))
+        if not self._fs.createNewFile(lock):
+            raise RuntimeError("another job maintains this store")
+        try:
+            yield
+        finally:
+            self._fs.delete(lock, False)
+
+    # batches
+
+    def written(self, source: str = "hits") -> list[int]:
+        return sorted(int(n) for n in self._names(f"batches/{source}") if n.isdigit())
+
+    def note(self, batch: int, source: str = "hits") -> dict:
+        """What the batch's marker says of it."""
+        return self._read_text(f"batches/{source}/{batch}")
+
+    def is_written(self, batch: int, source: str = "hits") -> bool:
+        return batch <= self.manifest()["folded"].get(source, -1) or self._exists(f"batches/{source}/{batch}")
+
+    def write_delta(self, batch: int, cube: Cube, source: str = "hits", note: dict | None = None) -> bool:
+        """What a batch adds; False for a batch that is written already, which is left alone."""
+        if self.is_written(batch, source):
+            return False
         for name, rows in cube.tables.items():
-            rows.write.mode("overwrite").partitionBy("site_id", "date").parquet(f"{self.root}/delta/batch={batch}/{name}")
-
-    def batches(self) -> list[int]:
-        folded = set(self.manifest()["folded"])
-        return [b for b in sorted(int(n.partition("=")[2]) for n in self._names("delta") if n.startswith("batch=")) if b not in folded]
-
-    def _parts(self, name: str) -> list[DataFrame]:
-        state, out = self.manifest(), []
-        folders = [f"delta/batch={b}/{name}" for b in self.batches()]
-        if state["version"] is not None:
-            folders.insert(0, f"base/version={state['version']}/{name}")
-        for folder in folders:
-            path = f"{self.root}/{folder}"
-            if self._fs.exists(self._path(path)) and [n for n in self._names(folder) if "=" in n]:
-                out.append(self.spark.read.parquet(path))
-        return out
-
-    def table(self, name: str) -> DataFrame | None:
-        parts = self._parts(name)
+            by_day(rows).write.mode("overwrite").partitionBy("site_id", "date").parquet(f"{self.root}/delta/{name}/feed={source}/batch={batch}")
+        self._write_text(f"batches/{source}/{batch}", note or {})
+        return True
+
+    def batches(self) -> dict[str, list[int]]:
+        """By source the batches that are written and not folded."""
+        folded = self.manifest()["folded"]
+        return {s: [b for b in self.written(s) if b > folded.get(s, -1)] for s in self._names("batches")}
+
+    # reading
+
+    def _delta(self, name: str, batches: dict[str, list[int]]) -> DataFrame | None:
+        if not any(batches.values()) or not self._names(f"delta/{name}"):
+            return None
+        wanted = F.lit(False)
+        for s, own in batches.items():
+            if own:
+                wanted = wanted | ((F.col("feed") == s) & F.col("batch").isin(own))
+        rows = self._read(f"delta/{name}", f"{rollup_schema(name)}, feed string, batch int")
+        return rows.where(wanted).withColumn("_order", F.col("batch").cast("long")).drop("feed", "batch")
+
+    def _read(self, folder: str, schema: str) -> DataFrame:
+        """The files below a folder, with the partition columns that their paths name."""
+        path = f"{self.root}/{folder}"
+        return self.spark.read.schema(schema).option("basePath", path).parquet(path)
+
+    def _base(self, name: str, state: dict) -> DataFrame | None:
+        days = state["versions"].get(name, {})
+        if not days:
+            return None
+        of: dict[int, list[str]] = {}
+        for day, version in days.items():
+            of.setdefault(version, []).append(day)
+        rows = self._read(f"base/{name}", f"{rollup_schema(name)}, version int")
+        wanted = F.lit(False)
+        for version, own in of.items():
+            wanted = wanted | ((F.col("version") == version) & F.col("date").isin([F.lit(d).cast("date") for d in own]))
+        return rows.where(wanted).withColumn("_order", F.lit(-1).cast("long")).drop("version")
+
+    def table(self, name: str, where: Column | None = None) -> DataFrame | None:
+        """A rollup as it stands; `where`: a condition on site_id and date, which reaches the partitions."""
+        state = self.manifest()
+        parts = [x for x in (self._base(name, state), self._delta(name, self.batches())) if x is not None]
         if not parts:
             return None
-        rows = parts[0]
-        for more in parts[1:]:
-            rows = rows.unionByName(more)
-        return added_up(rows.withColumn("date", F.col("date").cast("date")), name)
-
-    def cube(self) -> Cube:
-        return Cube({n: t for n in ROLLUPS if (t := self.table(n)) is not None})
-
-    def rewrite(self, change) -> int:  # noqa: ANN001  table name, rows -> rows
-        """A new base from all that is there, each table through `change`; the version."""
-        state, folded = self.manifest(), self.batches()
-        version = (state["version"] or 0) + 1
+        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        if state["since"]:
+            rows = rows.where(F.col("date") >= F.lit(state["since"]).cast("date"))
+        return added_up(rows if where is None else rows.where(where), name)
+
+    def cube(self, *names: str) -> Cube:
+        """All rollups, or those named; what nothing was written to has no rows."""
+        tables = {n: self.table(n) for n in names or ROLLUPS}
+        return Cube({n: self.spark.createDataFrame([], rollup_schema(n)) if t is None else t for n, t in tables.items()})
+
+    # maintenance
+
+    def rewrite(self, change: Callable[[str, DataFrame], DataFrame], also: Callable[[str, str], bool] = lambda name, day: False, **state: str) -> list[str]:
+        """Fold all written batches, and the days of the base that `also` names, through `change`; the days rewritten.
+
+        Days that neither a batch nor `also` touches keep their version and files.
+        """
+        now, pending = self.manifest(), self.batches()
+        version, touched = now["number"] + 1, set()
+        versions = {name: dict(days) for name, days in now["versions"].items()}
         for name in ROLLUPS:
-            rows = self.table(name)
-            if rows is not None:
-                change(name, rows).write.mode("overwrite").partitionBy("site_id", "date").parquet(f"{self.root}/base/version={version}/{name}")
-        self._publish(version, [*state["folded"], *folded])
-        return version
+            fresh = self._delta(name, pending)
+            days = {d for d in versions.get(name, {}) if also(name, d)}
+            if fresh is not None:
+                days |= {r["day"] for r in fresh.select(F.col("date").cast("string").alias("day")).distinct().collect()}  # the days of a few batches
+            if not days:
+                continue
+            rows = self.table(name, F.col("date").isin([F.lit(d).cast("date") for d in sorted(days)]))
+            by_day(change(name, rows)).write.mode("overwrite").partitionBy("site_id", "date").parquet(f"{self.root}/base/{name}/version={version}")
+            versions.setdefault(name, {}).update(dict.fromkeys(sorted(days), version))
+            touched |= days
+        folded = now["folded"] | {s: max(own) for s, own in pending.items() if own}
+        self._publish(now | {"versions": versions, "folded": folded} | state)
+        return sorted(touched)
 
-    def compact(self, today: dt.date, settings: Settings) -> int:
-        """Fold hours older than the window into days; running it again changes nothing."""
-        cutoff = today - dt.timedelta(days=settings.hourly_window_days)
-        return self.rewrite(lambda name, rows: compacted(rows, name, cutoff))
+    def compact(self, today: dt.date, settings: Settings) -> list[str]:
+        """Fold hours older than the window into days; running it again rewrites nothing."""
+        cutoff, before = (today - dt.timedelta(days=settings.hourly_window_days)), self.manifest()["compacted"]
 
-    def retain(self, today: dt.date, settings: Settings) -> int:
-        cutoff = months_before(today, settings.retention_months)
-        return self.rewrite(lambda _, rows: rows.where(F.col("date") >= F.lit(cutoff.isoformat()).cast("date")))
+        def due(name: str, day: str) -> bool:
+            return name in HOURLY and before <= day < cutoff.isoformat()
+
+        with self.only_one():
+            return self.rewrite(lambda name, rows: compacted(rows, name, cutoff), due, compacted=max(before, cutoff.isoformat()))
+
+    def retain(self, today: dt.date, settings: Settings) -> str:
+        """Let go of days before the months kept: the manifest forgets them, `tidy` deletes their files."""
+        cutoff = months_before(today, settings.retention_months).isoformat()
+        with self.only_one():
+            state = self.manifest()
+            versions = {name: {d: v for d, v in days.items() if d >= cutoff} for name, days in state["versions"].items()}
+            self._publish(state | {"versions": versions, "since": max(state["since"], cutoff)})
+        return cutoff
 
     def tidy(self) -> None:
-        """Delete deltas and bases that no reader can still need."""
-        state = self.manifest()
-        for b in state["folded"]:
-            self._fs.delete(self._path(f"{self.root}/delta/batch={b}"), True)
-        for n in self._names("base"):
-            if n != f"version={state['version']}":
-                self._fs.delete(self._path(f"{self.root}/base/{n}"), True)
+        """Delete deltas that are folded and versions of days that are not in force."""
+        with self.only_one():
+            state = self.manifest()
+            for name in ROLLUPS:
+                for source, last in state["folded"].items():
+                    for n in self._names(f"delta/{name}/feed={source}"):
+                        if n.startswith("batch=") and int(n.partition("=")[2]) <= last:
+                            self._delete(f"delta/{name}/feed={source}/{n}")
+                days = state["versions"].get(name, {})
+                for v in self._names(f"base/{name}"):
+                    for site in self._names(f"base/{name}/{v}"):
+                        for day in self._names(f"base/{name}/{v}/{site}"):
+                            if "=" in day and days.get(day.partition("=")[2]) != int(v.partition("=")[2]):
+                                self._delete(f"base/{name}/{v}/{site}/{day}")
+            for n in [m for m in self._names("manifest") if m.isdigit() and int(m) < state["number"]]:
+                self._delete(f"manifest/{n}")
+
+    # what went wrong
+
+    def count_malformed(self, batch: int, lines: int) -> None:
+        if lines and not self._exists(f"malformed/{batch}"):
+            self._write_text(f"malformed/{batch}", {"lines": lines})
+
+    def malformed(self) -> int:
+        """Lines of the stream that could not be read or had no valid site or visitor."""
+        return sum(self._read_text(f"malformed/{n}")["lines"] for n in self._names("malformed"))
+
+    def failed(self) -> list[str]:
+        return [n for n in self._names("failed") if n.startswith("batch=")]
+
+    # open sessions
+
+    def open_sessions(self, batch: int, schema: str) -> DataFrame:
+        """Summaries of the sessions that were open after a batch."""
+        if batch < 0 or not self._exists(f"open/batch={batch}"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/open/batch={batch}")
+
+    def keep_open(self, batch: int, summaries: DataFrame) -> None:
+        summaries.write.mode("overwrite").parquet(f"{self.root}/open/batch={batch}")
+        self._delete(f"open/batch={batch - 2}")  # the one before may be read again by a replay
 
 
 def compacted(rows: DataFrame, table: str, cutoff: dt.date) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 
 from footfall.operators.goals import Definitions
@@ -39,8 +41,9 @@ def api(r: Reports, limit: int = 10) -> Parts:
     return {"totals": r.totals(), "pages": r.top_pages(limit), "sources": r.sources(limit), "channels": r.channels()}
 
 
-def exports(r: Reports, definitions: Definitions | None = None, entries: DataFrame | None = None, limit: int = 200) -> Parts:
+def exports(r: Reports, definitions: Definitions | None = None, entries: DataFrame | None = None, limit: int = export.MAX_ROWS) -> Parts:
     """The tables offered as files; devices and content come as one table each, named by a column."""
+    r = replace(r, most=export.MAX_ROWS)
     out = {
         "pages": r.top_pages(limit), "sources": r.sources(limit), "trend": r.trend(),
         "devices": export.by_name({k: r.devices(k) for k in ("browser", "os", "device_type")}, "group"),

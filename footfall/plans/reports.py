@@ -24,6 +24,7 @@ class Reports:
     site_id: int
     range: DateRange
     unique_counter: str = "exact"
+    most: int = 200
 
     def rows(self, table: str, period: DateRange | None = None) -> DataFrame:
         """A rollup's rows of the site and range; both filters reach its partitions."""
@@ -87,7 +88,7 @@ class Reports:
         return out.select(
             "path", "views", "entrances", "exits", "element_id", ratio(F.col("bounces"), F.col("entrances")).alias("bounce_rate"),
             mean(F.col("dwell"), F.col("views")).alias("avg_dwell_ms"),
-        ).orderBy(F.col("views").desc(), "path").limit(clamp_limit(limit))
+        ).orderBy(F.col("views").desc(), "path").limit(clamp_limit(limit, self.most))
 
     def page_totals(self, path: str) -> DataFrame:
         zero = F.lit(0).cast("long")
@@ -108,7 +109,7 @@ class Reports:
 
     def page_sources(self, path: str, limit: int = 20) -> DataFrame:
         rows = self.rows("page_sources").where(F.col("path") == path).groupBy("channel", "host").agg(F.sum("views").alias("views"))
-        return rows.select(label(F.col("channel"), CHANNELS).alias("channel"), "host", "views").orderBy(F.col("views").desc(), "channel", "host").limit(clamp_limit(limit))
+        return rows.select(label(F.col("channel"), CHANNELS).alias("channel"), "host", "views").orderBy(F.col("views").desc(), "channel", "host").limit(clamp_limit(limit, self.most))
 
     def page_sources_since(self) -> DataFrame:
         return self.cube["page_sources"].where(F.col("site_id") == self.site_id).agg(F.min("date").alias("since"))
@@ -119,7 +120,7 @@ class Reports:
         rows = self.rows("sources").groupBy("channel", "host").agg(F.sum("sessions").alias("sessions"), F.sum("bounces").alias("bounces"))
         return rows.select(
             label(F.col("channel"), CHANNELS).alias("channel"), "host", "sessions", ratio(F.col("bounces"), F.col("sessions")).alias("bounce_rate")
-        ).orderBy(F.col("sessions").desc(), "channel", "host").limit(clamp_limit(limit))
+        ).orderBy(F.col("sessions").desc(), "channel", "host").limit(clamp_limit(limit, self.most))
 
     def channels(self) -> DataFrame:
         rows = self.rows("sources").groupBy("channel").agg(F.sum("sessions").alias("sessions"))
@@ -143,28 +144,28 @@ class Reports:
         return sums.select(
             *keys, "sessions", "conversions", "value", ratio(number("bounces"), number("sessions")).alias("bounce_rate"),
             ratio(number("conversions"), number("sessions")).alias("conversion_rate"),
-        ).orderBy(F.col("sessions").desc(), *keys).limit(clamp_limit(limit))
+        ).orderBy(F.col("sessions").desc(), *keys).limit(clamp_limit(limit, self.most))
 
     def countries(self, limit: int = 10) -> DataFrame:
-        return self.rows("geo").groupBy("country").agg(F.sum("sessions").alias("sessions")).orderBy(F.col("sessions").desc(), "country").limit(clamp_limit(limit))
+        return self.rows("geo").groupBy("country").agg(F.sum("sessions").alias("sessions")).orderBy(F.col("sessions").desc(), "country").limit(clamp_limit(limit, self.most))
 
     def regions(self, limit: int = 10) -> DataFrame:
         rows = self.rows("geo").where("region <> ''").groupBy("country", "region").agg(F.sum("sessions").alias("sessions"))
-        return rows.orderBy(F.col("sessions").desc(), "country", "region").limit(clamp_limit(limit))
+        return rows.orderBy(F.col("sessions").desc(), "country", "region").limit(clamp_limit(limit, self.most))
 
     # interactions
 
     def events(self, limit: int = 10, path: str | None = None) -> DataFrame:
         rows = self.rows("events") if path is None else self.rows("events").where(F.col("path") == path)
-        return rows.groupBy("event_name").agg(F.sum("count").alias("count"), F.sum("value").alias("value")).orderBy(F.col("count").desc(), "event_name").limit(clamp_limit(limit))
+        return rows.groupBy("event_name").agg(F.sum("count").alias("count"), F.sum("value").alias("value")).orderBy(F.col("count").desc(), "event_name").limit(clamp_limit(limit, self.most))
 
     def outbound(self, limit: int = 10, path: str | None = None) -> DataFrame:
         rows = self.rows("outbound") if path is None else self.rows("outbound").where(F.col("path") == path)
-        return rows.groupBy("host", "target").agg(F.sum("count").alias("count")).orderBy(F.col("count").desc(), "host", "target").limit(clamp_limit(limit))
+        return rows.groupBy("host", "target").agg(F.sum("count").alias("count")).orderBy(F.col("count").desc(), "host", "target").limit(clamp_limit(limit, self.most))
 
     def searches(self, limit: int = 10) -> DataFrame:
         rows = self.rows("search").groupBy("term").agg(F.sum("count").alias("count"), F.sum("zero_results").alias("zero_results"))
-        return rows.orderBy(F.col("count").desc(), "term").limit(clamp_limit(limit))
+        return rows.orderBy(F.col("count").desc(), "term").limit(clamp_limit(limit, self.most))
 
     def scroll_depth(self, limit: int = 10, cumulative: bool = False) -> DataFrame:
         """Deepest-scroll counts by page; cumulative adds what went deeper. The limit follows the pivot."""
@@ -172,10 +173,10 @@ class Reports:
         wide = self.rows("scroll").groupBy("path").pivot("bucket", list(steps)).agg(F.sum("count"))
         found = {s: F.coalesce(F.col(str(s)), F.lit(0)).cast("long") for s in steps}
         sums = {s: sum((found[t] for t in steps if t > s), found[s]) if cumulative else found[s] for s in steps}
-        return wide.select("path", *(c.alias(f"reached{s}") for s, c in sums.items())).orderBy(F.col("reached100").desc(), "path").limit(clamp_limit(limit))
+        return wide.select("path", *(c.alias(f"reached{s}") for s, c in sums.items())).orderBy(F.col("reached100").desc(), "path").limit(clamp_limit(limit, self.most))
 
     def crawlers(self, limit: int = 10) -> DataFrame:
-        return self.rows("crawlers").groupBy("crawler").agg(F.sum("requests").alias("requests")).orderBy(F.col("requests").desc(), "crawler").limit(clamp_limit(limit))
+        return self.rows("crawlers").groupBy("crawler").agg(F.sum("requests").alias("requests")).orderBy(F.col("requests").desc(), "crawler").limit(clamp_limit(limit, self.most))
 
     def crawler_requests(self) -> DataFrame:
         return self.rows("crawlers").agg(F.coalesce(F.sum("requests"), F.lit(0).cast("long")).alias("requests"))
@@ -199,7 +200,7 @@ class Reports:
 
     def top_elements(self, limit: int = 10) -> DataFrame:
         rows = self.rows("pages").where("element_id is not null").groupBy("element_id").agg(F.sum("views").alias("views"))
-        return rows.orderBy(F.col("views").desc(), "element_id").limit(clamp_limit(limit))
+        return rows.orderBy(F.col("views").desc(), "element_id").limit(clamp_limit(limit, self.most))
 
     def views_by_element(self, ids: list[int]) -> DataFrame:
         return self.rows("pages").where(F.col("element_id").isin(ids)).groupBy("element_id").agg(F.sum("views").alias("views"))
@@ -215,18 +216,19 @@ class Reports:
         views = self.rows("pages").where("element_id is not null").groupBy("element_id").agg(F.sum("views").alias("views"), F.sum("dwell_ms").alias("dwell_ms"))
         met = views.join(entries.select("element_id", F.col(by).alias("label")).distinct(), "element_id")
         out = met.groupBy("label").agg(F.sum("views").alias("views"), F.countDistinct("element_id").alias("elements"), F.sum("dwell_ms").alias("dwell"))
-        return out.select("label", "views", "elements", mean(F.col("dwell"), F.col("views")).alias("avg_dwell_ms")).orderBy(F.col("views").desc(), "label").limit(clamp_limit(limit))
+        return out.select("label", "views", "elements", mean(F.col("dwell"), F.col("views")).alias("avg_dwell_ms")).orderBy(F.col("views").desc(), "label").limit(clamp_limit(limit, self.most))
 
-    def entries_in(self, entries: DataFrame, by: str, value: object, limit: int = 10) -> DataFrame:
-        own = entries.where(F.col(by) == value).select("element_id", "title").distinct()
+    def entries_in(self, entries: DataFrame, which: Column, limit: int = 10) -> DataFrame:
+        """The busiest of the entries for which `which` holds: a section's, an author's."""
+        own = entries.where(which).select("element_id", "title").distinct()
         views = self.rows("pages").where("element_id is not null").groupBy("element_id").agg(F.sum("views").alias("views"))
-        return views.join(own, "element_id").orderBy(F.col("views").desc(), "element_id").limit(clamp_limit(limit))
+        return views.join(own, "element_id").orderBy(F.col("views").desc(), "element_id").limit(clamp_limit(limit, self.most))
 
     def popular_entries(self, live: DataFrame, limit: int = 10) -> DataFrame:
         """The first of four times as many elements that are live, order kept."""
         ranked = self.rows("pages").where("element_id is not null").groupBy("element_id").agg(F.sum("views").alias("views"))
-        ranked = ranked.orderBy(F.col("views").desc(), "element_id").limit(4 * clamp_limit(limit))
-        return ranked.join(live.select("element_id").distinct(), "element_id", "left_semi").orderBy(F.col("views").desc(), "element_id").limit(clamp_limit(limit))
+        ranked = ranked.orderBy(F.col("views").desc(), "element_id").limit(4 * clamp_limit(limit, self.most))
+        return ranked.join(live.select("element_id").distinct(), "element_id", "left_semi").orderBy(F.col("views").desc(), "element_id").limit(clamp_limit(limit, self.most))
 
     # goals and funnels
 

@@ -24,15 +24,16 @@ def dense(rows: DataFrame, calendar: DataFrame) -> DataFrame:
 def fold_to_top(rows: DataFrame, keep: int = 4) -> DataFrame:
     """Series (key, date, value) with all but the largest keys added up as OTHER; ties by key."""
     totals = rows.groupBy("key").agg(F.sum("value").alias("_total"))
-    rank = totals.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("_total").desc(), "key"))).drop("_total")
-    named = rows.join(rank, "key").withColumn("key", F.when(F.col("_rank") <= keep, F.col("key")).otherwise(OTHER))
+    top = totals.orderBy(F.col("_total").desc(), "key").limit(keep).select("key", F.lit(True).alias("_top"))
+    named = rows.join(F.broadcast(top), "key", "left").withColumn("key", F.when(F.col("_top"), F.col("key")).otherwise(OTHER))  # `keep` rows
     return named.groupBy("key", "date").agg(F.sum("value").alias("value"))
 
 
 def shares(rows: DataFrame, value: str = "value") -> DataFrame:
     """Rows with `share`, their part of the whole in per cent; zeros where there is no whole."""
-    whole = F.sum(value).over(Window.partitionBy())
-    return rows.withColumn("share", F.when(whole > 0, F.col(value) / whole * 100).otherwise(F.lit(0.0)))
+    whole = rows.agg(F.sum(value).alias("_whole"))
+    share = F.when(F.col("_whole") > 0, F.col(value) / F.col("_whole") * 100).otherwise(F.lit(0.0))
+    return rows.crossJoin(F.broadcast(whole)).withColumn("share", share).drop("_whole")  # one row
 
 
 def bucket(value: Column, largest: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,9 @@ from footfall.operators.rollups import Cube
 from footfall.plans import export, viz
 from footfall.plans.ranges import DateRange
 from footfall.plans.reports import Reports, realtime
+from footfall.settings import Settings
 from footfall.sources import adapter, hits, imports, requests
+from footfall.streaming import ingest
 
 RANGE = DateRange(dt.date(2024, 1, 5), dt.date(2024, 1, 24))
 DAY = DateRange(dt.date(2024, 1, 10), dt.date(2024, 1, 10))
@@ -25,6 +28,7 @@ DEFS = adapter.DEFINITIONS
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+_PLAIN: dict[str, str] = {}  # as written, without the sessions they stand on
 
 
 def _sessions_sql(window: int = WINDOW) -> str:
@@ -60,20 +64,25 @@ def _query(name: str, sql: str | None = None, window: int = WINDOW) -> Callable[
     def add(f: Query) -> Query:
         _QUERIES[name] = f
         if sql is not None:
+            _PLAIN[name] = sql
             _SQL[name] = f"WITH {_sessions_sql(window)}\n{sql}" if sql.lstrip().startswith(("SELECT", ",")) else sql
         return f
 
     return add
 
 
-def _closed(spark: SparkSession, sf: str, window: int = WINDOW) -> DataFrame:
-    return sessions.sessions(adapter.hits(spark, sf), window, DEFS.goal_table(spark))
+SEGMENTS = ("role", "plan")
+
+
+def _closed(spark: SparkSession, sf: str, goals: bool = False) -> DataFrame:
+    return sessions.sessions(adapter.hits(spark, sf), WINDOW, DEFS if goals else None, segments=SEGMENTS)
 
 
 def _reports(spark: SparkSession, sf: str, *tables: str, period: DateRange = RANGE, model: str = "last-click", counter: str = "exact") -> Reports:
     """Reports over the rollups named; those not asked for are not built."""
     tz, rows = "UTC", adapter.hits(spark, sf)
-    closed = _closed(spark, sf) if set(tables) & {"pages", "sessions", "sources", "devices", "campaigns", "geo", "segments", "goals", "funnel_steps"} else None
+    with_goals = bool(set(tables) & {"campaigns", "goals", "funnel_steps"})
+    closed = _closed(spark, sf, with_goals) if set(tables) & {"pages", "sessions", "sources", "devices", "campaigns", "geo", "segments", "goals", "funnel_steps"} else None
     build: dict[str, Callable[[], DataFrame]] = {
         "pages": lambda: rollups.pages(rows, closed, tz), "page_visitors": lambda: rollups.page_visitors(rows, tz),
         "page_sources": lambda: rollups.page_sources(rows, tz, WINDOW), "sessions": lambda: rollups.session_totals(closed, tz),
@@ -346,7 +355,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _content_sql(label: str, source: str = "part") -> str:
-    return f""", {ELEMENT_SQL}, en AS (SELECT DISTINCT p_partkey AS element_id, {label} AS label FROM {source} WHERE p_partkey <= 100)
+    return f""", {ELEMENT_SQL}, en AS (SELECT DISTINCT p_partkey AS element_id, {label} AS label FROM {source})
 SELECT label, sum(views)::BIGINT AS views, count(DISTINCT element_id) AS elements, {MEAN.format("sum(dwell)", "sum(views)")} AS avg_dwell_ms FROM el JOIN en USING (element_id) GROUP BY label ORDER BY views DESC, label LIMIT 10"""
 
 
@@ -366,11 +375,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_query("entries_in_section", f""", {ELEMENT_SQL} SELECT element_id, views, p_name AS title FROM el JOIN part ON p_partkey = element_id
-WHERE p_brand = (SELECT min(p_brand) FROM part WHERE p_partkey <= 100) ORDER BY views DESC, element_id LIMIT 10""")
+WHERE p_brand = (SELECT min(p_brand) FROM part) ORDER BY views DESC, element_id LIMIT 10""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     entries = adapter.entries(spark, sf)
-    first = entries.agg(F.min("section")).first()[0]
-    return _reports(spark, sf, "pages").entries_in(entries, "section", first).select("element_id", "views", "title")
+    first = entries.agg(F.min("section").alias("section"))
+    own = entries.join(F.broadcast(first), "section")  # one row
+    return _reports(spark, sf, "pages").entries_in(own, own["section"].isNotNull()).select("element_id", "views", "title")
 
 
 @_query("popular_entries", f", {ELEMENT_SQL}, r AS (SELECT * FROM el ORDER BY views DESC, element_id LIMIT 20) SELECT element_id, views FROM r JOIN part ON p_partkey = element_id WHERE p_size > 20 ORDER BY views DESC, element_id LIMIT 5")
@@ -409,7 +419,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("session_goals", "SELECT visitor_hash, no::BIGINT AS session_no, string_agg(goal, ',' ORDER BY fst, id) AS goals FROM live GROUP BY ALL")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _closed(spark, sf).where("size(goals) > 0").select("visitor_hash", "session_no", F.array_join("goals", ",").alias("goals"))
+    return _closed(spark, sf, True).where("size(goals) > 0").select("visitor_hash", "session_no", F.array_join("goals", ",").alias("goals"))
 
 
 @_query("session_campaigns", "SELECT visitor_hash, no::BIGINT AS session_no, string_agg(campaign, ';' ORDER BY pos) AS campaigns FROM touches GROUP BY ALL")
@@ -532,8 +542,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return store.orphans(named.select("type", "value").distinct(), [named.where("date >= '2024-01-29'").select("type", "value")])
 
 
-LOG_SQL = """lg AS (SELECT event_id AS id, 'v' || user_id AS visitor_id, CASE WHEN event_id % 3 = 0 THEN 'denied' ELSE 'granted' END AS state, cast(floor(epoch(ts)) AS BIGINT) AS said FROM events
-  WHERE user_id % 2 = 0 AND event_id % 5 = 0)"""
+LOG_SQL = """lg AS (SELECT event_id AS id, 'v' || user_id AS visitor_id, CASE WHEN event_id % 3 = 0 THEN 'denied' ELSE 'granted' END AS state, cast(floor(epoch(ts)) AS BIGINT) AS said FROM events)"""
 JOURNEY_SQL = f"""{LOG_SQL}, den AS (SELECT visitor_id FROM lg GROUP BY visitor_id HAVING last(state ORDER BY said, id) = 'denied'),
 jr AS (SELECT visitor_id, row_number() OVER (PARTITION BY visitor_id ORDER BY ts, seq)::INT AS sequence, path, ts FROM hd WHERE visitor_id IS NOT NULL AND kind = 'view' AND count_view AND visitor_id NOT IN (SELECT visitor_id FROM den))"""
 
@@ -572,11 +581,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return adapter.read(spark, sf, "pages").select("page_id", urls.normalize_path(path, query).alias("path"))
 
 
-@_query("page_campaigns", f"""WITH p AS (SELECT page_id, regexp_extract('&' || {_QUERY_OF}, '&utm_source=([^&]*)', 1) AS source FROM pages)
-SELECT page_id, lower(source) AS source FROM p WHERE source <> ''""")
+_UTM = {"source": "utm_source", "medium": "utm_medium", "campaign": "utm_campaign", "term": "utm_term", "content": "utm_content"}
+
+
+@_query("page_campaigns", f"""WITH p AS (SELECT page_id, '&' || {_QUERY_OF} AS q FROM pages),
+u AS (SELECT page_id, {", ".join(f"lower(regexp_extract(q, '&{u}=([^&]*)', 1)) AS {n}" for n, u in _UTM.items())} FROM p) SELECT * FROM u WHERE source <> ''""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     c = urls.campaign(F.try_parse_url("url", F.lit("QUERY")))
-    return adapter.read(spark, sf, "pages").select("page_id", c["s"].alias("source")).where("source is not null")
+    return adapter.read(spark, sf, "pages").select("page_id", *(c[k].alias(n) for k, n in zip("smcto", _UTM, strict=True))).where("source is not null")
 
 
 @_query("page_hosts", "WITH p AS (SELECT lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host FROM pages) SELECT host, 'Referral' AS channel, count(*) AS pages FROM p GROUP BY ALL")
@@ -613,10 +625,26 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return requests.order_events(orders).groupBy(F.to_date("ts").alias("date"), "event_name").agg(F.count(F.lit(1)).alias("count"), F.sum("event_value").cast("double").alias("value"))
 
 
-@_query("hits_round_trip", "SELECT date, kind, count(*) AS hits, sum(dwell_ms)::BIGINT AS dwell_ms, sum(event_value)::DOUBLE AS value FROM hd GROUP BY ALL")
+ROUND_TRIP = (
+    "site_id", "path", "visitor_hash", "element_id", "referrer", "user_agent", "dwell_ms", "count_view", "visitor_id", "user_id", "country_code", "region", "kind", "event_name", "target",
+    "scroll_bucket", "search_term", "crawler", "seen_at", "campaigns", "plan", "role",
+)
+
+
+@_query("hits_round_trip", f"""SELECT date, kind, count(*) AS hits, sum(event_value)::DOUBLE AS value, {", ".join(f"count({c}) AS {c}_n, sum(length({c}::VARCHAR))::BIGINT AS {c}_sum, max({c}::VARCHAR) AS {c}_max" for c in ROUND_TRIP)} FROM (
+  SELECT * EXCLUDE (path, campaign), 1 AS site_id, CASE WHEN search_term IS NULL THEN path ELSE path || '?q=' || replace(search_term, ' ', '%20') END AS path, country AS country_code,
+    ts AS seen_at, campaign AS campaigns FROM hd) GROUP BY date, kind""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    back = hits.usable(hits.decode(hits.encode(adapter.hits(spark, sf))))
-    return back.groupBy(F.to_date("ts").alias("date"), "kind").agg(F.count(F.lit(1)).alias("hits"), F.sum("dwell_ms").alias("dwell_ms"), F.sum("event_value").cast("double").alias("value"))
+    """Every column through the wire form: how many values, their lengths and the greatest. The term travels in the address."""
+    rows = adapter.hits(spark, sf)
+    asked = F.concat("path", F.lit("?q="), F.replace("search_term", F.lit(" "), F.lit("%20")))
+    sent = rows.withColumn("path", F.when(F.col("search_term").isNull(), F.col("path")).otherwise(asked)).drop("search_term")
+    back = ingest.with_search_term(hits.usable(hits.decode(hits.encode(sent))), Settings())
+    tag = F.when(F.col("campaign").isNotNull(), F.concat_ws("|", "campaign.s", "campaign.m", "campaign.c"))
+    flat = back.select("*", F.unix_timestamp("ts").alias("seen_at"), tag.alias("campaigns"), F.element_at("segments", "plan").alias("plan"), F.element_at("segments", "role").alias("role"))
+    text = {c: F.col(c).cast("string") for c in ROUND_TRIP}
+    sums = [x for c, t in text.items() for x in (F.count(c).alias(f"{c}_n"), F.sum(F.length(t)).alias(f"{c}_sum"), F.max(t).alias(f"{c}_max"))]
+    return flat.groupBy(F.to_date("ts").alias("date"), F.col("kind").alias("of")).agg(F.count(F.lit(1)).alias("hits"), F.sum("event_value").cast("double").alias("value"), *sums).withColumnRenamed("of", "kind")
 
 
 @_query("imported_sources", """WITH o AS (SELECT o_orderdate::DATE AS date, o_orderpriority AS g, count(*) AS n FROM orders GROUP BY ALL)
@@ -652,9 +680,159 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return export.for_csv(rows)
 
 
-@_query("approximate_uniques")
+@_query("approximate_uniques", f"SELECT date, count(DISTINCT visitor_hash) AS exact, true AS within_bound FROM hd WHERE kind = 'view' AND {BETWEEN} GROUP BY date")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Estimates from sketches, each within three standard errors of the exact count (one visitor at least)."""
+    guess = _reports(spark, sf, "page_sketches", counter="hll")._visitors(("date",)).withColumnRenamed("uniques", "guess")
+    exact = _reports(spark, sf, "page_visitors")._visitors(("date",)).withColumnRenamed("uniques", "exact")
+    gap = F.abs(F.col("guess") - F.col("exact"))
+    return exact.join(guess, "date").select("date", "exact", (gap <= F.greatest(F.lit(1.0), 3 * uniques.error_bound(12) * F.col("exact"))).alias("within_bound"))
+
+
+# the store: hits in batches, through maintenance, and reports of what it holds
+
+STREAM = Settings(session_window=1800, segments=SEGMENTS, hourly_window_days=7)
+_STORES: dict[tuple[str, str], store.Store] = {}
+
+
+def _stored(spark: SparkSession, sf: str) -> store.Store:
+    """A store that took in all events in three batches and closed all sessions; the first two batches are compacted."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORES:
+        own = store.Store(spark, f"{store.shared_dir(spark)}/store-{uuid.uuid4().hex}")
+        rows = adapter.hits(spark, sf)
+        cuts = ["1970-01-01", "2024-01-10", "2024-01-20", "2100-01-01"]
+        for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            ingest.apply(own, rows.where((F.col("ts") >= a) & (F.col("ts") < b)), n, STREAM, DEFS)
+            if n == 1:
+                own.compact(dt.date(2024, 1, 20), STREAM)
+                own.tidy()
+        ingest.apply(own, rows.limit(0), 3, STREAM, DEFS, as_of=4_102_444_800)
+        _STORES[key] = own
+    return _STORES[key]
+
+
+for _name, _of, _tables, _read in (
+    ("totals", "totals", "pages page_visitors sessions", lambda r: r.totals()),
+    ("daily_trend", "daily_trend", "pages page_visitors", lambda r: r.trend()),
+    ("top_pages", "top_pages", "pages", lambda r: r.top_pages(20)),
+    ("sources", "sources", "sources", lambda r: r.sources()),
+    ("devices", "devices_by_browser", "devices", lambda r: r.devices("browser")),
+    ("countries", "countries", "geo", lambda r: r.countries()),
+    ("searches", "searches", "search", lambda r: r.searches(50)),
+    ("scroll", "scroll_depth", "scroll", lambda r: r.scroll_depth()),
+    ("outbound", "outbound", "outbound", lambda r: r.outbound()),
+    ("crawlers", "crawlers", "crawlers", lambda r: r.crawlers()),
+    ("segments", "segments", "segments", lambda r: r.segments(list(SEGMENTS))),
+    ("goals", "goals", "goals sessions", lambda r: r.goals(DEFS).withColumn("value", F.col("value").cast("double"))),
+    ("funnel", "funnel_buy", "funnel_steps", lambda r: r.funnel(DEFS, "buy")),
+):
+    _query(f"stored_{_name}", _PLAIN[_of], 1800)(
+        lambda spark, sf, tables=_tables, read=_read: read(Reports(spark, _stored(spark, sf).cube(*tables.split()), 1, RANGE))
+    )
+
+
+@_query("element_first_wins", """, b AS (SELECT date, hour, path, seq % 3 AS batch, first(element_id ORDER BY ts, seq) FILTER (WHERE element_id IS NOT NULL) AS element, sum(count_view::INT) AS views FROM hd WHERE kind = 'view' GROUP BY ALL)
+SELECT date, hour, path, (first(element ORDER BY batch) FILTER (WHERE element IS NOT NULL))::INT AS element_id, sum(views)::BIGINT AS views FROM b GROUP BY ALL""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches of the same pages: the first batch's element stays, views add up."""
+    own = store.Store(spark, f"{store.shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    zero = F.lit(0).cast("long")
+    for n in range(3):
+        views = rollups.page_views(adapter.hits(spark, sf).where(F.col("seq") % 3 == n), "UTC")
+        own.write_delta(n, Cube({"pages": views.select("site_id", "date", "hour", "path", "views", "dwell_ms", zero.alias("entrances"), zero.alias("exits"), zero.alias("bounces"), "element_id")}))
+    return own.table("pages").select("date", "hour", "path", "element_id", "views")
+
+
+# requests, beacons, consent
+
+_AGENT_SQL = "CASE WHEN user_id % 7 = 0 THEN 'SomeBot/1.0' ELSE 'Mozilla/5.0 Firefox/130.0' END"
+
+
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    """A page request for each event, some of which must not count."""
+    e = adapter.read(spark, sf, "events")
+    i, u = F.col("event_id"), F.col("user_id")
+    signs = F.when(i % 17 == 0, F.create_map(F.lit("sec-gpc"), F.lit("1"))).when(i % 19 == 0, F.create_map(F.lit("sec-purpose"), F.lit("prefetch;prerender")))
+    signs = signs.when(i % 23 == 0, F.create_map(F.lit("sec-fetch-dest"), F.lit("image"))).otherwise(F.create_map(F.lit("sec-fetch-dest"), F.lit("document")))
+    return e.select(
+        i.alias("seq"), F.lit(1).alias("site_id"), F.timestamp_seconds(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("ts"), F.when(i % 10 == 0, "POST").otherwise("GET").alias("method"),
+        F.when(i % 11 == 0, 404).otherwise(200).alias("status"), F.lit("text/html; charset=utf-8").alias("content_type"), F.concat(F.lit("/p/"), (i % 40).cast("string"), F.lit("?utm_source=x&b=2&a=1")).alias("path"),
+        (i % 5).cast("int").alias("section_id"), (i % 40).cast("int").alias("element_id"), signs.alias("headers"), F.concat(F.lit("10.0."), (u % 256).cast("string"), F.lit(".1")).alias("address"),
+        F.lit("s").alias("salt"), F.when(u % 7 == 0, "SomeBot/1.0").otherwise("Mozilla/5.0 Firefox/130.0").alias("user_agent"), F.when(i % 2 == 0, "https://own.example/x").otherwise("https://t.co/y").alias("referrer"),
+        F.when(i % 3 > 0, F.concat(F.lit("n"), (i % 500).cast("string"))).alias("nonce"), (i % 6 == 0).alias("rendered"),
+    )
+
+
+_CAPTURE_SQL = f"""rq AS (SELECT event_id AS i, user_id AS u, cast(floor(epoch(ts)) AS BIGINT) AS ts, {_AGENT_SQL} AS agent FROM events),
+cp AS (SELECT *, substr(sha256('s|10.0.' || u % 256 || '.1|' || agent || '|1'), 1, 16) AS visitor FROM rq WHERE i % 10 <> 0 AND i % 11 <> 0 AND i % 17 <> 0 AND i % 19 <> 0 AND i % 23 <> 0
+  AND NOT (i % 40 BETWEEN 30 AND 39) AND i % 5 <> 4 AND (i % 3 > 0 OR i % 6 = 0))"""
+CAPTURE = Settings(exclude_paths=("/p/3?",), exclude_sections=(4,), own_hosts=("own.example",), hybrid=True)
+
+
+@_query("captured_requests", f"""WITH {_CAPTURE_SQL} SELECT '/p/' || i % 40 || '?a=1&b=2' AS path, visitor AS visitor_hash, CASE WHEN i % 2 = 0 THEN '' ELSE 'https://t.co/y' END AS referrer,
+  CASE WHEN u % 7 = 0 THEN 'crawler' ELSE 'view' END AS kind, CASE WHEN u % 7 = 0 THEN 'SomeBot' END AS crawler, count(*) AS hits FROM cp GROUP BY ALL""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = requests.captured(_requests(spark, sf), CAPTURE)
+    return rows.groupBy("path", "visitor_hash", "referrer", "kind", "crawler").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@_query("views_counted_once", f"""WITH {_CAPTURE_SQL}, served AS (SELECT 'n' || i % 500 AS nonce, visitor, max(ts) AS served_at FROM cp WHERE i % 3 > 0 GROUP BY ALL),
+bc AS (SELECT i, 'n' || i % 500 AS nonce, substr(sha256('s|10.0.' || u % 256 || '.1|' || agent || '|1'), 1, 16) AS visitor, ts + i % 4000 AS ts FROM rq),
+nb AS (SELECT *, row_number() OVER (PARTITION BY nonce, visitor ORDER BY ts, i) AS n FROM bc)
+SELECT nonce, count(*) AS beacons, sum((n = 1 AND NOT coalesce(nb.ts - served_at BETWEEN 0 AND 1800, false))::INT)::BIGINT AS counted FROM nb LEFT JOIN served USING (nonce, visitor) GROUP BY nonce""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A page's beacon counts unless the server has counted that nonce and visitor within half an hour before."""
+    asked = _requests(spark, sf)
+    served = requests.captured(asked, CAPTURE).where("nonce is not null")
+    visitor = traffic.visitor_hash(F.col("salt"), F.col("address"), F.col("user_agent"), F.col("site_id"))
+    beacons = asked.select("seq", F.concat(F.lit("n"), (F.col("seq") % 500).cast("string")).alias("nonce"), visitor.alias("visitor_hash"), F.timestamp_seconds(F.unix_timestamp("ts") + F.col("seq") % 4000).alias("ts"), F.lit(True).alias("count_view"))
+    once = requests.count_once(beacons, served, 1800)
+    return once.groupBy("nonce").agg(F.count(F.lit(1)).alias("beacons"), F.sum(F.col("count_view").cast("long")).alias("counted"))
+
+
+@_query("tracked_events", f"""WITH {_CAPTURE_SQL} SELECT '/p/' || i % 40 || '?a=1&b=2' AS path, 'buy' AS event_name, count(*) AS hits, sum(round(i / 7.0, 2))::DOUBLE AS value FROM rq WHERE i % 17 <> 0 AND u % 7 <> 0 GROUP BY ALL""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    calls = _requests(spark, sf).withColumn("name", F.lit(" buy ")).withColumn("value", F.round(F.col("seq") / 7.0, 2).cast("string"))
+    rows = requests.tracked_events(calls, Settings())
+    return rows.groupBy("path", "event_name").agg(F.count(F.lit(1)).alias("hits"), F.sum("event_value").cast("double").alias("value"))
+
+
+@_query("located_addresses", """WITH e AS (SELECT user_id % 256 AS b FROM events) SELECT CASE WHEN b < 64 THEN 'DE' WHEN b < 200 THEN 'FR' ELSE '' END AS country_code, CASE WHEN b < 64 THEN 'BE' ELSE '' END AS region, count(*) AS hits FROM e GROUP BY ALL""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    start = 10 << 24
+    nets = spark.createDataFrame([(start, start + 64 * 256 - 1, "DE", "BE", None), (start + 64 * 256, start + 200 * 256 - 1, "", "", "FR")], "first long, last long, country string, region string, registered string")
+    return requests.locate(_requests(spark, sf).select("seq", "address"), nets).groupBy("country_code", "region").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@_query("consent_decisions", """WITH c AS (SELECT user_id AS u, event_id AS i, cast(floor(epoch(ts)) AS BIGINT) AS ts, CASE WHEN event_id % 4 = 0 THEN 'denied' WHEN event_id % 17 <> 0 THEN 'granted' END AS state FROM events)
+SELECT 'v' || u AS visitor_id, last(state ORDER BY ts, i) AS state, count(*) AS rows FROM c WHERE state IS NOT NULL GROUP BY u""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The last word of every visitor, from choices of which grants by objecting browsers are none."""
+    users = adapter.read(spark, sf, "events").select(F.col("event_id").alias("seq"), "user_id")
+    choices = _requests(spark, sf).join(users, "seq").select(
+        F.col("seq").alias("id"), "site_id", F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("visitor_id"), F.when(F.col("seq") % 4 == 0, "deny").otherwise("grant").alias("choice"),
+        F.lit("banner").alias("method"), "ts", "headers",
+    )
+    log = governance.decisions(choices, requests.objects(Settings()))
+    return log.groupBy("visitor_id").agg(F.max_by("state", F.struct("recorded_at", "id")).alias("state"), F.count(F.lit(1)).alias("rows"))
+
+
+@_query("withdrawn_journeys", """, c AS (SELECT 'v' || user_id AS visitor_id, max(cast(floor(epoch(ts)) AS BIGINT)) AS until FROM events WHERE event_id % 9 = 0 GROUP BY ALL)
+SELECT visitor_id, count(*) AS views FROM hd LEFT JOIN c USING (visitor_id) WHERE visitor_id IS NOT NULL AND kind = 'view' AND count_view AND (until IS NULL OR ts > until) GROUP BY ALL""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    refusals = adapter.read(spark, sf, "events").where("event_id % 9 = 0").select(
+        F.col("event_id").alias("id"), F.lit(1).alias("site_id"), F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("visitor_id"), F.lit("denied").alias("state"), F.lit("banner").alias("method"),
+        F.timestamp_seconds(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("recorded_at"),
+    )
+    seen = governance.journeys(adapter.hits(spark, sf), refusals.limit(0))
+    return governance.withdrawn(seen, refusals).groupBy("visitor_id").agg(F.count(F.lit(1)).alias("views"))
+
+
+@_query("recent_consent", """WITH c AS (SELECT event_id FROM events WHERE ts::DATE >= DATE '2024-01-20') SELECT count(*) AS rows FROM c""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _reports(spark, sf, "page_sketches", counter="hll")._visitors(("date",))
+    kept = governance.recent(adapter.consent_log(spark, sf), "recorded_at", dt.date(2024, 1, 30), 10)
+    return kept.agg(F.count(F.lit(1)).alias("rows"))
 
 
 def queries() -> dict[str, Query]:

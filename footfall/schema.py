@@ -44,3 +44,14 @@ ROLLUPS: dict[str, tuple[tuple[str, ...], dict[str, str]]] = {
 #: Tables that start hourly and fold to days (hour -1).
 HOURLY = ("pages", "page_visitors", "page_sketches", "sessions", "sources", "events")
 PRO = ("campaigns", "geo", "events", "scroll", "search", "outbound", "segments", "goals", "funnel_steps")
+
+_TYPES = {
+    "site_id": "int", "date": "date", "hour": "int", "channel": "int", "major": "int", "device_type": "int", "bucket": "int", "position": "int", "element_id": "int", "sketch": "binary",
+}
+_WAYS = {"sum": "bigint", "credit": "decimal(12,4)", "money": "decimal(14,2)"}
+
+
+def rollup_schema(name: str) -> str:
+    """The columns of a rollup, for one that has no rows yet."""
+    keys, measures = ROLLUPS[name]
+    return ", ".join([*(f"{k} {_TYPES.get(k, 'string')}" for k in keys), *(f"{m} {_WAYS.get(way) or _TYPES[m]}" for m, way in measures.items())])

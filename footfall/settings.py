@@ -41,6 +41,7 @@ class Settings:
     honour_gpc: bool = True
     honour_dnt: bool = False
     strip_query: bool = False
+    hybrid: bool = False
     exclude_params: tuple[str, ...] = ()
     exclude_paths: tuple[str, ...] = ()
     exclude_sections: tuple[int, ...] = ()

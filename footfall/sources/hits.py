@@ -19,7 +19,8 @@ def decode(lines: DataFrame) -> DataFrame:
     read or has no site or no valid visitor is flagged, not dropped.
     """
     wire = F.from_json("value", WIRE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    h = lines.where(F.trim("value") != "").select(wire.alias("h"), "value").select("h.*", "value")
+    # a generator, so that a line is read once and not for every field
+    h = lines.where(F.trim("value") != "").select(F.inline(F.array(wire)))
 
     def text(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(""))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.traffic import CHANNELS, DEVICE_TYPES
+from footfall.operators.rollups import Cube
+from footfall.operators.store import Store
+from footfall.schema import rollup_schema
 
 # An exported report's placeholders for "no value", its datasets and their Pro subset.
 PLACEHOLDERS = ("", "(not set)", "(direct)", "(none)", "(organic)", "(referral)", "(data not available)")
@@ -138,3 +141,38 @@ def free_dates(rows: DataFrame, pages: DataFrame, sessions: DataFrame) -> DataFr
     """Rows of dates that neither the pages nor the sessions rollup already covers."""
     taken = pages.select("date").union(sessions.select("date")).distinct()
     return rows.join(taken, "date", "left_anti")
+
+
+#: The rollup that each dataset adds to.
+ROLLUP_OF = {"pages": "pages", "totals": "sessions", "sources": "sources", "campaigns": "campaigns", "devices": "devices", "geo": "geo", "events": "events"}
+
+
+def _filled(rows: DataFrame, rollup: str) -> DataFrame:
+    """The rollup's columns; what an import does not report is zero, or null for elements."""
+    types = dict(part.split(" ", 1) for part in rollup_schema(rollup).split(", "))
+    zero = lambda c: F.lit(None) if c == "element_id" else F.lit(0)
+    return rows.select(*((F.col(c) if c in rows.columns else zero(c)).cast(t).alias(c) for c, t in types.items()))
+
+
+def load(store: Store, folder: str, site_id: int = 1, pro: bool = True) -> dict[str, str]:
+    """Add `folder/<dataset>/*`, each file one page of a dataset's report, to a store; by dataset what went wrong.
+
+    A dataset is added as a whole or not at all, and one that fails leaves the others alone. Days that the store
+    counts itself are left out, and a dataset that is there already is not added twice.
+    """
+    out, spark = {}, store.spark
+    own = [store.table(t, F.col("site_id") == site_id) for t in ("pages", "sessions")]
+    taken = [x.where("hour >= 0") for x in own if x is not None]
+    for name in datasets(pro):
+        try:
+            pages = spark.read.text(f"{folder}/{name}", wholetext=True)
+            rows = dataset(normalize(pages), name, site_id)
+            for days in taken:
+                rows = rows.join(days.select("date").distinct(), "date", "left_anti")
+            tables = {ROLLUP_OF[name]: _filled(rows, ROLLUP_OF[name])}
+            if name == "pages":
+                tables["page_visitors"] = seeded_visitors(rows)
+            store.write_delta(0, Cube(tables), f"import-{name}")
+        except Exception as e:  # noqa: BLE001  one dataset's fault is not the others'
+            out[name] = str(e).split("\n")[0]
+    return out

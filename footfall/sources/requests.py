@@ -98,6 +98,54 @@ def beacon_hits(beacons: DataFrame, settings: Settings, base_path: str = "") ->
     return out.where(usable)
 
 
+def deferred(settings: Settings) -> Column:
+    """Whether a page's view is left to its beacon: in hybrid mode a page without a nonce that no template rendered
+    came out of a full-page cache, whose beacon counts it."""
+    return F.lit(settings.hybrid) & F.col("nonce").isNull() & ~F.coalesce("rendered", F.lit(False))
+
+
+def _visitor() -> Column:
+    return traffic.visitor_hash(F.col("salt"), F.col("address"), F.col("user_agent"), F.col("site_id"))
+
+
+def _split_path() -> tuple[Column, Column]:
+    full = F.coalesce("path", F.lit(""))
+    return F.substring_index(full, "?", 1), F.when(full.contains("?"), F.substring(full, F.locate("?", full) + 1, F.length(full))).otherwise("")
+
+
+def captured(requests: DataFrame, settings: Settings) -> DataFrame:
+    """Hits from page requests as the server sees them; addresses are hashed and go no further.
+
+    Columns beside those of `trackable`: seq, site_id, ts, address, salt, user_agent, referrer, element_id, nonce,
+    rendered.
+    """
+    plain, query = _split_path()
+    visitor, bot = _visitor(), traffic.is_bot(F.col("user_agent"), threshold=settings.bot_score_threshold)
+    kept = trackable(requests, settings).where(~deferred(settings))
+    return kept.select(
+        "seq", "site_id", "ts", "user_agent", "element_id", "nonce", visitor.alias("visitor_hash"), traffic.session_key(visitor, F.col("site_id")).alias("session_key"),
+        urls.normalize_path(plain, query, settings.exclude_params, settings.strip_query).alias("path"), urls.external_referrer(F.col("referrer"), settings.own_hosts).alias("referrer"),
+        header("accept-language").alias("accept_language"), urls.campaign(query).alias("campaign"), F.when(bot, "crawler").otherwise("view").alias("kind"),
+        F.when(bot, traffic.crawler_name(F.col("user_agent"))).alias("crawler"), F.lit(True).alias("count_view"), F.lit(0).cast("long").alias("dwell_ms"),
+        urls.search_term(urls.normalize_path(plain, F.lit("")), query, settings.search_path, settings.search_param).alias("search_term"),
+    )
+
+
+def tracked_events(calls: DataFrame, settings: Settings) -> DataFrame:
+    """Hits of kind `event` from a site's own code; none for those who object and for bots, and never a view.
+
+    Columns: seq, site_id, ts, name, value, path, element_id, address, salt, user_agent, headers.
+    """
+    plain, query = _split_path()
+    visitor = _visitor()
+    named = calls.withColumn("event_name", values.event_name(F.col("name"))).where(F.col("event_name").isNotNull() & ~objects(settings) & ~traffic.is_bot(F.col("user_agent")))
+    return named.select(
+        "seq", "site_id", "ts", "user_agent", "element_id", visitor.alias("visitor_hash"), traffic.session_key(visitor, F.col("site_id")).alias("session_key"),
+        urls.normalize_path(plain, query, settings.exclude_params, settings.strip_query).alias("path"), F.lit("event").alias("kind"), "event_name",
+        values.event_value(F.col("value")).alias("event_value"), F.lit(False).alias("count_view"),
+    )
+
+
 def count_once(beacons: DataFrame, served: DataFrame, ttl: int) -> DataFrame:
     """Beacon hits whose view the server has not counted: (nonce, visitor_hash) seen within `ttl` seconds.
 

@@ -1,98 +1,162 @@
 """Hits from a folder of JSON lines into the rollup store, each micro-batch exactly once.
 
-Rollups of hits are written as one delta for each micro-batch: a batch that is replayed after a crash rewrites the
-same folder. Sessions live in the stream's own state until they have been idle for the window; the state and the
-file offsets are one checkpoint, so they rewind together.
+A micro-batch adds the rollups of its hits, and those of the sessions that it brings to a close. Sessions that may
+still go on are kept in the store as summaries, one row each; a batch's own summaries are added to them, so what is
+held follows open sessions and not hits, and every column of a session is there when it closes. A batch that is
+replayed after a crash reads the same summaries and writes the same files; its marker is written last.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from footfall.functions import traffic, urls
 from footfall.operators import rollups
-from footfall.operators.rollups import Cube
+from footfall.operators import sessions as ses
+from footfall.operators.goals import Definitions
+from footfall.operators.rollups import ChannelRules, Cube
 from footfall.operators.store import Store
 from footfall.settings import Settings
 from footfall.sources import hits as wire
 
 
-def hit_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Usable hits of all files that arrive in `folder`."""
-    return wire.usable(wire.decode(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)))
+@dataclass(frozen=True)
+class Hooks:
+    """What a site adds: a change or veto before hits count, and channel rules of its own."""
 
+    before: Callable[[DataFrame], DataFrame] = lambda hits: hits
+    channels: ChannelRules = ()
 
-def hit_cube(hits: DataFrame, settings: Settings) -> Cube:
-    """The rollups that need no session."""
-    tz = settings.timezone
-    views = rollups.page_views(hits, tz)
-    zero = F.lit(0).cast("long")
-    pages = views.select("site_id", "date", "hour", "path", "views", "dwell_ms", zero.alias("entrances"), zero.alias("exits"), zero.alias("bounces"), "element_id")
-    out = {"pages": pages, "page_visitors": rollups.page_visitors(hits, tz), "crawlers": rollups.crawlers(hits, tz)}
-    if settings.enable_pro:
-        out |= {"events": rollups.events(hits, tz), "scroll": rollups.scroll(hits, tz), "search": rollups.search(hits, tz), "outbound": rollups.outbound(hits, tz)}
-    return Cube(out)
 
+def with_search_term(hits: DataFrame, settings: Settings) -> DataFrame:
+    """Search terms come from the page address, which the wire form keeps; hits that have one keep theirs."""
+    plain = F.substring_index("path", "?", 1)
+    query = F.when(F.col("path").contains("?"), F.substring_index("path", "?", -1)).otherwise("")
+    found = urls.search_term(plain, query, settings.search_path, settings.search_param)
+    return hits.withColumn("search_term", F.coalesce("search_term", found))
 
-def roll_up(spark: SparkSession, folder: str, store_root: str, checkpoint: str, settings: Settings) -> StreamingQuery:
-    """Take in what has arrived and stop; run it again for more."""
-    store = Store(spark, store_root)
 
-    def each(batch: DataFrame, number: int) -> None:
-        numbered = batch.withColumn("seq", F.monotonically_increasing_id()).persist()
-        try:
-            store.write_delta(number, hit_cube(numbered, settings))
-        finally:
-            numbered.unpersist()
+def _arrivals(hits: DataFrame, tz: str) -> DataFrame:
+    views = hits.where("kind = 'view'")
+    return views.select("site_id", traffic.local_date(F.col("ts"), tz).alias("date"), F.col("path").alias("value"), "seq")
 
-    return hit_stream(spark, folder).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def apply(
+    store: Store, hits: DataFrame, batch: int, settings: Settings, definitions: Definitions | None = None, hooks: Hooks | None = None,
+    as_of: int | None = None, source: str = "hits",
+) -> bool:
+    """Add one batch of usable hits; False if it has been added before.
 
-SESSION = "site_id int, session_key string, visitor_hash string, started_at timestamp, last_seen_at timestamp, pageviews long, entry_path string, last_path string"
-_STATE = "started double, seen double, pageviews long, entry string, last string, visitor string"
+    A session closes when nothing of it came for the window before `as_of` (epoch seconds); without one, before the
+    newest hit so far. A view counts for the source by which its session arrived, as far as it is known by then.
+    Within a batch `seq` orders hits of one second; batches order by their number.
+    """
+    if store.is_written(batch, source):
+        return False
+    hooks, tz = hooks or Hooks(), settings.timezone
+    place = F.col("seq").bitwiseAND(F.lit((1 << 40) - 1)) + F.lit(batch << 40)
+    rows = with_search_term(hooks.before(hits), settings).withColumn("seq", place).persist()
+    window = settings.session_window
+    held: list[DataFrame] = [rows]
+    try:
+        before = store.note(batch - 1, source).get("as_of") if batch - 1 in store.written(source) else None
+        parts = ses.summaries(rows, window, definitions, settings.segments or None).unionByName(store.open_sessions(batch - 1, ses.SUMMARY))
+        together = ses.merged(parts, window).persist()
+        held.append(together)
+        newest, first = rows.agg(F.max(F.unix_timestamp("ts")), F.min(F.unix_timestamp("ts"))).first()
+        begun = together.agg(F.min(F.unix_timestamp("first_at.ts"))).first()[0]
+        reached = max([x for x in (newest, before) if x is not None], default=None)
+        now = reached if as_of is None else as_of
+        over = F.lit(now is not None) & ses.closed_by(F.unix_timestamp("last_at.ts"), F.lit(now), window)
+        store.keep_open(batch, together.where(~F.coalesce(over, F.lit(False))))
+        closed = ses.finished(together.where(over), definitions=definitions)
+        cube = rollups.fold_hits(rows, settings).merged(rollups.fold_sessions(closed, settings, definitions, hooks.channels))
+        cube = cube.merged(Cube({"page_sources": rollups.page_arrivals(_arrived(rows, together), tz, hooks.channels)}))
+        cube = Cube({name: table.persist() for name, table in cube.tables.items()})  # rollups of one batch
+        held += cube.tables.values()
+        oldest = min([x for x in (first, begun) if x is not None], default=0)
+        recent = F.col("date") >= F.date_sub(F.to_date(F.timestamp_seconds(F.lit(oldest))), 1)
+        capped = rollups.capped_cube(cube, settings.dimension_cap, lambda name: store.table(name, recent), _arrivals(rows, tz).union(_edges(closed, tz)))
+        return store.write_delta(batch, capped, source, {"as_of": reached})
+    finally:
+        for df in held:
+            df.unpersist()
+
+
+def _edges(closed: DataFrame, tz: str) -> DataFrame:
+    """Entry and last pages of closed sessions, which came before this batch's views."""
+    edges = rollups.page_edges(closed, tz)
+    return edges.select("site_id", "date", F.col("path").alias("value"), F.lit(-1).cast("long").alias("seq"))
+
+
+def _arrived(hits: DataFrame, together: DataFrame) -> DataFrame:
+    """Counted views with their session's referrer, met by session key and time."""
+    own = together.select(*ses.KEYS, F.col("first_at").alias("_from"), F.col("last_at").alias("_to"), F.col("first.referrer").alias("arrived_from"), (F.size("touches") > 0).alias("by_campaign"))
+    views = hits.where(ses.is_view()).withColumn("_at", F.struct("ts", "seq"))
+    return views.join(own, list(ses.KEYS)).where("_at >= _from and _at <= _to").drop("_at", "_from", "_to")
+
+
+def hit_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
+    """Decoded hits of all files that arrive in `folder`, those that are malformed marked."""
+    return wire.decode(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder))
 
 
-def session_stream(hits: DataFrame, window: int, lateness: str = "10 minutes") -> DataFrame:
-    """Sessions as they close: `window` seconds of event time without a hit of theirs.
+def roll_up(
+    spark: SparkSession, folder: str, store_root: str, checkpoint: str, settings: Settings, definitions: Definitions | None = None,
+    hooks: Hooks | None = None, files_per_trigger: int = 1000, attempts: int = 3,
+) -> StreamingQuery:
+    """Take in what has arrived and stop; run it again for more. Each run takes up at most so many files in a batch.
 
-    Hits may come out of order by `lateness`; a run that ends before a later one of its key has begun closes at once.
+    A batch that fails so many times is set aside: its lines go to `store_root/failed/batch=<n>` for `retry_failed`,
+    and the stream goes on. Malformed lines are counted in `store_root/malformed`.
     """
-    own = hits.where("kind <> 'crawler'").withWatermark("ts", lateness)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # a run: started, seen, pageviews, entry, last, visitor
-        runs = [list(state.get)] if state.exists else []
-        if state.hasTimedOut:
-            closed, held = runs, None
-        else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "path"], kind="stable")
-            for ts, path, visitor, kind, counted in zip(rows["ts"], rows["path"], rows["visitor_hash"], rows["kind"], rows["count_view"], strict=True):
-                at = ts.timestamp()
-                runs.append([at, at, int(kind == "view" and bool(counted)), path, path, visitor])
-            joined: list[list] = []
-            for run in sorted(runs, key=lambda r: r[0]):
-                if joined and run[0] - joined[-1][1] < window:
-                    before = joined[-1]
-                    last = run[4] if run[1] >= before[1] else before[4]
-                    if before[2] == 0:  # nothing before the first counted view belongs to a session
-                        joined[-1] = run
-                    else:
-                        joined[-1] = [before[0], max(before[1], run[1]), before[2] + run[2], before[3], last, before[5]]
-                else:
-                    joined.append(run)
-            *closed, held = joined
-        if held is None:
-            state.remove()
-        else:
-            state.update(tuple(held))
-            state.setTimeoutTimestamp(max(int((held[1] + window) * 1000), state.getCurrentWatermarkMs() + 1))
-        columns = [c.split()[0] for c in SESSION.split(", ")]
-        stamp = lambda s: pd.Timestamp(s, unit="s")
-        yield pd.DataFrame([(*key, r[5], stamp(r[0]), stamp(r[1]), r[2], r[3], r[4]) for r in closed if r[2] > 0], columns=columns)
-
-    return own.groupBy("site_id", "session_key").applyInPandasWithState(step, SESSION, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    store = Store(spark, store_root)
+
+    def each(batch: DataFrame, number: int) -> None:
+        if store.is_written(number):
+            return
+        seen = Observation(f"batch-{number}-{store_root}")
+        counted = batch.observe(seen, F.count(F.lit(1)).alias("lines"), F.count(F.when(F.col("malformed"), 1)).alias("malformed"))
+        marked = counted.withColumn("_id", F.monotonically_increasing_id())
+        # partition and row as 14 and 26 bits
+        seq = F.shiftleft(F.shiftright("_id", 33), 26) + F.col("_id").bitwiseAND(F.lit((1 << 26) - 1))
+        lines = marked.withColumn("seq", seq).drop("_id").persist()
+        try:
+            _tried(store, number, attempts, lambda: apply(store, wire.usable(lines), number, settings, definitions, hooks), lambda: set_aside(store, lines, number))
+            store.count_malformed(number, seen.get["malformed"])
+        finally:
+            lines.unpersist()
+
+    stream = hit_stream(spark, folder, files_per_trigger)
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _tried(store: Store, number: int, attempts: int, work: Callable[[], object], give_up: Callable[[], None]) -> None:
+    for left in reversed(range(attempts)):
+        try:
+            work()
+            return
+        except Exception:  # noqa: BLE001  whatever a batch fails by, the stream must outlive it
+            if not left:
+                give_up()
+
+
+def set_aside(store: Store, lines: DataFrame, number: int) -> None:
+    """Keep a batch's hits for later and pass over its number; the sessions that were open stay open."""
+    wire.encode(wire.usable(lines)).write.mode("overwrite").text(f"{store.root}/failed/batch={number}")
+    store.keep_open(number, store.open_sessions(number - 1, ses.SUMMARY))
+    store.write_delta(number, Cube(), "hits", {"failed": True, "as_of": store.note(number - 1).get("as_of") if number - 1 in store.written() else None})
+
+
+def retry_failed(store: Store, landing: str) -> int:
+    """Put the hits that were set aside back where new ones land; the number of batches."""
+    folders = store.failed()
+    for name in folders:
+        store.spark.read.text(f"{store.root}/failed/{name}").select("value").write.mode("append").text(landing)
+        store._delete(f"failed/{name}")
+    return len(folders)

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import time
+from decimal import Decimal
 
 import pytest
 from hypothesis import given, settings as hyp, strategies as st
@@ -71,7 +73,7 @@ def test_funnel_gates(spark):
 def test_goals_of_a_session(spark):
     d = Definitions((Goal("view", "url", "/p/*"), Goal("buy", "event", "buy"), Goal("el", "element", "7"), Goal("stay", "duration", "60"), Goal("deep", "scroll", "50"), Goal("off", "url", "*", enabled=False), Goal("other", "url", "*", site_id=2)))
     rows = [hit(1, 0, "/x", element_id=7), hit(2, 50, "/p/1?a=1"), hit(3, 61, "/p/2", kind="event", event_name="buy", scroll_bucket=50)]
-    s = sessions.sessions(frame(spark, rows), 1800, d.goal_table(spark)).first()
+    s = sessions.sessions(frame(spark, rows), 1800, d).first()
     assert s["goals"] == ["el", "view", "buy"] and s["conversions"] == ["view", "buy", "el", "stay", "deep"]
 
 
@@ -106,7 +108,7 @@ def test_first_values_are_admitted(spark):
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 20_000), st.booleans()), min_size=1, max_size=12), st.integers(0, 12))
 def test_batches_do_not_matter(spark, rows, cut):
     all_hits = [hit(i, s, f"/{p}", count_view=c, dwell_ms=p) for i, (p, s, c) in enumerate(rows)]
-    fold = lambda part: ingest.hit_cube(frame(spark, part), Settings(enable_pro=False))
+    fold = lambda part: rollups.fold_hits(frame(spark, part), Settings(enable_pro=False))
     whole = fold(all_hits)
     parts = [p for p in (all_hits[:cut], all_hits[cut:]) if p]
     merged = fold(parts[0]) if len(parts) == 1 else fold(parts[0]).merged(fold(parts[1]))
@@ -163,15 +165,113 @@ def test_streams(spark, tmp_path):
     assert store.Store(spark, root).table("pages").agg(F.sum("views")).first()[0] == 7
 
 
-def test_session_stream(spark, tmp_path):
-    spool = str(tmp_path / "in")
-    wire.write(frame(spark, [hit(1, 0, "/a"), hit(2, 60, "/b"), hit(3, 4000, "/c")]).coalesce(1), spool)
-    wire.write(frame(spark, [hit(4, 90_000, "/z", visitor="f" * 16)]).coalesce(1), spool)
-    stream = ingest.session_stream(ingest.hit_stream(spark, spool, 1), 1800)
-    query = stream.writeStream.format("memory").queryName("closed").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    got = {(r["entry_path"], r["last_path"], r["pageviews"]) for r in spark.sql("select * from closed").collect()}
-    assert ("/a", "/b", 2) in got
+def _same(a, b, columns):
+    key = lambda d: sorted(map(str, d.select(*columns).collect()))
+    assert key(a) == key(b)
+
+
+CAMPAIGN = lambda s: (s, "m", "c", "", "")
+VISIT = [
+    hit(1, -50, kind="event", event_name="early"), hit(2, 0, "/a", referrer="https://www.google.com/", country_code="DE", region="BE", segments={"plan": "free"}),
+    hit(3, 60, "/b", campaign=CAMPAIGN("x"), segments={"plan": "pro", "role": "r"}), hit(4, 70, kind="event", event_name="signup", event_value=Decimal("2.50")),
+    hit(5, 900, "/c", campaign=CAMPAIGN("y"), scroll_bucket=75), hit(6, 950, "/c", campaign=CAMPAIGN("x")), hit(7, 4000, "/d", element_id=5),
+    hit(8, 10, "/a", visitor="e" * 16), hit(9, 20, "/search?q=Red%20Shoes", visitor="e" * 16),
+]
+DEFS = Definitions((Goal("s", "event", "signup", value="3.00"), Goal("b", "url", "/b"), Goal("long", "duration", "600"), Goal("deep", "scroll", "75")), (Funnel("f", ("b", "s", "long")),))
+
+
+@pytest.mark.parametrize("cuts", [(4,), (1, 3, 5, 7)])
+def test_sessions_in_the_store_do_not_depend_on_batches(spark, tmp_path, cuts):
+    rows = sorted(VISIT, key=lambda r: (r["ts"], r["seq"]))
+    rows = [r | {"seq": i} for i, r in enumerate(rows)]
+    s, options = store.Store(spark, str(tmp_path / "store")), Settings(attribution="linear", segments=("plan", "role"))
+    parts = [rows[a:b] for a, b in zip((0, *cuts), (*cuts, len(rows)), strict=True)]
+    for n, part in enumerate(parts):
+        assert ingest.apply(s, frame(spark, part), n, options, DEFS)
+        assert not ingest.apply(s, frame(spark, part), n, options, DEFS)  # a replay
+    ingest.apply(s, frame(spark, []), len(parts), options, DEFS, as_of=int((START + dt.timedelta(days=2)).timestamp()))
+    hits = ingest.with_search_term(frame(spark, rows), options)
+    want = rollups.fold(hits, sessions.sessions(hits, 1800, DEFS, segments=("plan", "role")), options, DEFS)
+    got = s.cube()
+    for name in set(want.tables) - {"page_sources"}:
+        _same(got[name], want[name], sorted(want[name].columns))
+    assert got["search"].first()["term"] == "red shoes" and got["page_sources"].agg(F.sum("views")).first()[0] == 7
+
+
+def test_first_element_of_a_page_wins(spark, tmp_path):
+    s, day = store.Store(spark, str(tmp_path / "store")), dt.date(2026, 7, 15)
+    for n, element in enumerate((None, 5, 9)):
+        s.write_delta(n, _pages(spark, (day, 9, "/a", 1, element)))
+    assert s.table("pages").first()["element_id"] == 5
+    s.rewrite(lambda name, rows: rows)
+    s.write_delta(3, _pages(spark, (day, 9, "/a", 1, 1)))
+    assert (s.table("pages").first()["element_id"], s.table("pages").first()["views"]) == (5, 4)
+
+
+def test_maintenance_rewrites_touched_days_only(spark, tmp_path):
+    s, days = store.Store(spark, str(tmp_path / "store")), [dt.date(2026, 7, d) for d in (1, 2, 14)]
+    s.write_delta(0, _pages(spark, *((d, 9, "/a", 1, None) for d in days)))
+    assert s.compact(dt.date(2026, 7, 16), Settings()) == [d.isoformat() for d in days]
+    before = s.manifest()["versions"]["pages"]
+    s.write_delta(1, _pages(spark, (days[1], 9, "/a", 2, None)))
+    assert s.compact(dt.date(2026, 7, 16), Settings()) == ["2026-07-02"]
+    after = s.manifest()["versions"]["pages"]
+    assert [d for d in after if after[d] != before[d]] == ["2026-07-02"]
+    assert s.compact(dt.date(2026, 7, 16), Settings()) == []
+    s.tidy()
+    assert {(r["date"], r["hour"], r["views"]) for r in s.table("pages").collect()} == {(days[0], -1, 1), (days[1], -1, 3), (days[2], 9, 1)}
+    plan = s.table("pages", (F.col("site_id") == 1) & (F.col("date") == F.lit("2026-07-02").cast("date")))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "isnotnull(site_id" in plan
+    with s.only_one(), pytest.raises(RuntimeError):
+        s.compact(dt.date(2026, 7, 16), Settings())
+
+
+def test_a_batch_that_fails_is_set_aside(spark, tmp_path):
+    spool, root = str(tmp_path / "in"), str(tmp_path / "store")
+    (tmp_path / "in").mkdir()
+    wire.write(frame(spark, [hit(1, 0, "/a"), hit(2, 5, "/b")]), spool)
+    with open(tmp_path / "in" / "bad.txt", "w") as f:
+        f.write("no json\n")
+
+    def broken(hits):
+        raise ValueError("a hook fails")
+
+    ingest.roll_up(spark, spool, root, str(tmp_path / "check"), Settings(), hooks=ingest.Hooks(broken)).awaitTermination()
+    s = store.Store(spark, root)
+    assert s.failed() == ["batch=0"] and s.malformed() == 1 and s.table("pages") is None
+    assert ingest.retry_failed(s, spool) == 1
+    ingest.roll_up(spark, spool, root, str(tmp_path / "check"), Settings(), hooks=ingest.Hooks(lambda h: h.where("path <> '/b'"))).awaitTermination()
+    assert [r["path"] for r in s.table("pages").collect()] == ["/a"] and not s.failed()
+
+
+def test_values_over_the_cap_fold(spark, tmp_path):
+    s, options = store.Store(spark, str(tmp_path / "store")), Settings(dimension_cap=10)
+    ingest.apply(s, frame(spark, [hit(i, i, f"/{i:02d}") for i in range(12)]), 0, options)
+    ingest.apply(s, frame(spark, [hit(i, 20 + i, f"/{i:02d}") for i in (3, 11, 20)]), 1, options)
+    got = {r["path"]: r["views"] for r in s.table("pages").collect()}
+    assert got == {f"/{i:02d}": 1 for i in range(10)} | {"/03": 2, "__other__": 4}
+
+
+def test_sketches_in_the_store(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "store"))
+    for n in range(2):
+        ingest.apply(s, frame(spark, [hit(i, i, visitor=f"{i:016x}") for i in range(30)]), n, Settings(unique_counter="hll"))
+    assert s.cube()["page_visitors"].count() == 0
+    assert uniques.united(s.table("page_sketches"), []).first()["uniques"] == 30
+
+
+def test_a_long_session(spark):
+    """Time follows the number of hits of one session, not its square."""
+    rows = spark.range(60_000).select(
+        F.col("id").alias("seq"), F.lit(1).alias("site_id"), F.concat(F.lit("/"), F.col("id") % 50).alias("path"), F.lit(V).alias("visitor_hash"), F.lit("k").alias("session_key"),
+        F.timestamp_seconds(F.col("id")).alias("ts"), F.lit(None).cast("int").alias("element_id"), F.lit("").alias("referrer"), F.lit("").alias("user_agent"),
+        F.lit(True).alias("count_view"), F.lit("view").alias("kind"), F.lit(None).cast("string").alias("event_name"), F.lit("").alias("country_code"), F.lit("").alias("region"),
+        F.lit(None).cast("int").alias("scroll_bucket"), F.lit(None).cast("struct<s:string,m:string,c:string,t:string,o:string>").alias("campaign"),
+        F.create_map(F.lit("n"), (F.col("id") % 3).cast("string"), F.lit("m"), F.lit("x")).alias("segments"),
+    )
+    began = time.monotonic()
+    s = sessions.sessions(rows, 1800).first()
+    assert s["pageviews"] == 60_000 and s["segments"] == {"n": "0", "m": "x"} and time.monotonic() - began < 60
 
 
 def test_sketches(spark):
