@@ -4,11 +4,13 @@ Candidates come from patterns. The base ones (valid e-mail addresses, IPv4 addre
 international phone numbers) are always kept. The others (matches that fail a base check, national phone
 numbers, written-out addresses, social security numbers, secrets behind a key) are judged: format, gazetteer and
 context labelers vote for, against or not at all. Expectation-maximisation over the counts of vote patterns
-estimates, for each kind, how often it is personal data and how each labeler votes on either side; a logistic
-span classifier is then fitted to those posteriors, with the votes and the kind as features.
+estimates, for each kind, how often it is personal data and how each labeler votes on either side. A logistic
+classifier is then fitted to those posteriors over all candidates; its features are the span's shape, length,
+characters and their variety, the words and the sign before it, and the votes, each by kind, hashed to BUCKETS.
 
-Vote patterns are few whatever the corpus holds (3**4 votes for each of 7 kinds), so both fits work on counts that
-Spark has summed over all candidates, and only those counts come to the driver.
+Vote patterns are few whatever the corpus holds (3**4 votes for each of 7 kinds), and only their counts come to the
+driver. The classifier's rounds run in Spark over all patterns of features with their counts; a round's gradient has
+one number for each of BUCKETS features.
 
 Defined results: a null text is empty; offsets count code points, ends are exclusive; matches of a kind do not
 overlap; an added span that overlaps a base one goes; rows that repeat are found each; a null doc_id is kept; a
@@ -24,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.llm.common import stored
+from footfall.llm.common import release, stored
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "secret", "contact")
 BASE = KINDS[:4]
@@ -56,6 +58,16 @@ CONTEXT = {
 #: How often each labeler, where it votes, is right at first, and at least: a failed format check decides.
 RELIABILITY = (0.999, 0.6, 0.7, 0.7)
 LEAST_RELIABLE = (0.999, 0.5, 0.5, 0.5)
+#: Gazetteers: endings of domains, calling codes (of one, two and, by their first two digits, three digits), the first
+#: digits of card issuers, first parts of addresses that no host has.
+DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "eu", "uk", "info", "ch", "at", "it", "nl", "us", "ca", "mx", "ar", "co", "me", "dev", "app")
+CALLING_CODES = (
+    "1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57",
+    "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98", "21", "22", "23", "24", "25", "26", "29", "35",
+    "37", "38", "42", "50", "59", "67", "68", "69", "80", "85", "87", "88", "96", "97", "99",
+)
+CARD_ISSUERS = ("4", "51", "52", "53", "54", "55", "22", "23", "24", "25", "26", "27", "34", "37", "6011", "65", "35")
+NO_HOSTS = ("0", "255")
 #: Words that speak against every kind.
 AGAINST = "version|release|isbn|issn|order|invoice|serial|section|chapter|page|doi"
 # End of fixed values.
@@ -151,11 +163,13 @@ def votes(matches: DataFrame) -> DataFrame:
         .when(kind == "secret", F.when(x.rlike("[0-9]") & x.rlike("[A-Za-z]{1}"), 1).otherwise(-1))
         .otherwise(1)
     )
+    start2 = F.left(digits, F.lit(2))
+    issued = F.left(digits, F.lit(1)).isin(*CARD_ISSUERS) | start2.isin(*CARD_ISSUERS) | F.left(digits, F.lit(4)).isin(*CARD_ISSUERS)
     listed = (
-        F.when(kind == "email", F.when(x.rlike(r"\.(?:com|org|net|edu|gov|io|de|fr|es|eu|uk|info)$"), 1).otherwise(0))
-        .when(kind == "ip", F.when(x.rlike(r"^(?:0|255)\."), -1).otherwise(0))
-        .when(kind == "card", F.when(digits.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)") & F.length(digits).between(13, 19), 1).otherwise(-1))
-        .when(kind == "phone", F.when(digits.rlike("^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"), 1).otherwise(0))
+        F.when(kind == "email", F.when(F.lower(F.substring_index(x, ".", -1)).isin(*DOMAINS), 1).otherwise(0))
+        .when(kind == "ip", F.when(F.substring_index(x, ".", 1).isin(*NO_HOSTS), -1).otherwise(0))
+        .when(kind == "card", F.when(issued & F.length(digits).between(13, 19), 1).otherwise(-1))
+        .when(kind == "phone", F.when(F.left(digits, F.lit(1)).isin(*CALLING_CODES) | start2.isin(*CALLING_CODES), 1).otherwise(0))
         .when(kind == "contact", F.when(x.rlike(r"\)\x20?555|[\[(]at[\])]"), 1).otherwise(0))
         .when(kind == "secret", F.when(F.length(F.regexp_extract(x, r"[A-Za-z0-9_+/=.-]{8,}+$", 0)) >= 16, 1).otherwise(0))
         .otherwise(0)
@@ -169,22 +183,42 @@ def votes(matches: DataFrame) -> DataFrame:
     return matches.select("*", F.array(shape, listed, near, against).alias("votes"))
 
 
+BUCKETS = 1024
+
+
+def features(voted: DataFrame) -> DataFrame:
+    """The candidates with `features`, numbers below BUCKETS of what the classifier looks at."""
+    x, before = F.col("match"), F.lower("before")
+    length = F.greatest(F.length(x), F.lit(1))
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\p{Lu}+", "A"), r"\p{Ll}+", "a"), "[0-9]+", "9")
+    words = F.regexp_extract_all(before, F.lit(r"\p{L}+"), F.lit(0))
+    seen = {
+        "kind": F.lit(""),
+        "shape": F.left(shape, F.lit(12)),
+        "length": F.floor(F.log2(length)).cast("string"),
+        "digits": F.floor(4 * F.length(_digits(x)) / length).cast("string"),
+        "variety": F.floor(4 * F.size(F.array_distinct(F.split(x, ""))) / length).cast("string"),
+        "word": F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit("")),
+        "second word": F.coalesce(F.try_element_at(words, F.lit(-2)), F.lit("")),
+        "sign": F.regexp_replace(F.right(before, F.lit(1)), r"\p{L}", "a"),
+        **{f"vote {i}": F.element_at("votes", i + 1).cast("string") for i in range(4)},
+    }
+    hashed = [F.pmod(F.xxhash64("kind", F.lit(name), value), F.lit(BUCKETS)).cast("int") for name, value in seen.items()]
+    return voted.withColumn("features", F.array(*hashed))
+
+
 @dataclass(frozen=True)
 class SpanModel:
     """Of each kind the share of personal data and the labelers' vote rates; the classifier's weights."""
 
     prior: dict[str, float]
     rates: dict[str, list[dict[tuple[bool, int], float]]]
-    weights: dict[tuple, float]
+    weights: list[float]
 
-    def probability(self, kind: Column, vote: Column) -> Column:
-        total = F.lit(0.0)
-        for (what, *at), w in sorted(self.weights.items(), key=str):
-            if what == "kind":
-                total = total + F.when(kind == at[0], w).otherwise(0.0)
-            else:
-                total = total + F.when(F.element_at(vote, at[0] + 1) == at[1], w).otherwise(0.0)
-        return 1 / (1 + F.exp(-total))
+    def probability(self, own: Column) -> Column:
+        """From an array of feature numbers."""
+        table = F.array(*map(F.lit, self.weights))
+        return 1 / (1 + F.exp(-F.aggregate(own, F.lit(0.0), lambda a, f: a + F.element_at(table, f + 1))))
 
 
 def _posterior(prior: float, rates: list[dict[tuple[bool, int], float]], vote: tuple[int, ...]) -> float:
@@ -195,8 +229,8 @@ def _posterior(prior: float, rates: list[dict[tuple[bool, int], float]], vote: t
     return 1 / (1 + math.exp(min(700.0, max(-700.0, no - yes))))
 
 
-def fit(counts: list[tuple[str, tuple[int, ...], int]], rounds: int = 30, steps: int = 400) -> SpanModel:
-    """The model from (kind, votes, count). Labelers start out as reliable as RELIABILITY says."""
+def reliabilities(counts: list[tuple[str, tuple[int, ...], int]], rounds: int = 30) -> tuple[dict, dict, list[tuple[str, tuple[int, ...], float]]]:
+    """Priors, vote rates and posteriors from (kind, votes, count). Labelers start out as reliable as RELIABILITY says."""
     prior, rates, soft = {}, {}, []
     for kind in KINDS:
         own = [(v, n) for k, v, n in counts if k == kind]
@@ -218,35 +252,37 @@ def fit(counts: list[tuple[str, tuple[int, ...], int]], rounds: int = 30, steps:
                     r[i][right] = max(r[i][right], LEAST_RELIABLE[i] * voted)
                     r[i][wrong] = voted - r[i][right]
         prior[kind], rates[kind] = p, r
-        soft += [(kind, v, n, _posterior(p, r, v)) for v, n in own]
-    weights: dict[tuple, float] = {}
-    squares: dict[tuple, float] = {}
-    total = sum(math.log1p(n) for *_, n, _ in soft)
-    for _ in range(steps if soft else 0):
-        gradient: dict[tuple, float] = {}
-        for kind, v, n, q in soft:
-            at = [("kind", kind), *(("vote", i, x) for i, x in enumerate(v) if x)]
-            gap = 1 / (1 + math.exp(-sum(weights.get(a, 0.0) for a in at))) - q
-            for a in at:
-                gradient[a] = gradient.get(a, 0.0) + gap * math.log1p(n) / total
-        for a, g in gradient.items():
-            squares[a] = squares.get(a, 0.0) + g * g
-            weights[a] = weights.get(a, 0.0) - 0.5 * g / math.sqrt(squares[a] + 1e-12)
-    return SpanModel(prior, rates, weights)
-
-
-def train(voted: DataFrame) -> SpanModel:
-    """Sum up the vote patterns of all candidates and fit; at most 7 * 3**4 counts leave Spark."""
-    rows = voted.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect()
-    return fit(sorted((r["kind"], tuple(r["votes"]), r["n"]) for r in rows))
+        soft += [(kind, v, _posterior(p, r, v)) for v, _ in own]
+    return prior, rates, soft
+
+
+def train(seen: DataFrame, rounds: int = 12, step: float = 1 / 12, ridge: float = 1.0) -> SpanModel:
+    """Fit to candidates (kind, votes, features): at most 7 * 3**4 counts and BUCKETS numbers a round leave Spark.
+
+    Each round moves every weight by its gradient over its curvature, times `step`, as a span has twelve features.
+    """
+    rows = seen.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect()
+    prior, rates, soft = reliabilities(sorted((r["kind"], tuple(r["votes"]), r["n"]) for r in rows))
+    model = SpanModel(prior, rates, [0.0] * BUCKETS)
+    if not soft:
+        return model
+    posterior = F.broadcast(seen.sparkSession.createDataFrame([(k, list(v), q) for k, v, q in soft], "kind string, votes array<int>, q double"))
+    patterns = stored(seen.join(posterior, ["kind", "votes"]).groupBy("features").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("s")), "patterns")
+    for _ in range(rounds):
+        p = model.probability(F.col("features"))
+        each = patterns.select(F.explode("features").alias("f"), (F.col("s") - F.col("n") * p).alias("g"), (F.col("n") * p * (1 - p)).alias("h"))
+        for r in each.groupBy("f").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():  # BUCKETS at most
+            model.weights[r["f"]] += step * (r["g"] - ridge * model.weights[r["f"]]) / (r["h"] + ridge)
+    release(patterns)
+    return model
 
 
 def find_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (row, doc_id), and the spans kept (row, kind, start, end, base)."""
     rows, matches = candidates(docs)
-    voted = stored(votes(matches).select("row", "kind", "start", "end", "valid", "votes"), "votes")
+    voted = stored(features(votes(matches)).select("row", "kind", "start", "end", "valid", "votes", "features"), "votes")
     model = train(voted)
-    sure = model.probability(F.col("kind"), F.col("votes")) >= 0.5
+    sure = model.probability(F.col("features")) >= 0.5
     by_start = Window.partitionBy("row").orderBy("start", "end")
     base_end = F.max(F.when(F.col("valid"), F.col("end"))).over(by_start)
     by_end = Window.partitionBy("row").orderBy(F.col("end").desc(), F.col("start").desc())
