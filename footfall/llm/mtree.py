@@ -8,7 +8,8 @@ stored parent distance already rules them out are skipped without computing anyt
 
 The queries of a block go down the tree side by side: each opens the page of its own least bound next, and those
 that open the same page share one matrix product. Bounds are floating-point with a slack, scores are exact integers;
-entries that tie with the k-th best are opened.
+entries that tie with the k-th best are opened. What a query found before it came here bounds it from the start.
+Scores beyond a long do not fit the result and raise an error.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-from footfall.llm.vectors import Search
+from footfall.llm.vectors import Build
 
 SLACK = 1e-6
 LEAF = 128
@@ -35,8 +38,9 @@ class Page:
 
 
 class MTree:
-    def __init__(self, vectors: np.ndarray, seed: int = 3):
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, seed: int = 3):
         """vectors: whole numbers; exact in double precision below 2**53, else kept as Python integers."""
+        self.rows, self.ids, self.computed = rows, ids, 0
         exact = float(np.abs(vectors.astype(float)).max(initial=0)) ** 2 * vectors.shape[1] * 4 < 2**52
         self.vectors = vectors.astype(float) if exact else np.array([[int(c) for c in x] for x in vectors], object)
         plain = vectors.astype(float)
@@ -66,8 +70,9 @@ class MTree:
         self.pages.append(Page(kept, self._distance(kept, parent), np.array([gaps[i, nearest == i].max() for i in used]), np.array(below)))
         return len(self.pages) - 1
 
-    def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query positions, row positions and exact scores of each query's k best; rows with the id in `own` left out."""
+    def find(self, queries: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query positions, row positions and exact scores of each query's k best of at least `least`."""
+        ids = self.ids
         n = len(queries)
         q = queries.astype(float)
         exact = q if self.vectors.dtype != object else np.array([[int(c) for c in x] for x in queries], object)
@@ -75,14 +80,15 @@ class MTree:
         slack = SLACK * (1 + np.sqrt(size))
 
         def away(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            self.computed += len(at) * len(rows)
             return np.sqrt(np.maximum(size[at, None] - 2 * (q[at] @ self.space[rows, :-1].T), 0))
 
         bound = np.full((n, len(self.pages)), np.inf)
         distance = np.zeros((n, len(self.pages)))
         bound[:, self.root], distance[:, self.root] = 0, away(np.arange(n), np.array([0]))[:, 0]
-        limit = np.full(n, np.inf)
+        least = least.astype(float).copy()
+        limit = np.sqrt(np.maximum(size - 2 * least, 0))
         best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.vectors.dtype)]  # query, row, score
-        least = np.full(n, -np.inf)
         active = np.arange(n)
         while len(active):
             page = bound[active].argmin(axis=1)
@@ -100,7 +106,8 @@ class MTree:
                     wanted = reach <= edge
                     rows = own_page.rows[wanted.any(axis=0)]
                     scores = exact[at] @ self.vectors[rows].T
-                    hit, col = np.nonzero(wanted[:, wanted.any(axis=0)] & (scores >= least[at][:, None]) & (ids[rows] != own[at][:, None]))
+                    self.computed += len(at) * len(rows)
+                    hit, col = np.nonzero(wanted[:, wanted.any(axis=0)] & (scores >= least[at][:, None]) & (self.rows[rows] != own[at][:, None]))
                     fresh.append([at[hit], rows[col], scores[hit, col]])
                 else:
                     open_ = reach - own_page.radius <= edge
@@ -123,10 +130,9 @@ class MTree:
         return best[0], best[1], best[2]
 
 
-def searcher(k: int, scale: float = 64.0) -> Search:
-    """Components are scaled and rounded down to whole numbers first."""
+def rounded(vector: Column, scale: float = 64.0) -> Column:
+    """Components scaled and rounded down to whole numbers, which stay doubles whatever their size."""
+    return F.transform(vector, lambda x: x * scale - F.pmod(x * scale, F.lit(1.0)))
 
-    def search(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return MTree(np.floor(vectors * scale)).search(np.floor(queries * scale), q_ids, ids, k)
 
-    return search
+build: Build = MTree

@@ -8,7 +8,7 @@ the lines is verified by its exact inner product.
 Largest inner product becomes least distance when each vector gets one more component that brings all to the
 same norm. A vector at distance d falls into a window of half-width h with probability 2 * Phi(h / d) - 1. Rounds end
 when a vector at the distance of the k-th best one so far would have been verified with probability `recall`, or
-when all vectors have been; there is no cap on candidates.
+when all vectors have been; there is no cap on candidates. A vector that ties with the threshold is verified.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import math
 
 import numpy as np
 
-from footfall.llm.vectors import Search, best_of
+from footfall.llm.vectors import best_of
 
 
 #: Bound on what single precision changes in a product, relative to the vectors' squared norms.
@@ -48,7 +48,8 @@ def inner_products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 class CollisionIndex:
-    def __init__(self, vectors: np.ndarray, projections: int = 24, threshold: int = 14, recall: float = 0.85, widen: float = 1.25, start: float = 0.5, seed: int = 5):
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, projections: int = 24, threshold: int = 14, recall: float = 0.85, widen: float = 1.25, start: float = 0.5, seed: int = 5):
+        self.rows, self.ids = rows, ids
         self.vectors, self.widen, self.threshold, self.start = vectors, widen, threshold, start
         norms = (vectors**2).sum(axis=1)
         self.norm = float(norms.max())
@@ -69,12 +70,13 @@ class CollisionIndex:
         """Of each line, how many values are below `at`: one search in the lines laid end to end."""
         return np.searchsorted(self.keys, np.clip(at, -self.span, self.span) + self.offsets) - self.firsts
 
-    def search(self, query: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and products of the k best found, the row with id `own` left out."""
+    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and products of the k best found, the row numbered `own` left out."""
+        ids = self.ids
         n, m = len(ids), len(self.sorted)
         at = query @ self.lines
         counts = np.zeros(n, np.int32)
-        done = ids == own
+        done = self.rows == own
         rows, scores = np.zeros(0, np.int64), np.zeros(0)
         length = math.sqrt(float(query @ query))
         unit, rough = length * math.sqrt(self.norm), (query / max(length, 1e-300)).astype(np.float32)
@@ -105,12 +107,7 @@ class CollisionIndex:
         best = best_of(ids[rows], scores, k)
         return rows[best], scores[best]
 
-
-def searcher(k: int, **options: float) -> Search:
-    def search(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        index = CollisionIndex(vectors, **options)
-        found = [index.search(x, ids, own, k) for own, x in zip(q_ids, queries, strict=True)]
+    def find(self, queries: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [self.search(x, number, k) for number, x in zip(own, queries, strict=True)]
         at = np.repeat(np.arange(len(found)), [len(r) for r, _ in found])
         return at, np.concatenate([r for r, _ in found]), np.concatenate([s for _, s in found])
-
-    return search

@@ -38,12 +38,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors.clean(table(spark, sf_dir, "embeddings")).where(F.exists("vector", lambda c: c != 0))
-    return vectors.top_k(rows, F.col("vec_id") % 20 == 0, qalsh.searcher(20), 20, "double", shard_rows=8192)
+    return vectors.top_k(rows, F.col("vec_id") % 20 == 0, qalsh.CollisionIndex, 20, "double", shard_rows=8192)
 
 
 def op5_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vectors.clean(table(spark, sf_dir, "embeddings"))
-    return vectors.top_k(rows, F.col("vec_id") % 20 == 0, mtree.searcher(20), 20, "long")
+    rows = vectors.clean(table(spark, sf_dir, "embeddings")).withColumn("vector", mtree.rounded(F.col("vector")))
+    return vectors.top_k(rows, F.col("vec_id") % 20 == 0, mtree.build, 20, "long")
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +81,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: Exact integer inner products of the rounded vectors, straight from their definition.
 MTREE_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, r.vec_id, list_inner_product(q.x, r.x)::BIGINT AS score
-      FROM v q JOIN v r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id)
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, r.vec_id, coalesce(list_inner_product(q.x, r.x), 0)::BIGINT AS score
+      FROM v q JOIN v r ON q.vec_id % 20 = 0 AND q.rid <> r.rid AND len(q.x) = len(r.x))
 SELECT query_id, rank::INT AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
 
 
