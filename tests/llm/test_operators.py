@@ -119,6 +119,29 @@ def test_licenses(spark, hard, empty):
     assert licenses.scan(hard).count() == len(HARD) and licenses.scan(empty).count() == 0
 
 
+def test_license_files_as_they_come(spark, tmp_path):
+    """Every width from 40 to 100, with title, copyright line, list marks and comment signs."""
+    import textwrap
+
+    heads = {"MIT": "The MIT License (MIT)", "ISC": "ISC License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License", "Unlicense": "The Unlicense"}
+    rows, want = [], []
+    for name, text in licenses.LICENSE_TEXTS.items():
+        for width in range(40, 101):
+            wrapped = "\n\n".join(textwrap.fill(x, width, break_on_hyphens=width % 2 == 0) for x in text.split("\n"))
+            notice = ("Copyright (c) 2020, Some One\nAll rights reserved.", "Copyright 1999-2024 The Authors", "(c) 2001 x", "Copyright Acme Inc.")[width % 4]
+            rows.append(f"{heads.get(name, 'MIT License')}\n\n{notice}\n\n{wrapped}\n")
+            want.append(name)
+        starred = re.sub(r"(?m)^[0-9]\. ", "* ", text)
+        rows += ["\n".join(" * " + x for x in starred.split("\n")), re.sub(r"(?m)^([0-9])\. ", r"(\1) ", text), text + "\nand one line more"]
+        want += [name, name, ""]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+    (tmp_path / "Own-1.0.txt").write_text("You may do\nas you like.\n")
+    own = licenses.scan(spark.createDataFrame([(1, "YOU MAY do as\nyou like")], "doc_id int, text string"), licenses.from_files(spark, str(tmp_path)))
+    assert own.first()["license"] == "Own-1.0"
+
+
 # quality
 
 
@@ -157,6 +180,15 @@ def _vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int, vector string")
 
 
+def _exact(rows, k=20, **sizes):
+    whole = rows.withColumn("vector", mtree.rounded(F.col("vector")))
+    return vectors.top_k(whole, F.col("vec_id") % 20 == 0, mtree.build, k, "long", **sizes)
+
+
+def _close(rows, k=20, **sizes):
+    return vectors.top_k(rows.where(F.exists("vector", lambda c: c != 0)), F.col("vec_id") % 20 == 0, qalsh.CollisionIndex, k, "double", **sizes)
+
+
 def _brute(rows, k, scale=None):
     v = {i: np.array(x, np.float32).astype(float) for i, x, *_ in rows}
     if scale:
@@ -173,14 +205,14 @@ def _vector_rows(n=700, dim=12):
 
 def test_mtree_is_exact(spark):
     rows = _vector_rows()
-    got = vectors.top_k(vectors.clean(_vectors(spark, rows)), F.col("vec_id") % 20 == 0, mtree.searcher(20), 20, "long", shard_rows=300, block_rows=20)
+    got = _exact(vectors.clean(_vectors(spark, rows)), shard_rows=60, block_rows=20)
     want = _brute(rows, 20, 64)
     assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got.collect()} == {k: (i, int(s)) for k, (i, s) in want.items()}
 
 
 def test_collision_search_recall(spark):
     rows = _vector_rows()
-    got = vectors.top_k(vectors.clean(_vectors(spark, rows)), F.col("vec_id") % 20 == 0, qalsh.searcher(20), 20, "double", shard_rows=300).collect()
+    got = _close(vectors.clean(_vectors(spark, rows)), shard_rows=150).collect()
     want = _brute(rows, 20)
     pairs = {(q, i) for (q, _), (i, _) in want.items()}
     assert len({(r["query_id"], r["vec_id"]) for r in got} & pairs) >= 0.95 * len(pairs)
@@ -192,16 +224,43 @@ def test_vector_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 0, ""), (1, [0.5, 0.5], 0, ""), (1, [0.5, 0.5], 0, ""), (2, None, 0, ""), (3, [nan, 1.0], 0, ""), (4, [inf, 1.0], 0, ""), (5, [None, 1.0], 0, ""), (6, [0.0, 0.0], 0, ""), (None, [1.0, 1.0], 0, ""), (7, [1.0], 0, ""), (8, [], 0, "")]
     clean = vectors.clean(_vectors(spark, rows))
-    got = vectors.top_k(clean, F.col("vec_id") % 20 == 0, mtree.searcher(20), 20, "long").collect()
-    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 1, 2048), (0, 2, 6, 0)]
-    near = vectors.top_k(clean.where(F.exists("vector", lambda c: c != 0)), F.col("vec_id") % 20 == 0, qalsh.searcher(20), 20, "double").collect()
-    assert [(r["vec_id"], r["score"]) for r in near] == [(1, 0.5)]
-    assert vectors.top_k(clean.limit(0), F.lit(True), mtree.searcher(20), 20, "long").count() == 0
+    got = _exact(clean).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 1, 2048), (0, 2, 1, 2048), (0, 3, 6, 0)]
+    assert [(r["vec_id"], r["score"]) for r in _close(clean).collect()] == [(1, 0.5), (1, 0.5)]
+    assert _exact(clean.limit(0)).count() == 0 == _close(clean.limit(0)).count()
+
+
+def test_rows_that_share_an_id(spark):
+    """Each is a candidate, a zero vector does not hide another, and queries leave out their own row only."""
+    rows = [(0, [1.0, 1.0], 0, ""), (0, [2.0, 0.0], 0, ""), (1, [0.0, 0.0], 0, ""), (1, [0.5, 0.5], 0, ""), (2, [0.25, 0.25], 0, "")]
+    clean = vectors.clean(_vectors(spark, rows))
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in _close(clean).collect())
+    assert got == sorted([(0, 1, 0, 2.0), (0, 2, 1, 1.0), (0, 3, 2, 0.5), (0, 1, 0, 2.0), (0, 2, 1, 1.0), (0, 3, 2, 0.5)])
+    assert len(_exact(clean).collect()) == 8
+
+
+def test_bounds_spare_distances():
+    """Best-first search computes few distances where vectors lie in groups; far cells are not visited."""
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((30, 16)) * 20
+    x = np.floor(centres[rng.integers(0, 30, 3000)] * 3 + rng.standard_normal((3000, 16)) * 3)
+    tree = mtree.MTree(np.arange(3000), np.arange(3000), x)
+    q, r, score = tree.find(x[:50], np.arange(50), 5, np.full(50, -np.inf))
+    for i in range(50):
+        own = x @ x[i]
+        own[i] = -np.inf
+        assert sorted(score[q == i], reverse=True) == sorted(own, reverse=True)[:5]
+    assert tree.computed < 0.5 * 50 * 3000
+    cells = vectors.Cells(centres * 3, float((x**2).sum(axis=1).max()))
+    away = cells.away(x)
+    cells.radius = np.array([away[away.argmin(axis=1) == c, c].max() for c in range(30)])
+    least = np.array([np.sort(x @ x[i])[-6] for i in range(50)])
+    assert cells.wanted(x[:50], least).mean() < 0.5
 
 
 def test_mtree_beyond_double_precision(spark):
     rows = [(0, [2.0**30, 1.0], 0, ""), (1, [2.0**20, 3.0], 0, ""), (2, [1.0, 1.0], 0, "")]
-    got = vectors.top_k(vectors.clean(_vectors(spark, rows)), F.col("vec_id") == 0, mtree.searcher(2), 2, "long").collect()
+    got = _exact(vectors.clean(_vectors(spark, rows)), 2).collect()
     assert [(r["vec_id"], r["score"]) for r in got] == [(1, 2**36 * 2**26 + 64 * 192), (2, 2**36 * 64 + 64 * 64)]
 
 
@@ -406,3 +465,29 @@ def test_redaction(spark, hard):
     assert got[1]["text"] == "mail [EMAIL] or [PHONE]." and got[1]["n_chars"] == len(got[1]["text"])
     assert got[2]["text"] == "nothing here" and got[3]["text"] is None
     assert pii.redact(hard).columns == hard.columns and pii.redact(hard).count() == len(HARD)
+
+
+def test_votes_give_the_posteriors_of_plain_em():
+    """Expectation-maximisation over counts equals the same over single candidates, one by one."""
+    counts = [("secret", (1, 0, 1, 0), 40), ("secret", (-1, 0, 1, 0), 25), ("secret", (-1, 1, 1, -1), 10), ("secret", (1, 1, 1, 0), 5)]
+    prior, rates, soft = pii.reliabilities(counts)
+    single = [("secret", v, 1) for _, v, n in counts for _ in range(n)]
+    one, each, again = pii.reliabilities(single)
+    assert prior["secret"] == pytest.approx(one["secret"]) and all(rates["secret"][i][k] == pytest.approx(x) for i in range(4) for k, x in each["secret"][i].items())
+    assert {v: q for _, v, q in soft} == pytest.approx({v: q for _, v, q in again})
+    assert soft[0][2] > 0.9 and soft[1][2] < 0.1 and all(0 < q < 1 for *_, q in soft)
+
+
+def test_span_classifier_learns_from_the_span_and_its_context(spark):
+    """Secrets and what only looks like one, told apart by shape and by the words before."""
+    rows = [(i, f"please set api_key: Zk{i}9xQ4tLm{i}a8 now" if i % 2 else f"the token = something{'abcdefg'[i % 7]}else here") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}
+    assert all(("secret" in got[i]) == bool(i % 2) for i in range(200))
+    seen = pii.features(pii.votes(pii.candidates(docs)[1]))
+    model = pii.train(seen)
+    p = {r["at"]: r["p"] for r in seen.groupBy((F.col("row") * 0 + F.length("match") * 0 + F.col("votes")[0]).alias("at")).agg(F.avg(model.probability(F.col("features"))).alias("p")).collect()}
+    assert p[1] > 0.7 and p[-1] < 0.3
+    weights = {name: w for name, w in enumerate(model.weights) if w}
+    shapes = {tuple(r["features"]) for r in seen.select("features").distinct().collect()}
+    assert len({f for x in shapes for f in x}) == len(weights)  # shape, length and context weigh too, not only votes
