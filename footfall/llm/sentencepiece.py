@@ -36,7 +36,7 @@ SPACE = "▁"
 
 
 class Codec:
-    def __init__(self, model_file: str, kind: str = "bpe", most: int = 400_000):
+    def __init__(self, model_file: str, kind: str = "bpe", most: int = 100_000):
         import ahocorasick
         from sentencepiece import SentencePieceProcessor
 
@@ -45,7 +45,9 @@ class Codec:
             raise ValueError(f"unknown kind of model: {kind}")
         self.unknown, self._bpe, self._most = model.unk_id(), kind == "bpe", most
         self._prefix = model.normalize("a") == SPACE + "a"
-        self._plain = model.normalize(" a  b ").endswith(f"{SPACE}a{SPACE}{SPACE}b{SPACE}")
+        # whether the normaliser does nothing but mark spaces: letters it might compose, fold or widen come back
+        probe = " a  b ﬁ Å ① ｶ İ e\u0301 "
+        self._plain = model.normalize(probe) == SPACE * self._prefix + probe.replace(" ", SPACE)
         self._normalize = model.normalize
         self.pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self._score = [model.get_score(i) for i in range(len(self.pieces))]
