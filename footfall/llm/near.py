@@ -129,17 +129,27 @@ def _close(firsts: DataFrame) -> DataFrame:
     return same.union(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
-def _roots(members: DataFrame, sets: DataFrame, links: DataFrame, most: int) -> DataFrame:
-    """(a, root) of sets that are linked to a smaller one. members: (key, row); links: what is linked already."""
-    roots = connected_components(links)
+def _hooked(links: DataFrame) -> DataFrame:
+    """(a, root): what each set's least link leads to in two steps, which is in its component if not yet its root."""
+    least = links.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("root"))
+    on = least.toDF("by", "next")
+    return least.join(on, least.root == on.by, "left").select("a", F.coalesce("next", "root").alias("root"))
+
+
+def _components(members: DataFrame, sets: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """(a, root) of sets that are linked to a smaller one. members: (key, row); links: what is linked already.
+
+    While sets are compared, what is joined already is known by `_hooked` alone; only the end needs components.
+    """
     while True:
+        roots = _hooked(links)
         named = members.join(roots, members.row == roots.a, "left").select("key", "row", F.coalesce("root", "row").alias("root"))
         sizes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
-        # keys whose members are not yet one component
+        # keys whose members are not yet known to be joined
         live = stored(named.join(sizes.where("n * n > s").select("key", "n", ((F.col("n") * F.col("n") - F.col("s")) / 2).alias("pairs")), "key"), "live")
         total = live.agg(F.coalesce(F.sum(F.col("pairs") / F.col("n")), F.lit(0.0))).first()[0]
         if total < 0.5:
-            return roots
+            return connected_components(links)
         if total <= most:
             other = live.select("key", F.col("row").alias("b"), F.col("root").alias("other"))
             pairs = live.join(other, "key").where("row < b and root <> other").select(F.col("row").alias("a"), "b")
@@ -153,8 +163,7 @@ def _roots(members: DataFrame, sets: DataFrame, links: DataFrame, most: int) ->
         )
         spread = stored(live.join(centres, "key"), "spread")
         pairs = spread.where("root <> other").select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b"))
-        links = links.union(_links(pairs, sets))
-        roots = connected_components(links)
+        links = stored(links.union(_links(pairs, sets)), "links")
         members = spread.where("row <> a").select("key", "row")
 
 
@@ -176,7 +185,7 @@ def near_copies(rows: DataFrame, words: int = WORDS, most: int | None = None) ->
     sets = stored(texts.join(few(asked), "row", "left_semi").select("row", "text").mapInArrow(partial(_sets, words=words), "row long, shingles binary"), "sets")
     links = _links(close, sets)
     release(asked, close)
-    roots = stored(_roots(members, sets, links, PAIRS_A_SET * firsts.count() if most is None else most), "roots")
+    roots = stored(_components(members, sets, links, PAIRS_A_SET * firsts.count() if most is None else most), "roots")
     release(members, sets)
     by_digest = firsts.join(roots, firsts.chosen == roots.a, "left").select("digest", F.coalesce("root", "chosen").alias("root"))
     return sketches.drop("bands", "fp").join(by_digest, "digest").select("row", "doc_id", "mark", "root")
