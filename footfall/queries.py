@@ -636,7 +636,7 @@ ROUND_TRIP = (
     ts AS seen_at, campaign AS campaigns FROM hd) GROUP BY date, kind""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Every column through the wire form: how many values, their lengths and the greatest. The term travels in the address."""
-    rows = adapter.hits(spark, sf)
+    rows = adapter.hits(spark, sf).select(F.inline(F.array(F.struct("*"))))  # so that what hits are made by is not repeated in what follows
     asked = F.concat("path", F.lit("?q="), F.replace("search_term", F.lit(" "), F.lit("%20")))
     sent = rows.withColumn("path", F.when(F.col("search_term").isNull(), F.col("path")).otherwise(asked)).drop("search_term")
     back = ingest.with_search_term(hits.usable(hits.decode(hits.encode(sent))), Settings())

@@ -32,7 +32,7 @@ def decode(lines: DataFrame) -> DataFrame:
         text("ua").alias("user_agent"), text("al").alias("accept_language"), dwell(F.coalesce("d", F.lit(0))).alias("dwell_ms"),
         (~F.coalesce("nv", F.lit(False))).alias("count_view"), F.col("vid").alias("visitor_id"), F.col("uid").alias("user_id"),
         F.when(F.coalesce(F.col("cm.s"), F.lit("")) != "", F.struct(*(text(f"cm.{k}").alias(k) for k in "smcto"))).alias("campaign"),
-        text("cc").alias("country_code"), text("rg").alias("region"), kind.alias("kind"), F.col("en").alias("event_name"),
+        text("cc").alias("country_code"), text("rg").alias("region"), kind.alias("kind"), F.when(kind != "crawler", F.col("en")).alias("event_name"),
         event_value(F.col("ev")).alias("event_value"), F.col("tg").alias("target"), scroll_bucket(F.col("sb")).alias("scroll_bucket"),
         F.coalesce("sg", F.create_map().cast("map<string,string>")).alias("segments"),
         F.lit(None).cast("string").alias("search_term"), F.when(kind == "crawler", text("en")).alias("crawler"),
@@ -64,7 +64,7 @@ def encode(hits: DataFrame) -> DataFrame:
         unless(c("referrer"), empty).alias("r"), unless(c("user_agent"), empty).alias("ua"), unless(c("accept_language"), empty).alias("al"),
         unless(c("dwell_ms"), F.lit(0)).alias("d"), F.when(~c("count_view"), F.lit(True)).alias("nv"), c("visitor_id").alias("vid"),
         c("user_id").alias("uid"), c("campaign").alias("cm"), unless(c("country_code"), empty).alias("cc"), unless(c("region"), empty).alias("rg"),
-        unless(c("kind"), F.lit("view")).alias("kd"), c("event_name").alias("en"), c("event_value").cast("string").alias("ev"),
+        unless(c("kind"), F.lit("view")).alias("kd"), F.when(c("kind") == "crawler", c("crawler")).otherwise(c("event_name")).alias("en"), c("event_value").cast("string").alias("ev"),
         c("target").alias("tg"), c("scroll_bucket").alias("sb"), F.when(F.size("segments") > 0, c("segments")).alias("sg"),
     )
     return hits.select(F.to_json(wire).alias("value"))
