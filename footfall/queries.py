@@ -696,18 +696,15 @@ _STORES: dict[tuple[str, str], store.Store] = {}
 
 
 def _stored(spark: SparkSession, sf: str) -> store.Store:
-    """A store that took in all events in three batches and closed all sessions; the first two batches are compacted."""
+    """A store that took in all events in two batches, of which the first is compacted; all sessions are closed."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _STORES:
         own = store.Store(spark, f"{store.shared_dir(spark)}/store-{uuid.uuid4().hex}")
-        rows = adapter.hits(spark, sf)
-        cuts = ["1970-01-01", "2024-01-10", "2024-01-20", "2100-01-01"]
-        for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            ingest.apply(own, rows.where((F.col("ts") >= a) & (F.col("ts") < b)), n, STREAM, DEFS)
-            if n == 1:
-                own.compact(dt.date(2024, 1, 20), STREAM)
-                own.tidy()
-        ingest.apply(own, rows.limit(0), 3, STREAM, DEFS, as_of=4_102_444_800)
+        rows, cut = adapter.hits(spark, sf), F.lit("2024-01-15").cast("timestamp")
+        ingest.apply(own, rows.where(F.col("ts") < cut), 0, STREAM, DEFS)
+        own.compact(dt.date(2024, 1, 17), STREAM)
+        own.tidy()
+        ingest.apply(own, rows.where(F.col("ts") >= cut), 1, STREAM, DEFS, as_of=4_102_444_800)
         _STORES[key] = own
     return _STORES[key]
 
