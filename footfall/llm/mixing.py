@@ -13,7 +13,8 @@ large, is ever ordered in one task.
 
 Defined results: a null text has size 0 and nothing is taken from it; a null source is a source of its own and
 comes last; sources of size 0 have target 0; an empty mix has targets 0; rows that repeat are documents of their
-own; a null doc_id belongs to bucket 0; other columns are kept out; an empty table gives no rows.
+own; rows with a null doc_id are
+spread over the buckets by their number; other columns are kept out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.llm.common import WORD_PATTERN, stored
+from footfall.llm.common import WORD_PATTERN, shuffle_width, stored
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 128
@@ -33,6 +34,7 @@ ROUNDS = 16
 PRIME = 2_147_483_647
 CHUNK = 4096
 SHARD_WORDS = 1 << 20
+BUCKET_ROWS = 5_000
 
 
 def word_count(text: Column) -> Column:
@@ -78,7 +80,7 @@ def source_targets(rows: DataFrame) -> DataFrame:
 
 def placed(rows: DataFrame, buckets: int) -> DataFrame:
     """Each row with `start`, the words of its source before it."""
-    mixed = F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(PRIME)) * 48271 % PRIME % buckets
+    mixed = F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.col("row")), F.lit(PRIME)) * 48271 % PRIME % buckets
     dealt = rows.select("*", mixed.alias("bucket"))
     totals = dealt.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -135,7 +137,7 @@ def slots(targets: DataFrame, block: int = BLOCK, shards: int = 1) -> DataFrame:
         .agg(F.array_sort(F.collect_list("round")).alias("rounds"))  # ROUNDS of them
     )
     chunks = keyed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK).cast("long"))).alias("chunk"))
-    dealt = chunks.repartition("src", "pass", "chunk")
+    dealt = chunks.repartition(shuffle_width(targets.sparkSession), "src", "pass", "chunk")  # a given number, as few rows here make many
     last = F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK) - 1
     every = dealt.select("*", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("number"))
     number = F.col("number")
@@ -178,7 +180,7 @@ def _prepared(rows: DataFrame, block: int, shard_words: int) -> tuple[DataFrame,
     """
     targets = source_targets(rows)
     words = targets.agg(F.coalesce(F.sum(F.round("target")), F.lit(0.0))).first()[0]
-    at = placed(rows, 16 + rows.count() // 20_000)
+    at = placed(rows, 64 + rows.count() // BUCKET_ROWS)
     recipe = pieces(at, slots(targets, block, max(1, math.ceil(words / shard_words))), block)
     return targets, stored(recipe.repartition("shard"), "shards", by="shard")
 
@@ -243,7 +245,7 @@ WITH RECURSIVE
 d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS src,
         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
         row_number() OVER () AS rid FROM documents),
-n AS (SELECT 16 + count(*) // 20000 AS buckets FROM d),
+n AS (SELECT 64 + count(*) // {BUCKET_ROWS} AS buckets FROM d),
 s AS (SELECT src, sum(size)::BIGINT AS source_size FROM d GROUP BY src),
 w AS (SELECT *, source_size * {MOST} AS stop,
         [5, 2, 1][((row_number() OVER (ORDER BY src = 'n', src) - 1) % 3 + 1)::INT] AS weight FROM s),
@@ -252,7 +254,7 @@ l AS (SELECT *, row_number() OVER u AS k,
         / sum(weight) OVER (u ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
       FROM w WINDOW u AS (ORDER BY stop / weight, src)),
 t AS (SELECT src, source_size, least(stop::DOUBLE, weight * coalesce((SELECT arg_min(level, k) FROM l WHERE level <= stop / weight), 0.0)) AS target FROM l),
-b AS (SELECT d.*, ((coalesce(doc_id, 0) % {PRIME} + {PRIME}) % {PRIME}) * 48271 % {PRIME} % buckets AS bucket FROM d, n),
+b AS (SELECT d.*, ((coalesce(doc_id, rid) % {PRIME} + {PRIME}) % {PRIME}) * 48271 % {PRIME} % buckets AS bucket FROM d, n),
 place AS (SELECT *, (sum(size) OVER (PARTITION BY src ORDER BY bucket, doc_id NULLS FIRST, size, rid) - size)::BIGINT AS start FROM b),
 q AS (SELECT src, source_size, source_size // {BLOCK} AS f, pass,
         least(source_size, round(target)::BIGINT - pass * source_size) AS words
