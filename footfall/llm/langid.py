@@ -40,9 +40,9 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number and bucket of every trigram, and by text whether it has a letter."""
+    """Text number and bucket of every trigram, and by text whether it has a letter. Texts bring their own margins."""
     inner, letter = _letters()
-    code = [np.frombuffer(f" {x} ".encode("utf-32-le", "surrogatepass"), np.uint32) for x in texts]
+    code = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in texts]
     owner = np.repeat(np.arange(len(texts)), [len(x) for x in code])
     chars = np.concatenate(code)
     has = np.bincount(owner[letter[chars]], minlength=len(texts)) > 0
@@ -60,10 +60,13 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def grouped(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """Runs of texts of about _PIECE characters in all; a longer text comes in pieces that share two characters."""
+    """Runs of texts of about _PIECE characters in all, with a space at both ends of each text.
+
+    A longer text comes in pieces that share two characters, so that its trigrams are those of the whole.
+    """
     rows, own, size = [], [], 0
     for i, t in enumerate(texts):
-        t = (t or "").lower()
+        t = f" {(t or '').lower()} "
         for at in range(0, max(len(t), 1), _PIECE):
             rows.append(i)
             own.append(t[max(0, at - 2) : at + _PIECE])
@@ -168,8 +171,8 @@ def _predict(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
     for batch in batches:
         texts = batch.column(0).to_pylist()
         top, score = np.full(len(texts), len(model.names)), np.zeros(len(texts))
-        long = [i for i, t in enumerate(texts) if t is not None and len(t) > _PIECE]
-        rest = [i for i, t in enumerate(texts) if t is not None and len(t) <= _PIECE]
+        long = [i for i, t in enumerate(texts) if t is not None and len(t) > _PIECE // 4]  # lower case may be longer
+        rest = [i for i, t in enumerate(texts) if t is not None and len(t) <= _PIECE // 4]
         runs = [(np.array(rest)[rows], [own]) for rows, own in ((np.array(r), o) for r, o in grouped([texts[i] for i in rest]))]
         runs += [(np.array([i]), [[x] for _, own in grouped([texts[i]]) for x in own]) for i in long]
         for rows, pieces in runs:
