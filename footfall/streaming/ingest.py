@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -120,15 +120,13 @@ def roll_up(
     def each(batch: DataFrame, number: int) -> None:
         if store.is_written(number):
             return
-        seen = Observation(f"batch-{number}-{store_root}")
-        counted = batch.observe(seen, F.count(F.lit(1)).alias("lines"), F.count(F.when(F.col("malformed"), 1)).alias("malformed"))
-        marked = counted.withColumn("_id", F.monotonically_increasing_id())
+        marked = batch.withColumn("_id", F.monotonically_increasing_id())
         # partition and row as 14 and 26 bits
         seq = F.shiftleft(F.shiftright("_id", 33), 26) + F.col("_id").bitwiseAND(F.lit((1 << 26) - 1))
         lines = marked.withColumn("seq", seq).drop("_id").persist()
         try:
             _tried(store, number, attempts, lambda: apply(store, wire.usable(lines), number, settings, definitions, hooks), lambda: set_aside(store, lines, number))
-            store.count_malformed(number, seen.get["malformed"])
+            store.count_malformed(number, lines.where("malformed").count())
         finally:
             lines.unpersist()
 
