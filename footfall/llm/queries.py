@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import langid, licenses, mixing, mtree, pii, qalsh, quality, sentencepiece, simhash, token_store, vectors
+from footfall.llm import langid, licenses, mining, mixing, mtree, packing, partcodes, pii, qalsh, quality, sentencepiece, simhash, token_store, vectors
 from footfall.llm.common import fold, table
 
 
@@ -69,9 +69,24 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = tokenizer_file("word_bpe_49k.json")
+    return packing.placements(packing.pack(table(spark, sf_dir, "documents"), tokenizer), tokenizer)
+
+
+def op12_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partcodes.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mining.mine(mining.clean(table(spark, sf_dir, "embeddings"), label), F.col("vec_id") % 50 == 0)
+
+
 _QUERIES = (
     op1_token_store, op2_license_scan, op3_quality, op4_collision_search, op5_mtree_search,
     op6_source_mix, op7_language_mixture, op8_simhash, op9_sentencepiece, op10_personal_data,
+    op11_best_fit_packing, op12_part_codes, op13_hard_negatives,
 )
 
 
@@ -91,4 +106,4 @@ FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.ORACLE_SQL, "op5_mtree_search": MTREE_SQL, "op6_source_mix": mixing.ORACLE_SQL}
+    return {"op2_license_scan": licenses.ORACLE_SQL, "op5_mtree_search": MTREE_SQL, "op6_source_mix": mixing.ORACLE_SQL, "op12_part_codes": partcodes.ORACLE_SQL, "op13_hard_negatives": mining.ORACLE_SQL}
