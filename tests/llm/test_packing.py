@@ -115,7 +115,7 @@ def test_sequences_hold_every_document(spark):
         own.sort()
         assert [o for o, _ in own] == [0, *itertools.accumulate(n for _, n in own)][:-1] and sum(n for _, n in own) <= 512
     total = sum(map(len, whole))
-    assert len(held) <= -(-total // 512) + 3
+    assert len(held) <= 1.05 * (total // 512)  # though a group here has but eight sequences
     read = {r["sequence_id"]: r["ids"] for r in packing.ids_of(sequences, TOKENIZER).collect()}
     assert {k: len(v) for k, v in read.items()} == {k: sum(n for _, n in own) for k, own in held.items()}
     assert sequences.where("left_over").count() <= 1
