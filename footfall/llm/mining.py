@@ -65,7 +65,7 @@ class Lists:
         q = np.array([int(c) for c in query], object) if exact else query.astype(kind)
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         seen, score = np.zeros(n, bool), np.zeros(n, object if exact else np.float64)
-        depth, step, out = 0, FIRST, None
+        depth, step, greatest = 0, FIRST, max(high for _, high in windows)
         while True:
             upto = min(n, depth + step)
             met = np.zeros(n, bool)
@@ -78,13 +78,15 @@ class Lists:
             score[new] = self.x[new] @ q
             seen |= met
             self.scored += len(new)
-            out = [self._window(score, seen & allowed, low, high, k) for low, high in windows]
             if seen.all():
-                return out
+                return [self._window(score, allowed, low, high, k) for low, high in windows]
             depth, step = upto, step * 2
             # the most that a row not met can score, rounding included
             threshold = float(query[up] @ self.value[up, n - depth] + query[down] @ self.value[down, depth - 1])
             threshold += 1e-9 * float(abs(query) @ np.maximum(abs(self.value[:, 0]), abs(self.value[:, -1])))
+            if threshold >= greatest:
+                continue  # no score in a window can lie above it yet
+            out = [self._window(score, seen & allowed, low, high, k) for low, high in windows]
             if all(threshold < (low if len(s) < k else s[-1]) for (low, _), (_, s) in zip(windows, out, strict=True)):
                 return out
 

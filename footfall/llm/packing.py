@@ -40,19 +40,39 @@ RUN_BYTES = 1 << 22  # of text that is cut at once
 SEQUENCE = "sequence_id long, left_over boolean, doc_ids array<bigint>, pieces array<int>, starts array<bigint>, lengths array<int>, ids binary"
 
 
+_ODD, _LETTER, _DIGIT, _MARK = range(4)
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    kind, lower = np.zeros(256, np.uint8), np.arange(256, dtype=np.uint8)
+    kind[33:127] = _MARK
+    kind[48:58] = _DIGIT
+    kind[[*range(65, 91), *range(97, 123)]] = _LETTER
+    kind[ord("'")] = _ODD  # contractions
+    lower[65:91] += 32
+    return kind, lower
+
+
+_KIND, _LOWER = _tables()
+
+
 class WordEncoder:
     """Ids of whole texts by a `tokenizers` model whose pre-tokens never hold white space.
 
     Texts are cut at ASCII white space, Arrow finds the different words, and the library encodes each of these once;
-    the memory of them is emptied when it is full. With any other tokenizer texts go to the library whole.
+    the memory of them is emptied when it is full. Where the tokenizer lower-cases and tells letters, digits and marks
+    apart, plain words are lower-cased and cut there too. With any other tokenizer texts go to the library whole.
     """
 
-    def __init__(self, tokenizer_path: str, most: int = 300_000):
+    def __init__(self, tokenizer_path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
         self._most = most
-        self.by_word = _cuts_at_space(json.loads(self._tokenizer.to_str()))
+        state = json.loads(self._tokenizer.to_str())
+        self.by_word = _cuts_at_space(state)
+        self._finer = self.by_word and _cuts_kinds(state)
+        self._added = [x["content"].lower().encode() for x in state["added_tokens"]]
         self._forget()
 
     def _forget(self) -> None:
@@ -79,6 +99,20 @@ class WordEncoder:
             self._held += len(flat)
             self._known.update(zip(part, range(n, n + len(part)), strict=True))
 
+    @staticmethod
+    def _turns(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Where words of nothing but letters up to U+00FF, digits and ASCII marks go from one to another."""
+        kind = _KIND[data]
+        lead = np.flatnonzero(data == 0xC3)
+        lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+        kind[lead] = kind[lead + 1] = _LETTER
+        word = np.cumsum(first > 0, dtype=np.int32)
+        plain = np.ones(int(word[-1]) + 1, bool)
+        plain[word[(kind == _ODD) & ~SPACE[data]]] = False
+        turn = np.zeros(len(data), bool)
+        turn[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        return np.flatnonzero(turn & ~SPACE[data] & (first == 0) & plain[word])
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end, and how many each has."""
         if not self.by_word:
@@ -88,14 +122,19 @@ class WordEncoder:
             self._forget()
         raw = [t.encode() for t in texts]
         ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
-        data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-        turns = np.flatnonzero(np.diff((~SPACE[data]).astype(np.int8), prepend=np.int8(0)))  # words begin and end in turn
-        begins = turns[::2]
-        if not len(begins):
+        whole = b" ".join(raw) + b" "
+        data = np.frombuffer(whole, np.uint8)
+        first = np.diff((~SPACE[data]).astype(np.int8), prepend=np.int8(0))  # 1 where words begin, -1 after them
+        if not (first > 0).any():
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        places = np.append(turns, len(data)).astype(np.int64)
-        every = pa.Array.from_buffers(pa.large_binary(), len(turns), [None, pa.py_buffer(places), pa.py_buffer(data)])
-        coded = every.take(pa.array(np.arange(0, len(turns), 2))).dictionary_encode()
+        if self._finer and not any(x in whole.lower() for x in self._added):
+            data = _LOWER[data]
+            first[self._turns(data, first)] = 1
+        edges = np.flatnonzero(first)
+        own = np.flatnonzero(first[edges] > 0)
+        begins = edges[own]
+        every = pa.Array.from_buffers(pa.large_binary(), len(edges), [None, pa.py_buffer(np.append(edges, len(data)).astype(np.int64)), pa.py_buffer(data)])
+        coded = every.take(pa.array(own)).dictionary_encode()
         different = coded.dictionary.to_pylist()
         self._learn([w for w in different if w not in self._known])
         number = np.fromiter(map(self._known.__getitem__, different), np.int64, len(different))[coded.indices.to_numpy()]
@@ -119,6 +158,17 @@ def _cuts_at_space(state: dict) -> bool:
     return bool(plain and solid and added and not state.get("post_processor"))
 
 
+#: Fixed value: how a tokenizer cuts that takes contractions, runs of letters, single digits and runs of marks.
+_KINDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _cuts_kinds(state: dict) -> bool:
+    """Whether letters lose their case, and pre-tokens end where letters, digits and marks meet."""
+    lowers = any(s["type"] == "Lowercase" for s in state["normalizer"].get("normalizers", [])) if state["normalizer"] else False
+    cuts = state["pre_tokenizer"].get("pretokenizers", [])
+    return lowers and bool(cuts) and cuts[0].get("pattern") == {"Regex": _KINDS} and all(c["type"] == "ByteLevel" and not c["use_regex"] and not c["add_prefix_space"] for c in cuts[1:])
+
+
 @functools.lru_cache(maxsize=2)
 def _encoder(tokenizer_path: str) -> WordEncoder:
     """One for each Python worker, kept over its tasks."""

@@ -14,7 +14,7 @@ from footfall.llm.queries import tokenizer_file
 
 TOKENIZER = tokenizer_file("word_bpe_49k.json")
 TEXTS = [
-    "It's DON'T café étude", "<|endoftext|>x <|startoftext|>", " á ́b ΟΔΟΣ", "\x0b\x0c\r\n  ", "", "日本 x y 𝄞𝄞 1234 ½", "İstanbul ǅ ﬁ", "a\x1cb\x1fc\x85d",
+    "It's DON'T café étude", "<|endoftext|>x <|startoftext|>", " á ́b ΟΔΟΣ", "\x0b\x0c\r\n  ", "", "日本 x y 𝄞𝄞 1234 ½", "İstanbul ǅ ﬁ", "a\x1cb\x1fc\x85d", "Straße12,b×c÷d e=\u0338f A\u0301b 'S ''t x'Ll <|ENDOFTEXT|> ½²a___b--\x01",
     " ".join(f"word{i % 977}" for i in range(9000)), None,
 ]
 
@@ -22,7 +22,7 @@ TEXTS = [
 def test_words_give_whole_text_ids():
     encoder, plain = packing.WordEncoder(TOKENIZER, most=5), Tokenizer.from_file(TOKENIZER)
     assert encoder.by_word
-    for part in (TEXTS[:3], TEXTS[3:5], TEXTS[5:9], TEXTS[:9]):  # the memory is emptied in between
+    for part in (TEXTS[:3], TEXTS[3:5], TEXTS[5:9], TEXTS[8:9], TEXTS[8:10], TEXTS[:10]):  # the memory is emptied in between
         ids, sizes = encoder(part)
         got = np.split(ids, np.cumsum(sizes)[:-1])
         assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in part]
