@@ -99,8 +99,8 @@ class Lists:
 
 
 def _big(kept: DataFrame, shard_rows: int) -> DataFrame:
-    """(label, pieces) of labels that fill shards of their own: no more of them than there are shards."""
-    counts = kept.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= shard_rows)
+    """(label, pieces) of labels that have shards of their own, which an eighth of a shard's rows give them."""
+    counts = kept.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 8 >= shard_rows)
     return stored(counts.select("label", F.ceil(F.col("n") / shard_rows).cast("int").alias("pieces")), "labels")
 
 
