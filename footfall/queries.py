@@ -473,6 +473,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return realtime(_active(spark, sf))[0]
 
 
+@_query("realtime_newest", f"SELECT visitor_hash, last_path, t1 AS seen, pageviews FROM s WHERE {ACTIVE} ORDER BY t1 DESC, substr(sha256(visitor_hash || '|1'), 1, 32) LIMIT 50")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return realtime(_active(spark, sf))[2].select("visitor_hash", "last_path", F.unix_timestamp("last_seen_at").alias("seen"), "pageviews")
+
+
 @_query("realtime_pages", f"SELECT last_path AS path, count(*) AS sessions FROM s WHERE {ACTIVE} GROUP BY ALL ORDER BY sessions DESC, path LIMIT 10")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return realtime(_active(spark, sf))[1]
@@ -703,7 +708,7 @@ def _stored(spark: SparkSession, sf: str) -> store.Store:
         rows, cut = adapter.hits(spark, sf), F.lit("2024-01-15").cast("timestamp")
         ingest.apply(own, rows.where(F.col("ts") < cut), 0, STREAM, DEFS)
         own.compact(dt.date(2024, 1, 17), STREAM)
-        own.tidy()
+        own.tidy(0)
         ingest.apply(own, rows.where(F.col("ts") >= cut), 1, STREAM, DEFS, as_of=4_102_444_800)
         _STORES[key] = own
     return _STORES[key]
@@ -729,6 +734,66 @@ for _name, _of, _tables, _read in (
     )
 
 
+def _view_batches(spark: SparkSession, sf: str, parts: int) -> list[Cube]:
+    """The page views of all events as so many batches."""
+    rows, zero = adapter.hits(spark, sf), F.lit(0).cast("long")
+    views = [rollups.page_views(rows.where(F.col("seq") % parts == n), "UTC") for n in range(parts)]
+    return [Cube({"pages": v.select("site_id", "date", "hour", "path", "views", "dwell_ms", zero.alias("entrances"), zero.alias("exits"), zero.alias("bounces"), F.lit(None).cast("int").alias("element_id"))}) for v in views]
+
+
+VIEWS_SQL = "SELECT date, path, sum(count_view::INT)::BIGINT AS views, sum(dwell_ms)::BIGINT AS dwell_ms FROM hd WHERE kind = 'view' GROUP BY ALL"
+
+
+def _views(own: store.Store) -> DataFrame:
+    return own.table("pages").groupBy("date", "path").agg(F.sum("views").alias("views"), F.sum("dwell_ms").alias("dwell_ms"))
+
+
+@_query("fold_beside_ingest", VIEWS_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches, of which the second is written while the first is folded, and the third while both are compacted."""
+    own = store.Store(spark, f"{store.shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    cubes = _view_batches(spark, sf, 3)
+    own.write_delta(0, cubes[0])
+    for n in (1, 2):
+
+        def meanwhile(name: str, rows: DataFrame, n: int = n) -> DataFrame:
+            own.write_delta(n, cubes[n])  # once, however often it is called
+            return store.compacted(rows, name, dt.date(2024, 1, 17)) if n == 2 else rows
+
+        own.rewrite(meanwhile)
+    own.tidy(0)
+    return _views(own)
+
+
+class _Interrupted(Cube):
+    """A cube of which an attempt writes the first rollup and no more."""
+
+    def __init__(self, cube: Cube):
+        class Some(dict):
+            def items(self):  # noqa: ANN202
+                yield "pages", cube["pages"]
+                raise RuntimeError("lost between two rollups")
+
+        super().__init__(Some())
+
+
+@_query("failed_batch_retried", VIEWS_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch whose first attempts end half-way is passed over, comes again under another number and counts once."""
+    own = store.Store(spark, f"{store.shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    cubes = _view_batches(spark, sf, 2)
+    own.write_delta(0, cubes[0])
+    for _ in range(2):
+        try:
+            own.write_delta(1, _Interrupted(cubes[1]))
+        except RuntimeError:
+            continue
+    own.write_delta(1, Cube(), note={"failed": True})
+    own.rewrite(lambda name, rows: rows)
+    own.write_delta(2, cubes[1])
+    return _views(own)
+
+
 @_query("element_first_wins", """, b AS (SELECT date, hour, path, seq % 3 AS batch, first(element_id ORDER BY ts, seq) FILTER (WHERE element_id IS NOT NULL) AS element, sum(count_view::INT) AS views FROM hd WHERE kind = 'view' GROUP BY ALL)
 SELECT date, hour, path, (first(element ORDER BY batch) FILTER (WHERE element IS NOT NULL))::INT AS element_id, sum(views)::BIGINT AS views FROM b GROUP BY ALL""")
 def _(spark: SparkSession, sf: str) -> DataFrame:

@@ -73,7 +73,7 @@ def apply(
         reached = max([x for x in (newest, before) if x is not None], default=None)
         now = reached if as_of is None else as_of
         over = F.lit(now is not None) & ses.closed_by(F.unix_timestamp("last_at.ts"), F.lit(now), window)
-        store.keep_open(batch, together.where(~F.coalesce(over, F.lit(False))))
+        still_open = together.where(~F.coalesce(over, F.lit(False)))
         closed = ses.finished(together.where(over), definitions=definitions)
         cube = rollups.fold_hits(rows, settings).merged(rollups.fold_sessions(closed, settings, definitions, hooks.channels))
         cube = cube.merged(Cube({"page_sources": rollups.page_arrivals(_arrived(rows, together), tz, hooks.channels)}))
@@ -81,8 +81,9 @@ def apply(
         held += cube.tables.values()
         oldest = min([x for x in (first, begun) if x is not None], default=0)
         recent = F.col("date") >= F.date_sub(F.to_date(F.timestamp_seconds(F.lit(oldest))), 1)
-        capped = rollups.capped_cube(cube, settings.dimension_cap, lambda name: store.table(name, recent), _arrivals(rows, tz).union(_edges(closed, tz)))
-        return store.write_delta(batch, capped, source, {"as_of": reached})
+        at = store.snapshot()
+        capped = rollups.capped_cube(cube, settings.dimension_cap, lambda name: store.table(name, recent, at), _arrivals(rows, tz).union(_edges(closed, tz)))
+        return store.write_delta(batch, capped, source, {"as_of": reached}, still_open)
     finally:
         for df in held:
             df.unpersist()
@@ -112,8 +113,10 @@ def roll_up(
 ) -> StreamingQuery:
     """Take in what has arrived and stop; run it again for more. Each run takes up at most so many files in a batch.
 
-    A batch that fails so many times is set aside: its lines go to `store_root/failed/batch=<n>` for `retry_failed`,
-    and the stream goes on. Malformed lines are counted in `store_root/malformed`.
+    A batch that fails so many times by what is in it is set aside: its lines go to `store_root/failed/batch=<n>` for
+    `retry_failed`, its marker keeps the error, and the stream goes on. Where the storage or the cluster is at fault, the
+    stream stops instead and takes the batch up again when it is run again. Malformed lines are counted in
+    `store_root/malformed`.
     """
     store = Store(spark, store_root)
 
@@ -125,7 +128,7 @@ def roll_up(
         seq = F.shiftleft(F.shiftright("_id", 33), 26) + F.col("_id").bitwiseAND(F.lit((1 << 26) - 1))
         lines = marked.withColumn("seq", seq).drop("_id").persist()
         try:
-            _tried(store, number, attempts, lambda: apply(store, wire.usable(lines), number, settings, definitions, hooks), lambda: set_aside(store, lines, number))
+            _tried(store, number, attempts, lambda: apply(store, wire.usable(lines), number, settings, definitions, hooks), lambda e: set_aside(store, lines, number, e))
             store.count_malformed(number, lines.where("malformed").count())
         finally:
             lines.unpersist()
@@ -134,21 +137,43 @@ def roll_up(
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _tried(store: Store, number: int, attempts: int, work: Callable[[], object], give_up: Callable[[], None]) -> None:
+#: Java exceptions of the storage or the cluster, which pass, whatever a batch holds.
+PASSING = ("java.io.IOException", "java.io.FileNotFoundException", "java.io.EOFException", "java.net.", "java.nio.file.FileSystemException", "java.lang.OutOfMemoryError", "org.apache.hadoop.", "org.apache.spark.shuffle.")
+# End of fixed values.
+
+
+def is_passing(error: BaseException) -> bool:
+    """Whether a failure is one of storage, network or memory somewhere in its causes."""
+    if isinstance(error, OSError | MemoryError):
+        return True
+    cause, seen = getattr(error, "java_exception", None) or getattr(error, "_origin", None), 0
+    while cause is not None and seen < 50:
+        if any(line.startswith(PASSING) for line in (cause.getClass().getName(), *(cause.getMessage() or "").split("Caused by: ")[1:])):
+            return True
+        cause, seen = cause.getCause(), seen + 1
+    return False
+
+
+def _tried(store: Store, number: int, attempts: int, work: Callable[[], object], give_up: Callable[[BaseException], None]) -> None:
     for left in reversed(range(attempts)):
         try:
             work()
             return
-        except Exception:  # noqa: BLE001  whatever a batch fails by, the stream must outlive it
+        except Exception as e:  # noqa: BLE001  whatever a batch fails by, the stream must outlive it
             if not left:
-                give_up()
+                if is_passing(e):
+                    raise
+                give_up(e)
+
 
+def set_aside(store: Store, lines: DataFrame, number: int, error: BaseException | None = None) -> None:
+    """Keep a batch's hits for later and pass over its number; the sessions that were open stay open.
 
-def set_aside(store: Store, lines: DataFrame, number: int) -> None:
-    """Keep a batch's hits for later and pass over its number; the sessions that were open stay open."""
+    Nothing that earlier attempts have written counts.
+    """
     wire.encode(wire.usable(lines)).write.mode("overwrite").text(f"{store.root}/failed/batch={number}")
-    store.keep_open(number, store.open_sessions(number - 1, ses.SUMMARY))
-    store.write_delta(number, Cube(), "hits", {"failed": True, "as_of": store.note(number - 1).get("as_of") if number - 1 in store.written() else None})
+    before = store.note(number - 1).get("as_of") if number - 1 in store.written() else None
+    store.write_delta(number, Cube(), "hits", {"failed": True, "error": str(error)[:2000], "as_of": before}, store.open_sessions(number - 1, ses.SUMMARY))
 
 
 def retry_failed(store: Store, landing: str) -> int:

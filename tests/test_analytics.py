@@ -226,6 +226,79 @@ def test_maintenance_rewrites_touched_days_only(spark, tmp_path):
         s.compact(dt.date(2026, 7, 16), Settings())
 
 
+def test_a_batch_that_comes_during_a_fold_counts_once(spark, tmp_path):
+    s, day = store.Store(spark, str(tmp_path / "store")), dt.date(2026, 7, 15)
+    s.write_delta(0, _pages(spark, (day, 9, "/a", 1, None)))
+    more = [_pages(spark, (day, 9, "/a", 10, None))]
+
+    def meanwhile(name, rows):
+        if more:
+            s.write_delta(1, more.pop())
+        return rows
+
+    before = s.snapshot()
+    s.rewrite(meanwhile)
+    assert s.manifest()["folded"] == {"hits": 0} and s.table("pages").first()["views"] == 11
+    assert s.table("pages", at=before).first()["views"] == 1  # a reader's snapshot stays as it was
+    s.tidy()
+    assert s.table("pages", at=before).first()["views"] == 1
+    s.rewrite(lambda name, rows: rows)
+    s.tidy(0)
+    assert s.table("pages").first()["views"] == 11 and s._names("delta/pages/feed=hits") == [] and len(s._names("manifest")) == 1
+
+
+def test_a_stalled_maintainer_publishes_nothing(spark, tmp_path, monkeypatch):
+    s, day = store.Store(spark, str(tmp_path / "store")), dt.date(2026, 7, 15)
+    s.write_delta(0, _pages(spark, (day, 9, "/a", 1, None)))
+    turns = []
+
+    def stalled(name, rows):
+        if not turns:
+            turns.append(name)
+            monkeypatch.setattr(store, "LEASE", -1)  # its lease runs out, another takes over and is done first
+            s.write_delta(1, _pages(spark, (day, 9, "/a", 10, None)))
+            s.rewrite(lambda name, rows: rows)
+        return rows
+
+    with pytest.raises(RuntimeError, match="maintains this store now"):
+        s.rewrite(stalled)
+    assert s.table("pages").first()["views"] == 11 and s.manifest()["fence"] == 2
+
+
+def test_half_of_a_failed_batch_is_not_seen(spark, tmp_path):
+    s, day = store.Store(spark, str(tmp_path / "store")), dt.date(2026, 7, 15)
+
+    class Lost(dict):
+        def items(self):
+            yield "pages", _pages(spark, (day, 9, "/a", 7, None))["pages"]
+            raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError, match="lost"):
+        s.write_delta(0, Cube(Lost()))
+    ingest.set_aside(s, wire.decode(wire.encode(frame(spark, [hit(1)]))), 0, ValueError("bad"))
+    assert s.table("pages") is None or s.table("pages").count() == 0
+    assert s.note(0)["error"] == "bad" and s.failed() == ["batch=0"]
+    s.write_delta(1, _pages(spark, (day, 9, "/a", 7, None)))
+    assert s.table("pages").first()["views"] == 7
+    first = s.note(1)["attempt"]
+    assert not s.write_delta(1, _pages(spark, (day, 9, "/a", 70, None))) and s.note(1)["attempt"] == first
+    assert not s._publish("batches/hits/1", {}) and s.note(1)["attempt"] == first
+
+
+def test_passing_faults_stop_the_stream(spark, tmp_path):
+    assert ingest.is_passing(OSError("disk full")) and not ingest.is_passing(ValueError("a hook fails"))
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "gone"))
+    gone = spark.read.parquet(str(tmp_path / "gone"))
+    for f in (tmp_path / "gone").glob("part*"):
+        f.unlink()
+    with pytest.raises(Exception) as missing:
+        gone.collect()
+    assert ingest.is_passing(missing.value)
+    with pytest.raises(Exception) as wrong:
+        spark.sql("select raise_error('x')").collect()
+    assert not ingest.is_passing(wrong.value)
+
+
 def test_a_batch_that_fails_is_set_aside(spark, tmp_path):
     spool, root = str(tmp_path / "in"), str(tmp_path / "store")
     (tmp_path / "in").mkdir()
