@@ -7,9 +7,11 @@ what SimHash cannot reach has a second way: each set also has BANDS keys, each m
 share a key are candidates too. Two sets of similarity s share no key with probability (1 - s^WIDTH)^BANDS: 7e-5 at
 0.8, 1e-9 at 0.9. Whatever found a candidate, the exact similarity of its shingles decides.
 
-Candidates are all pairs that share a key while these are few. Where they are many, the most central member of
-each key is compared with the others and leaves; what its links have joined needs no comparison any more. This is
-repeated until few pairs are left, so that large groups cost their size, not its square, and no pair is left out.
+Candidates are all pairs that share a key while these are few. Where they are many, the most central members of each
+key are compared with the others and leave, one in the first round and four times as many in each that follows; what
+their links have joined needs no comparison any more. So a large group of copies costs its size, not its square, one
+of members that are not similar is gone through in rounds that grow with the logarithm of its size, and no pair is
+left out.
 
 Defined results: A-Z are lower-cased, no other letter; a null text is empty; texts without words are one group;
 with fewer words than a shingle has, the whole sequence is the only shingle; an empty table gives no rows.
@@ -24,7 +26,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.llm.common import release, small_batches, stored
@@ -37,6 +39,8 @@ AT_LEAST = (4, 5)
 BANDS, WIDTH = 24, 5
 #: All pairs are compared at once when they are up to this many for each set.
 PAIRS_A_SET = 4
+#: The most members of a key that are compared with all others in one round.
+CENTRES = 999
 _CHUNK = 1 << 10  # shingles that are min-hashed at once
 #: Odd factors: each brings the shingles, 32 bits of their hashes, into an order of its own.
 _FACTORS = np.random.default_rng(8).integers(0, 2**32, (BANDS * WIDTH, 1), np.uint32) | np.uint32(1)
@@ -141,12 +145,14 @@ def _components(members: DataFrame, sets: DataFrame, links: DataFrame, most: int
 
     While sets are compared, what is joined already is known by `_hooked` alone; only the end needs components.
     """
+    centres, before = 1, []
     while True:
         roots = _hooked(links)
         named = members.join(roots, members.row == roots.a, "left").select("key", "row", F.coalesce("root", "row").alias("root"))
         sizes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
         # keys whose members are not yet known to be joined
         live = stored(named.join(sizes.where("n * n > s").select("key", "n", ((F.col("n") * F.col("n") - F.col("s")) / 2).alias("pairs")), "key"), "live")
+        release(*before)
         total = live.agg(F.coalesce(F.sum(F.col("pairs") / F.col("n")), F.lit(0.0))).first()[0]
         if total < 0.5:
             return connected_components(links)
@@ -154,17 +160,16 @@ def _components(members: DataFrame, sets: DataFrame, links: DataFrame, most: int
             other = live.select("key", F.col("row").alias("b"), F.col("root").alias("other"))
             pairs = live.join(other, "key").where("row < b and root <> other").select(F.col("row").alias("a"), "b")
             return connected_components(links.union(_links(pairs, sets)))
+        # the window keeps no more than CENTRES rows of a key and task, as Spark limits ranks before it shuffles
         central = live.groupBy("row").agg(F.sum("n").alias("score"))
-        centres = (
-            live.join(central, "row")
-            .groupBy("key")
-            .agg(F.max(F.struct("score", F.negative("row").alias("last"), "root")).alias("m"))
-            .select("key", F.negative("m.last").alias("a"), F.col("m.root").alias("other"))
-        )
-        spread = stored(live.join(centres, "key"), "spread")
-        pairs = spread.where("root <> other").select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b"))
-        links = stored(links.union(_links(pairs, sets)), "links")
-        members = spread.where("row <> a").select("key", "row")
+        order = Window.partitionBy("key").orderBy(F.col("score").desc(), "row")
+        chosen = live.join(central, "row").select("key", F.col("row").alias("a"), F.col("root").alias("other"), F.row_number().over(order).alias("place"))
+        middle = stored(chosen.where(F.col("place") <= centres).drop("place"), "centres")
+        pairs = live.join(middle, "key").where("root <> other").select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b"))
+        found = _links(pairs, sets)
+        members = live.join(middle.select("key", F.col("a").alias("row")), ["key", "row"], "left_anti").select("key", "row")
+        before = [live, middle]
+        links, centres = links.union(found), min(4 * centres, CENTRES)
 
 
 def near_copies(rows: DataFrame, words: int = WORDS, most: int | None = None) -> DataFrame:

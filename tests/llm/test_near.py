@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from footfall.llm import near
@@ -76,3 +77,30 @@ def test_stage_keeps_a_row_of_each_text(spark, texts):
 def test_no_rows(spark):
     docs = spark.createDataFrame([], DOCS)
     assert near.near_copies(near.numbered(docs)).count() == 0
+
+
+def test_a_crowd_without_copies(spark):
+    """One key, many members that are not similar: rounds grow with the logarithm of their number."""
+    rng = random.Random(3)
+    common = [f"t{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*common, *(f"o{rng.random()}" for _ in range(12))]), "s") for i in range(300)], DOCS)
+    rows = near.numbered(docs).cache()
+    texts = rows.select("row", F.col("doc.text").alias("text"))
+    sets = texts.mapInArrow(lambda batches: near._sets(batches, 5), "row long, shingles binary")
+    members, none = rows.select(F.lit(1).cast("long").alias("key"), "row"), spark.createDataFrame([], "a long, b long")
+    rounds = []
+    plain = near._links
+    near._links = lambda pairs, sets: rounds.append(1) or plain(pairs, sets)
+    try:
+        assert near._components(members, sets, none, 0).count() == 0 and len(rounds) <= 6
+    finally:
+        near._links = plain
+
+
+def test_null_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, None, "s"), (2, "", "s"), (3, long, "s"), (4, long + " more", "s"), (5, long.replace("w1", "x1"), "s")], DOCS)
+    groups = {}
+    for r in near.near_copies(near.numbered(docs)).collect():
+        groups.setdefault(r["root"], set()).add(r["doc_id"])
+    assert sorted(map(sorted, groups.values())) == [[1, 2], [3, 4], [5]]

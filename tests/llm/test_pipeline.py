@@ -1,16 +1,20 @@
 """The pipeline's stages, one after the other, on a small table with planted cases."""
 
+import random
+
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from footfall.llm import sentencepiece
 from footfall.llm.queries import tokenizer_file
 
-WORDS = "river stone winter garden letter window summer table bridge market forest candle".split()
+WORDS = [a + b for a in "river stone winter garden letter window summer table bridge market forest candle".split() for b in ("", "s", "side", "light")]
 
 
 def _text(seed: int, n: int = 60) -> str:
-    return " ".join(WORDS[(seed * 7 + i * i + i * seed) % len(WORDS)] + ("." if i % 11 == 10 else "") for i in range(n))
+    own = random.Random(seed)
+    return " ".join(own.choice(WORDS) + ("." if i % 11 == 10 else "") for i in range(n))
 
 
 @pytest.fixture(scope="module")
@@ -46,9 +50,9 @@ def test_run(spark, tables):
     rows = corpus_pipeline.run(spark, tables).collect()
     codec = sentencepiece.Codec(tokenizer_file("piece_bpe_32k.model"))
     assert rows and all(set(r.asDict()) == {"doc_id", "ids"} for r in rows)
-    import numpy as np
-
-    assert not any("someone@example.org" in codec.decode(np.array(r["ids"])) for r in rows)
+    texts = {r["doc_id"]: codec.decode(np.array(r["ids"])) for r in rows}
+    assert 400 in texts and "[EMAIL]" in texts[400] and "someone@example.org" not in texts[400]
+    assert not any(200 <= i < 260 or 300 <= i < 320 for i in texts)
 
 
 def test_stage_names():
