@@ -17,7 +17,7 @@ from footfall.plans.ranges import DateRange
 from footfall.plans.reports import Reports, realtime
 from footfall.settings import Settings
 from footfall.sources import adapter, hits, imports, requests
-from footfall.streaming import ingest
+from footfall.streaming import ingest, live
 
 RANGE = DateRange(dt.date(2024, 1, 5), dt.date(2024, 1, 24))
 DAY = DateRange(dt.date(2024, 1, 10), dt.date(2024, 1, 10))
@@ -806,6 +806,36 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return own.table("pages").select("date", "hour", "path", "element_id", "views")
 
 
+# sessions in the state of a stream
+
+_LIVE: dict[tuple[str, str], str] = {}
+LAST = f"(SELECT max(ts) FROM hd WHERE kind <> 'crawler') - {WINDOW}"
+
+
+def _live(spark: SparkSession, sf: str) -> str:
+    """The folder of a stream that took all events in, in two runs; open sessions are in its state."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LIVE:
+        root, rows, cut = f"{store.shared_dir(spark)}/live-{uuid.uuid4().hex}", adapter.hits(spark, sf), F.lit("2024-01-15").cast("timestamp")
+        for part in (rows.where(F.col("ts") < cut), rows.where(F.col("ts") >= cut)):
+            hits.write(part, f"{root}/in")
+            live.follow(spark, f"{root}/in", f"{root}/closed", f"{root}/check", WINDOW).awaitTermination()
+        _LIVE[key] = root
+    return _LIVE[key]
+
+
+@_query("sessions_closed_by_timer", f"SELECT visitor_hash, t0 AS started, t1 AS seen, pageviews, max_scroll::INT AS max_scroll FROM s WHERE t1 <= {LAST}")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    closed = spark.read.schema(live.CLOSED).parquet(f"{_live(spark, sf)}/closed")
+    return closed.select("visitor_hash", F.unix_timestamp("started_at").alias("started"), F.unix_timestamp("last_seen_at").alias("seen"), "pageviews", "max_scroll")
+
+
+@_query("realtime_stored", f"SELECT count(DISTINCT visitor_hash) AS visitors, coalesce(sum(pageviews), 0)::BIGINT AS pageviews, coalesce(sum(pageviews) / count(DISTINCT visitor_hash), 0.0)::DOUBLE AS pages_per_visitor, greatest(0, count(*) - 50)::BIGINT AS truncated FROM s WHERE t1 > {LAST}")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """What goes on at the newest hit, from the state and not from hits."""
+    return realtime(live.open_now(spark, f"{_live(spark, sf)}/check"))[0]
+
+
 # requests, beacons, consent
 
 _AGENT_SQL = "CASE WHEN user_id % 7 = 0 THEN 'SomeBot/1.0' ELSE 'Mozilla/5.0 Firefox/130.0' END"
