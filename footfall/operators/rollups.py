@@ -229,6 +229,10 @@ def added_up(rows: DataFrame, table: str) -> DataFrame:
             aggs.append((F.max(name) if held is None else F.min_by(name, held)).alias(name))
         elif way == "sketch":
             aggs.append(F.hll_union_agg(name).alias(name))
+        elif way == "bits":
+            aggs.append(F.bitmap_or_agg(name).alias(name))
+        elif way == "least":
+            aggs.append(F.min(name).alias(name))
         else:
             limit, text = (values.CREDIT_LIMIT, CREDIT) if way == "credit" else (values.MONEY_LIMIT, MONEY)
             aggs.append(values.saturated(F.sum(F.col(name).cast("decimal(30,4)")), limit, text).alias(name))
@@ -260,14 +264,36 @@ def page_sketches(hits: DataFrame, tz: str, precision: int) -> DataFrame:
     return uniques.sketch(_when(hits.where("kind = 'view'"), tz), ["site_id", "date", "hour", "path"], "visitor_hash", precision)
 
 
-def fold_hits(hits: DataFrame, settings: Settings) -> Cube:
-    """The rollups that need no session; visitors as a set or as sketches, as the settings say."""
+def page_bitmaps(hits: DataFrame, tz: str, numbers: DataFrame) -> DataFrame:
+    """A bit for each visitor of each page and hour; numbers: (site_id, visitor_hash, number)."""
+    rows = page_visitors(hits, tz).join(numbers, ["site_id", "visitor_hash"])
+    return uniques.bitmaps(rows, ["site_id", "date", "hour", "path"])
+
+
+def new_visitors(hits: DataFrame, tz: str, known: DataFrame | None, after: int) -> DataFrame:
+    """(site_id, date, visitor_hash, number) of the visitors of view hits that are not known: their first day and the
+    numbers after `after`."""
+    views = _when(hits.where("kind = 'view'"), tz)
+    first = views.groupBy("site_id", "visitor_hash").agg(F.min("date").alias("date"))
+    if known is not None:
+        first = first.join(known.select("site_id", "visitor_hash"), ["site_id", "visitor_hash"], "left_anti")
+    return uniques.numbered(first.select("site_id", "date", "visitor_hash"), after)
+
+
+def fold_hits(hits: DataFrame, settings: Settings, numbers: DataFrame | None = None) -> Cube:
+    """The rollups that need no session; visitors as a set, as bitmaps or as sketches, as the settings say.
+
+    numbers: (site_id, visitor_hash, number) of all visitors of the hits, where they are counted in bitmaps.
+    """
     tz, zero = settings.timezone, F.lit(0).cast("long")
     views = page_views(hits, tz)
     pages = views.select("site_id", "date", "hour", "path", "views", "dwell_ms", zero.alias("entrances"), zero.alias("exits"), zero.alias("bounces"), "element_id")
     out = {"pages": pages, "crawlers": crawlers(hits, tz)}
     if settings.unique_counter == "hll":
         out["page_sketches"] = page_sketches(hits, tz, settings.hll_precision)
+    elif settings.unique_counter == "bitmap":
+        own = uniques.numbered(hits.where("kind = 'view'").select("site_id", "visitor_hash").distinct()) if numbers is None else numbers
+        out["page_bitmaps"] = page_bitmaps(hits, tz, own)
     else:
         out["page_visitors"] = page_visitors(hits, tz)
     if settings.enable_pro:
@@ -301,7 +327,7 @@ def fold(hits: DataFrame, closed: DataFrame, settings: Settings, definitions: De
 #: By type of dimension the rollup columns that it fills and whose values a caller can make up. The first column is
 #: where a day's values are looked up.
 CAPPED: dict[str, tuple[tuple[str, str], ...]] = {
-    "path": (("pages", "path"), ("page_visitors", "path"), ("page_sketches", "path"), ("page_sources", "path"), ("events", "path"), ("scroll", "path"), ("outbound", "path")),
+    "path": (("pages", "path"), ("page_visitors", "path"), ("page_sketches", "path"), ("page_bitmaps", "path"), ("page_sources", "path"), ("events", "path"), ("scroll", "path"), ("outbound", "path")),
     "host": (("sources", "host"), ("page_sources", "host")),
     "segment": (("segments", "segment"),),
     "browser": (("devices", "browser"),),

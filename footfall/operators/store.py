@@ -44,6 +44,8 @@ from footfall.settings import Settings
 LEASE = 6 * 3600
 #: What no snapshot names any more is kept this many seconds for those who took theirs before.
 GRACE = 3600
+#: Sources whose names begin so hold imported history.
+IMPORTED = "import-"
 
 
 @dataclass(frozen=True)
@@ -136,9 +138,10 @@ class Store:
 
     def manifest(self) -> dict:
         """number; versions: by table and day the version in force; folded: by source the last batch in the base;
-        compacted: days before this one have no hours; since: the first day kept; fence: the lock it was written under."""
+        compacted: days before this one have no hours; since: the first day kept; fence: the lock it was written under;
+        own: the sites and days of the base that hits have counted, and not imports alone."""
         numbers = [int(n) for n in self._names("manifest") if n.isdigit()]
-        empty = {"number": 0, "versions": {}, "folded": {}, "compacted": "", "since": "", "fence": 0}
+        empty = {"number": 0, "versions": {}, "folded": {}, "compacted": "", "since": "", "fence": 0, "own": []}
         return empty | ({"number": max(numbers), **self._read_text(f"manifest/{max(numbers)}")} if numbers else {})
 
     def snapshot(self) -> Snapshot:
@@ -271,19 +274,31 @@ class Store:
                     versions.setdefault(name, {}).update(dict.fromkeys(sorted(days), version))
                     touched |= days
         folded = at.state["folded"] | {s: max(own) for s, own in at.batches.items() if own}
-        self._succeed(at.state | {"versions": versions, "folded": folded} | state, fence)
+        fresh = {x for s in at.batches if not s.startswith(IMPORTED) for name in ("pages", "sessions") for x in self._touched(name, s, at)}
+        own = sorted({*map(tuple, at.state["own"]), *fresh})
+        self._succeed(at.state | {"versions": versions, "folded": folded, "own": own} | state, fence)
         return sorted(touched)
 
     def _days(self, name: str, at: Snapshot) -> set[str]:
         """The days that the batches of a snapshot add to, from the names of their folders."""
+        return {day for source in at.batches for _, day in self._touched(name, source, at)}
+
+    def _touched(self, name: str, source: str, at: Snapshot) -> set[tuple[int, str]]:
+        """Sites and days of a rollup that a source's batches add to."""
         return {
-            day.partition("=")[2]
-            for source, own in at.batches.items() for batch, attempt in own.items()
+            (int(site.partition("=")[2]), day.partition("=")[2])
+            for batch, attempt in at.batches.get(source, {}).items()
             for place in [f"delta/{name}/feed={source}/batch={batch}/attempt={attempt}"]
             for site in self._names(place) if "=" in site
             for day in self._names(f"{place}/{site}") if "=" in day
         }
 
+    def own_days(self, site_id: int, at: Snapshot | None = None) -> list[str]:
+        """The days of a site that its own hits have counted, folded and compacted ones included."""
+        at = at or self.snapshot()
+        fresh = {x for s in at.batches if not s.startswith(IMPORTED) for name in ("pages", "sessions") for x in self._touched(name, s, at)}
+        return sorted(d for s, d in {*map(tuple, at.state["own"]), *fresh} if s == site_id)
+
     def compact(self, today: dt.date, settings: Settings) -> list[str]:
         """Fold hours older than the window into days; running it again rewrites nothing."""
         cutoff = today - dt.timedelta(days=settings.hourly_window_days)
@@ -301,7 +316,8 @@ class Store:
         with self.only_one() as fence:
             state = self.manifest()
             versions = {name: {d: v for d, v in days.items() if d >= cutoff} for name, days in state["versions"].items()}
-            self._succeed(state | {"versions": versions, "since": max(state["since"], cutoff)}, fence)
+            own = [x for x in state["own"] if x[1] >= cutoff]
+            self._succeed(state | {"versions": versions, "since": max(state["since"], cutoff), "own": own}, fence)
         return cutoff
 
     def tidy(self, grace: float = GRACE) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions.traffic import CHANNELS, DEVICE_TYPES, label
 from footfall.functions.values import clamp_limit, delta, mean, ratio, segment_parts
+from footfall.operators import uniques
 from footfall.operators.goals import Definitions
 from footfall.operators.rollups import OTHER, Cube
 from footfall.plans.ranges import DateRange
@@ -36,6 +37,9 @@ class Reports:
         if self.unique_counter == "hll":
             rows = self.rows("page_sketches") if where is None else self.rows("page_sketches").where(where)
             return rows.groupBy(*by).agg(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0).cast("long")).alias("uniques"))
+        if self.unique_counter == "bitmap":
+            rows = self.rows("page_bitmaps") if where is None else self.rows("page_bitmaps").where(where)
+            return uniques.counted(rows, list(by))
         rows = self.rows("page_visitors") if where is None else self.rows("page_visitors").where(where)
         return rows.groupBy(*by).agg(F.countDistinct("visitor_hash").alias("uniques"))
 
@@ -208,6 +212,10 @@ class Reports:
     def element_uniques(self) -> DataFrame:
         """Distinct visitors of each element over all its pages."""
         elements = self.rows("pages").where("element_id is not null").select("date", "hour", "path", "element_id")
+        if self.unique_counter == "hll":
+            return uniques.united(self.rows("page_sketches").join(elements, ["date", "hour", "path"]), ["element_id"])
+        if self.unique_counter == "bitmap":
+            return uniques.counted(self.rows("page_bitmaps").join(elements, ["date", "hour", "path"]), ["element_id"])
         met = self.rows("page_visitors").join(elements, ["date", "hour", "path"])
         return met.groupBy("element_id").agg(F.countDistinct("visitor_hash").alias("uniques"))
 

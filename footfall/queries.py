@@ -90,6 +90,7 @@ def _reports(spark: SparkSession, sf: str, *tables: str, period: DateRange = RAN
         "campaigns": lambda: rollups.campaigns(closed, tz, model, DEFS), "geo": lambda: rollups.geo(closed, tz), "events": lambda: rollups.events(rows, tz),
         "scroll": lambda: rollups.scroll(rows, tz), "search": lambda: rollups.search(rows, tz), "outbound": lambda: rollups.outbound(rows, tz),
         "segments": lambda: rollups.segments(closed, tz), "goals": lambda: rollups.goals(closed, tz, DEFS), "funnel_steps": lambda: rollups.funnel_steps(closed, tz, DEFS),
+        "page_bitmaps": lambda: rollups.page_bitmaps(rows, tz, uniques.numbered(rows.where("kind = 'view'").select("site_id", "visitor_hash").distinct())),
         "page_sketches": lambda: uniques.sketch(rows.where("kind = 'view'").withColumn("date", F.to_date("ts")).withColumn("hour", F.hour("ts")), ["site_id", "date", "hour", "path"], "visitor_hash"),
     }
     return Reports(spark, Cube({t: build[t]() for t in tables}), 1, period, counter)
@@ -354,6 +355,23 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return _reports(spark, sf, "pages", "page_visitors").element_uniques()
 
 
+_UNIQUES_SQL = {name: _PLAIN[name] for name in ("totals", "daily_trend", "page_totals", "element_uniques")}
+for _name, _read in (
+    ("totals", lambda r: r.totals()), ("daily_trend", lambda r: r.trend()), ("page_totals", lambda r: r.page_totals("/p/12")), ("element_uniques", lambda r: r.element_uniques()),
+):
+    _query(f"bitmap_{_name}", _UNIQUES_SQL[_name])(lambda spark, sf, read=_read: read(_reports(spark, sf, "pages", "page_bitmaps", "sessions", counter="bitmap")))
+
+
+@_query("sketched_elements", f""", p AS (SELECT date, hour, path, element_id::INT AS element_id FROM ({PAGES_SQL}) WHERE element_id IS NOT NULL AND {BETWEEN})
+SELECT p.element_id, count(DISTINCT visitor_hash) AS exact, true AS within_bound FROM p JOIN hd USING (date, hour, path) WHERE kind = 'view' GROUP BY ALL""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Estimates of each element's visitors, within four standard errors of the exact number (two visitors at least)."""
+    guess = _reports(spark, sf, "pages", "page_sketches", counter="hll").element_uniques().withColumnRenamed("uniques", "guess")
+    exact = _reports(spark, sf, "pages", "page_visitors").element_uniques().withColumnRenamed("uniques", "exact")
+    gap = F.abs(F.col("guess") - F.col("exact"))
+    return exact.join(guess, "element_id").select("element_id", "exact", (gap <= F.greatest(F.lit(2.0), 4 * uniques.error_bound(12) * F.col("exact"))).alias("within_bound"))
+
+
 def _content_sql(label: str, source: str = "part") -> str:
     return f""", {ELEMENT_SQL}, en AS (SELECT DISTINCT p_partkey AS element_id, {label} AS label FROM {source})
 SELECT label, sum(views)::BIGINT AS views, count(DISTINCT element_id) AS elements, {MEAN.format("sum(dwell)", "sum(views)")} AS avg_dwell_ms FROM el JOIN en USING (element_id) GROUP BY label ORDER BY views DESC, label LIMIT 10"""
@@ -663,6 +681,43 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return imports.dataset(imports.normalize(daily.select(response.alias("value"))), "sources")
 
 
+IMPORTS_SQL = """WITH m AS (SELECT date_trunc('month', o_orderdate)::DATE AS date, o_orderkey % 7 AS p FROM orders),
+o AS (SELECT date, p, count(*) AS n FROM m WHERE date < (SELECT max(date) FROM m) GROUP BY ALL)
+SELECT date, '/o/' || p AS path, n * 3 AS views, 1 + (n - 1) % 5 AS visitors FROM o"""
+
+
+def _report(rows: DataFrame) -> DataFrame:
+    """Daily orders as a report's page: (day, p, n)."""
+    cell = lambda x: F.struct(x.cast("string").alias("value"))
+    names = lambda *n: F.array(*(F.struct(F.lit(x).alias("name")) for x in n))
+    row = F.struct(
+        F.array(cell(F.date_format("date", "yyyyMMdd")), cell(F.concat(F.lit("o/"), F.col("p")))).alias("dimensionValues"),
+        F.array(cell(F.col("n") * 3), cell(F.lit(0)), cell(1 + (F.col("n") - 1) % 5)).alias("metricValues"),
+    )
+    response = F.struct(names("date", "pagePath").alias("dimensionHeaders"), names("screenPageViews", "userEngagementDuration", "activeUsers").alias("metricHeaders"), F.array(row).alias("rows"))
+    return imports.normalize(rows.select(F.to_json(response).alias("value")))
+
+
+@_query("imported_twice", IMPORTS_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of each month as exports, of which the second and third overlap the first, beside a day that the store has
+    counted and compacted itself."""
+    own = store.Store(spark, f"{store.shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    orders = adapter.read(spark, sf, "orders").select(F.trunc("o_orderdate", "month").alias("date"), (F.col("o_orderkey") % 7).alias("p"))
+    daily = orders.groupBy("date", "p").agg(F.count(F.lit(1)).alias("n")).cache()
+    last, middle = daily.agg(F.max("date"), F.percentile(F.unix_date("date"), 0.5).cast("int")).first()
+    zero = F.lit(0).cast("long")
+    counted = daily.where(F.col("date") == F.lit(last)).select(F.lit(1).alias("site_id"), "date", F.lit(9).alias("hour"), F.lit("/own").alias("path"), F.lit(5).cast("long").alias("views"), *(zero.alias(c) for c in ("dwell_ms", "entrances", "exits", "bounces")), F.lit(None).cast("int").alias("element_id"))
+    own.write_delta(0, Cube({"pages": counted.limit(1)}))
+    own.compact(last + dt.timedelta(days=30), Settings())
+    for part in (daily.where(F.unix_date("date") <= middle + 400), daily.where(F.unix_date("date") >= middle - 400), daily):
+        imports.add(own, _report(part), "pages")
+        own.compact(last + dt.timedelta(days=30), Settings())
+    at = own.snapshot()
+    seen = own.table("page_visitors", at=at).groupBy("date", "path").agg(F.count(F.lit(1)).alias("visitors"))
+    return own.table("pages", at=at).where("path <> '/own'").join(seen, ["date", "path"]).select("date", "path", "views", "visitors")
+
+
 @_query("customer_segments", """WITH x AS (SELECT 'market:' || lower(trim(c_mktsegment)) AS segment FROM customer UNION ALL SELECT 'priority:' || lower(trim(o_orderpriority)) FROM orders) SELECT segment, count(*) AS n FROM x GROUP BY ALL""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     market, priority = values.Segment("market"), values.Segment("priority")

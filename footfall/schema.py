@@ -26,6 +26,8 @@ ROLLUPS: dict[str, tuple[tuple[str, ...], dict[str, str]]] = {
     "pages": (("site_id", "date", "hour", "path"), {"views": "sum", "dwell_ms": "sum", "entrances": "sum", "exits": "sum", "bounces": "sum", "element_id": "first"}),
     "page_visitors": (("site_id", "date", "hour", "path", "visitor_hash"), {}),
     "page_sketches": (("site_id", "date", "hour", "path"), {"sketch": "sketch"}),
+    "page_bitmaps": (("site_id", "date", "hour", "path", "range"), {"bits": "bits"}),
+    "visitors": (("site_id", "date", "visitor_hash"), {"number": "least"}),
     "page_sources": (("site_id", "date", "path", "channel", "host"), {"views": "sum"}),
     "sessions": (("site_id", "date", "hour"), {"sessions": "sum", "bounces": "sum", "duration_ms": "sum", "pageviews": "sum"}),
     "sources": (("site_id", "date", "hour", "channel", "host"), {"sessions": "sum", "bounces": "sum"}),
@@ -42,11 +44,11 @@ ROLLUPS: dict[str, tuple[tuple[str, ...], dict[str, str]]] = {
     "funnel_steps": (("site_id", "date", "funnel", "position"), {"sessions": "sum"}),
 }
 #: Tables that start hourly and fold to days (hour -1).
-HOURLY = ("pages", "page_visitors", "page_sketches", "sessions", "sources", "events")
+HOURLY = ("pages", "page_visitors", "page_sketches", "page_bitmaps", "sessions", "sources", "events")
 PRO = ("campaigns", "geo", "events", "scroll", "search", "outbound", "segments", "goals", "funnel_steps")
 
 _TYPES = {
-    "site_id": "int", "date": "date", "hour": "int", "channel": "int", "major": "int", "device_type": "int", "bucket": "int", "position": "int", "element_id": "int", "sketch": "binary",
+    "site_id": "int", "date": "date", "hour": "int", "channel": "int", "major": "int", "device_type": "int", "bucket": "int", "position": "int", "element_id": "int", "sketch": "binary", "bits": "binary", "range": "bigint", "number": "bigint",
 }
 _WAYS = {"sum": "bigint", "credit": "decimal(12,4)", "money": "decimal(14,2)"}
 

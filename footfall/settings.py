@@ -55,8 +55,8 @@ class Settings:
         for name, (low, high) in BOUNDS.items():
             if not low <= getattr(self, name) <= high:
                 raise ValueError(f"{name} must be between {low} and {high}")
-        if self.unique_counter not in ("exact", "hll"):
-            raise ValueError("unique_counter must be exact or hll")
+        if self.unique_counter not in ("exact", "hll", "bitmap"):
+            raise ValueError("unique_counter must be exact, hll or bitmap")
         if self.attribution not in ("last-click", "first-click", "linear"):
             raise ValueError("attribution must be last-click, first-click or linear")
 

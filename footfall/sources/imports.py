@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime as dt
+import importlib
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 from footfall.functions.traffic import CHANNELS, DEVICE_TYPES
+from footfall.operators import uniques
 from footfall.operators.rollups import Cube
-from footfall.operators.store import Store
+from footfall.operators.store import IMPORTED, Store
 from footfall.schema import rollup_schema
+from footfall.settings import Settings
 
 # An exported report's placeholders for "no value", its datasets and their Pro subset.
 PLACEHOLDERS = ("", "(not set)", "(direct)", "(none)", "(organic)", "(referral)", "(data not available)")
@@ -137,12 +147,6 @@ def seeded_visitors(pages: DataFrame) -> DataFrame:
     return each.select(*keys, F.substring(F.sha2(F.concat_ws("|", *keys, "i"), 256), 1, 16).alias("visitor_hash"))
 
 
-def free_dates(rows: DataFrame, pages: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Rows of dates that neither the pages nor the sessions rollup already covers."""
-    taken = pages.select("date").union(sessions.select("date")).distinct()
-    return rows.join(taken, "date", "left_anti")
-
-
 #: The rollup that each dataset adds to.
 ROLLUP_OF = {"pages": "pages", "totals": "sessions", "sources": "sources", "campaigns": "campaigns", "devices": "devices", "geo": "geo", "events": "events"}
 
@@ -154,25 +158,108 @@ def _filled(rows: DataFrame, rollup: str) -> DataFrame:
     return rows.select(*((F.col(c) if c in rows.columns else zero(c)).cast(t).alias(c) for c, t in types.items()))
 
 
-def load(store: Store, folder: str, site_id: int = 1, pro: bool = True) -> dict[str, str]:
+def loaded_dates(store: Store, name: str, site_id: int) -> list[str]:
+    """The ledger: the dates of a dataset that imports have added, from the markers of their batches."""
+    source = f"{IMPORTED}{name}"
+    return sorted({d for n in store.written(source) for note in [store.note(n, source)] if note.get("site_id") == site_id for d in note["dates"]})
+
+
+def _free(store: Store, rows: DataFrame, name: str, site_id: int) -> DataFrame:
+    """Rows of dates that neither the site's own hits nor an import of this dataset have counted."""
+    taken = [F.lit(d).cast("date") for d in sorted({*store.own_days(site_id), *loaded_dates(store, name, site_id)})]
+    return rows.where(~F.col("date").isin(taken)) if taken else rows
+
+
+def add(store: Store, rows: DataFrame, name: str, site_id: int = 1, settings: Settings | None = None) -> list[str]:
+    """Add one dataset's rows (date, dims, metrics) as the next batch of its source; the dates that it added.
+
+    The batch's marker is the ledger's entry, so an import that dies adds nothing and can be run again, and a date
+    comes in once whatever reports it is in.
+    """
+    settings, source = settings or Settings(), f"{IMPORTED}{name}"
+    free = _free(store, dataset(rows, name, site_id), name, site_id).persist()
+    try:
+        dates = [r["day"] for r in free.select(F.col("date").cast("string").alias("day")).distinct().orderBy("day").collect()]  # days of a report
+        if dates:
+            tables = {ROLLUP_OF[name]: _filled(free, ROLLUP_OF[name])}
+            if name == "pages":
+                tables |= _seeds(seeded_visitors(free), settings)
+            if not store.write_delta(max(store.written(source), default=-1) + 1, Cube(tables), source, {"site_id": site_id, "dates": dates}):
+                raise RuntimeError(f"another import of {name} came between")
+        return dates
+    finally:
+        free.unpersist()
+
+
+def _seeds(visitors: DataFrame, settings: Settings) -> dict[str, DataFrame]:
+    """Synthetic visitors in the form that the site counts in; bitmaps number real ones only, so imports add none."""
+    if settings.unique_counter == "hll":
+        return {"page_sketches": uniques.sketch(visitors, ["site_id", "date", "hour", "path"], "visitor_hash", settings.hll_precision)}
+    return {} if settings.unique_counter == "bitmap" else {"page_visitors": visitors}
+
+
+def load(store: Store, folder: str, site_id: int = 1, pro: bool = True, settings: Settings | None = None) -> dict[str, str]:
     """Add `folder/<dataset>/*`, each file one page of a dataset's report, to a store; by dataset what went wrong.
 
     A dataset is added as a whole or not at all, and one that fails leaves the others alone. Days that the store
-    counts itself are left out, and a dataset that is there already is not added twice.
+    counts itself are left out, and so are dates of a dataset that are there already.
     """
     out, spark = {}, store.spark
-    own = [store.table(t, F.col("site_id") == site_id) for t in ("pages", "sessions")]
-    taken = [x.where("hour >= 0") for x in own if x is not None]
     for name in datasets(pro):
         try:
-            pages = spark.read.text(f"{folder}/{name}", wholetext=True)
-            rows = dataset(normalize(pages), name, site_id)
-            for days in taken:
-                rows = rows.join(days.select("date").distinct(), "date", "left_anti")
-            tables = {ROLLUP_OF[name]: _filled(rows, ROLLUP_OF[name])}
-            if name == "pages":
-                tables["page_visitors"] = seeded_visitors(rows)
-            store.write_delta(0, Cube(tables), f"import-{name}")
+            add(store, normalize(spark.read.text(f"{folder}/{name}", wholetext=True)), name, site_id, settings)
         except Exception as e:  # noqa: BLE001  one dataset's fault is not the others'
             out[name] = str(e).split("\n")[0]
     return out
+
+
+# reports as a source
+
+
+@dataclass
+class Page(InputPartition):
+    offset: int
+    limit: int
+
+
+class ReportPages(DataSource):
+    """A report by its pages: spark.read.format("report_pages"), one response in column `value` for each page.
+
+    Options: `fetch`, "module:function" of a function (dataset, start, end, offset, limit) that asks for a page and
+    returns the response as JSON text with `rowCount` in it; `dataset`, `start`, `end`; `limit`, rows of a page. The
+    driver asks once for the number of rows; each page is then asked for by a task of its own, again if it is lost.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "report_pages"
+
+    def schema(self) -> str:
+        return "value string"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _PageReader(dict(self.options))
+
+
+class _PageReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self._options, self._limit = options, int(options.get("limit", 10_000))
+
+    def _ask(self, offset: int, limit: int) -> str:
+        module, _, function = self._options["fetch"].partition(":")
+        return getattr(importlib.import_module(module), function)(self._options["dataset"], self._options["start"], self._options["end"], offset, limit)
+
+    def partitions(self) -> list[Page]:
+        total = int(json.loads(self._ask(0, 1)).get("rowCount") or 0)
+        return [Page(at, self._limit) for at in range(0, total, self._limit)] or [Page(0, 0)]
+
+    def read(self, partition: Page) -> Iterator[tuple[str]]:
+        if partition.limit:
+            yield (self._ask(partition.offset, partition.limit),)
+
+
+def fetched(spark: SparkSession, fetch: str, name: str, start: dt.date, end: dt.date, limit: int = 10_000) -> DataFrame:
+    """Rows (date, dims, metrics) of a dataset's report, its pages asked for by tasks."""
+    spark.dataSource.register(ReportPages)
+    options = {"fetch": fetch, "dataset": name, "start": start.isoformat(), "end": end.isoformat(), "limit": str(limit)}
+    return normalize(spark.read.format("report_pages").options(**options).load())

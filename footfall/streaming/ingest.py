@@ -20,7 +20,7 @@ from footfall.operators import rollups
 from footfall.operators import sessions as ses
 from footfall.operators.goals import Definitions
 from footfall.operators.rollups import ChannelRules, Cube
-from footfall.operators.store import Store
+from footfall.operators.store import Snapshot, Store
 from footfall.settings import Settings
 from footfall.sources import hits as wire
 
@@ -75,20 +75,41 @@ def apply(
         over = F.lit(now is not None) & ses.closed_by(F.unix_timestamp("last_at.ts"), F.lit(now), window)
         still_open = together.where(~F.coalesce(over, F.lit(False)))
         closed = ses.finished(together.where(over), definitions=definitions)
-        cube = rollups.fold_hits(rows, settings).merged(rollups.fold_sessions(closed, settings, definitions, hooks.channels))
+        at = store.snapshot()
+        numbers, fresh, after = _numbers(store, rows, batch, source, settings, at, first)
+        if fresh is not None:
+            held.append(fresh)
+        cube = rollups.fold_hits(rows, settings, numbers).merged(rollups.fold_sessions(closed, settings, definitions, hooks.channels))
         cube = cube.merged(Cube({"page_sources": rollups.page_arrivals(_arrived(rows, together), tz, hooks.channels)}))
         cube = Cube({name: table.persist() for name, table in cube.tables.items()})  # rollups of one batch
         held += cube.tables.values()
         oldest = min([x for x in (first, begun) if x is not None], default=0)
         recent = F.col("date") >= F.date_sub(F.to_date(F.timestamp_seconds(F.lit(oldest))), 1)
-        at = store.snapshot()
         capped = rollups.capped_cube(cube, settings.dimension_cap, lambda name: store.table(name, recent, at), _arrivals(rows, tz).union(_edges(closed, tz)))
-        return store.write_delta(batch, capped, source, {"as_of": reached}, still_open)
+        if fresh is not None:
+            capped.tables["visitors"] = fresh
+        return store.write_delta(batch, capped, source, {"as_of": reached, "visitors": after}, still_open)
     finally:
         for df in held:
             df.unpersist()
 
 
+def _numbers(store: Store, rows: DataFrame, batch: int, source: str, settings: Settings, at: Snapshot, first: int | None) -> tuple[DataFrame | None, DataFrame | None, int]:
+    """Where visitors are counted in bitmaps: the numbers of the batch's visitors, those that are new, and the last.
+
+    A hash lives as long as its salt, so only the visitors of so many days are looked up.
+    """
+    after = (store.note(batch - 1, source).get("visitors") or 0) if batch - 1 in store.written(source) else 0
+    if settings.unique_counter != "bitmap":
+        return None, None, after
+    days = -(-settings.salt_rotation_interval // 86_400) + 1
+    recent = F.col("date") >= F.date_sub(F.to_date(F.timestamp_seconds(F.lit(first or 0))), days)
+    known = store.table("visitors", recent, at)
+    fresh = rollups.new_visitors(rows, settings.timezone, known, after).persist()
+    own = fresh.select("site_id", "visitor_hash", "number")
+    return own if known is None else own.union(known.select("site_id", "visitor_hash", "number")), fresh, after + fresh.count()
+
+
 def _edges(closed: DataFrame, tz: str) -> DataFrame:
     """Entry and last pages of closed sessions, which came before this batch's views."""
     edges = rollups.page_edges(closed, tz)
@@ -172,8 +193,9 @@ def set_aside(store: Store, lines: DataFrame, number: int, error: BaseException
     Nothing that earlier attempts have written counts.
     """
     wire.encode(wire.usable(lines)).write.mode("overwrite").text(f"{store.root}/failed/batch={number}")
-    before = store.note(number - 1).get("as_of") if number - 1 in store.written() else None
-    store.write_delta(number, Cube(), "hits", {"failed": True, "error": str(error)[:2000], "as_of": before}, store.open_sessions(number - 1, ses.SUMMARY))
+    before = store.note(number - 1) if number - 1 in store.written() else {}
+    carried = {k: before.get(k) for k in ("as_of", "visitors")}
+    store.write_delta(number, Cube(), "hits", {"failed": True, "error": str(error)[:2000], **carried}, store.open_sessions(number - 1, ses.SUMMARY))
 
 
 def retry_failed(store: Store, landing: str) -> int:

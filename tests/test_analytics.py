@@ -18,6 +18,7 @@ from footfall.settings import Settings
 from footfall.sources import hits as wire
 from footfall.sources import imports, requests
 from footfall.streaming import ingest
+from report_server import pages_of_a_report
 
 START = dt.datetime(2026, 7, 16, 10)
 V = "0123456789abcdef"
@@ -402,6 +403,72 @@ def test_imports(spark):
     assert imports.datasets(pro=False) == ("pages", "totals", "sources", "devices")
 
 
+def test_report_pages_are_partitions(spark, monkeypatch):
+    rows = imports.fetched(spark, "report_server:pages_of_a_report", "pages", dt.date(2026, 7, 1), dt.date(2026, 8, 31), 10)
+    assert rows.rdd.getNumPartitions() == 3 and rows.count() == 25
+    assert imports.fetched(spark, "report_server:pages_of_a_report", "geo", dt.date(2026, 7, 1), dt.date(2026, 8, 31)).count() == 0
+
+
+def test_imports_come_in_once(spark, tmp_path):
+    s, day = store.Store(spark, str(tmp_path / "store")), dt.date(2026, 7, 2)
+    s.write_delta(0, _pages(spark, (day, 9, "/own", 5, None)))
+    s.compact(dt.date(2026, 8, 30), Settings())
+    for _ in range(2):  # as files, the second time in vain
+        (tmp_path / "in" / "pages").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / "pages" / "1.json").write_text(pages_of_a_report("pages", "", "", 0, 12))
+        wrong = imports.load(s, str(tmp_path / "in"), pro=False)
+        assert set(wrong) == {"totals", "sources", "devices"}
+    rows = imports.fetched(spark, "report_server:pages_of_a_report", "pages", dt.date(2026, 7, 1), dt.date(2026, 8, 31), 10)
+    assert imports.add(s, rows, "pages")[0] == "2026-07-13" and imports.add(s, rows, "pages") == []
+    for _ in range(2):
+        got = {(r["date"], r["path"]): r["views"] for r in s.table("pages").collect()}
+        assert len(got) == 25 and got[day, "/own"] == 5 and (day, "/1") not in got and set(got.values()) == {2, 5}
+        s.compact(dt.date(2026, 8, 30), Settings())
+        s.tidy(0)
+    assert s.own_days(1) == ["2026-07-02"] and s.own_days(2) == []
+    assert s.table("page_visitors").count() == 24 * 3
+
+
+def test_imported_visitors_are_counted_in_sketches(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "store"))
+    rows = imports.fetched(spark, "report_server:pages_of_a_report", "pages", dt.date(2026, 7, 1), dt.date(2026, 8, 31))
+    imports.add(s, rows, "pages", settings=Settings(unique_counter="hll"))
+    assert s.cube()["page_visitors"].count() == 0 and uniques.united(s.table("page_sketches"), ["path"]).where("uniques = 3").count() == 25
+
+
+def test_bitmaps_in_the_store(spark, tmp_path):
+    s, options = store.Store(spark, str(tmp_path / "store")), Settings(unique_counter="bitmap")
+    name = lambda i: f"{i:016x}"
+    parts = [[hit(i, i, f"/{i % 3}", visitor=name(i % 40)) for i in range(60)], [hit(i, 100 + i, f"/{i % 3}", visitor=name(30 + i % 20)) for i in range(40)], []]
+    for n, part in enumerate(parts):
+        ingest.apply(s, frame(spark, part), n, options)
+        if n == 0:
+            s.rewrite(lambda name, rows: rows)
+    numbers = sorted(r["number"] for r in s.table("visitors").collect())
+    assert numbers == list(range(1, 51)) and s.note(2)["visitors"] == 50
+    every = [h for part in parts for h in part]
+    got = {r["path"]: r["uniques"] for r in uniques.counted(s.table("page_bitmaps"), ["path"]).collect()}
+    assert got == {p: len({h["visitor_hash"] for h in every if h["path"] == p}) for p in ("/0", "/1", "/2")}
+    s.compact(dt.date(2026, 7, 30), options)
+    assert uniques.counted(s.table("page_bitmaps"), []).first()["uniques"] == 50 and s.table("page_visitors") is None
+    assert s.table("page_bitmaps").count() == 3
+
+
+def test_forms_and_beacons(spark):
+    forms = spark.createDataFrame([(1, "contact", "https://x.example/about?x=1", False, START), (2, "contact", None, None, START), (3, "spam", None, True, START)], "id int, handle string, referrer string, is_spam boolean, ts timestamp")
+    assert sorted((r["event_name"], r["path"]) for r in requests.form_events(forms).collect()) == [("form:contact", "/"), ("form:contact", "/about")]
+    text = "seq int, site_id int, ts timestamp, address string, salt string, user_agent string, path string, kind string, event_name string, event_value string, target string, scroll string, dwell string, referrer string, engagement boolean"
+    agent = "Mozilla/5.0 Firefox/130.0"
+    rows = [
+        (1, 1, START, "10.0.0.1", "s", agent, "/a?b=2&utm_source=x", "view", None, None, None, "60", "5000", "https://t.co/y", False),
+        (2, 1, START, "10.0.0.1", "s", agent, "/a", "view", None, None, None, None, "100", None, True),
+        (3, 1, START, "10.0.0.1", "s", agent, "/a", "event", None, None, None, None, None, None, None), (4, 1, START, "10.0.0.1", "s", "SomeBot/1.0", "/a", "view", None, None, None, None, None, None, None),
+    ]
+    got = {r["seq"]: r for r in requests.beacon_hits(spark.createDataFrame(rows, text), Settings()).collect()}
+    assert set(got) == {1, 2, 4} and got[1]["path"] == "/a?b=2" and got[1]["campaign"]["s"] == "x" and got[1]["count_view"] and not got[2]["count_view"]
+    assert got[4]["kind"] == "crawler" and got[1]["visitor_hash"] == got[2]["visitor_hash"] and got[1]["session_key"] == got[2]["session_key"]
+
+
 def test_export(spark):
     rows = spark.createDataFrame([("=SUM(A1)", -5, 1.239), (" @x", 1, 2.0), ("fine", 0, 0.0)], "a string, n int, x double")
     assert [tuple(r) for r in export.for_csv(rows).collect()] == [("'=SUM(A1)", -5, 1.24), ("' @x", 1, 2.0), ("fine", 0, 0.0)]
