@@ -17,7 +17,7 @@ from footfall.plans.ranges import DateRange
 from footfall.plans.reports import Reports, realtime
 from footfall.settings import Settings
 from footfall.sources import adapter, hits, imports, requests
-from footfall.streaming import ingest, live
+from footfall.streaming import guard, ingest, live
 
 RANGE = DateRange(dt.date(2024, 1, 5), dt.date(2024, 1, 24))
 DAY = DateRange(dt.date(2024, 1, 10), dt.date(2024, 1, 10))
@@ -874,7 +874,7 @@ def _live(spark: SparkSession, sf: str) -> str:
         root, rows, cut = f"{store.shared_dir(spark)}/live-{uuid.uuid4().hex}", adapter.hits(spark, sf), F.lit("2024-01-15").cast("timestamp")
         for part in (rows.where(F.col("ts") < cut), rows.where(F.col("ts") >= cut)):
             hits.write(part, f"{root}/in")
-            live.follow(spark, f"{root}/in", f"{root}/closed", f"{root}/check", WINDOW).awaitTermination()
+            live.follow(spark, f"{root}/in", f"{root}/closed", f"{root}/check", WINDOW, "0 seconds").awaitTermination()
         _LIVE[key] = root
     return _LIVE[key]
 
@@ -938,6 +938,46 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return once.groupBy("nonce").agg(F.count(F.lit(1)).alias("beacons"), F.sum(F.col("count_view").cast("long")).alias("counted"))
 
 
+LIMIT_SQL = """WITH rq AS (SELECT event_id AS i, 'v' || user_id % 40 AS visitor, cast(floor(epoch(ts)) AS BIGINT) AS ts FROM events),
+b0 AS (SELECT i * 10 + k AS seq, visitor, 'n' || i % 300 AS nonce, ts + k * 7 + i % 4 * 700 AS ts FROM rq, range(5) r(k) WHERE k <= i % 5),
+b1 AS (SELECT *, row_number() OVER (PARTITION BY visitor, ts // 60 ORDER BY ts, seq) AS n FROM b0),
+a AS (SELECT seq, visitor, nonce, ts, false AS served FROM b1 WHERE n <= 3 UNION ALL SELECT i * 10 - 1, visitor, 'n' || i % 300, ts, true FROM rq),
+w AS (SELECT *, lag(served) OVER o AS before, ts - lag(ts) OVER o AS age FROM a WINDOW o AS (PARTITION BY visitor, nonce ORDER BY ts, seq))
+SELECT seq, visitor AS visitor_hash, nonce, NOT (coalesce(before, false) AND age <= 1800) AS counted FROM w WHERE NOT served"""
+
+
+def _arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """A counted page for each event, and up to five beacons of it, some too late for its nonce."""
+    e = adapter.read(spark, sf, "events").select(F.col("event_id").alias("i"), F.concat(F.lit("v"), (F.col("user_id") % 40).cast("string")).alias("visitor_hash"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    nonce = F.concat(F.lit("n"), (F.col("i") % 300).cast("string"))
+    beacons = e.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("i") % 5).cast("int"))))
+    rows = beacons.select("visitor_hash", (F.col("at") + F.col("k") * 7 + F.col("i") % 4 * 700).alias("at"), (F.col("i") * 10 + F.col("k")).alias("seq"), F.lit(False).alias("served"), nonce.alias("nonce"))
+    rows = rows.union(e.select("visitor_hash", "at", F.col("i") * 10 - 1, F.lit(True), nonce))
+    return rows.select(F.lit(1).alias("site_id"), "visitor_hash", F.timestamp_seconds("at").alias("ts"), "seq", "served", "nonce", F.lit(True).alias("count_view"), F.lit("").alias("value"))
+
+
+def _guarded(spark: SparkSession, sf: str, cuts: list[str]) -> DataFrame:
+    """The beacons of a stream whose batches end at the given days."""
+    root, rows, day = f"{store.shared_dir(spark)}/guard-{uuid.uuid4().hex}", _arrivals(spark, sf), F.col("ts").cast("date")
+    for begin, end in zip(["1970-01-01", *cuts], [*cuts, "2100-01-01"], strict=True):
+        rows.where((day >= begin) & (day < end)).write.mode("append").parquet(f"{root}/in")
+        stream = guard.guarded(spark.readStream.schema(guard.ARRIVAL).parquet(f"{root}/in"), 3, 1800, "1 second")
+        with live.managed_state(spark):
+            query = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("seq", "visitor_hash", "nonce", F.col("count_view").alias("counted"))
+
+
+@_query("beacons_guarded_in_one_batch", LIMIT_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _guarded(spark, sf, [])
+
+
+@_query("beacons_guarded_in_batches", LIMIT_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _guarded(spark, sf, ["2024-01-08", "2024-01-21"])
+
+
 @_query("tracked_events", f"""WITH {_CAPTURE_SQL} SELECT '/p/' || i % 40 || '?a=1&b=2' AS path, 'buy' AS event_name, count(*) AS hits, sum(round(i / 7.0, 2))::DOUBLE AS value FROM rq WHERE i % 17 <> 0 AND u % 7 <> 0 GROUP BY ALL""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     calls = _requests(spark, sf).withColumn("name", F.lit(" buy ")).withColumn("value", F.round(F.col("seq") / 7.0, 2).cast("string"))

@@ -92,7 +92,7 @@ class Live(StatefulProcessor):
             yield from self._rows(key, [held])
 
 
-def live_sessions(hits: DataFrame, window: int, delay: str = "0 seconds") -> DataFrame:
+def live_sessions(hits: DataFrame, window: int, delay: str = "10 minutes") -> DataFrame:
     """Sessions of a stream of hits as they close; `delay`: how long hits may come late."""
     view = F.coalesce((F.col("kind") == "view") & F.col("count_view"), F.lit(False))
     rows = hits.where("kind <> 'crawler'").withWatermark("ts", delay)
@@ -105,7 +105,7 @@ def _timed(runs: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def _rocks(spark: SparkSession) -> Iterator[None]:
+def managed_state(spark: SparkSession) -> Iterator[None]:
     """The state store that keeps timers and named states; a stream takes it up when it starts."""
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, _ROCKS)
@@ -115,12 +115,12 @@ def _rocks(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
 
 
-def follow(spark: SparkSession, folder: str, closed: str, checkpoint: str, window: int, delay: str = "0 seconds", files_per_trigger: int = 1000) -> StreamingQuery:
+def follow(spark: SparkSession, folder: str, closed: str, checkpoint: str, window: int, delay: str = "10 minutes", files_per_trigger: int = 1000) -> StreamingQuery:
     """Take in what has arrived and stop: sessions that close are appended to `closed`, once each; open ones stay in the
     state below `checkpoint`."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
     found = wire.usable(wire.decode(lines)).withColumn("seq", F.xxhash64("path", "kind"))  # lines have no numbers; any fixed order will do
-    with _rocks(spark):
+    with managed_state(spark):
         writer = live_sessions(found, window, delay).writeStream.format("parquet").option("path", closed).option("checkpointLocation", checkpoint)
         return writer.outputMode("append").trigger(availableNow=True).start()
 

@@ -5,7 +5,7 @@ import datetime as dt
 from hypothesis import given, settings as hyp, strategies as st
 
 from footfall.sources import hits as wire
-from footfall.streaming import live
+from footfall.streaming import guard, live
 from test_analytics import START, V, frame, hit
 
 PART = {"visitor_hash": V, "entry_path": "", "last_path": "", "referrer": "", "user_agent": "", "max_scroll": 0}
@@ -30,13 +30,39 @@ def test_runs_do_not_depend_on_batches(rows, cut):
 def _take(spark, tmp_path, rows):
     if rows:
         wire.write(frame(spark, rows), str(tmp_path / "in"))
-    live.follow(spark, str(tmp_path / "in"), str(tmp_path / "closed"), str(tmp_path / "check"), 1800).awaitTermination()
+    live.follow(spark, str(tmp_path / "in"), str(tmp_path / "closed"), str(tmp_path / "check"), 1800, "0 seconds").awaitTermination()
     closed = spark.read.schema(live.CLOSED).parquet(str(tmp_path / "closed")).collect()
     seen = sorted((r["visitor_hash"][0], r["entry_path"], r["last_path"], r["pageviews"], r["max_scroll"]) for r in closed)
     now = sorted((r["visitor_hash"][0], r["pageviews"], r["last_seen_at"]) for r in live.open_now(spark, str(tmp_path / "check")).collect())
     return seen, now
 
 
+def _guard(spark, root, batches, limit=3, ttl=1800):
+    for rows in batches:
+        if rows:
+            spark.createDataFrame(rows, guard.ARRIVAL).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = guard.guarded(spark.readStream.schema(guard.ARRIVAL).parquet(f"{root}/in"), limit, ttl, "1 second")
+        with live.managed_state(spark):
+            query = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return sorted((r["seq"], r["count_view"]) for r in spark.read.parquet(f"{root}/out").collect())
+
+
+def test_nonces_are_claimed_once_and_expire(spark, tmp_path):
+    at = lambda s: START + dt.timedelta(seconds=s)
+    row = lambda seq, s, served, nonce, visitor=V: (1, visitor, at(s), seq, served, nonce, True, f"v{seq}")
+    rows = [
+        row(1, 0, True, "a"), row(2, 1, False, "a"), row(3, 2, False, "a"), row(4, 3, False, None), row(5, 4, False, "b"),  # the fourth beacon of a minute goes
+        row(6, 70, True, "c"), row(7, 71, False, "c", "f" * 16), row(8, 1870, False, "c"), row(9, 1871, False, "c"), row(10, 2000, True, "d"), row(11, 3801, False, "d"),
+    ]
+    want = [(2, False), (3, True), (4, True), (7, True), (8, False), (9, True), (11, True)]
+    for n, cuts in enumerate(((11,), (1, 2, 5, 7, 10))):
+        parts = [rows[a:b] for a, b in zip((0, *cuts), (*cuts, len(rows)), strict=True)]
+        assert _guard(spark, str(tmp_path / str(n)), parts) == want
+    held = spark.read.format("statestore").option("stateVarName", "held").load(str(tmp_path / "1" / "check"))
+    assert all("d" not in r["value"]["nonces"] and "a" not in r["value"]["nonces"] for r in held.collect())  # what was never claimed has been let go
+
+
 def test_a_timer_closes_what_is_idle(spark, tmp_path):
     other = "f" * 16
     at = lambda s: START + dt.timedelta(seconds=s)
