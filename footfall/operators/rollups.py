@@ -16,6 +16,8 @@ from footfall.schema import ROLLUPS
 from footfall.settings import Settings
 
 OTHER = "__other__"
+#: Parts that a day's values are ranked in before they are ranked together, so no task ranks more than cap times this.
+SALTS = 32
 #: A site's own channel rules: (host fragment, channel name), after the built-in ones.
 ChannelRules = tuple[tuple[str, str], ...]
 #: Attribution credit is kept to four places.
@@ -200,8 +202,12 @@ def admitted(arrivals: DataFrame, cap: int, known: DataFrame | None = None) -> D
         first = first.join(known.select("site_id", "date", "value", F.lit(0).alias("_new")), ["site_id", "date", "value"], "full")
     else:
         first = first.withColumn("_new", F.lit(1))
-    order = Window.partitionBy("site_id", "date").orderBy(F.coalesce("_new", F.lit(1)), F.col("seq").asc_nulls_last(), "value")
-    return first.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).select("site_id", "date", "value")
+    part = F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int")
+    order = (F.coalesce("_new", F.lit(1)), F.col("seq").asc_nulls_last(), "value")
+    some = Window.partitionBy("site_id", "date", "_part").orderBy(*order)  # who is not among the first of a part is not among the first of all
+    few = first.withColumn("_part", part).withColumn("_n", F.row_number().over(some)).where(F.col("_n") <= cap)
+    every = Window.partitionBy("site_id", "date").orderBy(*order)
+    return few.withColumn("_n", F.row_number().over(every)).where(F.col("_n") <= cap).select("site_id", "date", "value")
 
 
 def capped(rows: DataFrame, column: str, allowed: DataFrame) -> DataFrame:
@@ -356,9 +362,46 @@ def _values(cube: Cube, kind: str) -> DataFrame | None:
 
 
 def _known(kind: str, table: Callable[[str], DataFrame | None]) -> DataFrame | None:
-    name, column = CAPPED[kind][0]
-    before = table(name)
-    return None if before is None else before.select("site_id", "date", F.col(column).alias("value")).where(F.col("value") != OTHER).distinct()
+    """Values that a day has admitted. A view's source is known before its session closes, so sources have two tables;
+    the other types have every value in their first."""
+    out = None
+    for name, column in CAPPED[kind][: 2 if kind == "host" else 1]:
+        before = table(name)
+        if before is not None:
+            own = before.select("site_id", "date", F.col(column).alias("value")).where(F.col("value") != OTHER)
+            out = own if out is None else out.union(own)
+    return None if out is None else out.distinct()
+
+
+def arrivals(hits: DataFrame, closed: DataFrame | None, tz: str) -> dict[str, DataFrame]:
+    """By type of dimension (site_id, date, value, seq): when a batch's values came, in its hits and closed sessions.
+
+    Values of hits come by `seq`. Those of sessions come by the second at which their session started; the pages that
+    closed sessions begin and end with were there before the batch's views.
+    """
+
+    def of(rows: DataFrame, value: Column, seq: Column) -> DataFrame:
+        return rows.select("site_id", "date", value.alias("value"), seq.cast("long").alias("seq"))
+
+    seq, own = F.col("seq"), _when(hits, tz)
+    views, out = own.where("kind = 'view'"), own.where("kind in ('outbound', 'download')")
+    found = {
+        "path": of(views, F.col("path"), seq), "event_name": of(own.where("kind = 'event'"), F.col("event_name"), seq),
+        "search_term": of(views.where("count_view"), F.col("search_term"), seq), "crawler": of(own.where("kind = 'crawler'"), F.col("crawler"), seq),
+        "outbound_host": of(out, F.lower(F.try_parse_url("target", F.lit("HOST"))), seq), "outbound_url": of(out, F.col("target"), seq),
+    }
+    if closed is not None:
+        begun, at = _started(closed, tz), F.unix_timestamp("started_at")
+        device = begun.withColumn("d", traffic.device(F.col("user_agent")))
+        touch = begun.select("site_id", "date", "started_at", F.posexplode("campaigns").alias("_at", "c"))
+        kept = begun.select("site_id", "date", "started_at", F.explode("segments").alias("key", "val"))
+        edges = page_edges(closed, tz).select("site_id", "date", F.col("path").alias("value"), F.lit(-1).cast("long").alias("seq"))
+        found |= {
+            "path": found["path"].union(edges), "host": of(begun, F.coalesce(traffic.referrer_host(F.col("referrer")), F.lit("")), at),
+            "browser": of(device, F.col("d.browser"), at), "os": of(device, F.col("d.os"), at), "segment": of(kept, values.segment_dimension(F.col("key"), F.col("val")), at),
+            **{f"campaign_{n}": of(touch, F.col(f"c.{k}"), at * 64 + F.least("_at", F.lit(63))) for n, k in (("source", "s"), ("medium", "m"), ("name", "c"), ("term", "t"), ("content", "o"))},
+        }
+    return found
 
 
 def over_cap(cube: Cube, cap: int, table: Callable[[str], DataFrame | None]) -> list[str]:
@@ -377,16 +420,18 @@ def over_cap(cube: Cube, cap: int, table: Callable[[str], DataFrame | None]) ->
     return [r["kind"] for r in counts.where(F.col("n") > cap).select("kind").distinct().collect()]
 
 
-def capped_cube(cube: Cube, cap: int, table: Callable[[str], DataFrame | None], arrivals: DataFrame | None = None) -> Cube:
+def capped_cube(cube: Cube, cap: int, table: Callable[[str], DataFrame | None], came: dict[str, DataFrame] | None = None) -> Cube:
     """A batch's cube with at most `cap` values of each dimension, site and day; the others become OTHER.
 
-    table: a rollup as it stood before the batch, whose values of the day stay. Within a batch, paths are admitted in
-    the order of `arrivals` (site_id, date, value, seq), other values by label, as a batch's rows have no other order.
+    table: a rollup as it stood before the batch, whose values of the day stay. Within a batch, values are admitted in
+    the order in which they `came` (see `arrivals`); those that are in the cube alone come last, by label.
     """
     over = over_cap(cube, cap, table)
     tables, touched = dict(cube.tables), set()
     for kind in over:
-        fresh = arrivals if kind == "path" and arrivals is not None else _values(cube, kind)
+        fresh = _values(cube, kind).withColumn("seq", F.lit((1 << 63) - 1))
+        if came and kind in came:
+            fresh = fresh.union(came[kind])
         allowed = admitted(fresh, cap, _known(kind, table))
         for t, c in CAPPED[kind]:
             if t in tables:

@@ -550,6 +550,30 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return rollups.capped(views, "path", allowed).groupBy("site_id", "date", "path").agg(F.sum(F.col("count_view").cast("long")).alias("views"))
 
 
+@_query("caps_by_arrival", """, v AS (SELECT 'search_term' AS type, date, search_term AS value, seq FROM hd WHERE search_term IS NOT NULL AND kind = 'view' AND count_view
+  UNION ALL SELECT 'outbound_host', date, lower(regexp_extract(target, '//([^/]+)', 1)), seq FROM hd WHERE kind = 'outbound'
+  UNION ALL SELECT 'event_name', date, event_name, seq FROM hd WHERE kind = 'event' AND event_name IS NOT NULL
+  UNION ALL SELECT 'crawler', date, crawler, seq FROM hd WHERE kind = 'crawler' AND crawler IS NOT NULL),
+f AS (SELECT type, date, value, row_number() OVER (PARTITION BY type, date ORDER BY min(seq)) AS n FROM v GROUP BY type, date, value)
+SELECT type, date, CASE WHEN n <= 2 THEN value ELSE '__other__' END AS value, count(*) AS count FROM v JOIN f USING (type, date, value) GROUP BY ALL""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches, two values a day of each dimension: those that came first, whichever batch they came in."""
+    own = store.Store(spark, f"{store.shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    rows = adapter.hits(spark, sf)
+    last = rows.agg(F.max("seq")).first()[0]
+    for n in range(3):
+        part = rows.where((F.col("seq") * 3 > n * last) & (F.col("seq") * 3 <= (n + 1) * last) if n else F.col("seq") * 3 <= last)
+        cube = Cube({"search": rollups.search(part, "UTC"), "outbound": rollups.outbound(part, "UTC"), "events": rollups.events(part, "UTC"), "crawlers": rollups.crawlers(part, "UTC")})
+        at = own.snapshot()
+        own.write_delta(n, rollups.capped_cube(cube, 2, lambda name, at=at: own.table(name, at=at), rollups.arrivals(part, None, "UTC")))
+    kinds = (("search_term", "search", "term", "count"), ("outbound_host", "outbound", "host", "count"), ("event_name", "events", "event_name", "count"), ("crawler", "crawlers", "crawler", "requests"))
+    cube, out = own.cube(*(t for _, t, *_ in kinds)), None
+    for kind, table, column, n in kinds:
+        each = cube[table].groupBy(F.lit(kind).alias("type"), "date", F.col(column).alias("value")).agg(F.sum(n).alias("count"))
+        out = each if out is None else out.union(each)
+    return out
+
+
 @_query("compaction", f"""SELECT 1 AS site_id, date, (CASE WHEN date < DATE '2024-01-17' THEN -1 ELSE p.hour END)::INT AS hour, path, sum(views)::BIGINT AS views, sum(dwell)::BIGINT AS dwell_ms, sum(ent)::BIGINT AS entrances,
   sum(ex)::BIGINT AS exits, sum(bo)::BIGINT AS bounces, (first(element_id ORDER BY p.hour) FILTER (WHERE element_id IS NOT NULL))::INT AS element_id FROM ({PAGES_SQL}) p
 GROUP BY date, CASE WHEN date < DATE '2024-01-17' THEN -1 ELSE p.hour END, path""")

@@ -41,11 +41,6 @@ def with_search_term(hits: DataFrame, settings: Settings) -> DataFrame:
     return hits.withColumn("search_term", F.coalesce("search_term", found))
 
 
-def _arrivals(hits: DataFrame, tz: str) -> DataFrame:
-    views = hits.where("kind = 'view'")
-    return views.select("site_id", traffic.local_date(F.col("ts"), tz).alias("date"), F.col("path").alias("value"), "seq")
-
-
 def apply(
     store: Store, hits: DataFrame, batch: int, settings: Settings, definitions: Definitions | None = None, hooks: Hooks | None = None,
     as_of: int | None = None, source: str = "hits",
@@ -85,7 +80,7 @@ def apply(
         held += cube.tables.values()
         oldest = min([x for x in (first, begun) if x is not None], default=0)
         recent = F.col("date") >= F.date_sub(F.to_date(F.timestamp_seconds(F.lit(oldest))), 1)
-        capped = rollups.capped_cube(cube, settings.dimension_cap, lambda name: store.table(name, recent, at), _arrivals(rows, tz).union(_edges(closed, tz)))
+        capped = rollups.capped_cube(cube, settings.dimension_cap, lambda name: store.table(name, recent, at), _came(rows, closed, together, tz))
         if fresh is not None:
             capped.tables["visitors"] = fresh
         return store.write_delta(batch, capped, source, {"as_of": reached, "visitors": after}, still_open)
@@ -110,15 +105,18 @@ def _numbers(store: Store, rows: DataFrame, batch: int, source: str, settings: S
     return own if known is None else own.union(known.select("site_id", "visitor_hash", "number")), fresh, after + fresh.count()
 
 
-def _edges(closed: DataFrame, tz: str) -> DataFrame:
-    """Entry and last pages of closed sessions, which came before this batch's views."""
-    edges = rollups.page_edges(closed, tz)
-    return edges.select("site_id", "date", F.col("path").alias("value"), F.lit(-1).cast("long").alias("seq"))
+def _came(rows: DataFrame, closed: DataFrame, together: DataFrame, tz: str) -> dict[str, DataFrame]:
+    """When the batch's values came; a view's source came when its session started."""
+    came = rollups.arrivals(rows, closed, tz)
+    views = _arrived(rows, together)
+    host = F.coalesce(traffic.referrer_host(F.col("arrived_from")), F.lit(""))
+    of_views = views.select("site_id", traffic.local_date(F.col("ts"), tz).alias("date"), host.alias("value"), F.unix_timestamp("began").alias("seq"))
+    return came | {"host": came["host"].union(of_views)}
 
 
 def _arrived(hits: DataFrame, together: DataFrame) -> DataFrame:
     """Counted views with their session's referrer, met by session key and time."""
-    own = together.select(*ses.KEYS, F.col("first_at").alias("_from"), F.col("last_at").alias("_to"), F.col("first.referrer").alias("arrived_from"), (F.size("touches") > 0).alias("by_campaign"))
+    own = together.select(*ses.KEYS, F.col("first_at").alias("_from"), F.col("last_at").alias("_to"), F.col("first.referrer").alias("arrived_from"), F.col("first_at.ts").alias("began"), (F.size("touches") > 0).alias("by_campaign"))
     views = hits.where(ses.is_view()).withColumn("_at", F.struct("ts", "seq"))
     return views.join(own, list(ses.KEYS)).where("_at >= _from and _at <= _to").drop("_at", "_from", "_to")
 

@@ -326,6 +326,35 @@ def test_values_over_the_cap_fold(spark, tmp_path):
     assert got == {f"/{i:02d}": 1 for i in range(10)} | {"/03": 2, "__other__": 4}
 
 
+def test_every_dimension_is_admitted_by_arrival(spark, tmp_path):
+    """Labels run against the order of arrival; sessions close in the batch after."""
+    s, options = store.Store(spark, str(tmp_path / "store")), Settings(dimension_cap=10)
+    rows = []
+    for i in range(13):
+        z, who = f"{20 - i:02d}", f"{i:016x}"
+        rows += [hit(10 * i, i, "/", visitor=who, referrer=f"https://h{z}.example/", campaign=(f"s{z}", "m", f"c{z}", "", ""), segments={"k": z}, search_term=f"t{z}"),
+                 hit(10 * i + 1, i, "/", visitor=who, kind="event", event_name=f"e{z}"), hit(10 * i + 2, i, "/", visitor=who, kind="outbound", target=f"https://o{z}.example/x"),
+                 hit(10 * i + 3, i, "/", visitor="c" * 16, kind="crawler", crawler=f"b{z}")]
+    for n, (a, b) in enumerate(((0, 24), (24, 52))):
+        ingest.apply(s, frame(spark, rows[a:b]), n, options)
+    ingest.apply(s, frame(spark, []), 2, options, as_of=4_102_444_800)
+    first = {f"{20 - i:02d}" for i in range(10)}
+    for table, column, begin, end in (
+        ("sources", "host", "h", ".example"), ("page_sources", "host", "h", ".example"), ("campaigns", "source", "s", ""), ("campaigns", "campaign", "c", ""), ("segments", "segment", "k:", ""),
+        ("search", "term", "t", ""), ("events", "event_name", "e", ""), ("outbound", "host", "o", ".example"), ("outbound", "target", "https://o", ".example/x"), ("crawlers", "crawler", "b", ""),
+    ):
+        got = {r[column] for r in s.table(table).select(column).distinct().collect()}
+        assert got == {f"{begin}{z}{end}" for z in first} | {"__other__"}, (table, column)
+
+
+def test_many_values_are_ranked_in_parts(spark):
+    rows = spark.range(3000).select(F.lit(1).alias("site_id"), F.lit("2026-07-01").cast("date").alias("date"), F.format_string("v%05d", 2999 - F.col("id")).alias("value"), F.col("id").alias("seq"))
+    got = {r["value"] for r in rollups.admitted(rows, 1200).collect()}
+    assert got == {f"v{2999 - i:05d}" for i in range(1200)}
+    plan = rollups.admitted(rows, 1200)._jdf.queryExecution().toString()
+    assert "_part" in plan
+
+
 def test_sketches_in_the_store(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "store"))
     for n in range(2):
