@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -17,6 +18,11 @@ SEGMENTS_PER_HIT = 5
 DIMENSION_LENGTH = 500
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is computed once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def event_value(x: Column) -> Column:
     """Rounded to cents and clamped to a thousand million either way; null for anything that is no number."""
     n = x.try_cast("double")

@@ -16,7 +16,7 @@ from footfall.plans import export, viz
 from footfall.plans.ranges import DateRange
 from footfall.plans.reports import Reports, realtime
 from footfall.settings import Settings
-from footfall.sources import adapter, hits, imports, requests
+from footfall.sources import adapter, crawlers, geo, hits, imports, requests
 from footfall.streaming import guard, ingest, live
 
 RANGE = DateRange(dt.date(2024, 1, 5), dt.date(2024, 1, 24))
@@ -1016,6 +1016,48 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return requests.locate(_requests(spark, sf).select("seq", "address"), nets).groupBy("country_code", "region").agg(F.count(F.lit(1)).alias("hits"))
 
 
+@_query("nested_networks", """WITH a AS (SELECT event_id % 2 = 0 AS four, CASE WHEN event_id % 2 = 0 THEN 167772160 + user_id % 4 * 65536 + event_id % 256 * 256 + user_id % 256 ELSE user_id % 16 * 65536 + event_id % 128 END AS num, count(*) AS hits FROM events GROUP BY ALL),
+n AS (SELECT k % 4 < 2 AS four, CASE k % 4 WHEN 0 THEN 167772160 + k // 4 % 4 * 65536 + k % 256 * 256 WHEN 1 THEN 167772160 + k // 4 % 4 * 65536 + k % 16 * 4096 WHEN 2 THEN k % 16 * 65536 ELSE k % 16 * 65536 + k // 16 % 8 * 16 END AS num,
+  CASE k % 4 WHEN 0 THEN 256 WHEN 1 THEN 4096 WHEN 2 THEN 65536 ELSE 16 END AS room, CASE WHEN s_nationkey > 0 THEN 'C' || s_nationkey ELSE '' END AS country, 'R' || k % 5 AS region FROM (SELECT s_suppkey AS k, s_nationkey FROM supplier)
+  UNION ALL SELECT true, 167772160, 16777216, 'A8', '' UNION ALL SELECT false, 0, 4294967296, 'V6', ''),
+f AS (SELECT a.four, a.num, any_value(a.hits) AS hits, min((room, country, n.region)) AS best FROM a LEFT JOIN n ON a.four = n.four AND a.num // room = n.num // room GROUP BY ALL)
+SELECT best[2] AS country_code, CASE WHEN best[2] = '' THEN '' ELSE best[3] END AS region, four, sum(hits)::BIGINT AS hits FROM f GROUP BY ALL""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Networks of four lengths, one in the other, for addresses of both families; a third of IPv4 is written as IPv6."""
+    k, i, u = F.col("s_suppkey"), F.col("event_id"), F.col("user_id")
+    hexed = lambda x: F.lower(F.hex(x))
+    text = (
+        F.when(k % 4 == 0, F.format_string("10.%d.%d.0/24", F.floor(k / 4) % 4, k % 256)).when(k % 4 == 1, F.format_string("10.%d.%d.0/20", F.floor(k / 4) % 4, k % 16 * 16))
+        .when(k % 4 == 2, F.concat(F.lit("2001:db8:"), hexed(k % 16), F.lit("::/48"))).otherwise(F.concat(F.lit("2001:0DB8:"), hexed(k % 16), F.lit(":"), hexed(F.floor(k / 16) % 8 * 16), F.lit("::/60")))
+    )
+    country = F.when(F.col("s_nationkey") > 0, F.concat(F.lit("C"), F.col("s_nationkey").cast("string"))).otherwise("")
+    nets = adapter.read(spark, sf, "supplier").select(text.alias("network"), country.alias("country"), F.concat(F.lit("R"), (k % 5).cast("string")).alias("region"), F.lit(None).cast("string").alias("registered"))
+    around = spark.createDataFrame([("10.0.0.0/8", "A8", None, None), ("2001:db8::/32", "", None, "V6")], nets.schema)
+    dotted = F.format_string("10.%d.%d.%d", u % 4, i % 256, u % 256)
+    address = F.when(i % 6 == 0, F.concat(F.lit("::ffff:"), dotted)).when(i % 2 == 0, dotted).otherwise(F.concat(F.lit("2001:db8:"), hexed(u % 16), F.lit(":"), hexed(i % 128), F.lit("::"), hexed(i % 4096)))
+    asked = adapter.read(spark, sf, "events").select((i % 2 == 0).alias("four"), address.alias("address"))
+    return geo.locate(asked, nets.unionByName(around)).groupBy("country_code", "region", "four").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@_query("crawlers_by_table", """WITH e AS (SELECT user_id AS u, CASE WHEN event_id % 5 = 0 THEN 'Mozilla/5.0 (compatible; Customer-Fetch-' || user_id || '/2.1; +https://c.example)' WHEN event_id % 5 = 1 THEN 'FETCH ' || user_id || ' Mobile'
+  WHEN event_id % 5 = 2 THEN 'OtherBot/3' WHEN event_id % 5 = 3 THEN 'Mozilla/5.0 Firefox/130.0' END AS agent, event_id % 5 AS form FROM events),
+k AS (SELECT c_custkey AS c, c_mktsegment || ' ' || c_custkey AS name FROM customer)
+SELECT CASE WHEN form = 0 AND c IS NOT NULL THEN name WHEN form = 1 AND c IS NOT NULL AND c % 2 = 0 THEN 'Fetcher ' || c WHEN form = 2 THEN 'OtherBot' WHEN form = 4 THEN 'Unknown' END AS crawler, count(*) AS hits
+FROM e LEFT JOIN k ON u = c GROUP BY ALL""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A name for each customer; every second one is also known by a shorter phrase, which counts where the longer fails."""
+    c, i, u = F.col("c_custkey").cast("string"), F.col("event_id"), F.col("user_id").cast("string")
+    people = adapter.read(spark, sf, "customer")
+    table = people.select(F.concat(F.lit("customer-fetch-"), c).alias("phrase"), F.concat("c_mktsegment", F.lit(" "), c).alias("name"))
+    table = table.unionByName(people.where("c_custkey % 2 = 0").select(F.concat(F.lit("Fetch "), c).alias("phrase"), F.concat(F.lit("Fetcher "), c).alias("name")))
+    agent = (
+        F.when(i % 5 == 0, F.concat(F.lit("Mozilla/5.0 (compatible; Customer-Fetch-"), u, F.lit("/2.1; +https://c.example)"))).when(i % 5 == 1, F.concat(F.lit("FETCH "), u, F.lit(" Mobile")))
+        .when(i % 5 == 2, "OtherBot/3").when(i % 5 == 3, "Mozilla/5.0 Firefox/130.0")
+    )
+    rows = adapter.read(spark, sf, "events").select(agent.alias("user_agent"))
+    return crawlers.identify(rows, table).groupBy("crawler").agg(F.count(F.lit(1)).alias("hits"))
+
+
 @_query("consent_decisions", """WITH c AS (SELECT user_id AS u, event_id AS i, cast(floor(epoch(ts)) AS BIGINT) AS ts, CASE WHEN event_id % 4 = 0 THEN 'denied' WHEN event_id % 17 <> 0 THEN 'granted' END AS state FROM events)
 SELECT 'v' || u AS visitor_id, last(state ORDER BY ts, i) AS state, count(*) AS rows FROM c WHERE state IS NOT NULL GROUP BY u""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
