@@ -299,6 +299,20 @@ class Store:
         fresh = {x for s in at.batches if not s.startswith(IMPORTED) for name in ("pages", "sessions") for x in self._touched(name, s, at)}
         return sorted(d for s, d in {*map(tuple, at.state["own"]), *fresh} if s == site_id)
 
+    def stamp(self, tables: tuple[str, ...], site_id: int, start: str, end: str, at: Snapshot) -> list:
+        """What the days of a site in these tables consist of at a snapshot: versions, and attempts that add to them.
+
+        Two snapshots with the same stamp hold the same rows there, whatever else has come or was folded meanwhile.
+        """
+        versions = [[n, d, v] for n in tables for d, v in sorted(at.state["versions"].get(n, {}).items()) if start <= d <= end]
+        fresh = []
+        for source, own in sorted(at.batches.items()):
+            for batch, attempt in sorted(own.items()):
+                one = Snapshot(at.state, {source: {batch: attempt}})
+                if any(s == site_id and start <= d <= end for n in tables for s, d in self._touched(n, source, one)):
+                    fresh.append([source, batch, attempt])
+        return [versions, fresh, max(at.state["since"], start)]
+
     def compact(self, today: dt.date, settings: Settings) -> list[str]:
         """Fold hours older than the window into days; running it again rewrites nothing."""
         cutoff = today - dt.timedelta(days=settings.hourly_window_days)

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions import traffic, urls, values
-from footfall.operators import governance, rollups, sessions, store, uniques
+from footfall.operators import governance, journeys, rollups, sessions, store, uniques
 from footfall.operators.rollups import Cube
-from footfall.plans import export, viz
+from footfall.plans import cache, export, viz
 from footfall.plans.ranges import DateRange
 from footfall.plans.reports import Reports, realtime
 from footfall.settings import Settings
@@ -609,6 +609,18 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return governance.erased(_journeys(spark, sf), gone).select("visitor_id", "sequence", "path", F.unix_timestamp("occurred_at").alias("occurred"))
 
 
+@_query("erased_from_files", f", {JOURNEY_SQL} SELECT visitor_id, sequence, path, ts AS occurred FROM jr WHERE visitor_id NOT IN (SELECT 'v' || c_custkey FROM customer WHERE c_custkey % 7 = 3)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Journeys in files of four batches, of which those that hold a subject are rewritten."""
+    own, rows = journeys.Journeys(spark, f"{store.shared_dir(spark)}/journeys-{uuid.uuid4().hex}"), _journeys(spark, sf)
+    for n in range(4):
+        own.append(n, rows.where(F.pmod(F.hash("visitor_id"), F.lit(4)) == n))
+        own.append(n, rows)  # once, however often it is called
+    own.erase(visitors=adapter.read(spark, sf, "customer").where("c_custkey % 7 = 3").select(F.concat(F.lit("v"), F.col("c_custkey").cast("string")).alias("visitor_id")))
+    own.purge()
+    return own.rows().select("visitor_id", "sequence", "path", F.unix_timestamp("occurred_at").alias("occurred"))
+
+
 @_query("privacy_counts", f""", {JOURNEY_SQL} SELECT 1 AS site_id, (SELECT count(DISTINCT visitor_id) FROM jr) AS visitors, (SELECT count(*) FROM jr) AS rows,
   (SELECT count(*) FROM lg WHERE state = 'granted') AS grants, (SELECT count(*) FROM lg WHERE state = 'denied') AS denials""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
@@ -827,6 +839,23 @@ def _views(own: store.Store) -> DataFrame:
     return own.table("pages").groupBy("date", "path").agg(F.sum("views").alias("views"), F.sum("dwell_ms").alias("dwell_ms"))
 
 
+@_query("cached_report", f"SELECT path, sum(count_view::INT)::BIGINT AS views FROM hd WHERE kind = 'view' AND {BETWEEN} GROUP BY ALL")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A report that is kept, read again after late hits, and again after they were folded."""
+    own = store.Store(spark, f"{store.shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    kept = cache.ReportCache(own)
+
+    def read() -> DataFrame:
+        views = lambda r: r.rows("pages").groupBy("path").agg(F.sum("views").alias("views"))
+        return kept.report("views", ("pages",), views, 1, RANGE, RANGE.end + dt.timedelta(days=1))
+
+    for n, part in enumerate(_view_batches(spark, sf, 2)):
+        own.write_delta(n, part)
+        read()
+    own.rewrite(lambda name, rows: rows)
+    return read()
+
+
 @_query("fold_beside_ingest", VIEWS_SQL)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Three batches, of which the second is written while the first is folded, and the third while both are compacted."""
