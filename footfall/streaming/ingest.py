@@ -121,16 +121,20 @@ def _arrived(hits: DataFrame, together: DataFrame) -> DataFrame:
     return views.join(own, list(ses.KEYS)).where("_at >= _from and _at <= _to").drop("_at", "_from", "_to")
 
 
-def hit_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Decoded hits of all files that arrive in `folder`, those that are malformed marked."""
-    return wire.decode(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder))
+def hit_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000, bytes_per_trigger: int | None = None) -> DataFrame:
+    """Decoded hits of all files that arrive in `folder`, those that are malformed marked.
+
+    A batch takes so many files, or, where `bytes_per_trigger` is given, files of so many bytes in all, and one at least.
+    """
+    name, most = ("maxFilesPerTrigger", files_per_trigger) if bytes_per_trigger is None else ("maxBytesPerTrigger", bytes_per_trigger)
+    return wire.decode(spark.readStream.option(name, most).text(folder))
 
 
 def roll_up(
     spark: SparkSession, folder: str, store_root: str, checkpoint: str, settings: Settings, definitions: Definitions | None = None,
-    hooks: Hooks | None = None, files_per_trigger: int = 1000, attempts: int = 3,
+    hooks: Hooks | None = None, files_per_trigger: int = 1000, attempts: int = 3, bytes_per_trigger: int | None = None,
 ) -> StreamingQuery:
-    """Take in what has arrived and stop; run it again for more. Each run takes up at most so many files in a batch.
+    """Take in what has arrived and stop; run it again for more. A batch takes up so many files, or files of so many bytes.
 
     A batch that fails so many times by what is in it is set aside: its lines go to `store_root/failed/batch=<n>` for
     `retry_failed`, its marker keeps the error, and the stream goes on. Where the storage or the cluster is at fault, the
@@ -152,7 +156,7 @@ def roll_up(
         finally:
             lines.unpersist()
 
-    stream = hit_stream(spark, folder, files_per_trigger)
+    stream = hit_stream(spark, folder, files_per_trigger, bytes_per_trigger)
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -1,11 +1,12 @@
 """Sessions in managed state."""
 
 import datetime as dt
+import json
 
 from hypothesis import given, settings as hyp, strategies as st
 
 from footfall.sources import hits as wire
-from footfall.streaming import guard, live
+from footfall.streaming import guard, ingest, live
 from test_analytics import START, V, frame, hit
 
 PART = {"visitor_hash": V, "entry_path": "", "last_path": "", "referrer": "", "user_agent": "", "max_scroll": 0}
@@ -76,3 +77,17 @@ def test_a_timer_closes_what_is_idle(spark, tmp_path):
     assert seen == [("0", "/a", "/c", 3, 50), ("f", "/x", "/x", 1, 0)] and now == [("f", 2, at(2800))]
     assert _take(spark, tmp_path, []) == (seen, now)
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").find("RocksDB") < 0
+
+
+def test_batches_of_so_many_bytes(spark, tmp_path):
+    spool = tmp_path / "spool"
+    spool.mkdir()
+    line = json.dumps({"si": 1, "p": "/a", "v": "a" * 16, "k": "b" * 32, "ts": 1_780_000_000})
+    for n in range(6):
+        (spool / f"{n}.txt").write_text((line + "\n") * 10)
+    size = (spool / "0.txt").stat().st_size
+    for name, budget, batches in (("two", 2 * size, [20, 20, 20]), ("least", 1, [10] * 6)):
+        took = []
+        stream = ingest.hit_stream(spark, str(spool), bytes_per_trigger=budget).writeStream.option("checkpointLocation", str(tmp_path / name))
+        stream.foreachBatch(lambda rows, n, took=took: took.append(rows.count())).trigger(availableNow=True).start().awaitTermination()
+        assert took == batches
