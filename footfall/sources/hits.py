@@ -12,15 +12,15 @@ from footfall.schema import WIRE
 KINDS = ("view", "event", "outbound", "download", "crawler")
 
 
-def decode(lines: DataFrame) -> DataFrame:
-    """Hits and a flag `malformed` from a column `value` of JSON lines (batch or stream).
+def decode(lines: DataFrame, *kept: str) -> DataFrame:
+    """Hits and a flag `malformed` from a column `value` of JSON lines (batch or stream); columns `kept` stay as they are.
 
     Missing keys take their defaults, a bad segment map costs only the segments, and a line that cannot be
     read or has no site or no valid visitor is flagged, not dropped.
     """
     wire = F.from_json("value", WIRE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     # a generator, so that a line is read once and not for every field
-    h = lines.where(F.trim("value") != "").select(F.inline(F.array(wire)))
+    h = lines.where(F.trim("value") != "").select(*kept, F.inline(F.array(wire)))
 
     def text(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(""))
@@ -36,7 +36,7 @@ def decode(lines: DataFrame) -> DataFrame:
         event_value(F.col("ev")).alias("event_value"), F.col("tg").alias("target"), scroll_bucket(F.col("sb")).alias("scroll_bucket"),
         F.coalesce("sg", F.create_map().cast("map<string,string>")).alias("segments"),
         F.lit(None).cast("string").alias("search_term"), F.when(kind == "crawler", text("en")).alias("crawler"),
-        F.col("_corrupt_record").isNotNull().alias("unreadable"),
+        F.col("_corrupt_record").isNotNull().alias("unreadable"), *kept,
     )
     bad = F.col("unreadable") | (F.col("site_id") == 0) | ~valid_visitor(F.col("visitor_hash"), F.col("kind"))
     return out.withColumn("malformed", bad).drop("unreadable")

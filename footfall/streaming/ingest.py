@@ -3,7 +3,8 @@
 A micro-batch adds the rollups of its hits, and those of the sessions that it brings to a close. Sessions that may
 still go on are kept in the store as summaries, one row each; a batch's own summaries are added to them, so what is
 held follows open sessions and not hits, and every column of a session is there when it closes. A batch that is
-replayed after a crash reads the same summaries and writes the same files; its marker is written last.
+replayed after a crash reads the same summaries and writes the same files; its marker is written last. Micro-batches of
+many hits may be taken in by slices (`streaming.slices`), each of which counts like a batch.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,6 +25,7 @@ from footfall.operators.rollups import ChannelRules, Cube
 from footfall.operators.store import Snapshot, Store
 from footfall.settings import Settings
 from footfall.sources import hits as wire
+from footfall.streaming import slices
 
 
 @dataclass(frozen=True)
@@ -43,13 +46,13 @@ def with_search_term(hits: DataFrame, settings: Settings) -> DataFrame:
 
 def apply(
     store: Store, hits: DataFrame, batch: int, settings: Settings, definitions: Definitions | None = None, hooks: Hooks | None = None,
-    as_of: int | None = None, source: str = "hits",
+    as_of: int | None = None, source: str = "hits", note: dict | None = None,
 ) -> bool:
     """Add one batch of usable hits; False if it has been added before.
 
     A session closes when nothing of it came for the window before `as_of` (epoch seconds); without one, before the
     newest hit so far. A view counts for the source by which its session arrived, as far as it is known by then.
-    Within a batch `seq` orders hits of one second; batches order by their number.
+    Within a batch `seq` orders hits of one second; batches order by their number. `note`: what its marker says besides.
     """
     if store.is_written(batch, source):
         return False
@@ -83,7 +86,7 @@ def apply(
         capped = rollups.capped_cube(cube, settings.dimension_cap, lambda name: store.table(name, recent, at), _came(rows, closed, together, tz))
         if fresh is not None:
             capped.tables["visitors"] = fresh
-        return store.write_delta(batch, capped, source, {"as_of": reached, "visitors": after}, still_open)
+        return store.write_delta(batch, capped, source, {**(note or {}), "as_of": reached, "visitors": after}, still_open)
     finally:
         for df in held:
             df.unpersist()
@@ -126,38 +129,83 @@ def hit_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000,
 
     A batch takes so many files, or, where `bytes_per_trigger` is given, files of so many bytes in all, and one at least.
     """
+    return wire.decode(_lines(spark, folder, files_per_trigger, bytes_per_trigger))
+
+
+def _lines(spark: SparkSession, folder: str, files_per_trigger: int, bytes_per_trigger: int | None) -> DataFrame:
     name, most = ("maxFilesPerTrigger", files_per_trigger) if bytes_per_trigger is None else ("maxBytesPerTrigger", bytes_per_trigger)
-    return wire.decode(spark.readStream.option(name, most).text(folder))
+    return spark.readStream.option(name, most).text(folder)
 
 
 def roll_up(
     spark: SparkSession, folder: str, store_root: str, checkpoint: str, settings: Settings, definitions: Definitions | None = None,
     hooks: Hooks | None = None, files_per_trigger: int = 1000, attempts: int = 3, bytes_per_trigger: int | None = None,
+    hits_per_slice: int | None = None, budget: slices.Budget | None = None,
 ) -> StreamingQuery:
     """Take in what has arrived and stop; run it again for more. A batch takes up so many files, or files of so many bytes.
 
-    A batch that fails so many times by what is in it is set aside: its lines go to `store_root/failed/batch=<n>` for
-    `retry_failed`, its marker keeps the error, and the stream goes on. Where the storage or the cluster is at fault, the
-    stream stops instead and takes the batch up again when it is run again. Malformed lines are counted in
-    `store_root/malformed`.
+    Where `hits_per_slice` is given, a micro-batch is taken in by slices of at most so many hits, also inside of a file,
+    and `budget` says how many slices a run may take in; when it is spent the stream fails with `slices.BudgetSpent`
+    (`drain` ends without) and the next run goes on with the slice after. The sessions that a slice leaves open go on in
+    the next. Slices are applied one after the other, so they should not be small beside what a batch has.
+
+    A batch or slice that fails so many times by what is in it is set aside: its lines go to
+    `store_root/failed/batch=<n>` for `retry_failed`, its marker keeps the error, and the stream goes on. Where the storage
+    or the cluster is at fault, the stream stops instead and takes the batch up again when it is run again. Malformed
+    lines are counted in `store_root/malformed`.
     """
-    store = Store(spark, store_root)
+    store, budget = Store(spark, store_root), budget or slices.Budget()
 
-    def each(batch: DataFrame, number: int) -> None:
-        if store.is_written(number):
-            return
+    def take(hits: DataFrame, number: int, note: dict) -> None:
+        budget.take()
+        work = lambda: apply(store, hits, number, settings, definitions, hooks, note=note)
+        _tried(store, number, attempts, work, lambda e: set_aside(store, hits, number, e, note))
+
+    def whole(batch: DataFrame, epoch: int, number: int) -> None:
         marked = batch.withColumn("_id", F.monotonically_increasing_id())
         # partition and row as 14 and 26 bits
         seq = F.shiftleft(F.shiftright("_id", 33), 26) + F.col("_id").bitwiseAND(F.lit((1 << 26) - 1))
-        lines = marked.withColumn("seq", seq).drop("_id").persist()
+        lines = marked.withColumn("seq", seq).drop("_id", "file").persist()
         try:
-            _tried(store, number, attempts, lambda: apply(store, wire.usable(lines), number, settings, definitions, hooks), lambda e: set_aside(store, lines, number, e))
-            store.count_malformed(number, lines.where("malformed").count())
+            take(wire.usable(lines), number, {"epoch": epoch})
+            store.count_malformed(epoch, lines.where("malformed").count())
         finally:
             lines.unpersist()
 
-    stream = hit_stream(spark, folder, files_per_trigger, bytes_per_trigger)
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def each(batch: DataFrame, epoch: int) -> None:
+        at = slices.progress(store, epoch)
+        own = slices.Slices(store, epoch)
+        plan = own.plan() if at.slice is not None else None
+        if at.slice is not None and plan is None and hits_per_slice is not None:
+            lines = batch.persist()
+            try:
+                store.count_malformed(epoch, lines.where("malformed").count())
+                plan = own.cut(wire.usable(lines), hits_per_slice)
+            finally:
+                lines.unpersist()
+        if at.slice is not None and plan is None:
+            whole(batch, epoch, at.batch)
+        elif plan is not None:
+            for n, part in enumerate(range(at.slice, plan["slices"])):
+                take(own.read(plan, part), at.batch + n, {"epoch": epoch, "slice": part, "slices": plan["slices"]})
+        own.clear()
+
+    lines = _lines(spark, folder, files_per_trigger, bytes_per_trigger)
+    file = F.struct(*(F.col(f"_metadata.{c}").alias(c) for c in ("file_modification_time", "file_path", "file_block_start"))).alias("file")
+    decoded = wire.decode(lines.select("value", file), "file")
+    return decoded.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def drain(spark: SparkSession, folder: str, store_root: str, checkpoint: str, settings: Settings, most: int | None = None, hits_per_slice: int = 20_000, **options) -> int:
+    """`roll_up` by slices until all is taken in, or `most` slices are; how many were. `options` are those of `roll_up`."""
+    budget = slices.Budget(most)
+    query = roll_up(spark, folder, store_root, checkpoint, settings, hits_per_slice=hits_per_slice, budget=budget, **options)
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if not budget.spent:
+            raise
+    return budget.taken
 
 
 #: Java exceptions of the storage or the cluster, which pass, whatever a batch holds.
@@ -189,14 +237,14 @@ def _tried(store: Store, number: int, attempts: int, work: Callable[[], object],
                 give_up(e)
 
 
-def set_aside(store: Store, lines: DataFrame, number: int, error: BaseException | None = None) -> None:
+def set_aside(store: Store, hits: DataFrame, number: int, error: BaseException | None = None, note: dict | None = None) -> None:
     """Keep a batch's hits for later and pass over its number; the sessions that were open stay open.
 
     Nothing that earlier attempts have written counts.
     """
-    wire.encode(wire.usable(lines)).write.mode("overwrite").text(f"{store.root}/failed/batch={number}")
+    wire.encode(hits).write.mode("overwrite").text(f"{store.root}/failed/batch={number}")
     before = store.note(number - 1) if number - 1 in store.written() else {}
-    carried = {k: before.get(k) for k in ("as_of", "visitors")}
+    carried = (note or {}) | {k: before.get(k) for k in ("as_of", "visitors")}
     store.write_delta(number, Cube(), "hits", {"failed": True, "error": str(error)[:2000], **carried}, store.open_sessions(number - 1, ses.SUMMARY))
 
 

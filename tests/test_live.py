@@ -2,11 +2,16 @@
 
 import datetime as dt
 import json
+import os
 
 from hypothesis import given, settings as hyp, strategies as st
+from pyspark.sql import functions as F
 
+from footfall.operators import sessions as ses
+from footfall.operators.store import Store
+from footfall.settings import Settings
 from footfall.sources import hits as wire
-from footfall.streaming import guard, ingest, live
+from footfall.streaming import guard, ingest, live, slices
 from test_analytics import START, V, frame, hit
 
 PART = {"visitor_hash": V, "entry_path": "", "last_path": "", "referrer": "", "user_agent": "", "max_scroll": 0}
@@ -91,3 +96,79 @@ def test_batches_of_so_many_bytes(spark, tmp_path):
         stream = ingest.hit_stream(spark, str(spool), bytes_per_trigger=budget).writeStream.option("checkpointLocation", str(tmp_path / name))
         stream.foreachBatch(lambda rows, n, took=took: took.append(rows.count())).trigger(availableNow=True).start().awaitTermination()
         assert took == batches
+
+
+def _spool(folder, name, hits, age, per_line=1_780_000_000):
+    lines = [json.dumps({"si": 1, "p": f"/{i}", "v": "a" * 16, "k": "b" * 32, "ts": per_line + i}) for i in hits]
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("".join(line + "\n" for line in lines))
+    os.utime(folder / name, (1_790_000_000 + age,) * 2)
+
+
+def test_slices_stop_inside_a_file(spark, tmp_path, monkeypatch):
+    spool, root, check = tmp_path / "spool", str(tmp_path / "store"), str(tmp_path / "check")
+    _spool(spool, "z.txt", range(50), 0)  # older, though its name is later
+    _spool(spool, "a.txt", range(50, 57), 60)
+    with open(spool / "z.txt", "a") as f:
+        f.write("no json\n")
+    os.utime(spool / "z.txt", (1_790_000_000,) * 2)
+    s = Store(spark, root)
+    monkeypatch.setattr(slices, "FEW_BLOCKS", 1)  # the blocks are met by a shuffle
+    seen = lambda: sorted(int(r["path"][1:]) for r in s.table("pages").collect())
+    assert ingest.drain(spark, str(spool), root, check, Settings(), 1, 20) == 1
+    assert seen() == list(range(20)) and s.malformed() == 1
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1000)  # other splits than those of the first run
+    try:
+        assert ingest.drain(spark, str(spool), root, check, Settings(), None, 33) == 2  # the plan of the first run holds
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen() == list(range(57)) and s.malformed() == 1
+    notes = [s.note(n) for n in s.written()]
+    assert [(n["epoch"], n["slice"], n["slices"]) for n in notes] == [(0, 0, 3), (0, 1, 3), (0, 2, 3)]
+    assert not s._exists("slices/0")
+    # one visitor, whose session goes on from slice to slice
+    assert [r["pageviews"] for r in s.open_sessions(2, ses.SUMMARY).collect()] == [57]
+    assert ingest.drain(spark, str(spool), root, check, Settings()) == 0
+    _spool(spool, "b.txt", range(57, 60), 120)
+    ingest.roll_up(spark, str(spool), root, check, Settings()).awaitTermination()  # whole batches go on where slices ended
+    assert seen() == list(range(60)) and s.note(3)["epoch"] == 1 and s.written() == [0, 1, 2, 3]
+
+
+def test_a_slice_that_fails_is_set_aside_alone(spark, tmp_path):
+    spool, root, check = tmp_path / "spool", str(tmp_path / "store"), str(tmp_path / "check")
+    _spool(spool, "a.txt", range(6), 0)
+
+    def broken(hits):
+        if hits.where("path = '/3'").count():
+            raise ValueError("a hook fails")
+        return hits
+
+    assert ingest.drain(spark, str(spool), root, check, Settings(), None, 2, attempts=1, hooks=ingest.Hooks(broken)) == 3
+    s = Store(spark, root)
+    assert s.failed() == ["batch=1"] and sorted(r["path"] for r in s.table("pages").collect()) == ["/0", "/1", "/4", "/5"]
+    assert ingest.retry_failed(s, str(spool)) == 1
+    assert ingest.drain(spark, str(spool), root, check, Settings(), None, 2) == 1
+    assert s.table("pages").count() == 6
+
+
+def test_slices_of_nothing(spark, tmp_path):
+    spool, root = tmp_path / "spool", str(tmp_path / "store")
+    spool.mkdir()
+    (spool / "bad.txt").write_text("no json\n\n")
+    assert ingest.drain(spark, str(spool), root, str(tmp_path / "check"), Settings()) == 1
+    s = Store(spark, root)
+    assert s.malformed() == 1 and s.table("pages").isEmpty() and s.note(0)["slices"] == 1
+
+
+def test_every_block_has_its_place(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for n, lines in enumerate((300, 0, 1, 200)):
+        (folder / f"{n}.txt").write_text("".join(f"{n}-{i}\n" for i in range(lines)))
+        os.utime(folder / f"{n}.txt", (1_790_000_000 - n,) * 2)
+    wanted = [f"{n}-{i}" for n, lines in ((3, 200), (2, 1), (0, 300)) for i in range(lines)]
+    for size in (100, 10_000):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got = slices.placed(spark.read.text(str(folder)).select("value", F.col("_metadata").alias("file"))).orderBy("place").collect()
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [r["value"] for r in got] == wanted and [r["place"] for r in got] == list(range(501))
