@@ -3,7 +3,7 @@
 Every file has Bloom filters of visitors and users for its row groups, as Parquet defines them. Asked for a few visitors
 Spark's scan skips the row groups that cannot hold them, so finding a subject reads filters and little else.
 `root/rows/<part>/` holds what one job wrote; the manifest names the parts and, for each, the files that are no longer in
-force, because an erasure wrote their other rows to a part of its own. Maintenance is fenced as in the store.
+force, because an erasure wrote their other rows to a part of its own, or small ones were joined there. Maintenance is fenced as in the store.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from footfall.operators.store import Store
 SCHEMA = "site_id int, visitor_id string, session_key string, sequence int, path string, user_id int, occurred_at timestamp"
 #: Up to so many subjects are looked up by the filters; for more the two columns are read and joined.
 LOOKED_UP = 500
+#: Files are joined to about so many bytes.
+TARGET = 128 << 20
 
 
 class Journeys(Store):
@@ -34,6 +36,15 @@ class Journeys(Store):
         parts = state.get("parts", {})
         return [f"rows/{p}/{f}" for p, gone in parts.items() for f in self._names(f"rows/{p}") if f.endswith(".parquet") and f not in set(gone)]
 
+    def _sizes(self, state: dict) -> dict[str, int]:
+        """Bytes of each file in force."""
+        out = {}
+        for p, gone in state.get("parts", {}).items():
+            found = self._fs.listStatus(self._path(f"{self.root}/rows/{p}")) if self._exists(f"rows/{p}") else []
+            sizes = {s.getPath().getName(): s.getLen() for s in found}
+            out |= {f"rows/{p}/{f}": n for f, n in sizes.items() if f.endswith(".parquet") and f not in set(gone)}
+        return out
+
     def _of(self, files: list[str]) -> DataFrame:
         if not files:
             return self.spark.createDataFrame([], SCHEMA)
@@ -102,6 +113,21 @@ class Journeys(Store):
             files = self._matching(self._files(state), lambda rows: rows.where(~F.coalesce(where, F.lit(False))))
             return self._rewrite_files(state, files, lambda rows: rows.where(where), fence)
 
+    def join_small(self, size: int = TARGET) -> int:
+        """Join files of less than half of `size` bytes to files of about `size`; the number of files that were joined.
+
+        Rows are dealt out by visitor and time, so that a visitor is in few of the new files, with names of their own
+        between their least and greatest, and one of any number of rows is still cut. Larger files are left alone, and so
+        is a small one by itself. The old files stay until `purge`, as after an erasure.
+        """
+        with self.only_one() as fence:
+            state = self.manifest()
+            small = {f: n for f, n in self._sizes(state).items() if 2 * n < size}
+            if len(small) < 2:
+                return 0
+            count = -(-sum(small.values()) // size)
+            return self._rewrite_files(state, set(small), lambda rows: rows.repartitionByRange(count, "visitor_id", "occurred_at"), fence)
+
     def purge(self) -> int:
         """Delete files that are no longer in force and parts that no manifest names; the number of files."""
         with self.only_one() as fence:

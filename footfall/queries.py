@@ -621,6 +621,19 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return own.rows().select("visitor_id", "sequence", "path", F.unix_timestamp("occurred_at").alias("occurred"))
 
 
+@_query("journeys_joined", f", {JOURNEY_SQL} SELECT visitor_id, sequence, path, ts AS occurred FROM jr WHERE visitor_id NOT IN (SELECT 'v' || c_custkey FROM customer WHERE c_custkey % 7 = 3)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Journeys of four batches whose small files are joined before an erasure and after it."""
+    own, rows = journeys.Journeys(spark, f"{store.shared_dir(spark)}/journeys-{uuid.uuid4().hex}"), _journeys(spark, sf)
+    for n in range(4):
+        own.append(n, rows.where(F.pmod(F.hash("path"), F.lit(4)) == n))
+    own.join_small()
+    own.erase(visitors=adapter.read(spark, sf, "customer").where("c_custkey % 7 = 3").select(F.concat(F.lit("v"), F.col("c_custkey").cast("string")).alias("visitor_id")))
+    own.join_small()
+    own.purge()
+    return own.rows().select("visitor_id", "sequence", "path", F.unix_timestamp("occurred_at").alias("occurred"))
+
+
 @_query("privacy_counts", f""", {JOURNEY_SQL} SELECT 1 AS site_id, (SELECT count(DISTINCT visitor_id) FROM jr) AS visitors, (SELECT count(*) FROM jr) AS rows,
   (SELECT count(*) FROM lg WHERE state = 'granted') AS grants, (SELECT count(*) FROM lg WHERE state = 'denied') AS denials""")
 def _(spark: SparkSession, sf: str) -> DataFrame:

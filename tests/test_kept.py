@@ -54,6 +54,30 @@ def test_erasure_of_users_and_of_many(spark, held, monkeypatch):
     assert held.erase(visitors=many.limit(0)) == 0
 
 
+def test_small_files_are_joined(held, spark):
+    sizes = held._sizes(held.manifest())
+    assert set(sizes) == set(held._files(held.manifest())) and all(sizes.values())
+    reading, rows = held.rows(), lambda: sorted(map(tuple, held.rows().collect()))
+    before = rows()
+    assert held.join_small(min(sizes.values())) == 0  # none is less than half of that
+    assert held.join_small(sum(sizes.values()) // 3) == 12 and 3 <= len(held._files(held.manifest())) <= 4
+    assert rows() == before and reading.count() == 12_000  # the files of who began before are still there
+    own = held.rows().groupBy("_metadata.file_path").agg(F.min("visitor_id").alias("a"), F.max("visitor_id").alias("b")).orderBy("a").collect()
+    assert all(x["b"] < y["a"] for x, y in zip(own, own[1:], strict=False))  # each visitor in one
+    assert held.purge() == 12 and rows() == before
+    subject = spark.createDataFrame([(before[0][1],)], "visitor_id string")
+    assert held.erase(visitors=subject) == 1 and held.rows().count() == 11_999
+    held.join_small()
+    assert len(held._files(held.manifest())) == 1 and held.join_small() == 0 and held.rows().count() == 11_999
+    # one visitor of many rows is still cut, and rows without a visitor stay
+    hot = held.rows().withColumn("visitor_id", F.when(F.col("user_id") > 5, "hot"))
+    held.append(3, hot.repartition(8))
+    small = [n for f, n in held._sizes(held.manifest()).items() if f.split("/")[1].startswith(str(held.manifest()["fence"]))]
+    assert len(small) == 8 and held.join_small(2 * max(small) + 2) >= 8
+    files = held.rows().where("visitor_id = 'hot'").select("_metadata.file_path").distinct().count()
+    assert files > 1 and held.rows().where("visitor_id is null").count() + held.rows().where("visitor_id = 'hot'").count() == 11_999
+
+
 def test_filters_are_in_the_files(held):
     """A column of random names, about as many as rows: only a Bloom filter can tell that one is not there."""
     import pyarrow.parquet as pq
