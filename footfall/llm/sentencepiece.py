@@ -22,8 +22,10 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ SPACE = "▁"
 
 
 class Codec:
-    def __init__(self, model_file: str, kind: str = "bpe", most: int = 100_000):
+    def __init__(self, model_file: str, kind: str = "bpe", most: int = 300_000):
         import ahocorasick
         from sentencepiece import SentencePieceProcessor
 
@@ -60,12 +62,12 @@ class Codec:
         self._inside = {p[i : i + 2] for p in self._ids for i in range(len(p) - 1)}
         self._automaton = ahocorasick.Automaton()
         for p, i in self._ids.items():
-            self._automaton.add_word(p, (i, len(p)))
+            if not self._bpe or len(p) == 1 or self.merged(p) == [i]:  # what does not merge to itself takes no part
+                self._automaton.add_word(p, (i, len(p)))
         self._automaton.make_automaton()
         self._known: dict[str, bytes] = {}
-        self._parts: dict[str, list[int]] = {}
-        self._meets: dict[tuple[int, int], bool] = {}
-        self._stable: dict[int, bool] = {}
+        self._parts: dict[str, bytes] = {}  # bytes, which the collector of cycles need not look at
+        self._meets: dict[int, bool] = {}  # of two pieces, the left one times the number of pieces and the right one
 
     def merged(self, text: str) -> list[int]:
         """Byte-pair merging, the best scored pair first and the leftmost of equals."""
@@ -81,15 +83,9 @@ class Codec:
             own[at : at + 2] = [own[at] + own[at + 1]]
 
     def _follows(self, left: int, right: int) -> bool:
-        if (got := self._meets.get((left, right))) is None:
-            if len(self._meets) > self._most:
-                self._meets.clear()
-            got = self._meets[left, right] = self.merged(self.pieces[left] + self.pieces[right]) == [left, right]
-        return got
-
-    def _alone(self, piece: int) -> bool:
-        if (got := self._stable.get(piece)) is None:
-            got = self._stable[piece] = self.merged(self.pieces[piece]) == [piece]
+        if len(self._meets) > self._most:
+            self._meets.clear()
+        got = self._meets[left * len(self.pieces) + right] = self.merged(self.pieces[left] + self.pieces[right]) == [left, right]
         return got
 
     def _spelled(self, text: str) -> list[int]:
@@ -99,38 +95,63 @@ class Codec:
     def segment(self, part: str) -> list[int]:
         """Ids of a part that no piece reaches out of: one pass of the automaton."""
         n = len(part)
-        last: list[tuple[int, int] | None] = [None] * (n + 1)
-        value = [0.0] * (n + 1)
-        reached = [True] + [False] * n
-        for end, (piece, length) in self._automaton.iter(part):
-            start, stop = end + 1 - length, end + 1
-            if not reached[start]:
-                continue
-            before = last[start]
-            if self._bpe:
-                if reached[stop] or not (self._alone(piece) if before is None else self._alone(piece) and self._follows(before[0], piece)):
-                    continue
-            elif reached[stop] and value[start] + self._score[piece] <= value[stop]:
-                continue
-            reached[stop], last[stop], value[stop] = True, (piece, start), value[start] + self._score[piece]
-        if not reached[n]:  # a character without a piece
+        last = self._by_merging(part, n) if self._bpe else self._by_score(part, n)
+        if last[n] is None:  # a character without a piece
             return [i for x in part for i in ([self._ids[x]] if x in self._ids else self._spelled(x))]
         out, at = [], n
         while at:
-            piece, at = last[at]
+            piece, length = last[at]
             out.append(piece)
+            at -= length
         return out[::-1]
 
-    def _of(self, chunk: str) -> list[int]:
-        out, begun, inside = [], 0, self._inside
-        for i in range(1, len(chunk) + 1):
-            if i == len(chunk) or chunk[i - 1 : i + 1] not in inside:
-                part = chunk[begun:i]
-                if (got := self._parts.get(part)) is None:
-                    got = self._parts[part] = self.segment(part)
-                out += got
-                begun = i
-        return out
+    def _by_merging(self, part: str, n: int) -> list[tuple[int, int] | None]:
+        """The piece by which each position is reached, with its length: the one that may follow the piece before."""
+        last: list[tuple[int, int] | None] = [None] * (n + 1)
+        meets, many = self._meets, len(self.pieces)
+        for end, found in self._automaton.iter(part):
+            stop = end + 1
+            if last[stop] is not None:
+                continue
+            if start := stop - found[1]:
+                if (before := last[start]) is None:
+                    continue
+                if (follows := meets.get(before[0] * many + found[0])) is None:
+                    follows = self._follows(before[0], found[0])
+                if not follows:
+                    continue
+            last[stop] = found
+        return last
+
+    def _by_score(self, part: str, n: int) -> list[tuple[int, int] | None]:
+        """The same by the highest sum of scores."""
+        last: list[tuple[int, int] | None] = [None] * (n + 1)
+        value = [0.0] * (n + 1)
+        for end, (piece, length) in self._automaton.iter(part):
+            start, stop = end + 1 - length, end + 1
+            if start and last[start] is None:
+                continue
+            if last[stop] is None or value[start] + self._score[piece] > value[stop]:
+                last[stop], value[stop] = (piece, length), value[start] + self._score[piece]
+        return last
+
+    def _packed(self, part: str) -> bytes:
+        ids = self.segment(part)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _of(self, chunk: str) -> bytes:
+        inside, parts = self._inside, self._parts
+        cuts = [i for i, x in enumerate(map(add, chunk, chunk[1:]), 1) if x not in inside]
+        if not cuts:
+            return self._packed(chunk)
+        out, begun = [], 0
+        for i in (*cuts, len(chunk)):
+            part = chunk[begun:i]
+            if (got := parts.get(part)) is None:
+                got = parts[part] = self._packed(part)
+            out.append(got)
+            begun = i
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -143,7 +164,7 @@ class Codec:
         known, out = self._known, []
         for chunk in _CHUNKS.findall(line):
             if (got := known.get(chunk)) is None:
-                got = known[chunk] = np.array(self._of(chunk), "<u4").tobytes()
+                got = known[chunk] = self._of(chunk)
             out.append(got)
         return b"".join(out)
 

@@ -94,3 +94,21 @@ def test_trigrams_of_long_texts_are_those_of_the_whole(monkeypatch):
     monkeypatch.setattr(langid, "_PIECE", 17)
     for t, want in zip(texts, whole, strict=True):
         assert (counted(t) == want).all()
+
+
+def test_pieces_of_unseen_words():
+    """What is remembered of parts costs the collector of cycles nothing, and the ids are the library's."""
+    import gc
+    import random
+
+    from sentencepiece import SentencePieceProcessor
+
+    from footfall.llm import sentencepiece
+    from footfall.llm.queries import tokenizer_file
+
+    path, rng = tokenizer_file("piece_bpe_32k.model"), random.Random(9)
+    text = " ".join("".join(rng.choices(("th", "er", "on", "è", "an", "ti", "re", "é", "œ", "st"), k=rng.randrange(1, 7))) + rng.choice(("", ",", "漢,", ".")) for _ in range(3000))
+    codec, model = sentencepiece.Codec(path), SentencePieceProcessor(model_file=path)
+    assert np.frombuffer(codec.encode(text), "<u4").tolist() == model.encode(text)
+    assert codec._parts and not any(map(gc.is_tracked, codec._parts.values()))
+    assert all(codec.merged(codec.pieces[i]) == [i] for i, n in codec._automaton.values() if n > 1)
