@@ -172,3 +172,12 @@ def test_every_block_has_its_place(spark, tmp_path):
         got = slices.placed(spark.read.text(str(folder)).select("value", F.col("_metadata").alias("file"))).orderBy("place").collect()
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         assert [r["value"] for r in got] == wanted and [r["place"] for r in got] == list(range(501))
+
+
+def test_a_visitor_of_many_beacons_is_in_no_one_place(spark, tmp_path):
+    """What a step is given at once are the rows of an hour or of a part of the nonces; the result is that of one place."""
+    rows = [(1, V, START + dt.timedelta(seconds=60 * (n // 2)), n, n % 2 == 0, f"n{n // 2 % 90}", True, "") for n in range(1200)]
+    assert _guard(spark, str(tmp_path / "all"), [rows]) == [(n, False) for n in range(1, 1200, 2)]
+    stream = guard.guarded(spark.readStream.schema(guard.ARRIVAL).parquet(str(tmp_path / "all" / "in")), 3, 1800)
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "hour#" in plan and "part#" in plan
