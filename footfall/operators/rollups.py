@@ -413,6 +413,8 @@ def over_cap(cube: Cube, cap: int, table: Callable[[str], DataFrame | None]) ->
             continue
         both = fresh.drop("seq") if held is None else fresh.drop("seq").union(held)
         both = both.where("coalesce(value, '') <> ''").select(F.lit(kind).alias("kind"), "site_id", "date", "value")
+        # every task reports on all tables of the cube, so there are as many for each kind as run at once, and not tables times partitions
+        both = both.coalesce(both.sparkSession.sparkContext.defaultParallelism)
         every = both if every is None else every.union(both)
     if every is None:
         return []
