@@ -101,14 +101,23 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def variants(prints: DataFrame) -> DataFrame:
+    """(fp, variant) of fingerprints, in as many tasks as a shuffle has.
+
+    The key is a hash of fp, not fp: what was just grouped by fp would not be dealt out again, and its few bytes would
+    be one task, which then makes 128 rows of each.
+    """
+    width = max(shuffle_width(prints.sparkSession), 1)
+    return prints.repartition(width, F.xxhash64("fp")).select("fp", F.explode(_variants(F.col("fp"))).alias("variant"))
+
+
 def fingerprint_links(prints: DataFrame) -> DataFrame:
     """Links (a, b) between different fingerprints that reach whatever is within two bits, step by step.
 
     `prints` holds each fingerprint once, in column fp. Variants are hashed to 64 bits; what meets by chance differs
     in more than two bits and goes like any other candidate.
     """
-    width = max(shuffle_width(prints.sparkSession), 1)
-    indexed = prints.repartition(width, "fp").select("fp", F.explode(_variants(F.col("fp"))).alias("variant"))
+    indexed = variants(prints)
     shared = stored(
         indexed.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"),
         "variants",

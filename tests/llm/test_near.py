@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from footfall.llm import near
+from footfall.llm import near, simhash
 
 DOCS = "doc_id bigint, text string, source string"
 
@@ -97,6 +99,57 @@ def test_a_crowd_without_copies(spark):
         near._links = plain
 
 
+def test_a_passage_that_most_texts_hold(spark):
+    """What shares a passage and is not similar is hardly compared; similar sets among it are still found."""
+    rng = random.Random(7)
+    common = [f"t{i}" for i in range(60)]
+    texts = [" ".join([*common, *(f"o{rng.random()}" for _ in range(rng.randrange(11, 30)))]) for _ in range(300)]
+    for i in range(0, 300, 10):
+        words = texts[i].split()
+        words[-1 - i % 3 : len(words)] = [f"n{rng.random()}" for _ in range(rng.randrange(1, 4))]
+        texts.append(" ".join(words[i % 2 * 3 :]))
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], DOCS)
+    compared, plain = [], near._links
+    near._links = lambda pairs, sets: compared.append(pairs.distinct().count()) or plain(pairs, sets)
+    try:
+        found = near.near_copies(near.numbered(docs)).collect()
+    finally:
+        near._links = plain
+    groups, want = {}, {}
+    for r in found:
+        groups.setdefault(r["root"], set()).add(r["doc_id"])
+    for i, r in enumerate(_components(texts)):
+        want.setdefault(r, set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values())) and len(want) < 330
+    assert sum(compared[2:]) < 3 * len(texts)
+
+
+def test_sets_meet_in_their_prefixes(spark):
+    """Every pair of similar sets shares an entry by which it may meet, whatever the counts that order shingles."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        base = rng.sample(range(1, 500), rng.randrange(2, 90))
+        rows += [sorted(base), sorted(base[: -(-len(base) * 4 // 5)]), sorted({*base, *rng.sample(range(500, 600), len(base) // 5)})]
+    arrays = [np.array(r, np.uint64) for r in rows]
+    counts = np.random.default_rng(1).integers(0, 9, near._BUCKETS)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array([a.tobytes() for a in arrays], pa.binary())], names=["row", "shingles"])
+    met, by_key = set(), {}
+    for e in pa.Table.from_batches(near._prefixes(iter([batch]), counts)).to_pylist():
+        for o in by_key.setdefault(e["key"], []):
+            if 9 * min(e["left"], o["left"]) >= 4 * (e["size"] + o["size"]):
+                met.add((o["row"], e["row"]))
+        by_key[e["key"]].append(e)
+    similar = {(i, j) for j in range(len(rows)) for i in range(j) if 5 * len({*rows[i]} & {*rows[j]}) >= 4 * len({*rows[i]} | {*rows[j]})}
+    assert len(similar) > 100 and similar <= met
+
+
+def test_variants_are_dealt_out(spark):
+    """What was just grouped by fingerprint is not left in one small partition, which becomes 128 times its size."""
+    prints = spark.range(1000).select(F.xxhash64("id").alias("fp")).groupBy("fp").count()
+    assert simhash.variants(prints.select("fp")).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
 def test_null_and_long_texts(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     docs = spark.createDataFrame([(1, None, "s"), (2, "", "s"), (3, long, "s"), (4, long + " more", "s"), (5, long.replace("w1", "x1"), "s")], DOCS)
