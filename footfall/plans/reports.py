@@ -5,8 +5,10 @@ Ties are broken by label, so that equal counts always come in the same order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ from footfall.operators.goals import Definitions
 from footfall.operators.rollups import OTHER, Cube
 from footfall.plans.ranges import DateRange
 
+#: Ids are sent to all tasks up to this many (8 MB).
+BROADCAST_ROWS = 1_000_000
+
 
 @dataclass(frozen=True)
 class Reports:
@@ -219,9 +224,17 @@ class Reports:
         met = self.rows("page_visitors").join(elements, ["date", "hour", "path"])
         return met.groupBy("element_id").agg(F.countDistinct("visitor_hash").alias("uniques"))
 
-    def content(self, entries: DataFrame, by: str, limit: int = 10) -> DataFrame:
-        """Views and elements by a column of `entries` (element_id, ...); an element with two authors counts for both."""
+    def content(self, entries: DataFrame | Callable[[DataFrame], DataFrame], by: str, limit: int = 10) -> DataFrame:
+        """Views and elements by a column of `entries` (element_id, ...); an element with two authors counts for both.
+
+        Where there are far more entries than elements seen, `entries` may be a function of the latter (element_id), so
+        that it need not sort or group the rest. They are one row each, kept while they are used by both.
+        """
         views = self.rows("pages").where("element_id is not null").groupBy("element_id").agg(F.sum("views").alias("views"), F.sum("dwell_ms").alias("dwell_ms"))
+        if callable(entries):
+            views = views.persist(StorageLevel.MEMORY_AND_DISK)
+            seen = views.select("element_id")
+            entries = entries(F.broadcast(seen) if views.count() <= BROADCAST_ROWS else seen)
         met = views.join(entries.select("element_id", F.col(by).alias("label")).distinct(), "element_id")
         out = met.groupBy("label").agg(F.sum("views").alias("views"), F.countDistinct("element_id").alias("elements"), F.sum("dwell_ms").alias("dwell"))
         return out.select("label", "views", "elements", mean(F.col("dwell"), F.col("views")).alias("avg_dwell_ms")).orderBy(F.col("views").desc(), "label").limit(clamp_limit(limit, self.most))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -379,17 +380,17 @@ SELECT label, sum(views)::BIGINT AS views, count(DISTINCT element_id) AS element
 
 @_query("content_by_section", _content_sql("p_brand"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _reports(spark, sf, "pages").content(adapter.entries(spark, sf), "section")
+    return _reports(spark, sf, "pages").content(partial(adapter.entries, spark, sf), "section")
 
 
 @_query("content_by_type", _content_sql("p_type"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _reports(spark, sf, "pages").content(adapter.entries(spark, sf), "entry_type")
+    return _reports(spark, sf, "pages").content(partial(adapter.entries, spark, sf), "entry_type")
 
 
 @_query("content_by_author", _content_sql("s_name", "part LEFT JOIN lineitem ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _reports(spark, sf, "pages").content(adapter.entries(spark, sf), "author")
+    return _reports(spark, sf, "pages").content(partial(adapter.entries, spark, sf), "author")
 
 
 @_query("entries_in_section", f""", {ELEMENT_SQL} SELECT element_id, views, p_name AS title FROM el JOIN part ON p_partkey = element_id

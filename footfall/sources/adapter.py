@@ -72,10 +72,16 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elements with section, entry type, title and the suppliers that wrote them (several each)."""
+def entries(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """Elements with section, entry type, title and the suppliers that wrote them (several each).
+
+    of: (element_id) of those asked for, all if not given; others go before anything is grouped or joined.
+    """
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("element_id"), F.col("p_brand").alias("section"), F.col("p_type").alias("entry_type"), F.col("p_name").alias("title"))
-    wrote = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("element_id"), F.col("l_suppkey").alias("s_suppkey")).distinct()
+    wrote = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("element_id"), F.col("l_suppkey").alias("s_suppkey"))
+    if of is not None:
+        part, wrote = part.join(of, "element_id", "left_semi"), wrote.join(of, "element_id", "left_semi")
+    wrote = wrote.distinct()
     names = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("author"))
     return part.join(wrote.join(names, "s_suppkey"), "element_id", "left").select("element_id", "section", "entry_type", "title", "author")
 

@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from footfall import queries as analytics
+from footfall.sources import adapter
 
 DATA = os.environ.get("FOOTFALL_TEST_DATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -60,3 +61,18 @@ def test_composites(spark):
     for rows in parts["overview"].values():
         assert rows.count() == 1
     assert {r["group"] for r in parts["exports"]["devices"].collect()} == {"browser", "os", "device_type"}
+
+
+def test_content_asks_for_seen_elements_only(spark):
+    """Entries are asked for by what was seen, so that what nobody saw is neither grouped nor joined."""
+    r, asked = analytics._reports(spark, DATA, "pages"), []
+
+    def own(of):
+        asked.append(adapter.entries(spark, DATA, of))
+        return asked[0]
+
+    every = adapter.entries(spark, DATA)
+    assert r.content(own, "author").collect() == r.content(every, "author").collect()
+    seen = {x["element_id"] for x in r.rows("pages").select("element_id").collect()}
+    assert sorted(map(str, asked[0].collect())) == sorted(str(x) for x in every.collect() if x["element_id"] in seen)
+    assert 0 < asked[0].count() < every.count()
