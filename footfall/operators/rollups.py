@@ -245,6 +245,21 @@ def added_up(rows: DataFrame, table: str) -> DataFrame:
     return rows.groupBy(*keys).agg(*aggs)
 
 
+_RESIZED = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """`rows` persisted in partitions by their bytes. Otherwise they have as many as a shuffle has, however small, and so
+    has all that is made of them."""
+    conf = rows.sparkSession.conf
+    before = conf.get(_RESIZED, None)
+    conf.set(_RESIZED, "true")
+    try:
+        return rows.persist()
+    finally:
+        conf.unset(_RESIZED) if before is None else conf.set(_RESIZED, before)
+
+
 @dataclass
 class Cube:
     """The rollups of one set of hits, each a lazy DataFrame by table name."""

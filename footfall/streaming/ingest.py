@@ -64,7 +64,7 @@ def apply(
     try:
         before = store.note(batch - 1, source).get("as_of") if batch - 1 in store.written(source) else None
         parts = ses.summaries(rows, window, definitions, settings.segments or None).unionByName(store.open_sessions(batch - 1, ses.SUMMARY))
-        together = ses.merged(parts, window).persist()
+        together = rollups.kept(ses.merged(parts, window))
         held.append(together)
         newest, first = rows.agg(F.max(F.unix_timestamp("ts")), F.min(F.unix_timestamp("ts"))).first()
         begun = together.agg(F.min(F.unix_timestamp("first_at.ts"))).first()[0]
@@ -72,14 +72,15 @@ def apply(
         now = reached if as_of is None else as_of
         over = F.lit(now is not None) & ses.closed_by(F.unix_timestamp("last_at.ts"), F.lit(now), window)
         still_open = together.where(~F.coalesce(over, F.lit(False)))
-        closed = ses.finished(together.where(over), definitions=definitions)
+        closed = rollups.kept(ses.finished(together.where(over), definitions=definitions))  # every rollup of sessions reads it
+        held.append(closed)
         at = store.snapshot()
         numbers, fresh, after = _numbers(store, rows, batch, source, settings, at, first)
         if fresh is not None:
             held.append(fresh)
         cube = rollups.fold_hits(rows, settings, numbers).merged(rollups.fold_sessions(closed, settings, definitions, hooks.channels))
         cube = cube.merged(Cube({"page_sources": rollups.page_arrivals(_arrived(rows, together), tz, hooks.channels)}))
-        cube = Cube({name: table.persist() for name, table in cube.tables.items()})  # rollups of one batch
+        cube = Cube({name: rollups.kept(table) for name, table in cube.tables.items()})  # rollups of one batch
         held += cube.tables.values()
         oldest = min([x for x in (first, begun) if x is not None], default=0)
         recent = F.col("date") >= F.date_sub(F.to_date(F.timestamp_seconds(F.lit(oldest))), 1)

@@ -2,6 +2,10 @@
 
 from footfall.operators import rollups
 from footfall.operators.rollups import Cube
+from footfall.operators.store import Store
+from footfall.settings import Settings
+from footfall.streaming import ingest
+from test_analytics import frame, hit
 
 
 def test_tasks_do_not_grow_with_tables_times_partitions(spark):
@@ -18,3 +22,16 @@ def test_tasks_do_not_grow_with_tables_times_partitions(spark):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert stages and max(s.numTasks for s in stages if s) <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_tasks_of_a_small_batch_do_not_grow_with_shuffle_partitions(spark, tmp_path):
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.sparkContext.setJobGroup("batch", "batch")
+    try:
+        assert ingest.apply(Store(spark, str(tmp_path / "store")), frame(spark, [hit(1), hit(2, 60), hit(3, 9_000)]), 0, Settings())
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s: tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("batch") for s in tracker.getJobInfo(j).stageIds}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert stages and sum(s.numCompletedTasks for s in stages.values() if s) <= 15 * 40
