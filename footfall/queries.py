@@ -562,11 +562,17 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     own = store.Store(spark, f"{store.shared_dir(spark)}/store-{uuid.uuid4().hex}")
     rows = adapter.hits(spark, sf)
     last = rows.agg(F.max("seq")).first()[0]
+    needed = ("site_id", "seq", "ts", "kind", "count_view", "path", "search_term", "target", "event_name", "event_value", "crawler")
     for n in range(3):
-        part = rows.where((F.col("seq") * 3 > n * last) & (F.col("seq") * 3 <= (n + 1) * last) if n else F.col("seq") * 3 <= last)
+        part = rows.where((F.col("seq") * 3 > n * last) & (F.col("seq") * 3 <= (n + 1) * last) if n else F.col("seq") * 3 <= last).select(*needed).persist()
         cube = Cube({"search": rollups.search(part, "UTC"), "outbound": rollups.outbound(part, "UTC"), "events": rollups.events(part, "UTC"), "crawlers": rollups.crawlers(part, "UTC")})
-        at = own.snapshot()
-        own.write_delta(n, rollups.capped_cube(cube, 2, lambda name, at=at: own.table(name, at=at), rollups.arrivals(part, None, "UTC")))
+        cube = Cube({name: rollups.kept(table) for name, table in cube.tables.items()})
+        try:
+            at = own.snapshot()
+            own.write_delta(n, rollups.capped_cube(cube, 2, lambda name, at=at: own.table(name, at=at), rollups.arrivals(part, None, "UTC")))
+        finally:
+            for held in (*cube.tables.values(), part):
+                held.unpersist()
     kinds = (("search_term", "search", "term", "count"), ("outbound_host", "outbound", "host", "count"), ("event_name", "events", "event_name", "count"), ("crawler", "crawlers", "crawler", "requests"))
     cube, out = own.cube(*(t for _, t, *_ in kinds)), None
     for kind, table, column, n in kinds:
