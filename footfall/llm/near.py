@@ -72,7 +72,9 @@ def numbered(docs: DataFrame) -> DataFrame:
     except AnalysisException:
         rows = placed(stored(docs, "rows"))
     files = sorted(r["file"] for r in rows.select("file").distinct().collect())
-    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "number long, file string")
+    # from Arrow, as rows from a list would start further Python workers on the executors, beside those of the stages
+    named = pa.table({"number": pa.array(range(len(files)), pa.int64()), "file": pa.array(files, pa.string())})
+    numbers = docs.sparkSession.createDataFrame(named)
     return rows.join(F.broadcast(numbers), "file").select((F.col("number") * F.lit(1 << 40) + F.col("at")).alias("row"), "doc")
 
 

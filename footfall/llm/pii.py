@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -266,7 +267,10 @@ def train(seen: DataFrame, rounds: int = 12, step: float = 1 / 12, ridge: float
     model = SpanModel(prior, rates, [0.0] * BUCKETS)
     if not soft:
         return model
-    posterior = F.broadcast(seen.sparkSession.createDataFrame([(k, list(v), q) for k, v, q in soft], "kind string, votes array<int>, q double"))
+    # from Arrow, as rows from a list would start further Python workers on the executors, beside those of the stages
+    kinds, votes, q = zip(*soft, strict=True)
+    named = pa.table({"kind": pa.array(kinds, pa.string()), "votes": pa.array(map(list, votes), pa.list_(pa.int32())), "q": pa.array(q, pa.float64())})
+    posterior = F.broadcast(seen.sparkSession.createDataFrame(named))
     patterns = stored(seen.join(posterior, ["kind", "votes"]).groupBy("features").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("s")), "patterns")
     for _ in range(rounds):
         p = model.probability(F.col("features"))

@@ -10,7 +10,8 @@ yields just these two, which leaves one segmentation, the one that merging gives
 themselves take no part.
 
 Texts are cut where no piece reaches across, found from the neighbouring characters of all pieces, so each
-different part is segmented once and remembered; the memory is emptied when it is full.
+different part is segmented once and remembered. When the memory is full, what was not asked for since it was last
+full goes and the rest stays, so that a worker, which keeps it for all later tasks, holds little.
 
 Defined results: null and empty texts have no ids; characters without a piece become byte pieces, or the unknown
 id in a model without them; decoding gives back the text where the normaliser changes nothing, but that a space
@@ -37,15 +38,44 @@ from footfall.llm.common import small_batches
 SPACE = "▁"
 
 
+class Memory:
+    """What was asked for last: `most` keys at least once they have come, twice as many at most.
+
+    `new` is for reading only: whoever looks a key up there first spares most calls.
+    """
+
+    def __init__(self, most: int):
+        self._most = most
+        self.new: dict[str, bytes] = {}  # bytes, which the collector of cycles need not look at
+        self._old: dict[str, bytes] = {}
+
+    def __len__(self) -> int:
+        return len(self.new) + len(self._old)
+
+    def values(self) -> list[bytes]:
+        return [*self.new.values(), *self._old.values()]
+
+    def older(self, key: str) -> bytes | None:
+        """The value of a key that is not in `new`, kept for longer now."""
+        got = self._old.pop(key, None)
+        return None if got is None else self.keep(key, got)
+
+    def keep(self, key: str, value: bytes) -> bytes:
+        if len(self.new) >= self._most:
+            self.new, self._old = {}, self.new
+        self.new[key] = value
+        return value
+
+
 class Codec:
-    def __init__(self, model_file: str, kind: str = "bpe", most: int = 300_000):
+    def __init__(self, model_file: str, kind: str = "bpe", most: int = 50_000, most_meets: int = 300_000):
         import ahocorasick
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=model_file)
         if kind not in ("bpe", "unigram"):
             raise ValueError(f"unknown kind of model: {kind}")
-        self.unknown, self._bpe, self._most = model.unk_id(), kind == "bpe", most
+        self.unknown, self._bpe, self._most_meets = model.unk_id(), kind == "bpe", most_meets
         self._prefix = model.normalize("a") == SPACE + "a"
         # whether the normaliser does nothing but mark spaces: letters it might compose, fold or widen come back
         probe = " a  b ﬁ Å ① ｶ İ e\u0301 "
@@ -65,8 +95,7 @@ class Codec:
             if not self._bpe or len(p) == 1 or self.merged(p) == [i]:  # what does not merge to itself takes no part
                 self._automaton.add_word(p, (i, len(p)))
         self._automaton.make_automaton()
-        self._known: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}  # bytes, which the collector of cycles need not look at
+        self._known, self._parts = Memory(most), Memory(most)
         self._meets: dict[int, bool] = {}  # of two pieces, the left one times the number of pieces and the right one
 
     def merged(self, text: str) -> list[int]:
@@ -83,7 +112,7 @@ class Codec:
             own[at : at + 2] = [own[at] + own[at + 1]]
 
     def _follows(self, left: int, right: int) -> bool:
-        if len(self._meets) > self._most:
+        if len(self._meets) > self._most_meets:
             self._meets.clear()
         got = self._meets[left * len(self.pieces) + right] = self.merged(self.pieces[left] + self.pieces[right]) == [left, right]
         return got
@@ -147,8 +176,8 @@ class Codec:
         out, begun = [], 0
         for i in (*cuts, len(chunk)):
             part = chunk[begun:i]
-            if (got := parts.get(part)) is None:
-                got = parts[part] = self._packed(part)
+            if (got := parts.new.get(part)) is None and (got := parts.older(part)) is None:
+                got = parts.keep(part, self._packed(part))
             out.append(got)
             begun = i
         return b"".join(out)
@@ -158,13 +187,10 @@ class Codec:
         if not text:
             return b""
         line = (SPACE * self._prefix + text.replace(" ", SPACE)) if self._plain else self._normalize(text)
-        for held in (self._known, self._parts):
-            if len(held) > self._most:
-                held.clear()
         known, out = self._known, []
         for chunk in _CHUNKS.findall(line):
-            if (got := known.get(chunk)) is None:
-                got = known[chunk] = self._of(chunk)
+            if (got := known.new.get(chunk)) is None and (got := known.older(chunk)) is None:
+                got = known.keep(chunk, self._of(chunk))
             out.append(got)
         return b"".join(out)
 

@@ -112,3 +112,18 @@ def test_pieces_of_unseen_words():
     assert np.frombuffer(codec.encode(text), "<u4").tolist() == model.encode(text)
     assert codec._parts and not any(map(gc.is_tracked, codec._parts.values()))
     assert all(codec.merged(codec.pieces[i]) == [i] for i, n in codec._automaton.values() if n > 1)
+
+
+def test_a_worker_remembers_few_parts():
+    """However many different parts a text has, the memory stays within twice its bound, and the ids are the library's."""
+    from sentencepiece import SentencePieceProcessor
+
+    from footfall.llm import sentencepiece
+    from footfall.llm.queries import tokenizer_file
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    codec, model = sentencepiece.Codec(path, most=20), SentencePieceProcessor(model_file=path)
+    text = " ".join(f"often w{i}漢{i * 7}, again w{i // 9}" for i in range(500))
+    for _ in range(2):
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == model.encode(text)
+        assert 20 <= len(codec._known) <= 40 and len(codec._parts) <= 40

@@ -157,3 +157,10 @@ def test_null_and_long_texts(spark):
     for r in near.near_copies(near.numbered(docs)).collect():
         groups.setdefault(r["root"], set()).add(r["doc_id"])
     assert sorted(map(sorted, groups.values())) == [[1, 2], [3, 4], [5]]
+
+
+def test_numbers_of_files_start_no_python_workers(spark, tmp_path):
+    spark.createDataFrame([(i, str(i), "s") for i in range(6)], DOCS).repartition(3).write.parquet(str(tmp_path / "docs"))
+    rows = near.numbered(spark.read.parquet(str(tmp_path / "docs")))
+    assert "ExistingRDD" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.select("row").distinct().count() == 6
